@@ -6,21 +6,31 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lengths, sharding
+from . import lengths, packing, planes, sharding
 from .common import table
 
 
+def op2_cutting_stock_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.context_table(lengths.length_histogram(table(spark, sf_dir, "documents")))
 
 
+def op9_plane_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return planes.ids_through_files(table(spark, sf_dir, "documents"))
+
+
 def op10_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"), 24)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_cutting_stock_packing": op2_cutting_stock_packing,
         "op5_token_counts": op5_token_counts,
+        "op9_plane_files": op9_plane_files,
         "op10_hash_tree_shards": op10_hash_tree_shards,
     }
 
