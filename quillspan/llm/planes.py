@@ -177,7 +177,7 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     try:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")  # a row is a file
-        rows = saved(files.mapInPandas(read, "file int, key long, start long, n_tokens long, ids_crc32 long"))
+        rows = saved(files.mapInPandas(read, "file int, key long, start long, n_tokens long, ids_crc32 long"))  # no nulls here
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
     sizes = rows.groupBy("file").agg(F.sum("n_tokens").alias("n"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lengths, packing, planes, sharding
+from . import chat, lengths, packing, planes, sharding, warc
 from .common import table
 
 
@@ -14,10 +14,21 @@ def op2_cutting_stock_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    odd = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-7, 0, "user", odd), (-7, 1, "assistant", odd)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(more)
+    return chat.digest_windows(chat.format_conversations(rows))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.context_table(lengths.length_histogram(table(spark, sf_dir, "documents")))
 
 
+def op8_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.pages_through_archives(table(spark, sf_dir, "pages"))
+
+
 def op9_plane_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planes.ids_through_files(table(spark, sf_dir, "documents"))
 
@@ -29,7 +40,9 @@ def op10_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_cutting_stock_packing": op2_cutting_stock_packing,
+        "op3_chat_windows": op3_chat_windows,
         "op5_token_counts": op5_token_counts,
+        "op8_warc_transactions": op8_warc_transactions,
         "op9_plane_files": op9_plane_files,
         "op10_hash_tree_shards": op10_hash_tree_shards,
     }
