@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, by_frames, fresh_path, saved
+from .common import arrow_rows, blocks, by_frames, fresh_path, saved
 from .tokens import TOKENIZER, encoder, tokenizer_path
 
 BLOCK_IDS = 1 << 16
@@ -174,12 +174,8 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
 
     found = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
     files = found.where("length > 0").select(F.regexp_extract("path", r"part-(\d+)", 1).cast("int").alias("file"), "content")
-    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    try:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")  # a row is a file
-        rows = saved(files.mapInPandas(read, "file int, key long, start long, n_tokens long, ids_crc32 long"))  # no nulls here
-    finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    with arrow_rows(spark, 1):  # a row is a file
+        rows = saved(files.mapInPandas(read, "file int, key long, start long, n_tokens long, ids_crc32 long"))
     sizes = rows.groupBy("file").agg(F.sum("n_tokens").alias("n"))
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
     ahead = sizes.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))  # a row for each file

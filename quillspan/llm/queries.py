@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, lengths, packing, planes, sharding, warc
+from . import chat, lengths, packing, planes, sharding, vectors, warc
 from .common import table
 
 
@@ -25,6 +25,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.context_table(lengths.length_histogram(table(spark, sf_dir, "documents")))
 
 
+def op6_pca_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op8_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.pages_through_archives(table(spark, sf_dir, "pages"))
 
@@ -42,6 +46,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_cutting_stock_packing": op2_cutting_stock_packing,
         "op3_chat_windows": op3_chat_windows,
         "op5_token_counts": op5_token_counts,
+        "op6_pca_tiles": op6_pca_tiles,
         "op8_warc_transactions": op8_warc_transactions,
         "op9_plane_files": op9_plane_files,
         "op10_hash_tree_shards": op10_hash_tree_shards,

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, by_frames, fresh_path, saved
+from .common import arrow_rows, blocks, by_frames, fresh_path, saved
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Records of an archive file; its bytes are bound by those of a partition.
@@ -132,13 +132,9 @@ def read_records(spark: SparkSession, path: str, blocks_too: bool = True) -> Dat
                 yield pd.DataFrame(rows, columns=names)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
-    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    try:
-        read_by = by_frames(files, read, RECORD_COLUMNS)
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")  # a row is a file
-        return saved(read_by)
-    finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    made = by_frames(files, read, RECORD_COLUMNS)
+    with arrow_rows(spark, 1):  # a row is a file
+        return saved(made)
 
 
 def assemble(records: DataFrame) -> DataFrame:
