@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, lengths, packing, planes, sharding, vectors, warc
+from . import chat, jaccard, lengths, packing, planes, sharding, vectors, warc
 from .common import table
 
 
@@ -29,6 +29,10 @@ def op6_pca_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op7_token_group_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"), words=3, num=90, den=100)
+
+
 def op8_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.pages_through_archives(table(spark, sf_dir, "pages"))
 
@@ -47,6 +51,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_chat_windows": op3_chat_windows,
         "op5_token_counts": op5_token_counts,
         "op6_pca_tiles": op6_pca_tiles,
+        "op7_token_group_join": op7_token_group_join,
         "op8_warc_transactions": op8_warc_transactions,
         "op9_plane_files": op9_plane_files,
         "op10_hash_tree_shards": op10_hash_tree_shards,
