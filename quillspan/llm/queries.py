@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, jaccard, lengths, packing, planes, sharding, vectors, warc
+from . import chat, decontam, jaccard, lengths, packing, planes, sharding, vectors, warc
 from .common import table
 
 
@@ -21,6 +21,10 @@ def op3_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest_windows(chat.format_conversations(rows))
 
 
+def op4_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.context_table(lengths.length_histogram(table(spark, sf_dir, "documents")))
 
@@ -49,6 +53,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_cutting_stock_packing": op2_cutting_stock_packing,
         "op3_chat_windows": op3_chat_windows,
+        "op4_cgk_decontamination": op4_cgk_decontamination,
         "op5_token_counts": op5_token_counts,
         "op6_pca_tiles": op6_pca_tiles,
         "op7_token_group_join": op7_token_group_join,
