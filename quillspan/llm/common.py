@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 #: Characters of text that a Python step holds at once, besides one whole document.
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 4_000_000
 #: Rows of an Arrow batch between the JVM and Python.
 BATCH_ROWS = 2_000
 

@@ -5,11 +5,24 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chat, decontam, jaccard, lengths, packing, planes, sharding, vectors, warc
+from . import chat, decontam, jaccard, language, lengths, packing, planes, sharding, vectors, warc
 from .common import table
 
 
+def held_out():
+    """Whether a document is kept from the language models."""
+    return F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+
+
+def op1_kneser_ney_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    models = language.fit_models(docs.where(~held_out()))
+    found = language.identify(docs.select("doc_id", "text", held_out().alias("held_out")), models)
+    return found.select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"), F.col("lang_bits").alias("bits"), F.col("lang_rejected").alias("rejected"))
+
+
 def op2_cutting_stock_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -51,6 +64,7 @@ def op10_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_kneser_ney_language": op1_kneser_ney_language,
         "op2_cutting_stock_packing": op2_cutting_stock_packing,
         "op3_chat_windows": op3_chat_windows,
         "op4_cgk_decontamination": op4_cgk_decontamination,

@@ -16,7 +16,7 @@ from collections.abc import Sequence
 import numpy as np
 
 #: Chunks that one Python worker keeps.
-CACHE_CHUNKS = 500_000
+CACHE_CHUNKS = 400_000
 TOKENIZER = "byte_bpe_50k.json"
 _CUT = re.compile(r"(?= \S)")
 _ENCODERS: dict[str, ChunkEncoder] = {}
