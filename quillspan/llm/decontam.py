@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, by_frames, mix64
+from .common import blocks, by_frames, free_name, mix64
 from .shingles import hash_runs
 
 RATE = 0.2
@@ -247,5 +247,6 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: s
 
 def without_leaks(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", **settings) -> DataFrame:
     """The rows that leak no item; a row with a null key stays unless null keys leak."""
-    leaking = find_leaks(df, benchmark, key, **settings).select(F.col(key).alias("_leaks")).distinct()
-    return df.join(leaking, F.col(key).eqNullSafe(F.col("_leaks")), "left_anti")
+    name = free_name(df.columns, "leaks")
+    leaking = find_leaks(df, benchmark, key, **settings).select(F.col(key).alias(name)).distinct()
+    return df.join(leaking, F.col(key).eqNullSafe(F.col(name)), "left_anti")

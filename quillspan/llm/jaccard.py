@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, blocks, by_frames, mix64, saved, signed
+from .common import arrow_rows, blocks, by_frames, free_name, mix64, saved, signed
 from .graph import components, local_components
 from .shingles import shingle_sets
 
@@ -166,6 +166,17 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", w
     return joined.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "key").alias("component_id"))
 
 
+def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows without those of a group's documents whose key isn't the group's smallest.
+
+    Keys are taken as unique: rows that repeat one stay or go together. Rows with a null key stay.
+    """
+    name = free_name(df.columns, "copies")
+    found = jaccard_components(df, key, text, words, num, den)
+    copies = found.where(F.col(key) != F.col("component_id")).select(F.col(key).alias(name)).distinct()
+    return df.join(copies, F.col(key) == F.col(name), "left_anti")
+
+
 def _links(shared: DataFrame, opened: DataFrame, num: int, den: int, tile: int) -> DataFrame:
     """Links (a, b) between sets that connect all those that have the similarity."""
     of_set = lambda name: opened.select(F.col("set").alias(name), F.col("hashes").alias(f"{name}_hashes"))

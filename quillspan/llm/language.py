@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, by_frames, mix64
+from .common import blocks, by_frames, free_name, mix64
 
 ORDER = 5
 SAMPLE_CHARS = 6_000_000
@@ -267,11 +267,10 @@ def _without_empty(languages: list[str], fitted: list, kept: list) -> tuple[list
     return [languages[i] for i in number], [fitted[i] for i in number], [(number[i], s) for i, s in kept if i in number]
 
 
-def identify(df: DataFrame, models: Models | None, text: str = "text") -> DataFrame:
-    """df with lang_pred, lang_score (0 to 1), lang_bits (per symbol) and lang_rejected."""
-    names = {"lang_pred", "lang_score", "lang_bits", "lang_rejected"}
-    if names & set(df.columns):
-        raise ValueError(f"columns {sorted(names & set(df.columns))} are there already")
+def identify(df: DataFrame, models: Models | None, text: str = "text", prefix: str = "lang_") -> DataFrame:
+    """df with pred, score (0 to 1), bits (per symbol) and rejected, each after the prefix; columns of these names are replaced."""
+    names = [prefix + x for x in ("pred", "score", "bits", "rejected")]
+    df = df.drop(*[c for c in df.columns if c != text and c.lower() in {n.lower() for n in names}])
     held = df.sparkSession.sparkContext.broadcast(models)  # bounded by the sample
 
     def predict(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -280,9 +279,20 @@ def identify(df: DataFrame, models: Models | None, text: str = "text") -> DataFr
             texts = [t if isinstance(t, str) else None for t in block[text]]
             found = known.predict(texts) if known else [(UNKNOWN, 0.0, None, True)] * len(texts)
             block = block.copy()
-            for k, name in enumerate(("lang_pred", "lang_score", "lang_bits", "lang_rejected")):
+            for k, name in enumerate(names):
                 block[name] = [f[k] for f in found]
             yield block
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return by_frames(df, predict, f"{schema}, lang_pred string, lang_score double, lang_bits double, lang_rejected boolean")
+    added = ", ".join(f"`{n}` {t}" for n, t in zip(names, ("string", "double", "double", "boolean"), strict=True))
+    return by_frames(df, predict, f"{schema}, {added}")
+
+
+def accepted(df: DataFrame, models: Models | None, text: str = "text") -> DataFrame:
+    """The rows, as they are, whose text isn't rejected; all of them where there is no model."""
+    if models is None:
+        return df
+    prefix = free_name(df.columns, "lang")
+    while any(c.lower().startswith(prefix) for c in df.columns):
+        prefix = f"_{prefix}"
+    return identify(df, models, text, prefix).where(~F.col(f"{prefix}rejected")).select(*[F.col(f"`{c}`") for c in df.columns])
