@@ -1,8 +1,9 @@
 """Exact Jaccard join of documents' shingle sets through a token-group matrix.
 
-The tokens are parts of a set: hashes are divided into as many ranges as two linked sets can differ in
-elements, and one more, so linked sets share at least one part whole. A part's hash is a token; sets of
-like size use the same ranges, and sets near the end of a size class take those of the next one too.
+The tokens are parts of a set: hashes are divided into more ranges than two linked sets can differ in
+elements, so linked sets share at least one part whole, and where a set has few empty parts, a filled
+one. A part's hash is a token; sets of like size use the same ranges, and sets near the end of a size
+class take those of the next one too.
 Similar documents, those that share a token with the same smallest set (the pivot), form a group, and
 the matrix holds which tokens each group's members have together. A query can only link into groups
 whose token union it meets: those are opened, unless all they hold of the shared tokens is already
@@ -21,19 +22,22 @@ group's component; an empty table gives an empty result; further columns aren't
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, blocks, by_frames, free_name, mix64, saved, signed
+from .common import arrow_rows, blocks, by_frames, framed, free_name, mix64, saved, signed
 from .graph import components, local_components
 from .shingles import shingle_sets
 
 #: Sets in a tile of an opened group.
 TILE = 512
+#: Keys that are broadcast at most (32 MB); where there are more, both sides are shuffled.
+BROADCAST_KEYS = 4_000_000
 BLOCK = 2_000_000
 GROWTH = 1.5
 
@@ -63,6 +67,7 @@ class Parts:
         if c not in self.tables:
             largest = self.ends[c] - 1
             n = 2 * largest * (self.den - self.num) // (self.den + self.num) + 1
+            n += math.ceil(1.5 * n * math.exp(-largest / n)) + 2  # about as many as stay empty
             bounds = np.array([(j << 64) // n for j in range(1, n)], np.uint64)
             self.tables[c] = bounds, mix64(np.arange(n, dtype=np.uint64) + (np.uint64(c + 1) << np.uint64(40)))
         return self.tables[c]
@@ -77,7 +82,10 @@ class Parts:
         for each in classes:
             bounds, salts = self.table(each)
             cut = np.concatenate(([0], np.searchsorted(hashes, bounds), [n]))
-            found.append(mix64(sums[cut[1:]] - sums[cut[:-1]] + salts))
+            tokens, filled = mix64(sums[cut[1:]] - sums[cut[:-1]] + salts), cut[1:] > cut[:-1]
+            differ = (n + min(n * self.den // self.num, self.ends[each] - 1)) * (self.den - self.num) // (self.den + self.num)
+            # where even then a filled part must be shared, empty ones, which many sets have in common, aren't needed
+            found.append(tokens[filled] if int(filled.sum()) > differ else tokens)
         return signed(np.concatenate(found))
 
 
@@ -131,8 +139,7 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", w
                 if first:
                     seen.add(me)
                 rows.append((key_, len(hashes), me, parts.tokens(hashes) if first else None))
-            frame = pd.DataFrame(rows, columns=["key", "n", "set", "tokens"])
-            yield frame.astype({"set": "Int64"})
+            yield framed(rows, ["key", "n", "set", "tokens"])
 
     sets = saved(by_frames(docs, to_tokens, f"key {kind}, n long, set long, tokens array<long>"))
     by_token = Window.partitionBy("token")
@@ -145,15 +152,22 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", w
     if shared.isEmpty():
         links = None
     else:
-        wanted = shared.select("set").distinct().join(lead, "set").where("lead is not null").select(F.col("lead").alias("key")).distinct()
+        wanted = saved(shared.select("set").distinct().join(lead, "set").where("lead is not null").select(F.col("lead").alias("key")).distinct())
+        if wanted.count() <= BROADCAST_KEYS and kind in ("bigint", "int"):
+            wanted = F.broadcast(wanted)  # beyond that size an ordinary join
 
         def to_sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            seen: set[int] = set()
             for block in blocks(frames, chars=BLOCK):
-                found = [h for h in shingle_sets(block["text"].tolist(), words) if len(h)]
-                yield pd.DataFrame({"set": [set_id(h) for h in found], "hashes": [h.tobytes() for h in found]})
-
-        opened = saved(by_frames(docs.join(wanted, "key", "left_semi"), to_sets, "set long, hashes binary").dropDuplicates(["set"]))
-        links = _links(shared, opened, num, den, tile)
+                rows = []
+                for text_, hashes in zip(block["text"].tolist(), shingle_sets(block["text"].tolist(), words), strict=True):
+                    if len(hashes) and (me := set_id(hashes)) not in seen:
+                        seen.add(me)
+                        rows.append((me, _pack(text_)))
+                yield framed(rows, ["set", "body"])
+
+        opened = saved(by_frames(docs.join(wanted, "key", "left_semi"), to_sets, "set long, body binary"))
+        links = _links(shared, opened, words, num, den, tile)
     rows = sets.select("key", "n", "set")
     if links is None:
         whole = lead.select("set", F.col("lead").alias("component"))
@@ -177,17 +191,35 @@ def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", words: i
     return df.join(copies, F.col(key) == F.col(name), "left_anti")
 
 
-def _links(shared: DataFrame, opened: DataFrame, num: int, den: int, tile: int) -> DataFrame:
+def _pack(text: str) -> bytes:
+    """A text for the shuffle: a fraction of its hashes' size, which are found again where they are compared."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=3).compress(text.encode("utf-8", "surrogatepass"))
+
+
+def _unpack(bodies: Sequence[bytes], words: int) -> list[np.ndarray]:
+    """The sets of packed texts; equal ones are found once."""
+    import zstandard
+
+    once = {b: n for n, b in enumerate(dict.fromkeys(bodies))}
+    spread = zstandard.ZstdDecompressor().decompress
+    sets = shingle_sets([spread(b).decode("utf-8", "surrogatepass") for b in once], words)
+    return [sets[once[b]] for b in bodies]
+
+
+def _links(shared: DataFrame, opened: DataFrame, words: int, num: int, den: int, tile: int) -> DataFrame:
     """Links (a, b) between sets that connect all those that have the similarity."""
-    of_set = lambda name: opened.select(F.col("set").alias(name), F.col("hashes").alias(f"{name}_hashes"))
+    of_set = lambda name: opened.select(F.col("set").alias(name), F.col("body").alias(f"{name}_body"))
     pairs = shared.where("set != pivot").select("set", "pivot").distinct()
 
     def verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            good = [similar(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), num, den) for a, b in zip(frame["set_hashes"], frame["pivot_hashes"], strict=True)]
+            both = _unpack([*frame["set_body"], *frame["pivot_body"]], words)
+            good = [similar(a, b, num, den) for a, b in zip(both[: len(frame)], both[len(frame) :], strict=True)]
             yield frame.loc[good, ["set", "pivot"]].rename(columns={"set": "a", "pivot": "b"})
 
-    near = pairs.join(of_set("set"), "set").join(of_set("pivot"), "pivot").select("set", "pivot", "set_hashes", "pivot_hashes")
+    near = pairs.join(of_set("set"), "set").join(of_set("pivot"), "pivot").select("set", "pivot", "set_body", "pivot_body")
     made = by_frames(near, verify, "a long, b long")
     with arrow_rows(shared.sparkSession, 256):
         first = saved(made)
@@ -217,8 +249,7 @@ def _links(shared: DataFrame, opened: DataFrame, num: int, den: int, tile: int)
         a, b = frame[frame["query"]], frame[~frame["query"]]
         if not len(a) or not len(b):
             return pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
-        read = lambda part: [np.frombuffer(x, np.uint64) for x in part["hashes"]]
-        i, j = open_tile(read(a), read(b), num, den)
+        i, j = open_tile(_unpack(a["body"].tolist(), words), _unpack(b["body"].tolist(), words), num, den)
         ids, place = np.unique(np.concatenate([a["set"].to_numpy(), b["set"].to_numpy()]), return_inverse=True)
         label = local_components(len(ids), place[: len(a)][i], place[len(a) :][j])
         at = np.flatnonzero(label != np.arange(len(ids)))  # a link to the smallest set connected here
