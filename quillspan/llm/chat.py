@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, by_frames
+from .common import blocks, by_frames, framed
 from .tokens import TOKENIZER, encoder, tokenizer_path
 
 BUDGET = 2048
@@ -135,9 +135,9 @@ def format_conversations(df: DataFrame, key: str = "conv_id", turn: str = "turn"
                         out.append(open_.close())
                     open_ = Windows(key_, budget, history)
                 out += open_.add(Turn(r, t, cost + marks[r]))
-            yield pd.DataFrame(out, columns=WINDOW_COLUMNS)
+            yield framed(out, WINDOW_COLUMNS)
         if open_ is not None:
-            yield pd.DataFrame([open_.close()], columns=WINDOW_COLUMNS)
+            yield framed([open_.close()], WINDOW_COLUMNS)
 
     kind = df.schema[key].dataType.simpleString()
     made = by_frames(ordered, windows, f"key {kind}, window long, text string, loss_start array<long>, loss_end array<long>, n_context long, n_turns long, n_tokens long")
@@ -185,9 +185,9 @@ def digest_windows(windows: DataFrame, key: str = "conv_id") -> DataFrame:
                     state[3] += len(said)
                     state[4].update(said.encode())
                 state[5] += len(text)
-            yield pd.DataFrame(out, columns=columns)
+            yield framed(out, columns)
         if state is not None:
-            yield pd.DataFrame([row()], columns=columns)
+            yield framed([row()], columns)
 
     kind = windows.schema[key].dataType.simpleString()
     return by_frames(ordered, digest, f"key {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long").withColumnRenamed("key", key)

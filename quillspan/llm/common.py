@@ -112,6 +112,11 @@ def by_frames(df: DataFrame, function: Callable[[Iterator[pd.DataFrame]], Iterat
     return df.mapInArrow(run, schema)
 
 
+def framed(rows: list[tuple], columns: list[str]) -> pd.DataFrame:
+    """Rows as a frame of plain objects: integers beside a None stay what they are."""
+    return pd.DataFrame({c: pd.Series([r[k] for r in rows], dtype=object) for k, c in enumerate(columns)})
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (the one of SplitMix64): every input bit reaches every output bit."""
     x = x.astype(np.uint64, copy=True)

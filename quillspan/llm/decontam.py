@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, by_frames, free_name, mix64
+from .common import blocks, by_frames, framed, free_name, mix64
 from .shingles import hash_runs
 
 RATE = 0.2
@@ -218,7 +218,7 @@ def _leaks(docs: DataFrame, kind: str, benchmark: Benchmark) -> DataFrame:
                     last += 1
                 chars = [len(raw[text][:n].decode("utf-8", "replace")) for n in (first, last)]
                 rows.append((keys[text], item, distance, len(benchmark.items[item]), *chars))
-            yield pd.DataFrame(rows, columns=columns)
+            yield framed(rows, columns)
 
     return by_frames(docs, search, f"key {kind}, item long, distance long, item_words long, start_char long, end_char long")
 

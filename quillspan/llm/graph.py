@@ -40,18 +40,10 @@ def local_components(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """For numbers below n, the smallest number that the links (left, right) reach."""
     label = np.arange(n)
     while len(left):
-        least = np.minimum(label[left], label[right])
-        new = label.copy()
-        np.minimum.at(new, left, least)
-        np.minimum.at(new, right, least)
-        np.minimum.at(new, label[left], least)
-        np.minimum.at(new, label[right], least)
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-        open_ = label[left] != label[right]
-        left, right = left[open_], right[open_]
-    while (label[label] != label).any():
-        label = label[label]
+        a, b = label[left], label[right]
+        open_ = a != b
+        left, right, a, b = left[open_], right[open_], a[open_], b[open_]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))  # roots alone are hooked
+        while (label[label] != label).any():
+            label = label[label]
     return label

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, by_frames, saved
+from .common import blocks, by_frames, framed, saved
 from .tokens import TOKENIZER, encoder, tokenizer_path
 
 CAPACITY = 2048
@@ -134,7 +134,7 @@ def cut_pieces(df: DataFrame, key: str, text: str, tokenizer: str, capacity: int
                     rank = ranks.get(size, 0)
                     ranks[size] = rank + 1
                     rows.append((key_, start, len(piece), zlib.crc32(piece), len(ids), size, part, rank))
-            yield pd.DataFrame(rows, columns=columns)
+            yield framed(rows, columns)
 
     kind = df.schema[key].dataType.simpleString()
     return by_frames(df.select(F.col(key).alias("key"), F.col(text).alias("text")), cut, f"key {kind}, start long, length long, ids_crc32 long, doc_tokens long, size int, part int, rank long")

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, blocks, by_frames, fresh_path, saved
+from .common import arrow_rows, blocks, by_frames, framed, fresh_path, saved
 from .tokens import TOKENIZER, encoder, tokenizer_path
 
 BLOCK_IDS = 1 << 16
@@ -170,7 +170,7 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for number, data in zip(batch["file"], batch["content"], strict=True):
                 rows = [(number, key, start, len(ids), zlib.crc32(ids.tobytes())) for key, start, ids in read_documents(data)]
-                yield pd.DataFrame(rows, columns=["file", "key", "start", "n_tokens", "ids_crc32"])
+                yield framed(rows, ["file", "key", "start", "n_tokens", "ids_crc32"])
 
     found = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
     files = found.where("length > 0").select(F.regexp_extract("path", r"part-(\d+)", 1).cast("int").alias("file"), "content")

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, blocks, by_frames, fresh_path, saved
+from .common import arrow_rows, blocks, by_frames, framed, fresh_path, saved
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Records of an archive file; its bytes are bound by those of a partition.
@@ -69,7 +69,7 @@ def write_pages(df: DataFrame, path: str, page_id: str = "page_id", url: str = "
         for frame in blocks(frames, "payload"):
             out = []
             for page, target, text, copy, first, shared in frame[["page_id", "url", "payload", "copy", "first_id", "shared"]].itertuples(index=False, name=None):
-                page, first = (None if x is None or x != x or x is pd.NA else int(x) for x in (page, first))
+                page, first = (None if pd.isna(x) else int(x) for x in (page, first))
                 payload, uri = text.encode(), _one_line(target)
                 me, digest = _id("capture", page, copy), f"sha1:{payload_digest(payload)}"
                 http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
@@ -127,9 +127,9 @@ def read_records(spark: SparkSession, path: str, blocks_too: bool = True) -> Dat
                         fields = dict(_headers(iter(block.splitlines(keepends=True))))
                     rows.append((one("warc-record-id"), kind, one("warc-target-uri"), head.get("warc-concurrent-to", []), one("warc-refers-to"), digest, size, fields, block if blocks_too else None))
                     if len(rows) >= 2000 or blocks_too and sum(len(r[-1]) for r in rows[-50:]) > 8_000_000:
-                        yield pd.DataFrame(rows, columns=names)
+                        yield framed(rows, names)
                         rows = []
-                yield pd.DataFrame(rows, columns=names)
+                yield framed(rows, names)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
     made = by_frames(files, read, RECORD_COLUMNS)
