@@ -43,7 +43,8 @@ def bm25(chunks: DataFrame, queries: DataFrame, limit: int | None = 10, k1: floa
         .groupBy("chunk_id", "n_tokens", "term").agg(F.count("*").alias("tf"))
     )
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    n, average = stats.select("n_chunks").scalar(), stats.select("avg_tokens").scalar()
+    both = stats.select(F.struct("n_chunks", "avg_tokens")).scalar()  # one pass for the two
+    n, average = both["n_chunks"], both["avg_tokens"]
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * (F.col("tf") * F.lit(k1 + 1)) / (F.col("tf") + F.lit(k1) * (1 - F.lit(b) + F.lit(b) * (F.col("n_tokens") / average)))
     hits = tf.join(df, "term").withColumn("part", part).join(terms, "term")
