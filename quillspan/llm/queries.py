@@ -77,5 +77,29 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+OP6 = """WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+u AS (SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x*x))) AS n FROM v WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x)))=0),
+k AS (SELECT * FROM u WHERE n>0),
+l AS (SELECT a.vec_id AS i, b.vec_id AS j FROM k a JOIN k b ON a.vec_id<b.vec_id AND len(a.e)=len(b.e) WHERE list_sum(list_transform(list_zip(a.e,b.e), lambda p: p[1]*p[2]))/(a.n*b.n)>=0.9),
+d AS (SELECT i, j FROM l UNION ALL SELECT j, i FROM l),
+r AS (SELECT vec_id AS node, vec_id AS seen FROM v UNION SELECT r.node, d.j FROM r JOIN d ON d.i=r.seen)
+SELECT r.node AS vec_id, (SELECT count(*) FROM d WHERE d.i=r.node) AS n_links, min(seen) AS component_id, min(seen)=r.node AS kept FROM r GROUP BY r.node"""
+
+OP7 = """WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text,''),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS t FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(t)>=3 THEN list_distinct(list_transform(range(1,len(t)-1), lambda i: t[i]||' '||t[i+1]||' '||t[i+2])) WHEN len(t)>0 THEN [array_to_string(t,' ')] ELSE []::VARCHAR[] END AS sh FROM w),
+e AS (SELECT doc_id, unnest(sh) AS x FROM s),
+p AS (SELECT a.doc_id AS i, b.doc_id AS j, count(*) AS c FROM e a JOIN e b ON a.x=b.x AND a.doc_id<b.doc_id GROUP BY 1,2),
+l AS (SELECT i, j FROM p JOIN s a ON a.doc_id=i JOIN s b ON b.doc_id=j WHERE 100*c>=90*(len(a.sh)+len(b.sh)-c)),
+d AS (SELECT i, j FROM l UNION ALL SELECT j, i FROM l),
+r AS (SELECT doc_id AS node, doc_id AS seen FROM s UNION SELECT r.node, d.j FROM r JOIN d ON d.i=r.seen)
+SELECT s.doc_id, len(s.sh) AS n_shingles, c.component_id FROM s JOIN (SELECT node, min(seen) AS component_id FROM r GROUP BY node) c ON c.node=s.doc_id"""
+
+OP8 = """WITH h AS (SELECT page_id, coalesce(html,'') AS b FROM pages),
+x AS (SELECT page_id, b, sha1(b) AS s, min(page_id) OVER (PARTITION BY b) AS f FROM h)
+SELECT page_id, strlen(b) AS payload_bytes,
+ array_to_string(list_transform(range(0,32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1+CAST((('0x'||substr(s, 1+5*CAST(i//4 AS INT), 5))::BIGINT >> (15-5*CAST(i%4 AS INT))) & 31 AS INT), 1)), '') AS payload_digest,
+ CASE WHEN page_id=f THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id<>f THEN f END AS refers_to FROM x"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_pca_tiles": OP6, "op7_token_group_join": OP7, "op8_warc_transactions": OP8}
