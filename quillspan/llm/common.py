@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Characters of text that a Python step holds at once, besides one whole document.
 BLOCK_CHARS = 4_000_000
 #: Rows of an Arrow batch between the JVM and Python.
-BATCH_ROWS = 2_000
+BATCH_ROWS = 1_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,6 +39,12 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Let the driver notice which shuffles nobody needs any more, so that their files go."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new folder for written files in the shared folder."""
     return f"{shared_dir(spark)}/quillspan/{name}-{uuid.uuid4().hex}"

@@ -27,13 +27,14 @@ from pyspark.sql import functions as F
 
 from .common import blocks, by_frames, framed, free_name, mix64
 from .shingles import hash_runs
+from .tokens import forget
 
 RATE = 0.2
 RECALL = 0.99
 SAMPLED = 2
 #: Characters of benchmark text that workers hold at once.
 BENCHMARK_CHARS = 20_000_000
-BLOCK = 4_000_000
+BLOCK = 2_000_000
 WINDOWS = 20_000
 PAD = np.uint64(0)
 _WORD = np.zeros(256, bool)
@@ -201,6 +202,7 @@ def _leaks(docs: DataFrame, kind: str, benchmark: Benchmark) -> DataFrame:
     columns = ["key", "item", "distance", "item_words", "start_char", "end_char"]
 
     def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget()
         for block in blocks(frames, chars=BLOCK):
             hashes, starts, bounds, raw, begins = split_words(block["text"].tolist())
             keys, best = block["key"].tolist(), {}

@@ -27,13 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import blocks, by_frames, free_name, mix64
+from .tokens import forget
 
 ORDER = 5
 SAMPLE_CHARS = 6_000_000
 #: No language's share of the sample is larger, however few there are.
 LANGUAGE_CHARS = 1_500_000
 MOST_LANGUAGES = 200
-BLOCK = 1_000_000
+BLOCK = 500_000
 #: A text is rejected beyond the mean of held-out texts by this many bits a character, and by this many deviations for its length.
 MARGIN_BITS, MARGIN_DEVIATIONS = 1.0, 8.0
 UNKNOWN = "und"
@@ -274,6 +275,7 @@ def identify(df: DataFrame, models: Models | None, text: str = "text", prefix: s
     held = df.sparkSession.sparkContext.broadcast(models)  # bounded by the sample
 
     def predict(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget()
         for block in blocks(frames, text, BLOCK):
             known = held.value
             texts = [t if isinstance(t, str) else None for t in block[text]]

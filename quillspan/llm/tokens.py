@@ -110,3 +110,8 @@ def encoder(path: str) -> ChunkEncoder:
     if path not in _ENCODERS:
         _ENCODERS[path] = ChunkEncoder(path)
     return _ENCODERS[path]
+
+
+def forget() -> None:
+    """Drop this worker's caches, before work that doesn't encode."""
+    _ENCODERS.clear()
