@@ -1,13 +1,13 @@
 """Exact Jaccard join of documents' shingle sets through a token-group matrix.
 
 The tokens are parts of a set: hashes are divided into more ranges than two linked sets can differ in
-elements, so linked sets share at least one part whole, and where a set has few empty parts, a filled
-one. A part's hash is a token; sets of like size use the same ranges, and sets near the end of a size
+elements, so linked sets share some parts whole, and where a set has few empty parts, filled
+ones. A part's hash is a token; sets of like size use the same ranges, and sets near the end of a size
 class take those of the next one too.
 Similar documents, those that share a token with the same smallest set (the pivot), form a group, and
 the matrix holds which tokens each group's members have together. A query can only link into groups
-whose token union it meets: those are opened, unless all they hold of the shared tokens is already
-connected with the query. Opening compares a tile of queries with a tile of members: queries whose
+whose token union it meets in as many tokens as linked sets share at least: those are opened, unless
+all that holds those tokens is already connected with the query. Opening compares a tile of queries with a tile of members: queries whose
 overlap with the tile's union of shingles is too small are dropped, the others' intersections are
 counted by one matrix product, and what has the similarity is linked.
 
@@ -30,12 +30,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, blocks, by_frames, framed, free_name, mix64, saved, signed
+from .common import arrow_rows, blocks, by_frames, framed, free_name, mix64, release, saved, signed
 from .graph import components, local_components
 from .shingles import shingle_sets
+from .tokens import forget
 
 #: Sets in a tile of an opened group.
 TILE = 512
+#: Tokens that linked sets share at least; in classes that differ in few elements, one part counts as so many.
+SHARED, FEW = 3, 16
 #: Keys that are broadcast at most (32 MB); where there are more, both sides are shuffled.
 BROADCAST_KEYS = 4_000_000
 BLOCK = 2_000_000
@@ -62,14 +65,20 @@ class Parts:
             self.ends.append(int(self.ends[-1] * GROWTH) + 1)
         return int(np.searchsorted(self.ends, n, side="right"))
 
-    def table(self, c: int) -> tuple[np.ndarray, np.ndarray]:
-        """Bounds of a class's ranges, and a salt for each."""
+    def differ(self, n: int, c: int) -> int:
+        """In how many elements a set of n can differ from a linked one of at least its size, in a class."""
+        return (n + min(n * self.den // self.num, self.ends[c] - 1)) * (self.den - self.num) // (self.den + self.num)
+
+    def table(self, c: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """Bounds of a class's ranges, a salt for each, and how many parts linked sets share."""
         if c not in self.tables:
             largest = self.ends[c] - 1
-            n = 2 * largest * (self.den - self.num) // (self.den + self.num) + 1
+            most = self.differ(largest, c)
+            shared = 1 if most < FEW else SHARED
+            n = most + shared
             n += math.ceil(1.5 * n * math.exp(-largest / n)) + 2  # about as many as stay empty
             bounds = np.array([(j << 64) // n for j in range(1, n)], np.uint64)
-            self.tables[c] = bounds, mix64(np.arange(n, dtype=np.uint64) + (np.uint64(c + 1) << np.uint64(40)))
+            self.tables[c] = bounds, mix64(np.arange(n, dtype=np.uint64) + (np.uint64(c + 1) << np.uint64(40))), shared
         return self.tables[c]
 
     def tokens(self, hashes: np.ndarray) -> np.ndarray:
@@ -80,12 +89,13 @@ class Parts:
             self.size_class(self.ends[c])
             classes.append(c + 1)
         for each in classes:
-            bounds, salts = self.table(each)
+            bounds, salts, shared = self.table(each)
             cut = np.concatenate(([0], np.searchsorted(hashes, bounds), [n]))
             tokens, filled = mix64(sums[cut[1:]] - sums[cut[:-1]] + salts), cut[1:] > cut[:-1]
-            differ = (n + min(n * self.den // self.num, self.ends[each] - 1)) * (self.den - self.num) // (self.den + self.num)
-            # where even then a filled part must be shared, empty ones, which many sets have in common, aren't needed
-            found.append(tokens[filled] if int(filled.sum()) > differ else tokens)
+            # where even then enough filled parts must be shared, empty ones, which many sets have in common, aren't needed
+            if int(filled.sum()) >= self.differ(n, each) + shared:
+                tokens = tokens[filled]
+            found += [tokens] if shared == SHARED else [mix64(tokens + np.uint64(k)) for k in range(SHARED)]
         return signed(np.concatenate(found))
 
 
@@ -129,30 +139,38 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", w
     docs = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
     kind = df.schema[key].dataType.simpleString()
 
+    def to_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget()
+        for block in blocks(frames, chars=BLOCK):
+            found = shingle_sets(block["text"].tolist(), words)
+            yield framed([(k, len(h), set_id(h) if len(h) else None) for k, h in zip(block["key"].tolist(), found, strict=True)], ["key", "n", "set"])
+
     def to_tokens(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts, seen = Parts(num, den), set()
         for block in blocks(frames, chars=BLOCK):
-            rows = []
-            for key_, hashes in zip(block["key"].tolist(), shingle_sets(block["text"].tolist(), words), strict=True):
-                me = set_id(hashes) if len(hashes) else None
-                first = me is not None and me not in seen
-                if first:
+            sets_, tokens = [], []
+            for hashes in shingle_sets(block["text"].tolist(), words):
+                if len(hashes) and (me := set_id(hashes)) not in seen:
                     seen.add(me)
-                rows.append((key_, len(hashes), me, parts.tokens(hashes) if first else None))
-            yield framed(rows, ["key", "n", "set", "tokens"])
+                    tokens.append(parts.tokens(hashes))
+                    sets_.append(np.full(len(tokens[-1]), me))
+            if tokens:
+                yield pd.DataFrame({"set": np.concatenate(sets_), "token": np.concatenate(tokens)})
 
-    sets = saved(by_frames(docs, to_tokens, f"key {kind}, n long, set long, tokens array<long>"))
+    sets = saved(by_frames(docs, to_rows, f"key {kind}, n long, set long"))
     by_token = Window.partitionBy("token")
     shared = saved(
-        sets.where("tokens is not null").select("set", F.explode("tokens").alias("token"))
+        by_frames(docs.select("text"), to_tokens, "set long, token long")
         .select("set", "token", F.min("set").over(by_token).alias("pivot"), F.max("set").over(by_token).alias("last"))
         .where("pivot < last").select("set", "token", "pivot").distinct()
     )
+    release(df.sparkSession)
     lead = sets.where("set is not null").groupBy("set").agg(F.min("key").alias("lead"))
     if shared.isEmpty():
         links = None
     else:
-        wanted = saved(shared.select("set").distinct().join(lead, "set").where("lead is not null").select(F.col("lead").alias("key")).distinct())
+        enough = shared.groupBy("set").count().where(F.col("count") >= SHARED).select("set")
+        wanted = saved(enough.join(lead, "set").where("lead is not null").select(F.col("lead").alias("key")).distinct())
         if wanted.count() <= BROADCAST_KEYS and kind in ("bigint", "int"):
             wanted = F.broadcast(wanted)  # beyond that size an ordinary join
 
@@ -167,6 +185,7 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", w
                 yield framed(rows, ["set", "body"])
 
         opened = saved(by_frames(docs.join(wanted, "key", "left_semi"), to_sets, "set long, body binary"))
+        release(df.sparkSession)
         links = _links(shared, opened, words, num, den, tile)
     rows = sets.select("key", "n", "set")
     if links is None:
@@ -211,7 +230,7 @@ def _unpack(bodies: Sequence[bytes], words: int) -> list[np.ndarray]:
 def _links(shared: DataFrame, opened: DataFrame, words: int, num: int, den: int, tile: int) -> DataFrame:
     """Links (a, b) between sets that connect all those that have the similarity."""
     of_set = lambda name: opened.select(F.col("set").alias(name), F.col("body").alias(f"{name}_body"))
-    pairs = shared.where("set != pivot").select("set", "pivot").distinct()
+    pairs = shared.where("set != pivot").groupBy("set", "pivot").count().where(F.col("count") >= SHARED).select("set", "pivot")
 
     def verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -223,6 +242,7 @@ def _links(shared: DataFrame, opened: DataFrame, words: int, num: int, den: int,
     made = by_frames(near, verify, "a long, b long")
     with arrow_rows(shared.sparkSession, 256):
         first = saved(made)
+    release(shared.sparkSession)
     component = components(first, "a", "b").withColumnRenamed("id", "set")
     group = shared.groupBy("set").agg(F.min("pivot").alias("group"))
     known = saved(group.join(component, "set", "left").select("set", "group", F.coalesce("component", "set").alias("component")))
@@ -232,8 +252,8 @@ def _links(shared: DataFrame, opened: DataFrame, words: int, num: int, den: int,
     matrix = rows.groupBy("token", "group").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     pending = matrix.groupBy("token").agg(F.min("low").alias("l"), F.max("high").alias("h")).where("l < h").select("token")
     matrix = matrix.join(pending, "token", "left_semi").withColumnRenamed("group", "into")
-    asked = rows.select("set", "token", "component").join(matrix, "token").where("low < high or low != component").select("set", "into").distinct()
-    asked = saved(asked)
+    asked = rows.select("set", "token", "component").join(matrix, "token").where("low < high or low != component").groupBy("set", "into").count()
+    asked = saved(asked.where(F.col("count") >= SHARED).select("set", "into"))  # the bound on the overlap
     if asked.isEmpty():
         return first
     members = known.join(asked.select(F.col("into").alias("group")).distinct(), "group", "left_semi").select(F.col("group").alias("into"), "set", "component")
