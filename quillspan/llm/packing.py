@@ -32,52 +32,83 @@ GAP = 1e-3
 END_ID = 1
 
 
-def best_pattern(values: np.ndarray, sizes: np.ndarray, room: int) -> tuple[float, np.ndarray]:
-    """The pattern of greatest value that fits: an unbounded knapsack, solved for every room in turn."""
+def knapsack(values: np.ndarray, sizes: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:
+    """For every room up to this one, the greatest value of a pattern that fits, and the piece it takes (-1: none)."""
     best, take = np.zeros(room + 1), np.full(room + 1, -1, np.int64)
     order = np.argsort(sizes, kind="stable")
     fits = np.searchsorted(sizes[order], np.arange(room + 1), side="right")
     sized, valued = sizes[order], values[order]
     for c in range(1, room + 1):
-        best[c], take[c] = best[c - 1], -1
+        best[c] = best[c - 1]
         if n := fits[c]:
             reached = best[c - sized[:n]] + valued[:n]
             k = int(np.argmax(reached))
             if reached[k] > best[c]:
-                best[c], take[c] = reached[k], k
+                best[c], take[c] = reached[k], order[k]
+    return best, take
+
+
+def taken(take: np.ndarray, sizes: np.ndarray, room: int) -> np.ndarray:
+    """The pattern behind a knapsack's value."""
     counts, c = np.zeros(len(sizes), np.int64), room
     while c > 0:
         if take[c] < 0:
             c -= 1
         else:
-            counts[order[take[c]]] += 1
-            c -= int(sized[take[c]])
-    return float(best[room]), counts
+            counts[take[c]] += 1
+            c -= int(sizes[take[c]])
+    return counts
+
+
+def best_pattern(values: np.ndarray, sizes: np.ndarray, room: int) -> tuple[float, np.ndarray]:
+    """The pattern of greatest value that fits, each piece any number of times."""
+    best, take = knapsack(values, sizes, room)
+    return float(best[room]), taken(take, sizes, room)
 
 
 def cutting_stock(sizes: np.ndarray, demand: np.ndarray, room: int, gap: float = GAP) -> tuple[np.ndarray, np.ndarray]:
-    """Patterns (columns) and how often each is used in the linear program's solution."""
+    """Patterns (columns) and how often each is used in the linear program's solution.
+
+    A pricing gives a column for each size, the best that holds it; those that better the plan are
+    brought in one by one, at the duals of that moment, before the next pricing. It ends when the best
+    pattern's price shows that no plan is better by the gap, or when the plan is that near to the bound
+    of filled rooms.
+    """
     m = len(sizes)
     patterns = np.diag(room // sizes)
     inverse = np.diag(1.0 / np.diag(patterns))
     used = inverse @ demand
-    for _ in range(50 * m + 100):
+    bound = (1 + gap) * (sizes @ demand) / room
+    for _ in range(20 * m + 100):
         duals = inverse.sum(axis=0)
-        value, column = best_pattern(duals, sizes, room)
-        if value <= 1 + gap:
+        best, take = knapsack(duals, sizes, room)
+        if best[room] <= 1 + gap or used.sum() <= bound:
             break
-        direction = inverse @ column
-        ratio = np.where(direction > 1e-9, used / np.where(direction > 1e-9, direction, 1), np.inf)
-        out = int(np.argmin(ratio))
-        if not np.isfinite(ratio[out]):
+        priced = [k for k in range(m) if duals[k] + best[room - sizes[k]] > 1 + gap]
+        pool = np.stack([taken(take, sizes, room - int(sizes[k])) + (np.arange(m) == k) for k in priced], axis=1)
+        pool = np.unique(pool, axis=1).astype(np.float64)
+        moved = False
+        for _ in range(2 * m):
+            price = inverse.sum(axis=0) @ pool
+            k = int(np.argmax(price))
+            if price[k] <= 1 + gap / 2 or used.sum() <= bound:
+                break
+            column = pool[:, k]
+            direction = inverse @ column
+            ratio = np.where(direction > 1e-9, used / np.where(direction > 1e-9, direction, 1), np.inf)
+            out = int(np.argmin(ratio))
+            if not np.isfinite(ratio[out]):
+                break
+            used -= ratio[out] * direction
+            used[out] = ratio[out]
+            np.maximum(used, 0, out=used)
+            inverse[out] /= direction[out]
+            direction[out] = 0
+            inverse -= np.outer(direction, inverse[out])
+            patterns[:, out] = column
+            moved = True
+        if not moved:
             break
-        used -= ratio[out] * direction
-        used[out] = ratio[out]
-        np.maximum(used, 0, out=used)
-        inverse[out] /= direction[out]
-        direction[out] = 0
-        inverse -= np.outer(direction, inverse[out])
-        patterns[:, out] = column
     return patterns, used
 
 
