@@ -188,7 +188,7 @@ def code_spans(text: str, language: str | None, size: int, unit: str = "characte
             nodes = ast.parse(text).body
             starts = [places[min([n.lineno, *(d.lineno for d in getattr(n, "decorator_list", []))]) - 1] for n in nodes]
             how = "syntax"
-        except (SyntaxError, ValueError):
+        except (SyntaxError, ValueError, RecursionError, MemoryError):
             return "windows-after-failure", _hard_windows(text, 0, len(text), size, unit)
     else:
         starts = [m.end() for m in re.finditer(r"\n[ \t]*\n+", text)]

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 STATE = "source_path string, document_id string, checksum string, versions string, n_chunks int, n_vectors int"
 ATTEMPTS = "source_path string, status string, error string, revision long"
+CHUNKS = "chunk_id string, document_id string, source_path string, ordinal int, text string, media_type string, page int, section string, line_start int, line_end int, char_start int, char_end int, chunker string"
+VECTORS = "source_path string, chunk_id string, vector array<double>"
 
 
 def action() -> Column:
@@ -37,9 +39,11 @@ def prune(state: DataFrame, present: DataFrame) -> DataFrame:
 
 
 def checked(changes: DataFrame) -> DataFrame:
-    """changes (…, n_chunks, n_vectors, cancelled) with an error for those that must not be committed."""
+    """changes (…, n_chunks, n_vectors, cancelled, and error where reading failed) with an error for those that must not be committed."""
+    found = F.col("error") if "error" in changes.columns else F.lit(None).cast("string")
     error = (
         F.when(F.col("action") == "skipped", F.lit(None).cast("string"))
+        .when(found.isNotNull(), found)
         .when(F.col("n_chunks") == 0, "document produced no searchable chunks")
         .when((F.col("n_vectors") != 0) & (F.col("n_vectors") != F.col("n_chunks")), "embedding provider must return one vector per chunk")
         .when(F.coalesce("cancelled", F.lit(False)), "cancelled")
@@ -50,6 +54,7 @@ def checked(changes: DataFrame) -> DataFrame:
 class IndexState:
     """State as numbered versions of Parquet tables, the current one named by a pointer.
 
+    A version holds the sources, the latest attempts, and the chunks and vectors of the sources.
     A version is written whole and the pointer set after it, so a reader sees either the old version or
     the new one; there is one writer at a time. Old versions stay until `vacuum`.
     """
@@ -77,7 +82,8 @@ class IndexState:
 
     def read(self, name: str, schema: str = STATE) -> DataFrame:
         pointer = self._pointer()
-        if pointer is None:
+        fs, path = self._fs()
+        if pointer is None or not fs.exists(path(f"{self.path}/{pointer[1]}/{name}")):
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(f"{self.path}/{pointer[1]}/{name}")
 
@@ -88,11 +94,19 @@ class IndexState:
         """The latest attempt of each source."""
         return self.read("attempts", ATTEMPTS)
 
-    def _commit(self, sources: DataFrame, attempts: DataFrame, steps: int) -> int:
+    def chunks(self) -> DataFrame:
+        """The chunks of all sources, as search takes them."""
+        return self.read("chunks", CHUNKS)
+
+    def vectors(self) -> DataFrame:
+        """The vectors of chunks that were embedded."""
+        return self.read("vectors", VECTORS)
+
+    def _commit(self, sources: DataFrame, attempts: DataFrame, chunks: DataFrame, vectors: DataFrame, steps: int) -> int:
         """Write a version and point to it; nothing changes where nothing was done."""
         folder, revision = uuid.uuid4().hex, self.revision() + steps
-        sources.write.parquet(f"{self.path}/{folder}/sources")
-        attempts.write.parquet(f"{self.path}/{folder}/attempts")
+        for name, rows in (("vectors", vectors), ("chunks", chunks), ("sources", sources), ("attempts", attempts)):
+            rows.write.parquet(f"{self.path}/{folder}/{name}")
         fs, path = self._fs()
         fs.mkdirs(path(f"{self.path}/_pointers"))
         fs.create(path(f"{self.path}/_pointers/{revision:012d}-{folder}")).close()
@@ -102,10 +116,16 @@ class IndexState:
         old = self.attempts().join(rows.select("source_path"), "source_path", "left_anti")
         return old.unionByName(rows)
 
-    def apply(self, incoming: DataFrame) -> DataFrame:
-        """Add, update, rebuild or skip sources (source_path, document_id, checksum, versions, n_chunks, n_vectors, cancelled).
+    def _replaced(self, old: DataFrame, gone: DataFrame, new: DataFrame | None = None) -> DataFrame:
+        """Rows of a version's table without those of some sources, and with their new ones."""
+        kept = old.join(gone.select("source_path"), "source_path", "left_anti").select(*old.columns)
+        return kept if new is None else kept.unionByName(new.join(gone.select("source_path"), "source_path", "left_semi").select(*[F.col(f.name).cast(f.dataType) for f in old.schema.fields]))
+
+    def apply(self, incoming: DataFrame, chunks: DataFrame | None = None, vectors: DataFrame | None = None) -> DataFrame:
+        """Add, update, rebuild or skip sources (source_path, document_id, checksum, versions, n_chunks, n_vectors, cancelled, perhaps error).
 
-        Failed ones keep their earlier version. The actions are returned.
+        Chunks and vectors are stored for sources that are committed. Failed ones keep their earlier
+        version. The actions are returned.
         """
         done = checked(plan_changes(incoming, self.sources())).cache()
         columns = [c.split()[0] for c in STATE.split(", ")]
@@ -115,7 +135,7 @@ class IndexState:
             kept = self.sources().join(ready.select("source_path"), "source_path", "left_anti")
             status = F.when(F.col("error").isNull(), "ready").otherwise("failed")
             rows = done.where("action != 'skipped'").select("source_path", status.alias("status"), "error", F.lit(self.revision() + steps).cast("long").alias("revision"))
-            self._commit(kept.unionByName(ready.select(*columns)), self._attempted(rows), max(1, steps))
+            self._commit(kept.unionByName(ready.select(*columns)), self._attempted(rows), self._replaced(self.chunks(), ready, chunks), self._replaced(self.vectors(), ready, vectors), max(1, steps))
         return done.select("source_path", "document_id", "action", "error", "n_chunks", "n_vectors")
 
     def delete(self, wanted: DataFrame) -> DataFrame:
@@ -123,7 +143,7 @@ class IndexState:
         plan = plan_deletes(wanted.distinct(), self.sources()).cache()
         steps = plan.where("action = 'deleted'").count()
         rows = plan.select("source_path", F.lit("deleted").alias("status"), F.lit(None).cast("string").alias("error"), F.lit(self.revision() + steps).cast("long").alias("revision"))
-        self._commit(self.sources().join(plan.select("source_path"), "source_path", "left_anti"), self._attempted(rows), max(1, steps))
+        self._commit(self._replaced(self.sources(), plan), self._attempted(rows), self._replaced(self.chunks(), plan), self._replaced(self.vectors(), plan), max(1, steps))
         return plan
 
     def prune(self, present: DataFrame) -> DataFrame:

@@ -5,33 +5,35 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.chunking import ChunkingPolicy
 from ..operators.fusion import fuse_variants
 from ..operators.lifecycle import IndexState
 from ..operators.query_plan import plan_queries
-from ..sources.files import checksum, decode_upload, document_id, media_type, route, skip_reason
+from ..sources.files import decode_upload, media_type
 from ..functions.text import safe_path
+from .ingestion import POLICY, Embed, add_files, refusal
 from .stages import Models, search, variants
 
 #: Stages that the test page offers.
 PAGE_STAGES = ("bm25", "bge_dense", "hybrid", "rerank_bge", "rerank_jev")
 
 
-def add_uploads(state: IndexState, uploads: DataFrame, versions: str = "1") -> tuple[DataFrame, DataFrame]:
-    """Uploads (relative_path, media_type, content_base64) into the state: the actions, and what was skipped and why."""
+def add_uploads(state: IndexState, uploads: DataFrame, versions: str = "1", policy: ChunkingPolicy = POLICY, embed: Embed | None = None, embedding: str = "") -> tuple[DataFrame, DataFrame]:
+    """Uploads (relative_path, media_type, content_base64) into the state: the actions, and what was skipped and why.
+
+    Of several uploads of a path the last row counts.
+    """
     content = decode_upload(F.col("content_base64"))
     path = safe_path(F.col("relative_path"))
     rows = uploads.select(path.alias("source_path"), media_type(path, F.col("media_type")).alias("media_type"), content.alias("content"))
-    why = F.when(F.col("source_path").isNull(), "file path is empty").when(F.col("content").isNull(), "not valid base64, or too large").when(route(F.col("source_path"), F.col("media_type")) == "unsupported", "unsupported file type")
-    judged = rows.withColumn("why", F.coalesce(why, skip_reason(F.col("source_path"), F.length("content"), F.col("media_type"))))
-    good = judged.where("why is null").withColumn("checksum", checksum(F.col("content")))
-    incoming = good.select(
-        "source_path", document_id(F.col("source_path"), F.col("checksum")).alias("document_id"), "checksum", F.lit(versions).alias("versions"),
-        F.ceil(F.length("content") / 500).cast("int").alias("n_chunks"), F.lit(0).alias("n_vectors"), F.lit(False).alias("cancelled"),
-    )
-    return state.apply(incoming), judged.where("why is not null").select("source_path", "why").distinct()
+    judged = rows.withColumn("why", F.coalesce(F.when(F.col("source_path").isNull(), "file path is empty").when(F.col("content").isNull(), "not valid base64, or too large"), refusal()))
+    last = Window.partitionBy("source_path").orderBy(F.desc("n"))
+    good = judged.where("why is null").withColumn("n", F.monotonically_increasing_id()).withColumn("n", F.row_number().over(last)).where("n = 1")
+    done = add_files(state, good.withColumn("error", F.lit(None).cast("string")), versions, policy, embed, embedding)
+    return done, judged.where("why is not null").select("source_path", "why").distinct()
 
 
 def delete_source(state: IndexState, spark: SparkSession, source_path: str) -> DataFrame:

@@ -68,7 +68,7 @@ def decode_upload(encoded: Column) -> Column:
 
 def text_documents(files: DataFrame) -> DataFrame:
     """Text files (path, media_type, content) as documents of one block, or an error."""
-    body = strip(F.regexp_replace(F.decode("content", "UTF-8"), "^﻿", ""))
+    body = strip(F.regexp_replace(F.make_valid_utf8(F.col("content").cast("string")), "^﻿", ""))
     digest = checksum(F.col("content"))
     path = safe_path(F.col("path"))
     return files.select(

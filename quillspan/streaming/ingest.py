@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.chunking import ChunkingPolicy
 from ..operators.lifecycle import IndexState
-from ..sources.files import checksum, document_id
+from ..plans.ingestion import POLICY, Embed, add_files, refusal
+from ..sources.files import checksum, media_type
 from ..functions.text import safe_path
 
 
@@ -17,17 +19,17 @@ def file_stream(spark: SparkSession, folder: str) -> DataFrame:
     return spark.readStream.format("binaryFile").schema(schema).load(folder)
 
 
-def ingest(stream: DataFrame, state: IndexState, checkpoint: str, versions: str = "1", root: str = "") -> StreamingQuery:
-    """Apply files to the state, batch by batch; a batch that is run again changes nothing."""
+def ingest(stream: DataFrame, state: IndexState, checkpoint: str, versions: str = "1", root: str = "", policy: ChunkingPolicy = POLICY, embed: Embed | None = None, embedding: str = "") -> StreamingQuery:
+    """Read, chunk and store files, batch by batch; a batch that is run again changes nothing.
+
+    Paths are judged and kept without the root; a file that isn't admitted is a failed attempt.
+    """
 
     def batch(files: DataFrame, _: int) -> None:
-        digest = checksum(F.col("content"))
         path = safe_path(F.replace(F.col("path"), F.lit(root), F.lit("")))
-        rows = files.select(path.alias("source_path"), digest.alias("checksum"), F.col("modificationTime").alias("at"), F.ceil(F.length("content") / 500).cast("int").alias("n_chunks"))
-        latest = rows.groupBy("source_path").agg(F.max_by(F.struct("checksum", "n_chunks"), "at").alias("x"))
-        state.apply(latest.select(
-            "source_path", document_id(F.col("source_path"), F.col("x.checksum")).alias("document_id"), "x.checksum",
-            F.lit(versions).alias("versions"), "x.n_chunks", F.lit(0).alias("n_vectors"), F.lit(False).alias("cancelled"),
-        )).collect()
+        latest = Window.partitionBy("source_path").orderBy(F.desc("modificationTime"), checksum(F.col("content")))
+        rows = files.select(path.alias("source_path"), media_type(path, F.lit("")).alias("media_type"), "content", "modificationTime").where("source_path is not null")
+        newest = rows.withColumn("n", F.row_number().over(latest)).where("n = 1").withColumn("error", refusal())
+        add_files(state, newest, versions, policy, embed, embedding).collect()
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -143,3 +143,53 @@ def test_uploads_and_stream(spark, tmp_path):
         ingest(file_stream(spark, str(folder)), state, str(tmp_path / "cp")).awaitTermination()
     assert state.sources().count() == 2
     assert service.delete_source(state, spark, "a.txt").first().action == "deleted"
+
+
+def encoded(path, content):
+    return (path, "", base64.b64encode(content).decode())
+
+
+UPLOAD = "relative_path string, media_type string, content_base64 string"
+
+
+def test_uploads_are_read_chunked_and_found(spark, tmp_path):
+    from datetime import date
+
+    docx = io.BytesIO()
+    with zipfile.ZipFile(docx, "w") as z:
+        z.writestr("word/document.xml", f'<w:document xmlns:w="{files.WORD[1:-1]}"><w:p><w:t>Glacier survey</w:t></w:p><w:p><w:t>Second part</w:t></w:p></w:document>')
+    state = IndexState(spark, str(tmp_path / "state"))
+    rows = [encoded("a.txt", b"Volcano notes. " * 200), encoded("b.docx", docx.getvalue()), encoded("blank.txt", b" \n "), encoded("broken.docx", b"no"), encoded("broken.pdf", b"no"), encoded("c.txt", b"caf\xff sea"), encoded("c2.py", b"x = 1\n"), encoded("c.txt", b"last caf\xff wins")]
+    embed = lambda texts: [[float(len(t)), 1.0] for t in texts]
+    done, skipped = service.add_uploads(state, spark.createDataFrame(rows, UPLOAD), embed=embed)
+    got = {r.source_path: r for r in done.collect()}
+    assert skipped.count() == 0 and {p for p, r in got.items() if r.error} == {"blank.txt", "broken.docx", "broken.pdf"}
+    chunks = state.chunks().collect()
+    by = {p: sorted((c.ordinal, c.text) for c in chunks if c.source_path == p) for p in {c.source_path for c in chunks}}
+    assert set(by) == {"a.txt", "b.docx", "c.txt", "c2.py"} == {r.source_path for r in state.sources().collect()}
+    assert len(by["a.txt"]) > 2 and [t for _, t in by["b.docx"]] == ["Glacier survey", "Second part"] and by["c.txt"][0][1] == "last caf� wins"
+    assert {r.source_path: (r.n_chunks, r.n_vectors) for r in state.sources().collect()} == {p: (len(v), len(v)) for p, v in by.items()}
+    assert {r.chunk_id: r.vector[0] for r in state.vectors().collect()} == {c.chunk_id: len(c.text) for c in chunks}
+    assert {r.source_path: r.status for r in state.attempts().collect()}["broken.docx"] == "failed"
+    asked = spark.createDataFrame([(1, "glacier")], "qid long, query string")
+    assert [c.source_path for c in chunks if c.chunk_id == service.answer_search(state.chunks(), asked, date(2026, 1, 1)).first().chunk_id] == ["b.docx"]
+
+    again = {r.source_path: r for r in service.add_uploads(state, spark.createDataFrame([rows[0], encoded("b.docx", b"broken now"), encoded("c.txt", b"new text")], UPLOAD), embed=embed)[0].collect()}
+    assert {p: (r.action, r.n_chunks) for p, r in again.items()} == {"a.txt": ("skipped", len(by["a.txt"])), "b.docx": ("updated", 0), "c.txt": ("updated", 1)} and again["b.docx"].error
+    texts = {(c.source_path, c.text) for c in state.chunks().collect()}
+    assert ("b.docx", "Glacier survey") in texts and ("c.txt", "new text") in texts and len(texts - {("c.txt", "new text")}) == len({(c.source_path, c.text) for c in chunks}) - 1
+    failed = service.add_uploads(state, spark.createDataFrame([encoded("d.txt", b"words")], UPLOAD), embed=lambda t: [])[0].first()
+    assert "one vector per chunk" in failed.error
+    service.delete_source(state, spark, "a.txt")
+    assert state.chunks().where("source_path = 'a.txt'").count() == 0 == state.vectors().where(F.col("chunk_id").startswith(got["a.txt"].document_id)).count()
+
+
+def test_streamed_files_are_admitted_and_chunked(spark, tmp_path):
+    state, folder = IndexState(spark, str(tmp_path / "state")), tmp_path / "in"
+    folder.mkdir()
+    (folder / "n.txt").write_text("new file")
+    (folder / "e.txt").write_text("  ")
+    (folder / "p.exe").write_text("program")
+    ingest(file_stream(spark, str(folder)), state, str(tmp_path / "cp"), root=f"file:{folder}").awaitTermination()
+    assert [(r.source_path, r.text) for r in state.chunks().collect()] == [("n.txt", "new file")]
+    assert {r.source_path: r.status for r in state.attempts().collect()} == {"n.txt": "ready", "e.txt": "failed", "p.exe": "failed"}
