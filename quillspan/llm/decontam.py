@@ -9,7 +9,8 @@ sampled positions of the embedding are the LSH key, and repetitions with other w
 on until the recall reaches the target, as simulated on the items at the largest distance. Where a
 window meets the item's key, the words around it are aligned with the item, exactly.
 
-Words are runs of letters and digits; A to Z and Latin-1 capitals count as small letters. Null or empty
+Words are runs of letters and digits by Unicode category, with the marks on them; in scripts that are
+written without blanks each letter is a word. Capitals of all scripts count as small letters. Null or empty
 items match nothing, nor do null or empty texts; documents shorter than an item still match within the
 edits allowed; equal rows are reported each; a benchmark larger than a block goes block by block; an
 empty table gives an empty result; further columns aren't read.
@@ -18,6 +19,7 @@ empty table gives an empty result; further columns aren't read.
 from __future__ import annotations
 
 import math
+import unicodedata
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import blocks, by_frames, framed, free_name, mix64
-from .shingles import hash_runs
+from .shingles import powers
 from .tokens import forget
 
 RATE = 0.2
@@ -37,20 +39,56 @@ BENCHMARK_CHARS = 20_000_000
 BLOCK = 2_000_000
 WINDOWS = 20_000
 PAD = np.uint64(0)
-_WORD = np.zeros(256, bool)
-_WORD[48:58] = _WORD[65:91] = _WORD[97:123] = True
-_WORD[128:] = True
+#: Classes of code points: what parts words, letters and digits, letters that are words, marks on either.
+GAP, LETTER, ALONE, MARK = range(4)
+#: Names of letters of scripts without blanks begin like this.
+UNSPACED = ("CJK UNIFIED", "CJK COMPATIBILITY IDEOGRAPH", "IDEOGRAPHIC", "HIRAGANA", "KATAKANA", "HALFWIDTH KATAKANA", "BOPOMOFO", "THAI ", "LAO ", "KHMER ", "MYANMAR ", "TAI ", "NEW TAI LUE", "JAVANESE", "BALINESE", "YI SYLLABLE", "TANGUT", "NUSHU")
+_PLANES: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def split_words(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes], np.ndarray]:
-    """Hashes and byte places of all words, bounds of each text's words, the texts' bytes and where each starts."""
-    raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-    data = np.frombuffer(b" ".join(raw) + b" ", np.uint8).copy()
-    after = np.concatenate(([0], data[:-1]))
-    data[(after == 0xC3) & (data >= 0x80) & (data <= 0x9E) & (data != 0x97)] += 0x20
-    hashes, starts = hash_runs(data, _WORD[data])
-    at = np.concatenate(([0], np.cumsum([len(r) + 1 for r in raw])))
-    return hashes, starts, np.searchsorted(starts, at), raw, at
+def _plane(number: int) -> tuple[np.ndarray, np.ndarray]:
+    """Classes, and hashes of the small letters, of 65536 code points."""
+    if number not in _PLANES:
+        kind, folded = np.zeros(65536, np.uint8), np.arange(65536, dtype=np.uint64) + np.uint64(number << 16)
+        for k in range(65536):
+            c = chr((number << 16) + k)
+            category = unicodedata.category(c)
+            if category[0] == "M":
+                kind[k] = MARK
+            elif c.isalnum():
+                kind[k] = ALONE if category[0] == "L" and unicodedata.name(c, "").startswith(UNSPACED) else LETTER
+                small = c.casefold()
+                folded[k] = ord(small if len(small) == 1 else c.lower()[0])
+        _PLANES[number] = kind, mix64(folded + np.uint64(1) << np.uint64(8))
+    return _PLANES[number]
+
+
+def split_words(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes and places (first character, and after the last) of all words, bounds of each text's words, and where each text starts."""
+    rows = [t or "" for t in texts]
+    points = np.frombuffer((" ".join(rows) + " ").encode("utf-32-le", "surrogatepass"), np.uint32)
+    kind, mixed = (x[points & np.uint32(0xFFFF)] for x in _plane(0))
+    if (beyond := points > 0xFFFF).any():
+        for number in np.unique(points[beyond] >> np.uint32(16)).tolist():
+            at = np.flatnonzero(points >> np.uint32(16) == number)
+            kind[at], mixed[at] = (x[points[at] & np.uint32(0xFFFF)] for x in _plane(number))
+    mark = kind == MARK
+    if mark.any():  # a mark belongs to the letter before it
+        kind = kind[np.maximum.accumulate(np.where(mark, 0, np.arange(len(kind))))]
+        kind[kind == MARK] = GAP  # at the very start
+    keep = kind != GAP
+    before = np.concatenate(([GAP], kind[:-1]))
+    opens = keep & ((before == GAP) | (~mark & ((kind == ALONE) | (before == ALONE))))
+    starts = np.flatnonzero(opens)
+    ends = np.flatnonzero(keep & np.concatenate((opens[1:] | ~keep[1:], [True]))) + 1
+    at = np.concatenate(([0], np.cumsum([len(r) + 1 for r in rows]))).astype(np.int64)
+    hashes = np.zeros(0, np.uint64)
+    if len(starts):
+        sizes = ends - starts
+        first = np.cumsum(sizes) - sizes
+        inside = np.arange(sizes.sum()) - np.repeat(first, sizes)
+        hashes = mix64(np.add.reduceat(mixed[keep] * powers(int(sizes.max()))[inside], first))
+    return hashes, starts, ends, np.searchsorted(starts, at), at
 
 
 def moves(step: int, repetition: int, words: np.ndarray) -> np.ndarray:
@@ -86,7 +124,7 @@ class Benchmark:
     """Items' words, segments and LSH keys; goes to the workers."""
 
     def __init__(self, ids: list, texts: list[str | None], rate: float, recall: float, sampled: int):
-        hashes, _, bounds, _, _ = split_words(texts)
+        hashes, _, _, bounds, _ = split_words(texts)
         kept = [i for i in range(len(ids)) if bounds[i + 1] > bounds[i]]
         self.ids = [ids[i] for i in kept]
         self.items = [hashes[bounds[i] : bounds[i + 1]] for i in kept]
@@ -204,7 +242,7 @@ def _leaks(docs: DataFrame, kind: str, benchmark: Benchmark) -> DataFrame:
     def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         forget()
         for block in blocks(frames, chars=BLOCK):
-            hashes, starts, bounds, raw, begins = split_words(block["text"].tolist())
+            hashes, starts, ends, bounds, begins = split_words(block["text"].tolist())
             keys, best = block["key"].tolist(), {}
             for text, item, place in benchmark.candidates(hashes, bounds):
                 words, k = benchmark.items[item], int(benchmark.edits[item])
@@ -215,10 +253,7 @@ def _leaks(docs: DataFrame, kind: str, benchmark: Benchmark) -> DataFrame:
                     best[text, item] = distance, low + end, low + end - back
             rows = []
             for (text, item), (distance, end, start) in sorted(best.items()):
-                first, last = int(starts[start] - begins[text]), int(starts[end - 1] - begins[text])
-                while last < len(raw[text]) and _WORD[raw[text][last]]:
-                    last += 1
-                chars = [len(raw[text][:n].decode("utf-8", "replace")) for n in (first, last)]
+                chars = int(starts[start] - begins[text]), int(ends[end - 1] - begins[text])
                 rows.append((keys[text], item, distance, len(benchmark.items[item]), *chars))
             yield framed(rows, columns)
 

@@ -106,6 +106,28 @@ def test_leaks_equal_brute_force(spark):
     assert decontam.find_leaks(docs, bench.where("false")).count() == 0 == decontam.find_leaks(docs.where("false"), bench).count()
 
 
+def test_words_of_any_script():
+    def words(text):
+        _, starts, ends, _, _ = decontam.split_words([text])
+        return [text[a:b] for a, b in zip(starts, ends, strict=True)]
+
+    assert words("日本語、テスト") == list("日本語テスト")
+    assert words("a\u00a0b “c” «d»—e") == list("abcde")
+    assert words("ที่ नमस्ते 한국어 x1 \u2764\ufe0f \U00020000y") == ["ที่", "नमस्ते", "한국어", "x1", "\U00020000", "y"]
+    first, second = (decontam.split_words([t])[0].tolist() for t in ("ПРИВЕТ ΜΊΑ École", "привет μία école"))
+    assert first == second and len(set(first)) == 3
+    hashes, starts, _, bounds, at = decontam.split_words(["a b", None, "", "\u0301c d"])
+    assert bounds.tolist() == [0, 2, 2, 2, 4] and (starts - at[[0, 0, 3, 3]]).tolist() == [0, 2, 1, 3]
+    assert [len(x) for x in decontam.split_words([])[:3]] == [0, 0, 0]
+
+
+def test_leaks_of_any_script(spark):
+    items = [(1, "春天的花园里有许多美丽的花朵"), (2, "Привет мир дорогие друзья"), (3, "quick brown fox jumps")]
+    texts = ["昨天我说：春天的花园里有许多美丽的花朵，真的很好看。", "да ПРИВЕТ МИР ДОРОГИЕ ДРУЗЬЯ да", "“quick\u00a0brown fox—jumps” up", "昨天我们去了别的地方看电影和吃饭"]
+    found = decontam.find_leaks(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id, r.distance, texts[r.doc_id][r.start_char : r.end_char]) for r in found} == {(0, 1, 0, items[0][1]), (1, 2, 0, items[1][1].upper()), (2, 3, 0, "quick\u00a0brown fox—jumps")}
+
+
 def test_shards_move_only_into_the_new_one(spark):
     rows = [(i, None if i % 50 == 0 else "é" * (i % 7), "x") for i in range(3000)] + [(None, "a", "x"), (5, "b", "x"), (5, "b", "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string, slot string")
