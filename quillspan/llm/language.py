@@ -9,7 +9,10 @@ fitted on rows the models haven't seen, and so does the limit beyond which a tex
 none of the languages.
 
 The models are fitted on a bounded sample of the labelled rows: SAMPLE_CHARS characters over all
-languages, of whole distinct texts, shared evenly. Prediction covers every row and whole texts.
+languages, of distinct texts, shared evenly. Each language gives its texts in hash order until its share
+is full, the last one as a random span where it is too long; so every language with a letter has a model.
+Languages are any number: their models lie in blocks of BLOCK_LANGUAGES. Prediction covers every row and
+whole texts.
 
 A null text, or one without a letter, is `und` with score 0 and is rejected; so is every text where no
 row has a label. Ties go to the language that comes first by name. Equal rows get equal results; an
@@ -23,21 +26,25 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, by_frames, free_name, mix64
+from .common import blocks, by_frames, free_name, mix64, saved
 from .tokens import forget
 
 ORDER = 5
 SAMPLE_CHARS = 6_000_000
 #: No language's share of the sample is larger, however few there are.
 LANGUAGE_CHARS = 1_500_000
-MOST_LANGUAGES = 200
+#: Languages whose models share sorted arrays, as these have a column for each.
+BLOCK_LANGUAGES = 8
+#: A language with fewer texts in the sample has them cut into so many pieces, to keep one for calibration.
+PIECES = 5
 BLOCK = 500_000
 #: A text is rejected beyond the mean of held-out texts by this many bits a character, and by this many deviations for its length.
 MARGIN_BITS, MARGIN_DEVIATIONS = 1.0, 8.0
 UNKNOWN = "und"
+LETTER = r"\p{L}"
 _FACTORS = mix64(np.arange(1, ORDER + 1, dtype=np.uint64) << np.uint64(32)) | np.uint64(1)
 _TABLES: dict[str, np.ndarray] = {}
 
@@ -125,14 +132,12 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == wanted, at, -1)
 
 
-class Models:
-    """Sorted hash arrays of all languages' models, and their calibration."""
+class _Block:
+    """Sorted hash arrays of some languages' models; `width` is the number of symbols of all, and one."""
 
-    def __init__(self, languages: list[str], rows: list[list[np.ndarray]]):
-        self.languages = languages
+    def __init__(self, rows: Sequence[list[np.ndarray]], width: int):
         counted = [count_language(r) for r in rows]
-        n = len(languages)
-        width = len(np.unique(np.concatenate([c[0].keys for c in counted]))) + 1
+        n = len(rows)
         self.keys, self.logs, self.contexts, self.weights = [], [], [], []
         lower = np.full((1, n), 1.0 / width)  # below single symbols: all alike
         for k in range(ORDER):
@@ -152,6 +157,34 @@ class Models:
             self.contexts.append(contexts)
             self.weights.append(np.log2(weight).astype(np.float32))
         self.unseen = (self.weights[0][0] - np.log2(width)).astype(np.float32)
+
+    def find(self, here: list[np.ndarray], before: list[np.ndarray]) -> np.ndarray:
+        """Log probability of each place in each language."""
+        out = np.zeros((len(here[0]), len(self.unseen)), np.float32)
+        left = np.arange(len(out))
+        for k in range(ORDER, 0, -1):
+            found = _find(self.keys[k - 1], here[k][left])
+            met = found >= 0
+            out[left[met]] += self.logs[k - 1][found[met]]
+            left = left[~met]
+            if not len(left):
+                return out
+            if k > 1:
+                context = _find(self.contexts[k - 1], before[k - 1][left])
+                known = context >= 0
+                out[left[known]] += self.weights[k - 1][context[known]]
+        out[left] += self.unseen
+        return out
+
+
+class Models:
+    """All languages' models, in blocks, and their calibration."""
+
+    def __init__(self, languages: list[str], rows: list[list[np.ndarray]]):
+        self.languages = languages
+        n = len(languages)
+        width = len(np.unique(np.concatenate([np.unique(s) for r in rows for s in r]))) + 1
+        self.blocks = [_Block(rows[at : at + BLOCK_LANGUAGES], width) for at in range(0, n, BLOCK_LANGUAGES)]
         self.scale, self.mean, self.spread = 1.0, np.zeros(n), np.zeros(n)
 
     def bits(self, rows: Sequence[np.ndarray]) -> np.ndarray:
@@ -167,28 +200,16 @@ class Models:
             at = np.flatnonzero(marks[low:high]) + low
             if not len(at):
                 continue
-            logs = self._logs([h[at - back] for h in hashes], [h[at - back - 1] for h in hashes])
+            here, before = [h[at - back] for h in hashes], [h[at - back - 1] for h in hashes]
             owner = np.searchsorted(ends, at, side="right")
             cut = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
-            total[owner[cut]] += np.add.reduceat(logs, cut, axis=0, dtype=np.float64)
+            for k, block in enumerate(self.blocks):
+                columns = slice(k * BLOCK_LANGUAGES, (k + 1) * BLOCK_LANGUAGES)
+                total[owner[cut], columns] += np.add.reduceat(block.find(here, before), cut, axis=0, dtype=np.float64)
         return -total / sizes[:, None]
 
     def _logs(self, here: list[np.ndarray], before: list[np.ndarray]) -> np.ndarray:
-        out = np.zeros((len(here[0]), len(self.languages)), np.float32)
-        left = np.arange(len(out))
-        for k in range(ORDER, 0, -1):
-            found = _find(self.keys[k - 1], here[k][left])
-            met = found >= 0
-            out[left[met]] += self.logs[k - 1][found[met]]
-            left = left[~met]
-            if not len(left):
-                return out
-            if k > 1:
-                context = _find(self.contexts[k - 1], before[k - 1][left])
-                known = context >= 0
-                out[left[known]] += self.weights[k - 1][context[known]]
-        out[left] += self.unseen
-        return out
+        return np.concatenate([b.find(here, before) for b in self.blocks], axis=1)
 
     def calibrate(self, language: np.ndarray, rows: Sequence[np.ndarray]) -> None:
         """Fit the softmax's scale, and what cross-entropy texts of each language have, on labelled texts."""
@@ -229,43 +250,69 @@ class Models:
         return out
 
 
+def sample_texts(rows: DataFrame, chars: int) -> pd.DataFrame:
+    """lang, text: distinct texts of each language in hash order until its share of the characters is full.
+
+    What is sorted are rows without text, and only those below a hash that leaves the share some 64 times
+    the room of its longest text, or all; a language's first text is always among them.
+    """
+    top = 1 << 62
+    place = F.pmod(F.xxhash64("text", F.lit("sample")), F.lit(top))
+    light = saved(rows.groupBy("lang", place.alias("place")).agg(F.max(F.length("text")).cast("long").alias("n")))
+    languages = light.select("lang").distinct().count()
+    if not languages:
+        return pd.DataFrame({"lang": [], "text": []})
+    share = max(1, min(LANGUAGE_CHARS, chars // languages))
+    size = F.least(F.col("n"), F.lit(share))
+    totals = light.groupBy("lang").agg(F.sum(size.cast("double")).alias("total"), F.max(size).alias("longest"), F.min("place").alias("first"))
+    reach = F.least(F.lit(1.0), (4 * F.lit(share) + 60 * F.col("longest")) / F.col("total"))
+    near = light.join(F.broadcast(totals), "lang").where(F.col("place") <= F.greatest(F.col("first"), (reach * top).cast("long")))
+    ahead = Window.partitionBy("lang").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    chosen = near.withColumn("room", share - F.coalesce(F.sum(size).over(ahead), F.lit(0))).where("room > 0")
+    last = chosen.groupBy("lang").agg(F.max("place").alias("last"), F.max_by("room", "place").cast("int").alias("room"))
+    found = rows.withColumn("place", place).join(F.broadcast(last), "lang").where("place <= last").select("lang", "text", "room", (F.col("place") == F.col("last")).alias("cut")).distinct()
+    start = F.pmod(F.xxhash64("text", F.lit("span")), F.length("text") - F.col("room") + 1).cast("int") + 1
+    span = F.substring("text", start, F.col("room"))
+    span = F.when(span.rlike(LETTER), span).otherwise(F.substring("text", F.regexp_instr("text", F.lit(LETTER)), F.col("room")))
+    text = F.when(F.col("cut") & (F.length("text") > F.col("room")), span).otherwise(F.col("text"))
+    return found.select("lang", text.alias("text")).orderBy("lang", "text").toPandas()  # about `chars` characters
+
+
 def fit_models(train: DataFrame, text: str = "text", lang: str = "lang", chars: int = SAMPLE_CHARS) -> Models | None:
     """Models of the languages in labelled rows; a fifth of the sample is kept for calibration."""
-    rows = train.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null and length(text) > 0")
-    totals = {r["lang"]: r["chars"] for r in rows.groupBy("lang").agg(F.sum(F.length("text").cast("double")).alias("chars")).orderBy("lang").limit(MOST_LANGUAGES + 1).collect()}
-    if len(totals) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages: their models wouldn't be of bounded size")
-    if not totals:
-        return None
-    share = min(LANGUAGE_CHARS, chars // len(totals))
-    part = F.pmod(F.xxhash64("text", F.lit("sample")), F.lit(1 << 30))
-    limit = F.create_map(*[F.lit(x) for lang_, n in totals.items() for x in (lang_, float(share / n * (1 << 30)))])
-    sample = rows.where((part < limit[F.col("lang")]) & (F.length("text") <= share)).distinct().orderBy("lang", "text").toPandas()  # about `chars` characters
-    languages = sorted(totals)
-    fitted: list[list[np.ndarray]] = [[] for _ in languages]
+    rows = train.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where(F.col("lang").isNotNull() & F.col("text").rlike(LETTER))
+    sample = sample_texts(rows, chars)
+    languages: list[str] = []
+    fitted: list[list[np.ndarray]] = []
     kept: list[tuple[int, np.ndarray]] = []
-    for i, name in enumerate(languages):
-        found = [s for s in map(symbols, sample.loc[sample["lang"] == name, "text"]) if len(s)]
-        for k, s in enumerate(found):
-            if k % 5 == 4:
-                kept.append((i, s))
-            else:
-                fitted[i].append(s)
-    if not all(fitted):
-        languages, fitted, kept = _without_empty(languages, fitted, kept)
+    for name, texts in sample.groupby("lang", sort=True)["text"]:
+        found = [s for s in map(symbols, texts) if len(s)]
+        if not found:
+            continue
+        if len(found) < PIECES:
+            found = _pieces(found)
+        fitted.append([s for k, s in enumerate(found) if k % PIECES != PIECES - 1])
+        kept += [(len(languages), s) for s in found[PIECES - 1 :: PIECES]] or [(len(languages), s) for s in found]
+        languages.append(name)
     if not languages:
         return None
     models = Models(languages, fitted)
-    if {i for i, _ in kept} != set(range(len(languages))):  # too few rows to keep some apart
-        kept = [(i, s) for i, rows_ in enumerate(fitted) for s in rows_]
     models.calibrate(np.array([i for i, _ in kept]), [s for _, s in kept])
     return models
 
 
-def _without_empty(languages: list[str], fitted: list, kept: list) -> tuple[list[str], list, list]:
-    """Without languages that have no text with a letter in the sample."""
-    number = {i: k for k, i in enumerate(i for i, rows in enumerate(fitted) if rows)}
-    return [languages[i] for i in number], [fitted[i] for i in number], [(number[i], s) for i, s in kept if i in number]
+def _pieces(rows: list[np.ndarray]) -> list[np.ndarray]:
+    """A language's few texts, each cut between words into pieces of about a fifth of them all."""
+    size, found = -(-sum(map(len, rows)) // PIECES), []
+    for row in rows:
+        gaps = np.flatnonzero(row == 0)
+        at = 0
+        while at < len(row):
+            later = gaps[gaps >= at + size - 1]
+            end = int(later[0]) + 1 if len(later) else len(row)
+            found.append(row[at:end])
+            at = end
+    return found
 
 
 def identify(df: DataFrame, models: Models | None, text: str = "text", prefix: str = "lang_") -> DataFrame:

@@ -34,6 +34,32 @@ def test_languages_are_told_apart(spark, labelled):
     assert language.identify(df.where("false"), models).count() == 0
 
 
+def test_languages_of_long_texts_keep_their_models(spark, labelled):
+    draw = random.Random(5)
+    rows = [(1, "12 34 " * 20_000 + " ".join(draw.choice("wox yfi zug qalm jeth".split()) for _ in range(30_000)), "cc", "x"), (2, "dirn vash ulmo peth kaar " * 20_000, "dd", "x")]
+    models = language.fit_models(labelled.union(spark.createDataFrame(rows, labelled.schema)), chars=80_000)
+    assert models.languages == ["aa", "bb", "cc", "dd"]
+    got = models.predict(["zug qalm wox jeth yfi", "vash ulmo peth kaar dirn", told(draw, "aa", 8), told(draw, "bb", 8)])
+    assert [g[0] for g in got] == ["cc", "dd", "aa", "bb"] and not any(g[3] for g in got)
+
+
+def test_a_share_is_filled_from_few_texts(spark):
+    rows = [("aa", f"ka lo {'mi ' * 300}{i}") for i in range(40)] + [("bb", "shre " * 50)] * 30
+    got = language.sample_texts(spark.createDataFrame(rows, "lang string, text string"), 8_000)
+    sizes = got.assign(n=got["text"].str.len()).groupby("lang")["n"].sum()
+    assert sizes["aa"] == 4_000 and sizes["bb"] == 250
+
+
+def test_any_number_of_languages(spark):
+    draw = random.Random(6)
+    words = {f"l{k:03}": ["".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(draw.randint(4, 7))) for _ in range(8)] for k in range(210)}
+    rows = [(" ".join(draw.choice(v) for _ in range(60)), k) for k, v in words.items() for _ in range(8)]
+    models = language.fit_models(spark.createDataFrame(rows, "text string, lang string"))
+    assert models.languages == sorted(words)
+    got = models.predict([" ".join(draw.choice(v) for _ in range(20)) for v in words.values()])
+    assert [g[0] for g in got] == sorted(words) and not any(g[3] for g in got)
+
+
 def test_no_labels(spark):
     df = spark.createDataFrame([(1, "ka lo", None)], "doc_id long, text string, lang string")
     assert language.fit_models(df) is None
