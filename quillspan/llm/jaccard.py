@@ -184,7 +184,11 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", w
                         rows.append((me, _pack(text_)))
                 yield framed(rows, ["set", "body"])
 
-        opened = saved(by_frames(docs.join(wanted, "key", "left_semi"), to_sets, "set long, body binary"))
+        opened = by_frames(docs.join(wanted, "key", "left_semi"), to_sets, "set long, body binary")
+        if not sets.where("key is null and set is not null").isEmpty():  # sets that only rows with a null key hold
+            loose = enough.join(lead.where("lead is null").select("set"), "set")
+            opened = opened.union(by_frames(docs.where("key is null"), to_sets, "set long, body binary").join(loose, "set", "left_semi").dropDuplicates(["set"]))
+        opened = saved(opened)
         release(df.sparkSession)
         links = _links(shared, opened, words, num, den, tile)
     rows = sets.select("key", "n", "set")

@@ -81,6 +81,14 @@ def test_jaccard_edges(spark):
         jaccard.Parts(1, 2)
 
 
+def test_rows_with_a_null_key_bridge(spark):
+    words = [f"w{i}" for i in range(40)]
+    rows = [(7, " ".join([*words[:-1], "x"])), (None, " ".join(words)), (3, " ".join(["y", *words[1:]])), (9, "far away from all of them"), (None, "alone " * 5)]
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), words=3, num=93, den=100).collect()
+    assert sorted((r.doc_id or 0, r.component_id) for r in got if r.component_id is not None) == [(0, 3), (3, 3), (7, 3), (9, 9)]
+    assert len(got) == 5
+
+
 def test_open_tile_counts_in_slices():
     draw = np.random.default_rng(0)
     sets = [np.unique(draw.integers(0, 3000, 900).astype(np.uint64)) for _ in range(6)]
