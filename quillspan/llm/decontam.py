@@ -8,6 +8,8 @@ the walk a hash of step and word says whether to move on), which map edit distan
 sampled positions of the embedding are the LSH key, and repetitions with other walks and positions go
 on until the recall reaches the target, as simulated on the items at the largest distance. Where a
 window meets the item's key, the words around it are aligned with the item, exactly.
+In effect the segments do the search: sampled places mostly lie beyond the walks' ends, where all are
+alike, so nearly every window that segments lay is aligned.
 
 Words are runs of letters and digits by Unicode category, with the marks on them; in scripts that are
 written without blanks each letter is a word. Capitals of all scripts count as small letters. Null or empty
