@@ -160,7 +160,7 @@ def write_ids(df: DataFrame, path: str, key: str = "doc_id", text: str = "text",
 
     salt = F.xxhash64("text")  # so that a key with very many rows is divided too
     dealt = rows.repartitionByRange(max(1, -(-total // FILE_TEXT)), F.col("key"), salt).sortWithinPartitions(F.col("key"), salt)
-    by_frames(dealt, frames, "frame binary").select(F.col("frame").cast("string").alias("value")).write.option("lineSep", "\n").text(path)
+    by_frames(dealt, frames, "frame binary").select(F.col("frame").cast("string").alias("value")).write.option("lineSep", "\n").option("maxRecordsPerFile", 0).text(path)
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:

@@ -2,7 +2,6 @@ import zlib
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from quillspan.llm import lengths, packing, planes
 from quillspan.llm.tokens import ChunkEncoder, encoder, tokenizer_path
@@ -16,12 +15,11 @@ def plain():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer_path())
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
 def docs(spark):
-    rows = [(None, "null key", "x", 1), (1, None, None, None), (2, "", "x", 1), (3, "long " * 5000, "x", 1), (4, "same", "x", 1), (4, "same", "x", 1), (5, "other one", "x", 1)]
+    rows = [(None, "null key", "x", 1), (1, None, None, None), (2, "", "x", 1), (3, "long " * 5000, "x", 1), (4, "same", "x", 1), (4, "same", "x", 1), (5, "other one", "x", 1), (6, "a <|endoftext|> b<|endoftext|>", "x", 1), (7, "x \n\n y  z", "x", 1)]
     return spark.createDataFrame(rows + [(100 + i, "word " * (i % 90), "x", 1) for i in range(200)], TABLE)
 
 
@@ -33,6 +31,15 @@ def test_cached_ids_equal_the_tokenizer(plain):
         assert len(e.later) <= limit + 1
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json"])
+def test_other_kinds_of_tokenizer_encode_whole_texts(name):
+    from tokenizers import Tokenizer
+
+    e, t = ChunkEncoder(tokenizer_path(name)), Tokenizer.from_file(tokenizer_path(name))
+    assert not e.chunked
+    assert [x.tolist() for x in e.encode(ODD)] == [t.encode(x, add_special_tokens=False).ids for x in ODD]
+
+
 def test_histogram_answers_every_limit(spark, plain):
     rows = docs(spark).collect()
     sizes = np.array([len(plain(r.text)) for r in rows])
@@ -68,6 +75,12 @@ def test_packing_places_each_id_once(spark, plain):
     assert packing.pack_documents(df.where("false")).count() == 0
 
 
+def test_short_rows_leave_little_padding(spark, plain):
+    rows = [(i, [None, "", "one", "two words", "w " * (i % 40)][i % 5]) for i in range(20_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert check_packing(packing.pack_documents(df).collect(), plain, {k: [t] for k, t in rows}) > 0.97
+
+
 def test_cutting_stock_is_near_its_bound():
     draw = np.random.default_rng(1)
     sizes = np.arange(1, 65)
@@ -124,4 +137,3 @@ def test_ids_through_files(spark, plain):
 
 def test_one_encoder_in_a_worker():
     assert encoder(tokenizer_path()) is encoder(tokenizer_path())
-    assert F is not None
