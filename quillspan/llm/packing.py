@@ -1,12 +1,13 @@
 """Packing by cutting-stock column generation.
 
-Documents are encoded whole and cut after every `capacity` tokens; what is left of each goes into a
-histogram of lengths in steps of `step` tokens. A linear program over patterns (how many pieces of each
+Documents are encoded whole and cut after every `capacity` tokens. Pieces shorter than SHORT tokens are
+bundled with their neighbours, so that rounding a length costs a bundle, not each of them. Pieces and
+bundles go into a histogram of lengths in steps of `step` tokens. A linear program over patterns (how many pieces of each
 length share a sequence) covers the histogram with the fewest sequences: its columns are priced by a
 knapsack dynamic program over the duals, and it ends when no pattern could better it by `gap`. The
 patterns' rounded-down counts and a best-fit of the few pieces left give whole numbers of sequences.
 Pieces are ranked within their length, and a piece's rank says which pattern, and so which sequence,
-takes it. The histogram has at most capacity/step rows however many documents there are.
+takes it; a bundle's pieces follow one another there. The histogram has at most capacity/step rows however many documents there are.
 
 Null and empty texts hold the end id alone; an empty table gives an empty result; equal rows are packed
 each; columns other than the id and the text aren't read.
@@ -30,6 +31,8 @@ CAPACITY = 2048
 STEP = 8
 GAP = 1e-3
 END_ID = 1
+#: Pieces of fewer tokens are bundled, up to so many tokens together.
+SHORT, BUNDLE = 64, 256
 
 
 def knapsack(values: np.ndarray, sizes: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:
@@ -149,33 +152,56 @@ def plan_sequences(sizes: np.ndarray, demand: np.ndarray, room: int, gap: float
 
 
 def cut_pieces(df: DataFrame, key: str, text: str, tokenizer: str, capacity: int, step: int, end_id: int) -> DataFrame:
-    """A row for each piece, with its size class, its partition and its rank among those of its class there."""
+    """A row for each piece, with its size class, its partition, its rank among those of its class there, and its place in its bundle."""
     path = tokenizer_path(tokenizer)
-    columns = ["key", "start", "length", "ids_crc32", "doc_tokens", "size", "part", "rank"]
+    columns = ["key", "start", "length", "ids_crc32", "doc_tokens", "size", "part", "rank", "place"]
+    most = min(BUNDLE, capacity) // step * step
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode, part, ranks = encoder(path).encode, TaskContext.get().partitionId(), {}
+        bundle: list[tuple] = []
+        held = 0
+
+        def ranked(pieces: list[tuple], total: int) -> Iterator[tuple]:
+            """The rows of pieces that go together."""
+            size, place = -(-total // step), 0
+            rank = ranks.get(size, 0)
+            ranks[size] = rank + 1
+            for piece in pieces:
+                yield (*piece, size, part, rank, place)
+                place += piece[2]
+
         for block in blocks(frames):
-            rows = []
+            rows: list[tuple] = []
             for key_, ids in zip(block["key"].tolist(), encode(block["text"].tolist()), strict=True):
                 ids = np.append(ids, end_id).astype("<u4")
                 for start in range(0, len(ids), capacity):
-                    piece = ids[start : start + capacity]
-                    size = -(-len(piece) // step)
-                    rank = ranks.get(size, 0)
-                    ranks[size] = rank + 1
-                    rows.append((key_, start, len(piece), zlib.crc32(piece), len(ids), size, part, rank))
+                    cut_ids = ids[start : start + capacity]
+                    piece = (key_, start, len(cut_ids), zlib.crc32(cut_ids), len(ids))
+                    if len(cut_ids) >= min(SHORT, most):
+                        rows += ranked([piece], len(cut_ids))
+                        continue
+                    if held + len(cut_ids) > most:
+                        rows += ranked(bundle, held)
+                        bundle, held = [], 0
+                    bundle.append(piece)
+                    held += len(cut_ids)
+                    if held >= SHORT and held % step == 0:  # nothing is lost by rounding
+                        rows += ranked(bundle, held)
+                        bundle, held = [], 0
             yield framed(rows, columns)
+        if bundle:
+            yield framed(list(ranked(bundle, held)), columns)
 
     kind = df.schema[key].dataType.simpleString()
-    return by_frames(df.select(F.col(key).alias("key"), F.col(text).alias("text")), cut, f"key {kind}, start long, length long, ids_crc32 long, doc_tokens long, size int, part int, rank long")
+    return by_frames(df.select(F.col(key).alias("key"), F.col(text).alias("text")), cut, f"key {kind}, start long, length long, ids_crc32 long, doc_tokens long, size int, part int, rank long, place long")
 
 
 def pack_documents(df: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str = TOKENIZER, capacity: int = CAPACITY, step: int = STEP, gap: float = GAP, end_id: int = END_ID) -> DataFrame:
     """A row for each piece: key, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     room = capacity // step
     pieces = saved(cut_pieces(df, key, text, tokenizer, capacity, step, end_id))
-    counts = pieces.groupBy("size", "part").agg(F.count("*").alias("n"))
+    counts = pieces.groupBy("size", "part").agg((F.max("rank") + 1).alias("n"))
     histogram = counts.groupBy("size").agg(F.sum("n").alias("n")).orderBy("size").collect()  # at most `room` rows
     sizes = np.array([r["size"] for r in histogram], np.int64)
     plan = plan_sequences(sizes, np.array([r["n"] for r in histogram], np.int64), room, gap)
@@ -204,6 +230,6 @@ def pack_documents(df: DataFrame, key: str = "doc_id", text: str = "text", token
             yield frame.assign(sequence_id=sequence)
 
     kind = df.schema[key].dataType.simpleString()
-    placed = by_frames(ranked, place, f"size int, key {kind}, start long, length long, ids_crc32 long, doc_tokens long, rank long, sequence_id long")
-    inside = Window.partitionBy("sequence_id").orderBy(F.desc("size"), "rank").rowsBetween(Window.unboundedPreceding, -1)
+    placed = by_frames(ranked, place, f"size int, key {kind}, start long, length long, ids_crc32 long, doc_tokens long, rank long, place long, sequence_id long")
+    inside = Window.partitionBy("sequence_id").orderBy(F.desc("size"), "rank", "place").rowsBetween(Window.unboundedPreceding, -1)
     return placed.select(F.col("key").alias(key), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", F.coalesce(F.sum("length").over(inside), F.lit(0)).alias("offset"))
