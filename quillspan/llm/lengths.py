@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, by_frames
+from .common import blocks, by_frames, saved
 from .tokens import TOKENIZER, encoder, tokenizer_path
 
 #: Lengths that are summed up together before the sums of such blocks are.
@@ -24,7 +24,7 @@ SUM_BLOCK = 64
 
 
 def length_histogram(df: DataFrame, text: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
-    """n_tokens, n_docs: how many documents have each encoded length."""
+    """n_tokens, n_docs: how many documents have each encoded length; kept, as every answer reads it again."""
     path = tokenizer_path(tokenizer)
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -37,7 +37,7 @@ def length_histogram(df: DataFrame, text: str = "text", tokenizer: str = TOKENIZ
         yield pd.DataFrame({"n_tokens": list(total), "n_docs": list(total.values())}, dtype=np.int64)
 
     counted = by_frames(df.select(F.col(text).alias("text")), count, "n_tokens long, n_docs long")
-    return counted.groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
+    return saved(counted.groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs")))
 
 
 def context_table(histogram: DataFrame) -> DataFrame:
