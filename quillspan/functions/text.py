@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The words that don't count as support for a claim.
@@ -48,6 +48,27 @@ def contains_fact(text: Column, fact: Column) -> Column:
     return (wanted != "") & F.contains(collapse(fold(text)), wanted)
 
 
+def fact_seed(fact: Column) -> Column:
+    """The longest word of a fact that has a blank on either side there, so that it stands whole wherever the fact does; null without one."""
+    words = F.split(collapse(fold(fact)), " ")
+    inside = F.when(F.size(words) > 2, F.slice(words, 2, F.size(words) - 2))
+    return F.element_at(F.array_sort(F.transform(inside, lambda w: F.struct(F.length(w).alias("n"), w.alias("word")))), -1)["word"]
+
+
+def texts_with_facts(texts: DataFrame, facts: DataFrame, key: str, name: str) -> DataFrame:
+    """(key, name) of texts (key, text) and the facts (name, fact) that they contain.
+
+    A fact is looked for in texts that hold its seed as a word; one of two words or fewer, in all.
+    """
+    asked = facts.select(name, "fact", fact_seed(F.col("fact")).alias("seed"))
+    words = texts.select(key, F.explode(F.array_distinct(F.split(collapse(fold(F.col("text"))), " "))).alias("seed"))
+    seeds = asked.where("seed is not null")
+    maybe = words.join(seeds.select(name, "seed"), "seed").select(key, name).join(texts.select(key, "text"), key).join(asked.select(name, "fact"), name)
+    short = asked.where("seed is null").select(name, "fact").join(texts.select(key, "text"), F.lit(True), "inner")
+    columns = [key, name, "text", "fact"]
+    return maybe.select(*columns).union(short.select(*columns)).where(contains_fact(F.col("text"), F.col("fact"))).select(key, name)
+
+
 def claim_before(text: Column, marker_start: Column) -> Column:
     """The claim of the marker that starts at a place (from 0): the end of the sentence before it."""
     fragment = F.regexp_extract(F.substring(text, F.lit(1), marker_start), r"[^.!?\n]*$", 0)

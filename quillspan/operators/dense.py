@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import tokenize
+from .lexical import SPARE, exact_sum
 from .ranking import ranked
 
 
@@ -15,15 +16,25 @@ def dot(a: Column, b: Column) -> Column:
     return F.coalesce(same, F.raise_error(F.lit("query and chunk vectors differ in length")).cast("double"))
 
 
+#: Queries that are held against all rows at once; more go block by block.
+BLOCK_QUERIES = 20_000
+
+
 def dense(chunks: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame:
     """qid, chunk_id, score, rank: every chunk (chunk_id, vector) against each query (qid, vector).
 
-    A stated set of queries is held against all rows, by a nested loop in which the queries are the
-    side that is sent round; the best of each partition come first, so only those are shuffled.
+    A stated set of queries is held against all rows, by a nested loop in which a block of the queries is
+    sent round; the best of each partition come first, so only those are shuffled.
     """
     asked = queries.select("qid", F.col("vector").alias("query_vector"))
-    pairs = chunks.select("chunk_id", "vector").join(asked, F.lit(True), "inner")
-    return ranked(pairs.select("qid", "chunk_id", dot(F.col("query_vector"), F.col("vector")).alias("score")), limit)
+    blocks = max(1, -(-asked.count() // BLOCK_QUERIES))
+    found = None
+    for block in range(blocks):
+        here = asked.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == block) if blocks > 1 else asked
+        pairs = chunks.select("chunk_id", "vector").join(F.broadcast(here), F.lit(True), "inner")
+        best = ranked(pairs.select("qid", "chunk_id", dot(F.col("query_vector"), F.col("vector")).alias("score")), limit)
+        found = best if found is None else found.union(best)
+    return found
 
 
 def missing_vectors(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -31,18 +42,29 @@ def missing_vectors(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
     return chunks.select("chunk_id").join(vectors.select("chunk_id"), "chunk_id", "left_anti")
 
 
+def check_vectors(chunks: DataFrame, vectors: DataFrame) -> None:
+    """An error, with how many and the first, where chunks have no vector."""
+    missing = missing_vectors(chunks, vectors).agg(F.count("*").alias("n"), F.min("chunk_id").alias("first")).first()
+    if missing["n"]:
+        raise ValueError(f"{missing['n']} chunks have no vector, the first of them {missing['first']}")
+
+
 def sparse(chunk_weights: DataFrame, query_weights: DataFrame, eligible: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame:
     """Sum over shared terms of the weights' products; chunks without one rank too, with 0.
 
     chunk_weights: chunk_id, term, weight; query_weights: qid, term, weight.
     """
-    hit = chunk_weights.join(query_weights.select("qid", "term", F.col("weight").alias("asked")), "term")
-    scores = hit.groupBy("qid", "chunk_id").agg(F.array_sort(F.collect_list(F.struct("term", (F.col("weight") * F.col("asked")).alias("x")))).alias("parts"))
-    scores = scores.select("qid", "chunk_id", F.aggregate("parts", F.lit(0.0), lambda s, x: s + x["x"]).alias("score"))
-    best = ranked(scores, limit)
-    # chunks with nothing in common come last, by id: of those no more than the limit can be needed
+    asked = query_weights.select("qid", "term", F.col("weight").alias("asked"))
+    own = chunk_weights.select("chunk_id", "term", "weight").repartition("chunk_id")  # products add up where a chunk's terms lie
+    hit = own.join(asked, "term").select("qid", "chunk_id", "term", (F.col("weight") * F.col("asked")).alias("x"))
+    near = ranked(hit.groupBy("chunk_id", "qid").agg(exact_sum(F.col("x")).alias("score")).select("qid", "chunk_id", "score"), limit + SPARE)
+    few = own.join(near.select("qid", "chunk_id"), "chunk_id").join(asked, ["qid", "term"])
+    parts = few.groupBy("qid", "chunk_id").agg(F.array_sort(F.collect_list(F.struct("term", (F.col("weight") * F.col("asked")).alias("x")))).alias("parts"))
+    best = ranked(parts.select("qid", "chunk_id", F.aggregate("parts", F.lit(0.0), lambda s, x: s + x["x"]).alias("score")), limit)
+    # chunks with nothing in common come last, by id: only queries with fewer hits than the limit need them
+    short = queries.select("qid").distinct().join(best.groupBy("qid").agg(F.count("*").alias("n")), "qid", "left").where(F.coalesce("n", F.lit(0)) < limit).select("qid")
     first = eligible.select("chunk_id").orderBy("chunk_id").limit(2 * limit)
-    rest = queries.select("qid").join(first, F.lit(True), "inner").join(scores.select("qid", "chunk_id"), ["qid", "chunk_id"], "left_anti").withColumn("score", F.lit(0.0))
+    rest = short.join(F.broadcast(first), F.lit(True), "inner").join(best.select("qid", "chunk_id"), ["qid", "chunk_id"], "left_anti").withColumn("score", F.lit(0.0))
     return ranked(best.drop("rank").union(rest.select("qid", "chunk_id", "score")), limit)
 
 
@@ -52,9 +74,19 @@ def late_interaction(queries: DataFrame) -> DataFrame:
 
 
 def metadata_leg(chunks: DataFrame, queries: DataFrame, fields: list[str], limit: int = 10) -> DataFrame:
-    """How many of the query's distinct terms stand in a chunk's path and metadata; one at least."""
-    text = F.concat_ws(" ", *[F.col(f).cast("string") for f in fields])
-    have = chunks.select("chunk_id", F.explode(F.array_distinct(tokenize(text))).alias("term"))
+    """How many of the query's distinct terms stand in a chunk's path, metadata and attribute values; one at least.
+
+    Queries that ask for the same terms, of those that any chunk has, are scored once. Counted where the
+    chunk lies; the best of each partition are ranked. Of `attributes`, a map, all values count.
+    """
+    values = [F.col(f).cast("string") for f in fields if f != "attributes"]
+    if "attributes" in chunks.columns:
+        values.append(F.concat_ws(" ", F.map_values("attributes")))
+    terms = chunks.select("chunk_id", F.array_distinct(tokenize(F.concat_ws(" ", *values))).alias("terms")).repartition("chunk_id")
+    have = terms.select("chunk_id", F.explode("terms").alias("term"))
     asked = queries.select("qid", F.explode(F.array_distinct(tokenize(F.col("query")))).alias("term"))
-    scored = have.join(asked, "term").groupBy("qid", "chunk_id").agg(F.count("*").cast("double").alias("score"))
-    return ranked(scored, limit)
+    met = asked.join(have.select("term").distinct(), "term", "left_semi").groupBy("qid").agg(F.array_join(F.array_sort(F.collect_list("term")), " ").alias("form"))
+    forms = met.select("form").distinct().select("form", F.explode(F.split("form", " ")).alias("term"))
+    scored = have.join(forms, "term").groupBy("chunk_id", "form").agg(F.count("*").cast("double").alias("score"))
+    best = ranked(scored.select("form", "chunk_id", "score"), limit, by="form")
+    return met.join(best, "form").select("qid", "chunk_id", "score", "rank")

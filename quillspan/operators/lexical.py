@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import tokenize
@@ -11,11 +11,20 @@ from .ranking import ranked
 K1, B = 1.5, 0.75
 
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """chunk_id, n_tokens, term, tf."""
+#: Stands once in each chunk's terms, so that chunks without any of the wanted ones are counted too.
+EVERY = ""
+
+
+def postings(chunks: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """chunk_id, n_tokens, term, tf, and a row of the term EVERY for each chunk; of wanted terms (term) only, where given.
+
+    Rows of a chunk lie in one partition, so that what is grouped by the chunk later needs no shuffle.
+    """
     tokens = chunks.select("chunk_id", tokenize(F.col("text")).alias("tokens"))
-    exploded = tokens.select("chunk_id", F.size("tokens").cast("long").alias("n_tokens"), F.explode("tokens").alias("term"))
-    return exploded.groupBy("chunk_id", "n_tokens", "term").agg(F.count("*").alias("tf"))
+    rows = tokens.select("chunk_id", F.size("tokens").alias("n_tokens"), F.explode(F.array_append("tokens", F.lit(EVERY))).alias("term"))
+    if wanted is not None:
+        rows = rows.join(wanted.select("term").union(chunks.sparkSession.createDataFrame([(EVERY,)], "term string")), "term", "left_semi").select("chunk_id", "n_tokens", "term")
+    return rows.repartition("chunk_id").groupBy("chunk_id", "n_tokens", "term").agg(F.count("*").alias("tf"))
 
 
 def corpus_stats(chunks: DataFrame) -> DataFrame:
@@ -28,26 +37,36 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("qid", F.posexplode(F.array_distinct(tokenize(F.col("query")))).alias("pos", "term"))
 
 
+#: Further candidates whose scores are added up in query order, beyond those wanted; sums in another order differ by rounding only.
+SPARE = 20
+
+
+def exact_sum(x: Column) -> Column:
+    """A sum whose value doesn't depend on the order: of the parts on a grid, and of what is left, each without rounding."""
+    grid = F.lit(float(1 << 20))
+    high = F.floor(x * grid) / grid
+    return F.sum(high) + F.sum(x - high)
+
+
 def bm25(chunks: DataFrame, queries: DataFrame, limit: int | None = 10, k1: float = K1, b: float = B) -> DataFrame:
     """qid, chunk_id, score, rank, matched_terms for queries (qid, query).
 
-    Only the query's terms are counted and shuffled; a term's contributions are added in query order.
+    Only the query's terms are counted and shuffled, once. A chunk's contributions are added up where the
+    chunk lies, and only the best of each partition go on; of these the contributions are added again, in
+    query order, for the score that is returned.
     """
     terms = query_terms(queries)
-    stats = corpus_stats(chunks)
-    tokens = chunks.select("chunk_id", tokenize(F.col("text")).alias("tokens"))
-    wanted = terms.select("term").distinct()
-    tf = (
-        tokens.select("chunk_id", F.size("tokens").alias("n_tokens"), F.explode("tokens").alias("term"))
-        .join(wanted, "term", "left_semi")
-        .groupBy("chunk_id", "n_tokens", "term").agg(F.count("*").alias("tf"))
-    )
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    tf = postings(chunks, terms.select("term").distinct())
+    every = F.col("term") == EVERY
+    stats = tf.agg(F.count(F.when(every, 1)).alias("n_chunks"), F.coalesce(F.avg(F.when(every, F.col("n_tokens"))), F.lit(0.0)).alias("avg_tokens"))
     both = stats.select(F.struct("n_chunks", "avg_tokens")).scalar()  # one pass for the two
     n, average = both["n_chunks"], both["avg_tokens"]
+    df = tf.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * (F.col("tf") * F.lit(k1 + 1)) / (F.col("tf") + F.lit(k1) * (1 - F.lit(b) + F.lit(b) * (F.col("n_tokens") / average)))
-    hits = tf.join(df, "term").withColumn("part", part).join(terms, "term")
+    parts = tf.join(df, "term").select("chunk_id", "term", part.alias("part"))
+    scored = parts.join(terms.select("qid", "term"), "term").groupBy("chunk_id", "qid").agg(exact_sum(F.col("part")).alias("score"))
+    best = ranked(scored.where("score > 0").select("qid", "chunk_id", "score"), None if limit is None else max(0, limit) + SPARE)
+    hits = parts.join(best.select("qid", "chunk_id"), "chunk_id").join(terms, ["qid", "term"])
     found = hits.groupBy("qid", "chunk_id").agg(F.array_sort(F.collect_list(F.struct("pos", "term", "part"))).alias("parts"))
-    scored = found.select("qid", "chunk_id", F.aggregate("parts", F.lit(0.0), lambda s, x: s + x["part"]).alias("score"), F.col("parts.term").alias("matched_terms"))
-    return ranked(scored.where("score > 0"), limit)
+    return ranked(found.select("qid", "chunk_id", F.aggregate("parts", F.lit(0.0), lambda s, x: s + x["part"]).alias("score"), F.col("parts.term").alias("matched_terms")), limit)

@@ -226,12 +226,14 @@ o AS (SELECT item_id, doc_id, count(*) AS n FROM x JOIN y USING (term) GROUP BY
 SELECT item_id, doc_id, round(n/(len(a.t)+len(b.t)-n), 9) AS similarity FROM o JOIN a USING (item_id) JOIN b USING (doc_id) WHERE n/(len(a.t)+len(b.t)-n) >= 0.1""")
 def jaccard_pairs(spark, sf_dir):
     a = load(spark, sf_dir, "benchmark").select("item_id", F.array_distinct(T.tokenize(F.col("text"))).alias("t"))
-    b = load(spark, sf_dir, "documents").select("doc_id", F.array_distinct(T.tokenize(F.col("text"))).alias("t"))
+    b = load(spark, sf_dir, "documents").select("doc_id", F.array_distinct(T.tokenize(F.col("text"))).alias("u"))
     x = a.select("item_id", F.size("t").alias("na"), F.explode("t").alias("term"))
-    y = b.select("doc_id", F.size("t").alias("nb"), F.explode("t").alias("term"))
-    both = y.join(x, "term").groupBy("item_id", "doc_id", "na", "nb").agg(F.count("*").alias("n"))
-    value = F.col("n") / (F.col("na") + F.col("nb") - F.col("n"))
-    return both.where(value >= 0.1).select("item_id", "doc_id", F.round(value, 9).alias("similarity"))
+    y = b.select("doc_id", F.size("u").alias("nb"), F.explode("u").alias("term"))
+    # enough terms in common, counted where a document lies; what is left is compared as sets
+    both = y.repartition("doc_id").join(x, "term").groupBy("doc_id", "item_id", "na", "nb").agg(F.count("*").alias("n"))
+    near = both.where(F.col("n") / (F.col("na") + F.col("nb") - F.col("n")) >= 0.0999).select("doc_id", "item_id")
+    value = T.jaccard(F.col("t"), F.col("u"))
+    return near.join(a, "item_id").join(b, "doc_id").where(value >= 0.1).select("item_id", "doc_id", F.round(value, 9).alias("similarity"))
 
 
 STOP = ",".join(f"'{w}'" for w in T.STOPWORDS)
@@ -251,9 +253,8 @@ NORM = r"trim(regexp_replace(replace(lower({}),'ß','ss'), '\s+', ' ', 'g'))"
 
 @query(f"SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON {NORM.format('b.text')}<>'' AND contains({NORM.format('d.text')}, {NORM.format('b.text')})")
 def contains_fact(spark, sf_dir):
-    facts = load(spark, sf_dir, "benchmark").select("item_id", T.collapse(T.fold(F.col("text"))).alias("fact"))
-    docs = load(spark, sf_dir, "documents").select("doc_id", T.collapse(T.fold(F.col("text"))).alias("body"))
-    return docs.join(facts, (F.col("fact") != "") & F.contains("body", "fact")).select("doc_id", "item_id")
+    facts = load(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("fact"))
+    return T.texts_with_facts(load(spark, sf_dir, "documents"), facts, "doc_id", "item_id")
 
 
 @query(r"""SELECT conv_id, turn, regexp_replace(regexp_extract(text||' see', '[^.!?\n]*$'), '^[ ,;:\-]+|[ ,;:\-]+$', '', 'g') AS claim, 'doc-'||conv_id||':000' AS chunk_id FROM conversations""")
@@ -561,9 +562,8 @@ ev AS (SELECT case_id, count(rank)/count(*) AS recall, coalesce(1.0::DOUBLE/min(
 
 
 def cases_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("case_id"), T.collapse(T.fold(F.col("text"))).alias("fact"))
-    body = chunks_of(spark, sf_dir).select("chunk_id", T.collapse(T.fold(F.col("text"))).alias("body"))
-    gold = body.join(facts, (F.col("fact") != "") & F.contains("body", "fact")).select("case_id", "chunk_id")
+    facts = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("case_id"), F.col("text").alias("fact"))
+    gold = T.texts_with_facts(chunks_of(spark, sf_dir), facts, "chunk_id", "case_id")
     found = lexical.bm25(chunks_of(spark, sf_dir), item_queries(spark, sf_dir), 3).select(F.col("qid").alias("case_id"), "chunk_id", "rank")
     return evaluation.evaluate_retrieval(gold, found, 3)
 
