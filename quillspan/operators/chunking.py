@@ -213,12 +213,24 @@ def code_language(path: str, given: str | None, text: str) -> str | None:
         for name, language in (("python", "python"), ("bash", "bash"), ("/sh", "bash"), ("node", "javascript"), ("ruby", "ruby")):
             if name in first:
                 return language
+    if given is None and path.lower().endswith((".md", ".markdown")):
+        return None  # prose, whatever it holds
     return CODE_LANGUAGES.get("." + path.rsplit(".", 1)[-1].lower() if "." in path else "")
 
 
-def chunk_identity(document_id: str, checksum: str, ordinal: int, text: str, policy: ChunkingPolicy, locations: list[dict]) -> str:
-    body = json.dumps({"checksum": checksum, "document": document_id, "locations": locations, "ordinal": ordinal, "policy": policy.version, "text": text}, sort_keys=True, separators=(",", ":"))
-    return f"{document_id}:{hashlib.sha256(body.encode()).hexdigest()[:16]}"
+def realigned(text: str, pieces: list[str]) -> list[tuple[int, int]]:
+    """(start, end) of pieces that a chunker gave back, found one after another whatever their case; an error where one isn't there."""
+    low, at, found = text.lower(), 0, []
+    if len(low) != len(text):  # small letters of another length: compare letter by letter
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+    for piece in pieces:
+        wanted = "".join(c.lower() if len(c.lower()) == 1 else c for c in piece.strip())
+        start = low.find(wanted, at)
+        if start < 0:
+            raise ValueError("a chunk's text isn't in its source")
+        found.append((start, start + len(wanted)))
+        at = start + 1
+    return found
 
 
 def chunk_groups(groups: DataFrame, policy: ChunkingPolicy, embed: Callable[[list[str]], list[list[float]]] | None = None) -> DataFrame:

@@ -9,14 +9,17 @@ from ..functions.text import contains_fact, has_support
 
 
 def evaluate_retrieval(gold: DataFrame, results: DataFrame, k: int) -> DataFrame:
-    """case_id, recall, reciprocal_rank for gold (case_id, chunk_id) and results (case_id, chunk_id, rank)."""
+    """case_id, recall, reciprocal_rank for gold (case_id, chunk_id) and results (case_id, chunk_id, rank).
+
+    A case whose only chunk_id is null names nothing to find, which is an error.
+    """
     if k <= 0:
         raise ValueError("k must be positive")
     truth = gold.select("case_id", "chunk_id").distinct()
     top = results.where(F.col("rank") <= k).groupBy("case_id", "chunk_id").agg(F.min("rank").alias("rank"))
     joined = truth.join(top, ["case_id", "chunk_id"], "left")
     return joined.groupBy("case_id").agg(
-        (F.count("rank") / F.count("*")).alias("recall"),
+        F.when(F.count("chunk_id") > 0, F.count("rank") / F.count("chunk_id")).otherwise(F.raise_error(F.lit("a case needs a relevant chunk")).cast("double")).alias("recall"),
         F.coalesce(1 / F.min("rank"), F.lit(0.0)).alias("reciprocal_rank"),
     )
 
@@ -30,9 +33,11 @@ def macro(cases: DataFrame) -> DataFrame:
     )
 
 
-def latencies(runs: DataFrame) -> DataFrame:
-    """One row from runs (n, ms): the first query's time and the median of the others."""
-    return runs.agg(F.min_by("ms", "n").alias("first_ms"), F.coalesce(F.expr("percentile(ms, 0.5) filter (where n > 0)"), F.lit(0.0)).alias("warm_median_ms"))
+def latencies(runs: DataFrame, *by: str) -> DataFrame:
+    """From runs (n, ms), a row for each `by`: the first query's time and the median of the others."""
+    first = runs.groupBy(*by).agg(F.min("n").alias("_first"))
+    numbered = runs.join(first, list(by)) if by else runs.join(F.broadcast(first), F.lit(True), "inner")  # one row
+    return numbered.groupBy(*by).agg(F.min_by("ms", "n").alias("first_ms"), F.coalesce(F.expr("percentile(ms, 0.5) filter (where n > _first)"), F.lit(0.0)).alias("warm_median_ms"))
 
 
 def evaluate_answers(gold: DataFrame, answers: DataFrame, retrieved: DataFrame, evidence: DataFrame, citations: DataFrame) -> DataFrame:
@@ -50,9 +55,9 @@ def evaluate_answers(gold: DataFrame, answers: DataFrame, retrieved: DataFrame,
     placed = there & F.col("source_path").eqNullSafe(F.col("e_path")) & F.col("page").eqNullSafe(F.col("e_page")) & F.col("section").eqNullSafe(F.col("e_section"))
     supported = there & has_support(F.col("claim"), F.col("e_text"))
     note = F.array_compact(F.array(
-        F.when(~there, F.concat(F.lit("Citation uses an unselected chunk: "), "chunk_id")),
-        F.when(there & ~placed, F.concat(F.lit("Citation location does not match chunk metadata: "), "chunk_id")),
-        F.when(there & ~supported, F.concat(F.lit("Selected chunk does not support the cited claim: "), "chunk_id")),
+        F.when(~there, F.concat(F.lit("cited without being selected: "), "chunk_id")),
+        F.when(there & ~placed, F.concat(F.lit("cited at another place than its own: "), "chunk_id")),
+        F.when(there & ~supported, F.concat(F.lit("cited for a claim that it doesn't bear out: "), "chunk_id")),
     ))
     judged = cited.groupBy("case_id").agg(F.bool_and(placed).alias("placed"), F.bool_and(supported).alias("supported"), F.array_sort(F.collect_list(F.struct("pos", note.alias("notes")))).alias("cite_notes"))
     none = F.array().cast("array<string>")
@@ -62,11 +67,11 @@ def evaluate_answers(gold: DataFrame, answers: DataFrame, retrieved: DataFrame,
     score = lambda c: F.when(~F.col("abstained"), c)
     used = F.coalesce(facts, F.lit(False))
     notes = F.array_compact(F.array(
-        F.when(F.size(missing) > 0, F.concat(F.lit("Search missed required chunks: "), F.array_join(missing, ", "))),
-        F.when(F.col("abstained"), "The answer abstained, so evidence use, support, and citations were not scored."),
-        F.when(~F.col("abstained") & ~used, "Not every required fact appears in both the answer and selected evidence."),
+        F.when(F.size(missing) > 0, F.concat(F.lit("not retrieved: "), F.array_join(missing, ", "))),
+        F.when(F.col("abstained"), "no answer was given: use, support and citations have no score"),
+        F.when(~F.col("abstained") & ~used, "a required fact is missing from the answer or from the evidence"),
     ))
-    last = F.when(~F.col("abstained") & F.col("cite_notes").isNull(), F.array(F.lit("The answer contains no citations."))).otherwise(none)
+    last = F.when(~F.col("abstained") & F.col("cite_notes").isNull(), F.array(F.lit("nothing is cited"))).otherwise(none)
     own = F.when(~F.col("abstained"), F.coalesce(F.flatten("cite_notes.notes"), none)).otherwise(none)
     return joined.select(
         "case_id",

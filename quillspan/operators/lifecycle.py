@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .lexical import EVERY, postings
+
 STATE = "source_path string, document_id string, checksum string, versions string, n_chunks int, n_vectors int"
 ATTEMPTS = "source_path string, status string, error string, revision long"
+ACTIONS = "source_path string, document_id string, action string, error string, n_chunks int, n_vectors int"
+#: The layout of a version; others are read as empty.
+SCHEMA_VERSION = 1
 CHUNKS = "chunk_id string, document_id string, source_path string, ordinal int, text string, media_type string, page int, section string, line_start int, line_end int, char_start int, char_end int, chunker string"
 VECTORS = "source_path string, chunk_id string, vector array<double>"
 
@@ -51,12 +58,28 @@ def checked(changes: DataFrame) -> DataFrame:
     return changes.withColumn("error", error)
 
 
+def duplicate_ordinals(chunks: DataFrame) -> DataFrame:
+    """document_id, ordinal, n where a document has two chunks of one ordinal, or a chunk no document."""
+    return chunks.groupBy("document_id", "ordinal").agg(F.count("*").alias("n")).where("n > 1 or document_id is null")
+
+
+def snapshot(chunks: DataFrame) -> DataFrame:
+    """Chunks in the order of their files and of their places there."""
+    return chunks.orderBy("source_path", "ordinal")
+
+
+class Conflict(RuntimeError):
+    """Another writer has committed first."""
+
+
 class IndexState:
     """State as numbered versions of Parquet tables, the current one named by a pointer.
 
     A version holds the sources, the latest attempts, and the chunks and vectors of the sources.
     A version is written whole and the pointer set after it, so a reader sees either the old version or
-    the new one; there is one writer at a time. Old versions stay until `vacuum`.
+    the new one. A pointer is a file named by its revision alone, which only one writer can create: the
+    other gets a Conflict, and its version is never seen. Old versions stay until `vacuum`. Versions of
+    another layout, chunks of sources and vectors of chunks that aren't there are left out when read.
     """
 
     def __init__(self, spark: SparkSession, path: str):
@@ -76,9 +99,28 @@ class IndexState:
         folder = path(f"{self.path}/_pointers")
         if not fs.exists(folder):
             return None
-        names = [s.getPath().getName() for s in fs.listStatus(folder)]
-        found = sorted((int(n.split("-")[0]), n.split("-")[1]) for n in names if "-" in n)
-        return found[-1] if found else None
+        for name in sorted((s.getPath().getName() for s in fs.listStatus(folder)), reverse=True):
+            said = self._text(f"{self.path}/_pointers/{name}").split() if name.isdigit() else []
+            if len(said) == 2 and said[1] == str(SCHEMA_VERSION):  # a writer that died left an empty one
+                return int(name), said[0]
+        return None
+
+    def _text(self, name: str) -> str:
+        fs, path = self._fs()
+        stream = fs.open(path(name))
+        try:
+            return self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def _create(self, name: str, text: str) -> None:
+        """A small file that must not be there yet."""
+        fs, path = self._fs()
+        stream = fs.create(path(name), False)
+        try:
+            stream.writeBytes(text)
+        finally:
+            stream.close()
 
     def read(self, name: str, schema: str = STATE) -> DataFrame:
         pointer = self._pointer()
@@ -96,21 +138,65 @@ class IndexState:
 
     def chunks(self) -> DataFrame:
         """The chunks of all sources, as search takes them."""
-        return self.read("chunks", CHUNKS)
+        return self.read("chunks", CHUNKS).join(self.sources().select("source_path"), "source_path", "left_semi")
 
     def vectors(self) -> DataFrame:
         """The vectors of chunks that were embedded."""
-        return self.read("vectors", VECTORS)
+        return self.read("vectors", VECTORS).join(self.chunks().select("chunk_id"), "chunk_id", "left_semi")
 
-    def _commit(self, sources: DataFrame, attempts: DataFrame, chunks: DataFrame, vectors: DataFrame, steps: int) -> int:
-        """Write a version and point to it; nothing changes where nothing was done."""
-        folder, revision = uuid.uuid4().hex, self.revision() + steps
-        for name, rows in (("vectors", vectors), ("chunks", chunks), ("sources", sources), ("attempts", attempts)):
+    def get(self, source_path: str) -> DataFrame:
+        """A source's row, or none."""
+        return self.sources().where(F.col("source_path") == source_path)
+
+    def latest_attempt(self, source_path: str) -> DataFrame:
+        return self.attempts().where(F.col("source_path") == source_path)
+
+    def source_paths(self) -> DataFrame:
+        return self.sources().select("source_path").distinct()
+
+    def document_count(self) -> int:
+        return self.sources().select("document_id").distinct().count()
+
+    def snapshot(self) -> tuple[int, DataFrame]:
+        """The revision, and its chunks in order."""
+        return self.revision(), snapshot(self.chunks())
+
+    def lexical_index(self) -> DataFrame:
+        """chunk_id, n_tokens, term, tf of all chunks."""
+        return postings(self.chunks()).where(F.col("term") != EVERY)
+
+    def cancel(self, source_path: str) -> None:
+        """Have a source left out of every commit from now on, one that is under way included."""
+        fs, path = self._fs()
+        fs.create(path(f"{self.path}/_cancelled/{hashlib.sha256(source_path.encode()).hexdigest()}"), True).close()
+
+    def cancelled(self) -> DataFrame:
+        """The hashes of cancelled sources' paths."""
+        fs, path = self._fs()
+        folder = path(f"{self.path}/_cancelled")
+        names = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
+        return self.spark.createDataFrame([(n,) for n in names if not n.startswith(".")], "_path_hash string")
+
+    def _without_cancelled(self, rows: DataFrame) -> DataFrame:
+        """Rows with an error for those that have been cancelled since."""
+        marked = rows.withColumn("_path_hash", F.sha2("source_path", 256)).join(self.cancelled().withColumn("_off", F.lit(True)), "_path_hash", "left")
+        off = F.coalesce("_off", F.lit(False)) & (F.col("action") != "skipped")
+        return marked.withColumn("error", F.coalesce("error", F.when(off, "cancelled"))).drop("_path_hash", "_off")
+
+    def _commit(self, sources: DataFrame, attempts: DataFrame, chunks: DataFrame, vectors: DataFrame, steps: int, actions: DataFrame) -> DataFrame:
+        """Write a version and point to it; the actions, as written beside it."""
+        folder, before = uuid.uuid4().hex, self.revision()
+        for name, rows in (("vectors", vectors), ("chunks", chunks), ("sources", sources), ("attempts", attempts), ("actions", actions)):
             rows.write.parquet(f"{self.path}/{folder}/{name}")
         fs, path = self._fs()
         fs.mkdirs(path(f"{self.path}/_pointers"))
-        fs.create(path(f"{self.path}/_pointers/{revision:012d}-{folder}")).close()
-        return revision
+        try:
+            if self.revision() != before:
+                raise Conflict(f"revision {self.revision()} came while {before} was worked on")
+            self._create(f"{self.path}/_pointers/{before + steps:012d}", f"{folder} {SCHEMA_VERSION}")
+        except Py4JJavaError as error:
+            raise Conflict(f"revision {before + steps} is another writer's") from error
+        return self.spark.read.parquet(f"{self.path}/{folder}/actions")
 
     def _attempted(self, rows: DataFrame) -> DataFrame:
         old = self.attempts().join(rows.select("source_path"), "source_path", "left_anti")
@@ -125,26 +211,32 @@ class IndexState:
         """Add, update, rebuild or skip sources (source_path, document_id, checksum, versions, n_chunks, n_vectors, cancelled, perhaps error).
 
         Chunks and vectors are stored for sources that are committed. Failed ones keep their earlier
-        version. The actions are returned.
+        version. Who has cancelled is asked before the work and again when it is done. The actions are
+        returned.
         """
-        done = checked(plan_changes(incoming, self.sources())).cache()
+        done = self._without_cancelled(checked(plan_changes(incoming, self.sources()))).cache()
+        done.count()
+        late = self._without_cancelled(done)
         columns = [c.split()[0] for c in STATE.split(", ")]
-        ready = done.where("action != 'skipped' and error is null")
+        ready = late.where("action != 'skipped' and error is null")
         steps = ready.count()
-        if steps or not done.where("action != 'skipped'").isEmpty():
+        actions = late.select("source_path", "document_id", "action", "error", "n_chunks", "n_vectors")
+        if steps or not late.where("action != 'skipped'").isEmpty():
             kept = self.sources().join(ready.select("source_path"), "source_path", "left_anti")
             status = F.when(F.col("error").isNull(), "ready").otherwise("failed")
-            rows = done.where("action != 'skipped'").select("source_path", status.alias("status"), "error", F.lit(self.revision() + steps).cast("long").alias("revision"))
-            self._commit(kept.unionByName(ready.select(*columns)), self._attempted(rows), self._replaced(self.chunks(), ready, chunks), self._replaced(self.vectors(), ready, vectors), max(1, steps))
-        return done.select("source_path", "document_id", "action", "error", "n_chunks", "n_vectors")
+            rows = late.where("action != 'skipped'").select("source_path", status.alias("status"), "error", F.lit(self.revision() + steps).cast("long").alias("revision"))
+            actions = self._commit(kept.unionByName(ready.select(*columns)), self._attempted(rows), self._replaced(self.chunks(), ready, chunks), self._replaced(self.vectors(), ready, vectors), max(1, steps), actions)
+            done.unpersist()
+        return actions
 
     def delete(self, wanted: DataFrame) -> DataFrame:
         """Remove sources; ones that aren't there are noted too."""
         plan = plan_deletes(wanted.distinct(), self.sources()).cache()
         steps = plan.where("action = 'deleted'").count()
         rows = plan.select("source_path", F.lit("deleted").alias("status"), F.lit(None).cast("string").alias("error"), F.lit(self.revision() + steps).cast("long").alias("revision"))
-        self._commit(self._replaced(self.sources(), plan), self._attempted(rows), self._replaced(self.chunks(), plan), self._replaced(self.vectors(), plan), max(1, steps))
-        return plan
+        actions = self._commit(self._replaced(self.sources(), plan), self._attempted(rows), self._replaced(self.chunks(), plan), self._replaced(self.vectors(), plan), max(1, steps), plan)
+        plan.unpersist()
+        return actions
 
     def prune(self, present: DataFrame) -> DataFrame:
         """Delete sources that aren't present any more."""
@@ -156,5 +248,5 @@ class IndexState:
         current = self._pointer()
         for status in fs.listStatus(path(self.path)):
             name = status.getPath().getName()
-            if current and name not in ("_pointers", current[1]):
+            if current and name not in ("_pointers", "_cancelled", current[1]):
                 fs.delete(status.getPath(), True)

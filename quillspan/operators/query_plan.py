@@ -108,10 +108,10 @@ def plan_queries(queries: DataFrame, today: date, query: str = "query", supplied
     protected = F.transform(given, lambda v: F.struct(v.alias("v"), protect_variant(v, terms).alias("p")))
     protected = F.filter(protected, lambda x: x["p"] != "")
     steps = F.array_compact(F.array(
-        F.when(normal != raw, step("normalize", raw, normal, "Collapsed whitespace without changing words.")),
-        F.when(F.size(expanded) > 1, step("identifier_expansion", normal, F.get(expanded, 1), "Split filename, path, underscore, hyphen, and camel-case boundaries.")),
+        F.when(normal != raw, step("normalize", raw, normal, "Runs of white space became single blanks.")),
+        F.when(F.size(expanded) > 1, step("identifier_expansion", normal, F.get(expanded, 1), "Names were taken apart where they join words.")),
     ))
-    kept = F.transform(protected, lambda x: step("supplied_variant", x["v"], x["p"], "Kept externally supplied wording while restoring exact evidence."))
+    kept = F.transform(protected, lambda x: step("supplied_variant", x["v"], x["p"], "A form from outside, with the exact terms that it lacked."))
     return (
         with_terms.withColumn("search_queries", F.array_distinct(F.concat(expanded, F.transform(protected, lambda x: x["p"]))))
         .withColumn("filters", metadata_filters(normal, today))

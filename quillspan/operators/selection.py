@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -11,6 +13,13 @@ from pyspark.sql import functions as F
 from ..functions.text import jaccard, tokenize
 
 NEAR = 0.85
+#: Calls of a remote scorer that one worker has open.
+MOST_CALLS = 12
+
+
+def _kind(rows: DataFrame) -> str:
+    """The type of a table's query ids."""
+    return rows.schema["qid"].dataType.simpleString()
 
 
 def diversify(candidates: DataFrame, limit: int, relevance: float = 0.8) -> DataFrame:
@@ -38,7 +47,7 @@ def diversify(candidates: DataFrame, limit: int, relevance: float = 0.8) -> Data
                 nearest[c] = max(nearest[c], both / len(terms[c] | terms[best]) if terms[c] and terms[best] else 0.0)
         return pd.DataFrame(out, columns=["qid", "chunk_id", "diversity_score", "rank"])
 
-    return rows.groupBy("qid").applyInPandas(pick, "qid long, chunk_id string, diversity_score double, rank int")
+    return rows.groupBy("qid").applyInPandas(pick, f"qid {_kind(candidates)}, chunk_id string, diversity_score double, rank int")
 
 
 def _folded(candidates: DataFrame, *columns: str) -> DataFrame:
@@ -110,4 +119,31 @@ def scored_by(pairs: DataFrame, score: object, batch: int = 64) -> DataFrame:
                     raise ValueError("reranker must return exactly one score per candidate")
                 yield pd.DataFrame({"qid": part["qid"], "chunk_id": part["chunk_id"], "new_score": [float(v) for v in values]})
 
-    return pairs.select("qid", "query", "chunk_id", "text").mapInPandas(run, "qid long, chunk_id string, new_score double")
+    return pairs.select("qid", "query", "chunk_id", "text").mapInPandas(run, f"qid {_kind(pairs)}, chunk_id string, new_score double")
+
+
+def cross_encoder(logits: Callable[[list[tuple[str, str]]], object]) -> Callable[[list[str], list[str]], list[float]]:
+    """A model that gives a logit for each pair as a scorer of values between 0 and 1; a bare number counts as one."""
+
+    def score(queries: list[str], texts: list[str]) -> list[float]:
+        found = logits(list(zip(queries, texts, strict=True)))
+        values = [found] if isinstance(found, (int, float)) else list(found)
+        return [1 / (1 + math.exp(-v)) if v >= 0 else math.exp(v) / (1 + math.exp(v)) for v in map(float, values)]
+
+    return score
+
+
+def client_scorer(make_client: Callable[[], Callable[[str, str], float]], most: int = MOST_CALLS) -> Callable:
+    """A remote scorer of single pairs as a scorer of batches: one client for each worker, calls side by side, in order."""
+
+    def build() -> Callable[[list[str], list[str]], list[float]]:
+        client = make_client()
+
+        def score(queries: list[str], texts: list[str]) -> list[float]:
+            with ThreadPoolExecutor(max_workers=max(1, min(most, len(texts)))) as pool:
+                return list(pool.map(client, queries, texts))
+
+        return score
+
+    build.factory = True
+    return build

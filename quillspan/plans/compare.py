@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date
 from functools import reduce
+from statistics import median
 from time import perf_counter
 
 from pyspark.sql import DataFrame
@@ -37,18 +38,32 @@ def planned_search(chunks: DataFrame, queries: DataFrame, stage: str, k: int, to
     return reduce(DataFrame.unionByName, parts, empty)
 
 
-def compare(chunks: DataFrame, gold: DataFrame, stages: Sequence[str] = ("bm25",), modes: Sequence[str] = ("raw", "processed"), k: int = 3, today: date | None = None, models: Models | None = None) -> DataFrame:
-    """A row for each stage and mode: recall, mrr, no_headroom, batch_ms; gold has qid, query, relevant_chunk_ids."""
+def compare(chunks: DataFrame, gold: DataFrame, stages: Sequence[str] = ("bm25",), modes: Sequence[str] = ("raw", "processed"), k: int = 3, today: date | None = None, models: Models | None = None, timed: int = 0) -> DataFrame:
+    """A row for each stage and mode: recall, mrr, no_headroom, batch_ms, and first_ms and warm_median_ms.
+
+    gold has qid, query, relevant_chunk_ids. `timed` queries, the first by id, are run one by one for the
+    latencies; the batch has all of them.
+    """
     rows = []
     queries = gold.select("qid", "query")
     truth = gold.select(F.col("qid").alias("case_id"), F.explode("relevant_chunk_ids").alias("chunk_id"))
+    singles = queries.orderBy("qid").limit(timed).collect() if timed else []
+
+    def run(asked: DataFrame, stage: str, mode: str) -> DataFrame:
+        return search(chunks, asked, stage, k, models=models) if mode == "raw" else planned_search(chunks, asked, stage, k, today or date.today(), models)
+
     for stage in stages:
         for mode in modes:
+            took = []
+            for one in singles:
+                began = perf_counter()
+                run(gold.sparkSession.createDataFrame([one], queries.schema), stage, mode).collect()
+                took.append((perf_counter() - began) * 1000)
             began = perf_counter()
-            found = search(chunks, queries, stage, k, models=models) if mode == "raw" else planned_search(chunks, queries, stage, k, today or date.today(), models)
+            found = run(queries, stage, mode)
             one = macro(evaluate_retrieval(truth, found.select(F.col("qid").alias("case_id"), "chunk_id", "rank"), k)).first()
-            rows.append((stage, mode, one["recall"], one["mrr"], one["no_headroom"], (perf_counter() - began) * 1000))
-    return gold.sparkSession.createDataFrame(rows, "stage string, query_mode string, recall double, mrr double, no_headroom boolean, batch_ms double")
+            rows.append((stage, mode, one["recall"], one["mrr"], one["no_headroom"], (perf_counter() - began) * 1000, took[0] if took else None, median(took[1:]) if took[1:] else None))
+    return gold.sparkSession.createDataFrame(rows, "stage string, query_mode string, recall double, mrr double, no_headroom boolean, batch_ms double, first_ms double, warm_median_ms double")
 
 
 def report(results: DataFrame, path: str) -> None:

@@ -129,10 +129,10 @@ def admission_filter(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id", files.skip_reason(path, size, kind).alias("reason"))
 
 
-@query(f"WITH {CHUNKS} SELECT document_id, ordinal::BIGINT AS ordinal, count(*) AS n FROM chunks GROUP BY document_id, ordinal HAVING count(*) > 1 OR document_id IS NULL")
+@query("SELECT conv_id AS document_id, (turn//2)::BIGINT AS ordinal, count(*) AS n FROM conversations GROUP BY conv_id, turn//2 HAVING count(*) > 1")
 def unique_ordinals(spark, sf_dir):
-    grouped = chunks_of(spark, sf_dir).groupBy("document_id", long("ordinal")).agg(F.count("*").alias("n"))
-    return grouped.where("n > 1 or document_id is null")
+    rows = load(spark, sf_dir, "conversations").select(F.col("conv_id").alias("document_id"), F.floor(F.col("turn") / 2).cast("long").alias("ordinal"))
+    return lifecycle.duplicate_ordinals(rows)
 
 
 # filters
@@ -163,7 +163,7 @@ def file_extension(spark, sf_dir):
 
 @query(f"WITH {CHUNKS} SELECT chunk_id, source_path, ordinal::BIGINT AS ordinal FROM chunks ORDER BY source_path, ordinal")
 def snapshot_order(spark, sf_dir):
-    return chunks_of(spark, sf_dir).select("chunk_id", "source_path", long("ordinal")).orderBy("source_path", "ordinal")
+    return lifecycle.snapshot(chunks_of(spark, sf_dir)).select("chunk_id", "source_path", long("ordinal"))
 
 
 # query planning
@@ -341,10 +341,15 @@ def chunk_documents(spark, sf_dir):
     return chunking.chunk_documents(blocks, chunking.ChunkingPolicy(target_size=400, overlap=40)).select("chunk_id", "document_id", long("ordinal"), "chunk_text", long("page"), "section", "chunker")
 
 
-@query(r"""WITH c AS (SELECT doc_id, CASE doc_id%4 WHEN 3 THEN 'python' END AS language FROM documents) SELECT doc_id, language FROM c""")
+SUFFIXES = (*chunking.CODE_LANGUAGES, ".txt", ".md")
+LANGUAGES = " ".join(f"WHEN {n} THEN '{chunking.CODE_LANGUAGES[s]}'" for n, s in enumerate(SUFFIXES) if s in chunking.CODE_LANGUAGES)
+
+
+@query(f"SELECT doc_id, CASE doc_id%{len(SUFFIXES)} {LANGUAGES} END AS language FROM documents")
 def code_language(spark, sf_dir):
-    path = F.col("source_path")
-    return chunks_of(spark, sf_dir).select(F.regexp_extract("document_id", r"\d+", 0).cast("long").alias("doc_id"), chunking.suffix_language(path).alias("language"))
+    suffix = F.element_at(F.array(*map(F.lit, SUFFIXES)), (F.col("doc_id") % len(SUFFIXES) + 1).cast("int"))
+    path = F.concat(F.lit("src/a.b"), F.col("doc_id").cast("string"), F.upper(suffix))
+    return load(spark, sf_dir, "documents").select("doc_id", chunking.suffix_language(path).alias("language"))
 
 
 # retrieval
@@ -582,15 +587,14 @@ def macro_eval(spark, sf_dir):
 SELECT user_id, round(first_ms,9) AS first_ms, round(coalesce(median(value) FILTER (WHERE n>n0),0),9) AS warm_median_ms FROM e JOIN f USING (user_id) GROUP BY user_id, first_ms""")
 def latency_summary(spark, sf_dir):
     e = load(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("n"), F.col("value").alias("ms"))
-    first = e.groupBy("user_id").agg(F.min("n").alias("n0"))
-    runs = e.join(first, "user_id").groupBy("user_id").agg(F.min_by("ms", "n").alias("first_ms"), F.coalesce(F.expr("percentile(ms, 0.5) filter (where n > n0)"), F.lit(0.0)).alias("warm_median_ms"))
+    runs = evaluation.latencies(e, "user_id")
     return runs.select("user_id", F.round("first_ms", 9).alias("first_ms"), F.round("warm_median_ms", 9).alias("warm_median_ms"))
 
 
 @query(f"""WITH {CHUNKS}, b AS (SELECT item_id, item_id%5=4 AS abstained, text, 'doc-'||(item_id*3)||':000' AS want, 'doc-'||(item_id*3+CASE WHEN item_id%3=0 THEN 1 ELSE 0 END)||':000' AS got FROM benchmark),
 e AS (SELECT b.*, c.text AS body, c.source_path, c.page FROM b LEFT JOIN chunks c ON c.chunk_id=b.got),
 w AS (SELECT *, list_distinct(list_filter({tok('text')}, lambda x: x NOT IN ({STOP}))) AS t, list_distinct({tok("coalesce(body,'')")}) AS u,
- contains({NORM.format("coalesce(body,'')")}, {NORM.format('left(text,12)')}) AS in_evidence FROM e)
+ contains({NORM.format("coalesce(body,'')")}, {NORM.format('text')}) AS in_evidence FROM e)
 SELECT item_id AS case_id, want=got AS retrieval_found_evidence, CASE WHEN NOT abstained THEN in_evidence END AS answer_used_evidence,
  CASE WHEN NOT abstained THEN body IS NOT NULL AND len(t)>0 AND len(list_intersect(t,u)) >= (CASE WHEN len(t)<=2 THEN 1 ELSE (len(t)+1)//2 END) END AS answer_supported,
  CASE WHEN NOT abstained THEN coalesce(page <= 5, false) END AS citations_correct FROM w""")
@@ -598,7 +602,7 @@ def rag_case_eval(spark, sf_dir):
     n = F.col("item_id")
     name = lambda k: F.concat(F.lit("doc-"), k.cast("string"), F.lit(":000"))
     items = load(spark, sf_dir, "benchmark").select(n.alias("case_id"), "text", (n % 5 == 4).alias("abstained"), name(n * 3).alias("want"), name(n * 3 + F.when(n % 3 == 0, 1).otherwise(0)).alias("got"))
-    gold = items.select("case_id", F.array("want").alias("relevant_chunk_ids"), F.array(F.substring("text", 1, 12)).alias("required_facts"))
+    gold = items.select("case_id", F.array("want").alias("relevant_chunk_ids"), F.array("text").alias("required_facts"))
     have = chunks_of(spark, sf_dir).select("chunk_id", F.col("text").alias("body"), "source_path", "page")
     evidence = items.join(have, F.col("got") == F.col("chunk_id")).select("case_id", "chunk_id", F.col("body").alias("text"), "source_path", "page", F.lit(None).cast("string").alias("section"))
     cited = items.join(have, F.col("got") == F.col("chunk_id"), "left").select("case_id", F.lit(0).alias("pos"), F.col("text").alias("claim"), F.col("got").alias("chunk_id"), "source_path", F.when(F.col("page") <= 5, F.col("page")).otherwise(99).alias("page"), F.lit(None).cast("string").alias("section"))

@@ -13,10 +13,12 @@ from ..operators.fusion import fuse_variants
 from ..operators.lifecycle import IndexState
 from ..operators.query_plan import plan_queries
 from ..sources.files import decode_upload, media_type
-from ..functions.text import safe_path
+from ..functions.text import safe_path, tokenize
 from .ingestion import POLICY, Embed, add_files, refusal
 from .stages import Models, search, variants
 
+#: What one call may hold: a query's characters, hits, files of an upload.
+MOST_QUERY, MOST_HITS, MOST_FILES = 500, 50, 100
 #: Stages that the test page offers.
 PAGE_STAGES = ("bm25", "bge_dense", "hybrid", "rerank_bge", "rerank_jev")
 
@@ -24,8 +26,10 @@ PAGE_STAGES = ("bm25", "bge_dense", "hybrid", "rerank_bge", "rerank_jev")
 def add_uploads(state: IndexState, uploads: DataFrame, versions: str = "1", policy: ChunkingPolicy = POLICY, embed: Embed | None = None, embedding: str = "") -> tuple[DataFrame, DataFrame]:
     """Uploads (relative_path, media_type, content_base64) into the state: the actions, and what was skipped and why.
 
-    Of several uploads of a path the last row counts.
+    Of several uploads of a path the last row counts. One call takes MOST_FILES files.
     """
+    if (n := uploads.limit(MOST_FILES + 1).count()) > MOST_FILES:
+        raise ValueError(f"a call takes {MOST_FILES} files, not {n} or more")
     content = decode_upload(F.col("content_base64"))
     path = safe_path(F.col("relative_path"))
     rows = uploads.select(path.alias("source_path"), media_type(path, F.col("media_type")).alias("media_type"), content.alias("content"))
@@ -40,11 +44,29 @@ def delete_source(state: IndexState, spark: SparkSession, source_path: str) -> D
     return state.delete(spark.createDataFrame([(source_path,)], "source_path string"))
 
 
-def answer_search(chunks: DataFrame, queries: DataFrame, today: date, stage: str = "bm25", limit: int = 10, models: Models | None = None, filters: Iterable[Mapping[str, str]] | None = None) -> DataFrame:
-    """Planned search: every form of each query is ranked, and several are fused."""
-    if stage not in PAGE_STAGES:
-        raise ValueError(f"Unknown retrieval stage: {stage}")
-    planned = plan_queries(queries, today)
+def health() -> dict[str, str]:
+    return {"status": "ok"}
+
+
+def skip_source(state: IndexState, source_path: str) -> None:
+    """Leave a source out of commits from now on."""
+    state.cancel(source_path)
+
+
+def skipped_ledger(ledger: DataFrame | None, more: DataFrame) -> DataFrame:
+    """The files that were left out (source_path, why), appended to those before; a cancelled one is noted once."""
+    rows = more if ledger is None else ledger.unionByName(more)
+    cancelled = F.col("why") == "cancelled"
+    return rows.where(~cancelled).unionByName(rows.where(cancelled).distinct())
+
+
+def checked_queries(queries: DataFrame) -> DataFrame:
+    """Queries that are neither blank nor longer than MOST_QUERY; another one ends the read."""
+    good = F.col("query").rlike(r"\S") & (F.length("query") <= MOST_QUERY)
+    return queries.withColumn("query", F.when(good, F.col("query")).otherwise(F.raise_error(F.lit(f"a query needs 1 to {MOST_QUERY} characters, not all blank")).cast("string")))
+
+
+def ranked_answers(chunks: DataFrame, queries: DataFrame, planned: DataFrame, stage: str, limit: int, models: Models | None, filters: Iterable[Mapping[str, str]] | None) -> DataFrame:
     forms = planned.select("qid", F.posexplode("search_queries").alias("n", "query"))
     listed = None
     for n in range(forms.agg(F.coalesce(F.max("n"), F.lit(-1)).alias("n")).first()["n"] + 1):  # forms of a query are few
@@ -56,5 +78,23 @@ def answer_search(chunks: DataFrame, queries: DataFrame, today: date, stage: str
     return fuse_variants(listed, limit)
 
 
+def answer_search(chunks: DataFrame, queries: DataFrame, today: date, stage: str = "bm25", limit: int = 10, models: Models | None = None, filters: Iterable[Mapping[str, str]] | None = None) -> DataFrame:
+    """Planned search: every form of each query is ranked, and several are fused.
+
+    qid, chunk_id, score, rank, and for each hit its text, source_path, the terms of the query's forms that
+    it holds and the stage it comes from; beside them the query's plan: query_variants, exact_terms, filters.
+    """
+    if stage not in PAGE_STAGES:
+        raise ValueError(f"Unknown retrieval stage: {stage}")
+    if not 1 <= limit <= MOST_HITS:
+        raise ValueError(f"limit must lie between 1 and {MOST_HITS}")
+    planned = plan_queries(checked_queries(queries), today)
+    hits = ranked_answers(chunks, queries, planned, stage, limit, models, filters)
+    plan = planned.select("qid", F.col("search_queries").alias("query_variants"), "exact_terms", "filters", F.array_distinct(tokenize(F.array_join("search_queries", " "))).alias("_terms"))
+    found = hits.join(plan, "qid").join(chunks.select("chunk_id", "text", "source_path"), "chunk_id")
+    matched = F.array_intersect("_terms", tokenize(F.col("text"))).alias("matched_terms")
+    return found.select("qid", "chunk_id", "score", "rank", "text", "source_path", matched, F.lit(stage).alias("source"), "query_variants", "exact_terms", "filters")
+
+
 def search_forms(queries: DataFrame) -> DataFrame:
     return variants(queries)

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.dense import dense, metadata_leg, sparse
+from ..operators.dense import check_vectors, dense, metadata_leg, sparse
 from ..operators.filters import filter_chunks
 from ..operators.fusion import reciprocal_rank_fusion, rerank
 from ..operators.lexical import bm25
@@ -34,6 +34,13 @@ class Models:
     rerankers: Mapping[str, Callable] = field(default_factory=dict)
 
 
+def needed(stage: str, **given: object) -> None:
+    """An error that names what a stage lacks."""
+    missing = [name for name, value in given.items() if value is None]
+    if missing:
+        raise ValueError(f"stage {stage} needs {', '.join(missing)}")
+
+
 def variants(queries: DataFrame, supplied: str | None = None) -> DataFrame:
     """qid, n, query: each query's search forms."""
     forms = expand_query(F.col("query"), F.col(supplied) if supplied else None)
@@ -46,10 +53,11 @@ def legs(chunks: DataFrame, queries: DataFrame, models: Models, splade: bool, li
     asked = forms.select(F.col("key").alias("qid"), "query")
     name = lambda df, leg: df.select(F.col("qid.qid").alias("qid"), F.concat(F.lit("query_"), F.col("qid.n").cast("string"), F.lit(f":{leg}")).alias("list"), "chunk_id", "rank", "score")
     found = name(bm25(chunks, asked, limit), "bm25")
-    fields = [f for f in METADATA if f in chunks.columns]
+    fields = [f for f in METADATA if f in chunks.columns]  # attribute values count too
     found = found.union(name(metadata_leg(chunks, asked, fields, limit), "metadata"))
     keys = forms.select("qid", F.col("key"))
     if models.chunk_vectors is not None:
+        needed("hybrid", query_vectors=models.query_vectors)
         here = models.chunk_vectors.join(chunks.select("chunk_id"), "chunk_id", "left_semi")
         wanted = keys.join(models.query_vectors, "qid").select(F.col("key").alias("qid"), "vector")
         found = found.union(name(dense(here, wanted, limit), "vector"))
@@ -71,13 +79,17 @@ def search(chunks: DataFrame, queries: DataFrame, stage: str = "hybrid", limit:
     if stage == "bm25":
         return bm25(eligible, queries, limit).select(*columns)
     if stage == "bge_dense":
+        needed(stage, chunk_vectors=models.chunk_vectors, query_vectors=models.query_vectors)
+        check_vectors(eligible, models.chunk_vectors)
         here = models.chunk_vectors.join(eligible.select("chunk_id"), "chunk_id", "left_semi")
         return dense(here, models.query_vectors.join(queries.select("qid"), "qid", "left_semi"), limit).select(*columns)
     fused = reciprocal_rank_fusion(legs(eligible, queries, models, stage == "specialists"), CANDIDATES)
     if stage == "hybrid":
         return fused.where(F.col("rank") <= limit).select(*columns)
+    name = "rerank_jev" if stage == "rerank_jev" else "rerank_bge"
+    needed(stage, **{name: models.rerankers.get(name)})
     texts = fused.join(eligible.select("chunk_id", "text"), "chunk_id").join(queries.select("qid", "query"), "qid")
-    scores = scored_by(texts, models.rerankers["rerank_jev" if stage == "rerank_jev" else "rerank_bge"])
+    scores = scored_by(texts, models.rerankers[name])
     better = rerank(fused.select(*columns), scores).join(eligible.select("chunk_id", "text"), "chunk_id")
     picked = diversify(better, limit)
     return picked.join(better.select("qid", "chunk_id", "score"), ["qid", "chunk_id"]).select(*columns)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import mimetypes
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
@@ -20,12 +21,16 @@ TEXT_SUFFIXES = (".txt", ".md", ".markdown", ".rst", ".csv", ".tsv", ".json", ".
 CODE_SUFFIXES = (".py", ".js", ".jsx", ".ts", ".tsx", ".java", ".kt", ".kts", ".c", ".h", ".cpp", ".hpp", ".cs", ".go", ".rs", ".rb", ".php", ".swift", ".sql", ".sh", ".ps1", ".css", ".scss", ".xml")
 IGNORED_FOLDERS = (".git", ".cache", ".next", ".venv", "venv", "node_modules", "dist", "build", "__pycache__")
 MEDIA_TYPES = {".txt": "text/plain", ".md": "text/markdown", ".markdown": "text/markdown", ".csv": "text/csv", ".html": "text/html", ".htm": "text/html", ".css": "text/css", ".py": "text/x-python", ".js": "text/javascript", ".json": "application/json", ".xml": "text/xml", ".pdf": "application/pdf", ".docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document"}
+#: What a file that isn't admitted or can't be read is reported with.
+IGNORED, LONG_PATH, EMPTY, TOO_LARGE, UNSUPPORTED = "ignored folder: ", "path is longer than the 1,000-character limit", "empty file", "larger than the 20 MB per-file limit", "unsupported file type: "
+NO_TEXT, BAD_DOCX, NO_PARAGRAPH, NO_PDF, NO_PAGE = "file contains no searchable text", "DOCX file is invalid or unreadable", "DOCX contains no searchable paragraph text", "PDF support is not installed", "PDF contains no extractable text"
 WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
 def media_type(path: Column, given: Column) -> Column:
     """The type that was given, else the suffix's, else bytes."""
-    known = F.create_map(*[F.lit(x) for pair in MEDIA_TYPES.items() for x in pair])
+    guessed = {s: mimetypes.types_map[s] for s in (*TEXT_SUFFIXES, *CODE_SUFFIXES) if s in mimetypes.types_map}
+    known = F.create_map(*[F.lit(x) for pair in (guessed | MEDIA_TYPES).items() for x in pair])
     return F.coalesce(F.when(given != "", given), known[path_suffix(path)], F.lit("application/octet-stream"))
 
 
@@ -37,11 +42,11 @@ def skip_reason(path: Column, size: Column, kind: Column) -> Column:
     what = F.coalesce(F.when(suffix != "", suffix), F.when(kind != "", kind), F.lit("unknown"))
     unsupported = ~suffix.isin(".pdf", ".docx", *TEXT_SUFFIXES, *CODE_SUFFIXES) & ~F.coalesce(kind, F.lit("")).startswith("text/")
     return (
-        F.when(ignored.isNotNull(), F.concat(F.lit("ignored folder: "), ignored))
-        .when(F.length(path) > MAX_PATH, "path is longer than the 1,000-character limit")
-        .when(size == 0, "empty file")
-        .when(size > MAX_BYTES, "larger than the 20 MB per-file limit")
-        .when(unsupported, F.concat(F.lit("unsupported file type: "), what))
+        F.when(ignored.isNotNull(), F.concat(F.lit(IGNORED), ignored))
+        .when(F.length(path) > MAX_PATH, LONG_PATH)
+        .when(size == 0, EMPTY)
+        .when(size > MAX_BYTES, TOO_LARGE)
+        .when(unsupported, F.concat(F.lit(UNSUPPORTED), what))
     )
 
 
@@ -82,7 +87,7 @@ def text_documents(files: DataFrame) -> DataFrame:
         (line_count(body) + 1).alias("line_end"),
         F.lit(0).alias("char_start"),
         F.length(body).alias("char_end"),
-        F.when(path.isNull(), "file path is empty").when(body == "", "file contains no searchable text").alias("error"),
+        F.when(path.isNull(), "file path is empty").when(body == "", NO_TEXT).alias("error"),
     )
 
 
@@ -92,11 +97,11 @@ def docx_paragraphs(content: bytes) -> list[tuple[int, str]]:
         with zipfile.ZipFile(io.BytesIO(content)) as archive:
             root = ElementTree.fromstring(archive.read("word/document.xml"))
     except (KeyError, zipfile.BadZipFile) as error:
-        raise ValueError("DOCX file is invalid or unreadable") from error
+        raise ValueError(BAD_DOCX) from error
     texts = ("".join(t.text or "" for t in p.iter(f"{WORD}t")).strip() for p in root.iter(f"{WORD}p"))
     found = [(n, text) for n, text in enumerate(texts, 1) if text]
     if not found:
-        raise ValueError("DOCX contains no searchable paragraph text")
+        raise ValueError(NO_PARAGRAPH)
     return found
 
 
@@ -105,11 +110,11 @@ def pdf_pages(content: bytes) -> list[tuple[int, str]]:
     try:
         from pypdf import PdfReader
     except ImportError as error:
-        raise ValueError("PDF support is not installed") from error
+        raise ValueError(NO_PDF) from error
     texts = ((page.extract_text() or "").strip() for page in PdfReader(io.BytesIO(content)).pages)
     found = [(n, text) for n, text in enumerate(texts, 1) if text]
     if not found:
-        raise ValueError("PDF contains no extractable text")
+        raise ValueError(NO_PAGE)
     return found
 
 

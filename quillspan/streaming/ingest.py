@@ -30,6 +30,6 @@ def ingest(stream: DataFrame, state: IndexState, checkpoint: str, versions: str
         latest = Window.partitionBy("source_path").orderBy(F.desc("modificationTime"), checksum(F.col("content")))
         rows = files.select(path.alias("source_path"), media_type(path, F.lit("")).alias("media_type"), "content", "modificationTime").where("source_path is not null")
         newest = rows.withColumn("n", F.row_number().over(latest)).where("n = 1").withColumn("error", refusal())
-        add_files(state, newest, versions, policy, embed, embedding).collect()
+        add_files(state, newest, versions, policy, embed, embedding)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
