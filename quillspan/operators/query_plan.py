@@ -35,7 +35,7 @@ def expand_query(query: Column, supplied: Column | None = None) -> Column:
 
 def exact_terms(query: Column) -> Column:
     """Quoted phrases, then paths, file names and code identifiers, each once."""
-    quoted = F.transform(F.regexp_extract_all(query, F.lit(QUOTED), F.lit(2)), F.trim)
+    quoted = F.transform(F.regexp_extract_all(query, F.lit(QUOTED), F.lit(2)), lambda t: F.trim(t))  # a function of two would get the index too
     names = F.transform(F.regexp_extract_all(query, F.lit(IDENTIFIER), F.lit(0)), lambda t: F.regexp_replace(t, r"[.,;:!?]+$", ""))
     return F.array_distinct(F.filter(F.concat(quoted, names), lambda t: t != ""))
 

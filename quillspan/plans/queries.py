@@ -203,7 +203,10 @@ def variant_protect(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id", query_plan.protect_variant(variant, F.array(F.lit("fetch_retries.py"))).alias("protected"))
 
 
-@query()
+@query(r"""WITH n AS (SELECT page_id, trim(regexp_replace('find PDF files about '||chr(39)||page_id||chr(39)||' in '||url||' from last March', '\s+', ' ', 'g')) AS o, regexp_replace(url, '[.,;:!?]+$', '') AS u FROM pages),
+e AS (SELECT *, trim(regexp_replace(regexp_replace(regexp_replace(o, '([a-z0-9])([A-Z])', '\1 \2', 'g'), '[_./\\-]+', ' ', 'g'), '\s+', ' ', 'g')) AS x FROM n)
+SELECT page_id, o AS normalized_query, CASE WHEN x=o THEN o ELSE o||'|'||x END AS search_queries, page_id||'|'||u AS exact_terms,
+'.pdf|'||(CASE WHEN regexp_extract(regexp_replace(replace(u,'\','/'),'/+$',''), '[^/]*[^/](\.[^./]+)$', 1)<>'' THEN replace(u,'\','/')||'|' ELSE '' END)||'2026-03-01|2026-04-01' AS filters, CASE WHEN x=o THEN 'normalize' ELSE 'normalize|identifier_expansion' END AS transformations FROM e""")
 def plan_queries(spark, sf_dir):
     pages = load(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("  find PDF files about '"), F.col("page_id").cast("string"), F.lit("' in "), "url", F.lit(" from last March")).alias("query"))
     planned = query_plan.plan_queries(pages, TODAY)
@@ -328,7 +331,18 @@ def metadata_merge(spark, sf_dir):
     return merged.select("document_id", long("group_no"), long("chunk_no"), long("page"), "section", long("line_start"), long("line_end"), long("char_start"), long("char_end"), "n_locations")
 
 
-@query()
+PACKS = r"""se AS (SELECT document_id, text, regexp_extract_all(text, '(?s).+?(?:[.!?] |\n|$)') AS parts FROM chunks WHERE text<>''),
+sb AS (SELECT document_id, text, len(parts) AS m, list_transform(range(1, len(parts)+1), lambda i: list_sum(list_transform(parts[1:i], lambda p: length(p)))::BIGINT) AS ends, list_transform(parts, lambda p: length(p)) AS sizes FROM se),
+wk AS (SELECT document_id, 0::BIGINT AS k, 1::BIGINT AS ps, []::STRUCT(a BIGINT, b BIGINT)[] AS cuts FROM sb
+ UNION ALL SELECT document_id, j, CASE WHEN big THEN j+1 WHEN ps=j OR ends[j]-(ends[ps]-sizes[ps])<=500 THEN ps ELSE coalesce(list_filter(range(ps, j), lambda i: ends[j-1]-(ends[i]-sizes[i])<=50 AND ends[j]-(ends[i]-sizes[i])<=500)[1], j) END,
+  CASE WHEN big THEN list_concat(CASE WHEN ps<j THEN list_append(cuts, {'a': ends[ps]-sizes[ps], 'b': ends[j-1]}) ELSE cuts END, list_transform(range(ends[j]-sizes[j], ends[j], 500), lambda a: {'a': a, 'b': least(a+500, ends[j])}))
+  WHEN ps=j OR ends[j]-(ends[ps]-sizes[ps])<=500 THEN cuts ELSE list_append(cuts, {'a': ends[ps]-sizes[ps], 'b': ends[j-1]}) END
+  FROM (SELECT wk.*, wk.k+1 AS j, sb.m, sb.ends, sb.sizes, sb.sizes[wk.k+1]>500 AS big FROM wk JOIN sb USING (document_id) WHERE wk.k<sb.m)),
+ct AS (SELECT wk.document_id, sb.text, CASE WHEN ps<=m THEN list_append(cuts, {'a': ends[ps]-sizes[ps], 'b': ends[m]}) ELSE cuts END AS cuts FROM wk JOIN sb USING (document_id) WHERE wk.k=sb.m)"""
+
+
+@query(rf"""WITH RECURSIVE {CHUNKS}, {PACKS}, u AS (SELECT document_id, text, unnest(cuts) AS c, generate_subscripts(cuts, 1)-1 AS chunk_no FROM ct)
+SELECT document_id, chunk_no, c.a AS start, c.b AS "end", text[c.a+1:c.b] AS chunk_text FROM u WHERE regexp_matches(text[c.a+1:c.b], '\S')""")
 def sentence_chunks(spark, sf_dir):
     policy = chunking.ChunkingPolicy(target_size=500, overlap=50)
     groups = chunks_of(spark, sf_dir).select("document_id", F.lit(1).cast("long").alias("group_no"), F.lit("paragraph").alias("kind"), "language", "source_path", "text")
@@ -532,12 +546,33 @@ def select_context(spark, sf_dir):
     return found.select("qid", "chunk_id", long("position"), "cost", long("context_order"))
 
 
-@query()
+MMR = f"""cn AS (SELECT qid, rank, chunk_id, t, CASE WHEN max(score) OVER w = min(score) OVER w THEN 1.0::DOUBLE ELSE (score-min(score) OVER w)/(max(score) OVER w-min(score) OVER w) END AS rel FROM ca WINDOW w AS (PARTITION BY qid)),
+sm AS MATERIALIZED (SELECT x.qid, x.rank AS r1, y.rank AS r2, {SIM.format(a='x.t', b='y.t')} AS s FROM cn x JOIN cn y ON x.qid=y.qid AND x.rank<>y.rank),
+st AS (SELECT qid, 0 AS n, []::BIGINT[] AS took, NULL::BIGINT AS pick, NULL::DOUBLE AS value FROM (SELECT DISTINCT qid FROM cn)
+ UNION ALL SELECT qid, n+1, list_append(took, b.pick), b.pick, b.value FROM (SELECT s.qid, s.n, s.took, (SELECT {{'pick': c.rank, 'value': 0.8::DOUBLE*c.rel-(1.0::DOUBLE-0.8::DOUBLE)*coalesce((SELECT max(sm.s) FROM sm WHERE sm.qid=c.qid AND sm.r1=c.rank AND list_contains(s.took, sm.r2)),0.0::DOUBLE)}}
+  FROM cn c WHERE c.qid=s.qid AND NOT list_contains(s.took, c.rank) ORDER BY 0.8::DOUBLE*c.rel-(1.0::DOUBLE-0.8::DOUBLE)*coalesce((SELECT max(sm.s) FROM sm WHERE sm.qid=c.qid AND sm.r1=c.rank AND list_contains(s.took, sm.r2)),0.0::DOUBLE) DESC, c.rank LIMIT 1) AS b FROM st s WHERE s.n<5) WHERE b IS NOT NULL)"""
+
+
+@query(f"WITH RECURSIVE {CHUNKS}, {CAND}, {MMR} SELECT st.qid, cn.chunk_id, round(st.value, 9) AS diversity_score, st.n::BIGINT AS rank FROM st JOIN cn ON cn.qid=st.qid AND cn.rank=st.pick WHERE st.n>0")
 def mmr_diversify(spark, sf_dir):
     return selection.diversify(candidates_of(spark, sf_dir), 5).select("qid", "chunk_id", F.round("diversity_score", 9).alias("diversity_score"), long("rank"))
 
 
-@query()
+FORMS = r"""qf AS (SELECT item_id, o, trim(regexp_replace(regexp_replace(regexp_replace(o, '([a-z0-9])([A-Z])', '\1 \2', 'g'), '[_./\\-]+', ' ', 'g'), '\s+', ' ', 'g')) AS x FROM (SELECT item_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS o FROM benchmark)),
+qv AS (SELECT item_id*10 AS qid, o AS query FROM qf WHERE o<>'' UNION ALL SELECT item_id*10+1, x FROM qf WHERE o<>'' AND x<>'' AND x<>o)"""
+HYBRID = f"""{FORMS}, {bm25_sql('hb', queries='SELECT qid, query FROM qv')},
+hmt AS (SELECT chunk_id, unnest(list_distinct({tok("concat_ws(' ', source_path, language, created_at)")})) AS term FROM chunks),
+hmq AS (SELECT qid, unnest(list_distinct({tok('query')})) AS term FROM qv),
+hm AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM (SELECT qid, chunk_id, count(*)::DOUBLE AS score FROM hmt JOIN hmq USING (term) GROUP BY qid, chunk_id)),
+hcw AS (SELECT chunk_id, term, round(ln(1.0::DOUBLE+count(*)),6) AS w FROM (SELECT chunk_id, unnest({tok('text')}) AS term FROM chunks) GROUP BY chunk_id, term),
+hqw AS (SELECT item_id, term, round(ln(1.0::DOUBLE+count(*)),6) AS u FROM (SELECT item_id, unnest({tok('text')}) AS term FROM benchmark) GROUP BY item_id, term),
+hh AS (SELECT item_id, chunk_id, list_sum(list(w*u ORDER BY term)) AS score FROM hcw JOIN hqw USING (term) GROUP BY item_id, chunk_id),
+hs AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM (SELECT v.qid, c.chunk_id, coalesce(hh.score, 0) AS score FROM qv v CROSS JOIN chunks c LEFT JOIN hh ON hh.item_id=v.qid//10 AND hh.chunk_id=c.chunk_id)),
+hl AS (SELECT qid//10 AS qid, 'query_'||(qid%10)||':bm25' AS list, chunk_id, rank FROM hb WHERE rank<=50 UNION ALL SELECT qid//10, 'query_'||(qid%10)||':metadata', chunk_id, rank FROM hm WHERE rank<=50 UNION ALL SELECT qid//10, 'query_'||(qid%10)||':sparse', chunk_id, rank FROM hs WHERE rank<=50),
+hf AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, best, chunk_id) AS rank FROM (SELECT qid, chunk_id, list_sum(list(1.0::DOUBLE/(60.0::DOUBLE+rank) ORDER BY list)) AS score, min(rank) AS best FROM hl GROUP BY qid, chunk_id))"""
+
+
+@query(f"WITH {CHUNKS}, {HYBRID} SELECT qid, chunk_id, round(score,12) AS score, rank FROM hf WHERE rank<=10")
 def hybrid_pipeline(spark, sf_dir):
     chunks, asked = chunks_of(spark, sf_dir), item_queries(spark, sf_dir)
     items = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text")
