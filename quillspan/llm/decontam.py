@@ -1,19 +1,20 @@
 """Benchmark decontamination by edit distance over words.
 
 A document leaks an item where some window of its words lies within `rate` times the item's words of it
-in edit distance. Such a window keeps at least one of the item's k+1 disjoint segments whole (k: the
-edits allowed), so windows are laid only around places where a segment stands: nothing else can match.
-Item-sized windows at every shift that k allows are then embedded by CGK random walks (at each step of
-the walk a hash of step and word says whether to move on), which map edit distance to Hamming distance;
-sampled positions of the embedding are the LSH key, and repetitions with other walks and positions go
-on until the recall reaches the target, as simulated on the items at the largest distance. Where a
-window meets the item's key, the words around it are aligned with the item, exactly.
-In effect the segments do the search: sampled places mostly lie beyond the walks' ends, where all are
-alike, so nearly every window that segments lay is aligned.
+in edit distance. Items are embedded by CGK random walks: at each step of a walk a random bit of the word
+under it says whether to move on, so that walks over two texts that differ by few edits soon meet again,
+and edit distance becomes Hamming distance. An item longer than PIECE words is embedded in pieces, one of
+which keeps its share of the edits at most. Bit sampling takes SAMPLED steps of a walk as an LSH key, KEYS
+keys a walk; walks are added until the recall reaches its target, as simulated for each family of pieces of
+like length with all edits made that are allowed (a target out of reach is an error).
+
+Item-sized windows are laid at every word of every document, but where too few of the words there stand in
+any item for a window within reach to start (exact: it never loses one). The windows are walked
+alike, and where a window meets a key of an item, the words around it are aligned with the item, exactly.
 
 Words are runs of letters and digits by Unicode category, with the marks on them; in scripts that are
 written without blanks each letter is a word. Capitals of all scripts count as small letters. Null or empty
-items match nothing, nor do null or empty texts; documents shorter than an item still match within the
+items match nothing, nor do null or empty texts; items and texts may be of any length; documents shorter than an item still match within the
 edits allowed; equal rows are reported each; a benchmark larger than a block goes block by block; an
 empty table gives an empty result; further columns aren't read.
 """
@@ -22,7 +23,7 @@ from __future__ import annotations
 
 import math
 import unicodedata
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -35,12 +36,16 @@ from .tokens import forget
 
 RATE = 0.2
 RECALL = 0.99
-SAMPLED = 2
+SAMPLED = 3
+#: Keys of one walk, words of an embedded piece, and how much longer a family's longest piece may be than its shortest.
+KEYS, PIECE, SPREAD = 4, 64, 1.6
+#: Walks in one family at most, and edited pieces that the recall is simulated on.
+MOST_WALKS, TRIALS = 64, 400
 #: Characters of benchmark text that workers hold at once.
 BENCHMARK_CHARS = 20_000_000
 BLOCK = 2_000_000
-WINDOWS = 20_000
-PAD = np.uint64(0)
+#: In place of a word's number: not in any item, and beyond a piece's end.
+UNKNOWN, PAD = -1, -2
 #: Classes of code points: what parts words, letters and digits, letters that are words, marks on either.
 GAP, LETTER, ALONE, MARK = range(4)
 #: Names of letters of scripts without blanks begin like this.
@@ -93,23 +98,21 @@ def split_words(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray, np
     return hashes, starts, ends, np.searchsorted(starts, at), at
 
 
-def moves(step: int, repetition: int, words: np.ndarray) -> np.ndarray:
-    """For each word, whether the walk moves on at a step: a random bit."""
-    salt = mix64(np.array([step * 1_000_003 + repetition], np.uint64))[0] | np.uint64(1)
-    return ((words * salt) >> np.uint64(63)).astype(np.int64)
+def coins(hashes: np.ndarray, number: int, part: int) -> np.ndarray:
+    """For each word, whether a walk moves on from it at each of 64 steps: random bits."""
+    return mix64(hashes ^ mix64(np.array([2 * number + 1 + (part << 32)], np.uint64))[0]).view(np.int64)
 
 
-def embed(words: np.ndarray, lengths: np.ndarray, steps: int, repetition: int) -> np.ndarray:
-    """CGK embeddings of rows of words (padded), `steps` long."""
-    n = len(words)
-    place, rows, out = np.zeros(n, np.int64), np.arange(n), np.zeros((n, steps), np.uint64)
-    last = words.shape[1] - 1
-    for step in range(steps):
-        word = words[rows, np.minimum(place, last)]
-        word[place >= lengths] = PAD
-        out[:, step] = word
-        place += moves(step, repetition, word)
-    return out
+def walk(symbols: np.ndarray, hashes: np.ndarray, number: int, starts: np.ndarray, steps: Sequence[int]) -> dict[int, np.ndarray]:
+    """The CGK embeddings from all starts, at some steps: the words' numbers there. Both arrays reach beyond the last step."""
+    place, wanted, found, bits = starts.copy(), set(steps), {}, None
+    for step in range(max(steps) + 1):
+        if step % 64 == 0:
+            bits = coins(hashes, number, step // 64)
+        if step in wanted:
+            found[step] = symbols[place]
+        place += (bits[place] >> np.int64(step % 64)) & 1
+    return found
 
 
 def align(item: np.ndarray, region: np.ndarray) -> tuple[int, int]:
@@ -122,120 +125,170 @@ def align(item: np.ndarray, region: np.ndarray) -> tuple[int, int]:
     return int(row[end]), end
 
 
+class Family:
+    """Pieces of like length, and the sorted keys of each walk over them."""
+
+    def __init__(self, pieces: list[tuple[int, int, np.ndarray]], rate: float, sampled: int):
+        self.items = np.array([p[0] for p in pieces])
+        self.offsets = np.array([p[1] for p in pieces])
+        self.words = [p[2] for p in pieces]
+        self.lengths = np.unique([len(w) for w in self.words])
+        self.edits = {int(n): int(n * rate + 1e-9) for n in self.lengths}
+        least = int(self.lengths[0])
+        self.steps = least if least < 8 else least + least // 2
+        self.sampled = min(sampled, self.steps)
+        self.walks: list[tuple[list[int], list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.uint64]]]] = []
+
+    def draw(self, number: int) -> np.ndarray:
+        """The steps that each key of a walk samples."""
+        source = np.random.default_rng([number, self.steps])
+        return np.stack([np.sort(source.choice(self.steps, self.sampled, replace=False)) for _ in range(KEYS)])
+
+    @staticmethod
+    def folded(found: dict[int, np.ndarray], steps: np.ndarray) -> np.ndarray:
+        """One number for the symbols at a key's steps."""
+        factors = mix64(np.arange(1, len(steps) + 1, dtype=np.uint64)) | np.uint64(1)
+        return sum((found[int(s)].astype(np.uint64) * f for s, f in zip(steps, factors, strict=True)), np.uint64(0))
+
+    def add_walk(self, number_of: Callable[[np.ndarray], np.ndarray]) -> None:
+        """One more walk; number_of gives words' numbers."""
+        number, draws = len(self.walks), self.draw(len(self.walks))
+        pad = np.zeros(self.steps + 1, np.uint64)
+        hashes = np.concatenate([x for w in self.words for x in (w, pad)])
+        sizes = np.array([len(w) for w in self.words])
+        ends = np.cumsum(sizes + self.steps + 1)
+        starts = ends - sizes - self.steps - 1
+        symbols = number_of(hashes)
+        inside = np.arange(len(hashes)) < np.repeat(starts + sizes, sizes + self.steps + 1)
+        symbols[~inside] = PAD
+        used = sorted({int(s) for s in draws.ravel()})
+        found, keys = walk(symbols, hashes, number, starts, used), []
+        for steps in draws:
+            valid = np.flatnonzero(np.all([found[int(s)] != PAD for s in steps], axis=0))
+            value = self.folded(found, steps)[valid]
+            order = np.argsort(value, kind="stable")
+            shift = np.uint64(64 - min(20, max(12, (8 * len(value)).bit_length())))
+            met = np.zeros(1 << (64 - int(shift)), bool)
+            met[value >> shift] = True
+            keys.append((steps, value[order], valid[order], met, shift))
+        self.walks.append((used, keys))
+
+    def windows(self, symbols: np.ndarray, known: np.ndarray, n: int) -> np.ndarray:
+        """Where a window within reach of a piece may start: its first word is known, and enough of those that follow."""
+        may = np.zeros(n, bool)
+        for length, k in self.edits.items():
+            may |= known[length + k : length + k + n] - known[:n] >= length - k
+        return np.flatnonzero(may & (symbols[:n] >= 0))
+
+    def meetings(self, number: int, symbols: np.ndarray, hashes: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(places, pieces) of the windows that meet a key of a walk."""
+        used, keys = self.walks[number]
+        found = walk(symbols, hashes, number, starts, used)
+        for steps, values, pieces, met, shift in keys:
+            value = self.folded(found, steps)
+            at = np.flatnonzero(met[value >> shift])
+            low, high = np.searchsorted(values, value[at]), np.searchsorted(values, value[at], side="right")
+            count = high - low
+            which = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(count.sum())
+            yield starts[np.repeat(at, count)], pieces[which]
+
+
 class Benchmark:
-    """Items' words, segments and LSH keys; goes to the workers."""
+    """Items' words, and families of their pieces; goes to the workers."""
 
     def __init__(self, ids: list, texts: list[str | None], rate: float, recall: float, sampled: int):
         hashes, _, _, bounds, _ = split_words(texts)
         kept = [i for i in range(len(ids)) if bounds[i + 1] > bounds[i]]
         self.ids = [ids[i] for i in kept]
         self.items = [hashes[bounds[i] : bounds[i + 1]] for i in kept]
-        self.lengths = np.array([len(w) for w in self.items], np.int64)
-        self.edits = (self.lengths * rate + 1e-9).astype(np.int64)
-        self.sampled = sampled
-        self.words = np.zeros((len(kept), int(self.lengths.max()) if kept else 1), np.uint64)
-        for row, w in zip(self.words, self.items, strict=True):
-            row[: len(w)] = w
-        segments: dict[int, list[tuple[int, int, int]]] = {}
+        self.edits = [int(len(w) * rate + 1e-9) for w in self.items]
+        self.bags = [np.unique(w) for w in self.items]
+        self.vocabulary = np.unique(hashes)
+        self.table = np.zeros(1 << 20, bool)
+        self.table[self.vocabulary >> np.uint64(44)] = True
+        pieces = []
         for i, w in enumerate(self.items):
-            k = int(self.edits[i])
-            q = len(w) // (k + 1)
-            for j in range(k + 1):
-                segments.setdefault(q, []).append((int(self.grams(w[j * q : j * q + q], q)[0]), i, j * q))
-        self.segments = {}
-        for q, found in segments.items():
-            found.sort()
-            keys = np.array([x[0] for x in found], np.uint64)
-            table = np.zeros(1 << 20, bool)
-            table[keys >> np.uint64(44)] = True
-            self.segments[q] = keys, np.array([x[1] for x in found]), np.array([x[2] for x in found]), table
-        self.repetitions = self.needed(recall)
-        self.keys = [self.key(self.words, np.arange(len(kept)), t) for t in range(self.repetitions)] if kept else []
-
-    @staticmethod
-    def grams(words: np.ndarray, q: int) -> np.ndarray:
-        n = max(0, len(words) - q + 1)
-        flat = np.zeros(n, np.uint64)
-        factors = mix64(np.arange(1, q + 1, dtype=np.uint64)) | np.uint64(1)
-        for j in range(q):
-            flat += words[j : j + n] * factors[j]
-        return mix64(flat)
-
-    def key(self, words: np.ndarray, item: np.ndarray, repetition: int) -> np.ndarray:
-        """The sampled positions of each row's embedding, for comparison with that item's."""
-        lengths = self.lengths[item]
-        embedded = embed(words, lengths, int(3 * lengths.max()), repetition)
-        share = np.random.default_rng(repetition).random(self.sampled)
-        at = (share[None, :] * 3 * lengths[:, None]).astype(np.int64)
-        return embedded[np.arange(len(words))[:, None], at]
-
-    def needed(self, recall: float, trials: int = 8, most: int = 64) -> int:
-        """Repetitions for the recall wanted, of items that are edited as much as allowed."""
-        draw = np.random.default_rng(0)
-        chosen = draw.permutation(len(self.items))[:most]
-        chances = []
-        for i in chosen:
-            item, k = self.items[i], int(self.edits[i])
-            for trial in range(trials):
-                words = list(item)
-                for _ in range(k):
-                    at, how = int(draw.integers(len(words))), int(draw.integers(3))
-                    if how == 0:
-                        words[at] = np.uint64(draw.integers(1 << 62))
-                    elif how == 1 and len(words) > 1:
-                        del words[at]
-                    else:
-                        words.insert(at, np.uint64(draw.integers(1 << 62)))
-                both = np.zeros((2, max(len(words), len(item))), np.uint64)
-                both[0, : len(item)], both[1, : len(words)] = item, words
-                x, y = embed(both, np.array([len(item)] * 2), 3 * len(item), 10_000 + trial)
-                chances.append((x == y).mean() ** self.sampled)
-        missed, n = np.ones(len(chances)), 0
-        while n < 256 and (not n or len(chances) and missed.mean() > 1 - recall):
-            missed, n = missed * (1 - np.array(chances)), n + 1
-        return n
-
-    def windows(self, hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(text, item, place where the item would start), for each place of a segment."""
-        found = []
-        for q, (keys, items, offsets, table) in self.segments.items():
-            flat = self.grams(hashes, q)
-            at = np.flatnonzero(table[flat >> np.uint64(44)])
-            low, high = np.searchsorted(keys, flat[at]), np.searchsorted(keys, flat[at], side="right")
-            count = high - low
-            at = np.repeat(at, count)
-            which = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(count.sum())
-            text = np.searchsorted(bounds, at, side="right") - 1
-            inside = at + q <= bounds[text + 1]
-            found.append(np.stack([text, items[which], at - offsets[which]])[:, inside])
-        return tuple(np.unique(np.concatenate(found, axis=1), axis=1)) if found else (np.zeros(0, np.int64),) * 3
-
-    def candidates(self, hashes: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """The windows around which some shift meets the item's key in some repetition."""
-        texts, items, places = self.windows(hashes, bounds)
-        shifts = 2 * self.edits[items] + 1
-        ends = np.cumsum(shifts)
-        low = 0
-        while low < len(texts):
-            high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + WINDOWS)))
-            part = slice(low, high)
-            own = np.repeat(np.arange(low, high), shifts[part])
-            shift = np.arange(len(own)) - np.repeat(ends[part] - shifts[part] - (ends[low - 1] if low else 0), shifts[part]) - self.edits[items[own]]
-            begin = np.clip(places[own] + shift, bounds[texts[own]], bounds[texts[own] + 1] - 1)
-            item = items[own]
-            at = begin[:, None] + np.arange(int(self.lengths[item].max()))
-            words = hashes[np.minimum(at, len(hashes) - 1)]
-            words[at >= bounds[texts[own] + 1][:, None]] = PAD
-            met = np.zeros(high - low, bool)
-            for t in range(self.repetitions):
-                left = np.flatnonzero(~met[own - low])
-                if not len(left):
-                    break
-                good = (self.key(words[left], item[left], t) == self.keys[t][item[left]]).all(axis=1)
-                met[own[left[good]] - low] = True
-            for i in np.flatnonzero(met) + low:
-                yield int(texts[i]), int(items[i]), int(places[i])
-            low = high
+            cuts = np.linspace(0, len(w), -(-len(w) // PIECE) + 1).astype(int)
+            pieces += [(i, int(a), w[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        pieces.sort(key=lambda p: len(p[2]))
+        self.families: list[Family] = []
+        while pieces:
+            n = sum(len(p[2]) <= max(len(pieces[0][2]) + 1, int(len(pieces[0][2]) * SPREAD)) for p in pieces)
+            self.families.append(Family(pieces[:n], rate, sampled))
+            pieces = pieces[n:]
+        self.reach = 2 * PIECE + 64  # beyond a start, of steps and of words that count
+        for family in self.families:
+            self.reach = max(self.reach, family.steps + 1, int(family.lengths[-1]) + max(family.edits.values()) + 1)
+        for family in self.families:
+            self.fit(family, recall)
+
+    def number_of(self, hashes: np.ndarray) -> np.ndarray:
+        """Words' numbers in the items' vocabulary."""
+        found = np.full(len(hashes), UNKNOWN, np.int64)
+        at = np.flatnonzero(self.table[hashes >> np.uint64(44)])
+        place = np.minimum(np.searchsorted(self.vocabulary, hashes[at]), len(self.vocabulary) - 1)
+        found[at] = np.where(self.vocabulary[place] == hashes[at], place, UNKNOWN)
+        return found
+
+    def laid(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Words and their numbers, with nothing known behind the last, and how many are known before each."""
+        hashes = np.concatenate((hashes, np.zeros(self.reach, np.uint64)))
+        symbols = self.number_of(hashes)
+        symbols[len(hashes) - self.reach :] = UNKNOWN
+        return hashes, symbols, np.concatenate(([0], np.cumsum(symbols >= 0)))
+
+    def fit(self, family: Family, recall: float) -> None:
+        """Walks until the recall is reached for pieces that are edited as much as allowed."""
+        draw = np.random.default_rng(len(family.words))
+        parts, begins, chosen, at = [], [], draw.integers(len(family.words), size=TRIALS), 0
+        for i in chosen.tolist():
+            words = list(family.words[i])
+            for _ in range(family.edits[len(words)]):
+                where, how = int(draw.integers(len(words))), int(draw.integers(3))
+                if how == 0:
+                    words[where] = np.uint64(draw.integers(1 << 62))
+                elif how == 1 and len(words) > 1:
+                    del words[where]
+                else:
+                    words.insert(where, np.uint64(draw.integers(1 << 62)))
+            parts += [np.array(words, np.uint64), draw.integers(1 << 62, size=self.reach).astype(np.uint64)]
+            begins.append(at)
+            at += len(words) + self.reach
+        hashes, symbols, known = self.laid(np.concatenate(parts))
+        begins, caught = np.array(begins), np.zeros(TRIALS, bool)
+        starts = family.windows(symbols, known, at)
+        met = np.zeros(len(family.words), bool)
+        while caught.mean() < recall or not met.all():
+            if len(family.walks) == MOST_WALKS:
+                raise ValueError(f"a recall of {recall} is out of reach for pieces of {family.lengths[0]} words and more")
+            family.add_walk(self.number_of)
+            for places, pieces in family.meetings(len(family.walks) - 1, symbols, hashes, starts):
+                trial = np.searchsorted(begins, places, side="right") - 1
+                caught[trial[(pieces == chosen[trial]) & (places - begins[trial] < PIECE)]] = True
+            for _, _, pieces, _, _ in family.walks[-1][1]:
+                met[pieces] = True
+
+    def candidates(self, hashes: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(text, item, first and last place where the item would start) for runs of windows that meet a key."""
+        n, found = len(hashes), []
+        hashes, symbols, known = self.laid(hashes)
+        for family in self.families:
+            starts = family.windows(symbols, known, n)
+            for number in range(len(family.walks) if len(starts) else 0):
+                for places, pieces in family.meetings(number, symbols, hashes, starts):
+                    text = np.searchsorted(bounds, places, side="right") - 1
+                    found.append(np.stack([text, family.items[pieces], places - family.offsets[pieces]]))
+        if not found:
+            return
+        text, item, place = np.unique(np.concatenate(found, axis=1), axis=1)
+        if not len(text):
+            return
+        reach = np.array(self.edits)[item] + 1
+        opens = np.ones(len(text), bool)
+        opens[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (np.diff(place) > reach[1:])
+        first = np.flatnonzero(opens)
+        for a, b in zip(first.tolist(), [*first[1:].tolist(), len(text)], strict=True):
+            yield int(text[a]), int(item[a]), int(place[a]), int(place[b - 1])
 
 
 def _leaks(docs: DataFrame, kind: str, benchmark: Benchmark) -> DataFrame:
@@ -246,9 +299,12 @@ def _leaks(docs: DataFrame, kind: str, benchmark: Benchmark) -> DataFrame:
         for block in blocks(frames, chars=BLOCK):
             hashes, starts, ends, bounds, begins = split_words(block["text"].tolist())
             keys, best = block["key"].tolist(), {}
-            for text, item, place in benchmark.candidates(hashes, bounds):
-                words, k = benchmark.items[item], int(benchmark.edits[item])
-                low, high = max(int(bounds[text]), place - 2 * k), min(int(bounds[text + 1]), place + len(words) + 2 * k)
+            for text, item, first, last in benchmark.candidates(hashes, bounds):
+                words, k = benchmark.items[item], benchmark.edits[item]
+                low, high = max(int(bounds[text]), first - 2 * k), min(int(bounds[text + 1]), last + len(words) + 2 * k)
+                bag, around = benchmark.bags[item], hashes[low:high]
+                if np.count_nonzero(bag[np.minimum(np.searchsorted(bag, around), len(bag) - 1)] == around) < len(words) - k:
+                    continue  # too few of its words are there
                 distance, end = align(words, hashes[low:high])
                 if distance <= k and (distance, low + end) < best.get((text, item), (k + 1, 0))[:2]:
                     _, back = align(words[::-1], hashes[low : low + end][::-1])
