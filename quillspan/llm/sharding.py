@@ -1,10 +1,14 @@
 """Sharding by a hierarchical weighted hash tree (regions, racks, shards).
 
-Every shard draws an exponential variate from a hash of the key and the shard's number, at the rate of
-its weight; a rack draws the least of its shards' draws and a region the least of its racks', so that
-a subtree's draw is exponential at the rate of its total weight. A row descends to the child that drew
-least, level by level. A changed weight, or a new shard, changes the draws of that subtree alone: rows
-move only into it (or, as it shrinks, only out of it), and of a grown subtree only into the new shard.
+A row descends from the root level by level, regions, racks, shards: each child of the node it has reached
+draws an exponential variate from a hash of the key and the child's place, at the rate of the weight of its
+subtree, and the least draw takes the row. So a level costs as many hashes as the node has children,
+whatever lies below. A changed weight changes the draws of the subtrees that hold it alone: rows move only
+into these (or, where it shrinks, only out of them).
+
+A shard that is added to a rack would draw rows into its whole region, whose racks then share them. `grow`
+therefore adds a shard as a region of its own: no other subtree's weight changes, and rows move only into
+the new shard, which is the law `key`.
 
 DataFrame functions only. Rows with a null key hash alike and share a shard; a null or empty text has
 size 8 and the checksum 0; repeated rows stay and get slots of their own; an empty table gives an
@@ -32,13 +36,19 @@ class Leaf:
 
 
 def even_tree(shards: int, regions: int = 3, racks: int = 2) -> list[Leaf]:
-    """Shards 0 to shards-1 dealt in turn over the racks; a further shard joins one rack."""
+    """Shards 0 to shards-1 dealt in turn over the racks."""
     return [Leaf(s % regions, s // regions % racks, s) for s in range(shards)]
 
 
-def _draw(key: Column, leaf: Leaf) -> Column:
-    bits = F.shiftrightunsigned(F.xxhash64(key, F.lit(leaf.shard), F.lit("draw")), 11)
-    return -F.log((bits + F.lit(0.5)) / F.lit(float(2**53))) / F.lit(float(leaf.weight))
+def grow(tree: Sequence[Leaf], shard: int, weight: float = 1.0) -> list[Leaf]:
+    """The tree with one more shard, which rows move only into."""
+    return [*tree, Leaf(max(leaf.region for leaf in tree) + 1, 0, shard, weight)]
+
+
+def _drawn(key: Column, level: str, node: Column) -> Column:
+    """A child's draw."""
+    bits = F.shiftrightunsigned(F.xxhash64(key, F.lit(level), node["place"]), 11)
+    return -F.log((bits + F.lit(0.5)) / F.lit(float(2**53))) / node["weight"]
 
 
 def shard_of(key: Column, tree: Sequence[Leaf]) -> Column:
@@ -49,22 +59,30 @@ def shard_of(key: Column, tree: Sequence[Leaf]) -> Column:
     grouped: dict[int, dict[int, list[Leaf]]] = {}
     for leaf in leaves:
         grouped.setdefault(leaf.region, {}).setdefault(leaf.rack, []).append(leaf)
-    draws = F.array(*[F.array(*[F.array(*[_draw(key, x) for x in rack]) for rack in region.values()]) for region in grouped.values()])
-    names = F.array(*[F.array(*[F.array(*[F.lit(x.shard) for x in rack]) for rack in region.values()]) for region in grouped.values()])
 
-    def descend(state: Column, least) -> Column:
-        """The child with the least draw; least gives a child's draw."""
-        children = F.transform(state["draws"], least)
-        at = (F.array_position(children, F.array_min(children)) - 1).cast("int")
-        return F.struct(F.get(state["draws"], at).alias("draws"), F.get(state["names"], at).alias("names"))
+    def node(place: str, under: Sequence[Leaf], **more: Column) -> Column:
+        return F.struct(F.lit(place).alias("place"), F.lit(float(sum(x.weight for x in under))).alias("weight"), *[c.alias(n) for n, c in more.items()])
+
+    def shards(rack: Sequence[Leaf]) -> Column:
+        return F.array(*[node(str(x.shard), [x], shard=F.lit(x.shard)) for x in rack])
+
+    def racks(region: int) -> Column:
+        return F.array(*[node(f"{region}/{n}", rack, shards=shards(rack)) for n, rack in grouped[region].items()])
+
+    root = F.array(*[node(str(n), [x for rack in region.values() for x in rack], racks=racks(n)) for n, region in grouped.items()])
+
+    def least(children: Column, level: str, then: str) -> Column:
+        """What the child with the least draw holds."""
+        drawn = F.transform(children, lambda c: F.struct(_drawn(key, level, c).alias("draw"), c["place"].alias("place"), c[then].alias(then)))
+        first = lambda a, b: F.when((b["draw"] < a["draw"]) | (b["draw"] == a["draw"]) & (b["place"] < a["place"]), b).otherwise(a)
+        return F.aggregate(F.slice(drawn, 2, F.size(drawn)), F.get(drawn, 0), first)[then]
 
     def let(value: Column, then) -> Column:
         return F.get(F.transform(F.array(value), then), 0)
 
-    root = F.struct(draws.alias("draws"), names.alias("names"))
-    in_region = let(root, lambda s: descend(s, lambda region: F.array_min(F.transform(region, F.array_min))))
-    in_rack = let(in_region, lambda s: descend(s, F.array_min))
-    return let(in_rack, lambda s: descend(s, lambda draw: draw)["names"])
+    in_region = let(root, lambda c: least(c, "region", "racks"))
+    in_rack = let(in_region, lambda c: least(c, "rack", "shards"))
+    return let(in_rack, lambda c: least(c, "shard", "shard"))
 
 
 def numbered(df: DataFrame, shard: str, order: Sequence[str], parts: int = SLOT_PARTS) -> DataFrame:
@@ -84,7 +102,7 @@ def numbered(df: DataFrame, shard: str, order: Sequence[str], parts: int = SLOT_
 def assign_shards(df: DataFrame, shards: int, key: str = "doc_id", text: str = "text", tree: Sequence[Leaf] | None = None, grown: Sequence[Leaf] | None = None) -> DataFrame:
     """key, size, text_crc32, law, shard, slot and grown_shard of every row."""
     tree = tree or even_tree(shards)
-    grown = grown or even_tree(shards + 1)
+    grown = grown or grow(tree, shards)
     body = F.coalesce(F.col(text), F.lit(""))
     rows = df.select(
         F.col(key),

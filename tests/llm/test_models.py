@@ -81,6 +81,64 @@ def test_models_are_distributions():
         assert total == pytest.approx([1.0, 1.0], abs=1e-3)
 
 
+class PlainKneserNey:
+    """Interpolated Kneser-Ney by dictionaries, from its definition."""
+
+    def __init__(self, rows, width, order=5):
+        self.order, self.width, self.levels = order, width, {}
+        types = {}
+        for row in rows:
+            padded = [0] * (order - 1) + [int(c) for c in row]
+            for end in range(order - 1, len(padded)):
+                gram = tuple(padded[end - order + 1 : end + 1])
+                types[gram] = types.get(gram, 0) + 1
+        for k in range(order, 0, -1):
+            once, twice = (sum(c == n for c in types.values()) for n in (1, 2))
+            discount = min(0.95, max(0.1, once / max(1, once + 2 * twice)))
+            total, kinds = {}, {}
+            for gram, c in types.items():
+                total[gram[:-1]] = total.get(gram[:-1], 0) + c
+                kinds[gram[:-1]] = kinds.get(gram[:-1], 0) + 1
+            self.levels[k] = types, total, kinds, discount
+            lower = {}
+            for gram in types:  # below, how many symbols stand before
+                lower[gram[1:]] = lower.get(gram[1:], 0) + 1
+            types = lower
+
+    def chance(self, gram):
+        k = len(gram)
+        if not k:
+            return 1 / self.width
+        types, total, kinds, discount = self.levels[k]
+        below = self.chance(gram[1:])
+        if gram[:-1] not in total:
+            return below
+        n = total[gram[:-1]]
+        return max(0, types.get(gram, 0) - discount) / n + discount * kinds[gram[:-1]] / n * below
+
+    def bits(self, row):
+        padded = [0] * (self.order - 1) + [int(c) for c in row]
+        return -sum(np.log2(self.chance(tuple(padded[e - self.order + 1 : e + 1]))) for e in range(self.order - 1, len(padded))) / len(row)
+
+
+def test_models_equal_plain_kneser_ney():
+    draw = random.Random(9)
+    rows = [[language.symbols(told(draw, lang, 30)) for _ in range(12)] for lang in WORDS]
+    models = language.Models(list(WORDS), rows)
+    width = len({int(c) for r in rows for s in r for c in s}) + 1
+    plain = [PlainKneserNey(r, width) for r in rows]
+    asked = [language.symbols(t) for t in (told(draw, "aa", 9), told(draw, "bb", 9), "ka shre tolux besi", "日本 vorn", "a")]
+    want = [[m.bits(r) for m in plain] for r in asked]
+    assert models.bits(asked) == pytest.approx(np.array(want), abs=1e-4)
+    assert [g[0] for g in models.predict(["ka lo mi", "shre vorn", ""])] == ["aa", "bb", "und"]
+
+
+def test_ties_go_to_the_first_language(spark):
+    rows = [(t, lang) for lang in ("zz", "yy") for t in ["ka lo mi rana tolu " * 3] * 8]
+    models = language.fit_models(spark.createDataFrame(rows, "text string, lang string"))
+    assert models.predict(["ka lo mi"])[0][0] == "yy"
+
+
 def nearest(item, words):
     row = [0] * (len(words) + 1)
     for n, w in enumerate(item, 1):
@@ -132,6 +190,42 @@ def test_leaks_equal_brute_force(spark):
     assert decontam.find_leaks(docs, bench.where("false")).count() == 0 == decontam.find_leaks(docs.where("false"), bench).count()
 
 
+def test_very_long_items_and_texts(spark):
+    draw = random.Random(5)
+    item = [f"i{draw.randrange(3000)}" for _ in range(2500)]
+    near = [w if draw.random() > 0.15 else f"o{i}" for i, w in enumerate(item)]
+    far = [w if draw.random() > 0.5 else f"o{i}" for i, w in enumerate(item)]
+    filler = [f"f{draw.randrange(9000)}" for _ in range(20_000)]
+    texts = [" ".join(x) for x in (filler + item, [*filler[:500], *near, *filler], far, filler, item[:1200])]
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, "alone")], "item_id long, text string")
+    found = decontam.find_leaks(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), bench).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(0, 1), (1, 1)} and min(r.distance for r in found) == 0
+
+
+def test_recall_of_edited_items():
+    """The LSH alone: of windows with all edits made that are allowed, the share that meets a key."""
+    draw = np.random.default_rng(7)
+    words = [f"tok{i}" for i in range(3000)]
+    items = [" ".join(draw.choice(words, n)) for n in draw.integers(15, 60, 60)]
+    ready = decontam.Benchmark(list(range(60)), items, 0.2, 0.99, 3)
+    caught = tried = 0
+    for i, item in enumerate(items):
+        for _ in range(5):
+            text = item.split()
+            for _ in range(ready.edits[i]):
+                at, how = int(draw.integers(len(text))), int(draw.integers(3))
+                text[at : at + (how != 1)] = [] if how == 0 else [f"x{draw.integers(10**9)}"]
+            hashes, _, _, bounds, _ = decontam.split_words([" ".join([*draw.choice(words, 30), *text, *draw.choice(words, 30)])])
+            tried += 1
+            caught += any(j == i for _, j, _, _ in ready.candidates(hashes, bounds))
+    assert caught >= 0.97 * tried
+
+
+def test_recall_out_of_reach_is_an_error():
+    with pytest.raises(ValueError, match="out of reach"):
+        decontam.Benchmark([1], ["a b c d e f g h i j k l m n o p q r s t u v w x y z " * 2], 0.8, 0.999, 3)
+
+
 def test_words_of_any_script():
     def words(text):
         _, starts, ends, _, _ = decontam.split_words([text])
@@ -169,6 +263,50 @@ def test_shards_move_only_into_the_new_one(spark):
     assert sharding.assign_shards(df.where("false"), 24).count() == 0
 
 
+def plain_shard(key, tree):
+    """A key's descent, from its definition: the least exponential draw at each level."""
+    import math
+    import struct
+
+    import xxhash
+
+    def draw(level, place, weight):
+        seed = 42 if key is None else xxhash.xxh64_intdigest(struct.pack("<q", key), 42)
+        for part in (level, place):
+            seed = xxhash.xxh64_intdigest(part.encode(), seed)
+        return -math.log(((seed >> 11) + 0.5) / 2.0**53) / weight
+
+    def least(level, places):
+        return min(places, key=lambda p: (draw(level, p, places[p]), p))
+
+    weight = lambda keep: sum(x.weight for x in tree if keep(x))
+    region = int(least("region", {str(r): weight(lambda x, r=r: x.region == r) for r in {x.region for x in tree}}))
+    rack = int(least("rack", {f"{region}/{k}": weight(lambda x, k=k: (x.region, x.rack) == (region, k)) for k in {x.rack for x in tree if x.region == region}}).split("/")[1])
+    return int(least("shard", {str(x.shard): x.weight for x in tree if (x.region, x.rack) == (region, rack)}))
+
+
+def test_shards_equal_brute_force(spark):
+    import zlib
+
+    texts = [None, "", "é", "same", "same", "long " * 50_000]
+    rows = [(i, texts[i % 6]) for i in range(600)] + [(None, "x"), (7, "tie"), (7, "tie")]
+    tree = sharding.even_tree(24)
+    got = sharding.assign_shards(spark.createDataFrame(rows, "doc_id long, text string"), 24).collect()
+    body = lambda t: (t or "").encode()
+    want = sorted((k is not None, k or 0, len(body(t)) + 8, zlib.crc32(body(t)), plain_shard(k, tree), plain_shard(k, sharding.grow(tree, 24))) for k, t in rows)
+    assert sorted((r.doc_id is not None, r.doc_id or 0, r.size, r.text_crc32, r.shard, r.grown_shard) for r in got) == want
+
+
+def test_a_grown_tree_moves_rows_only_into_the_new_shard(spark):
+    from pyspark.sql import functions as F
+
+    tree = [sharding.Leaf(0, 0, 0, 2.0), sharding.Leaf(0, 1, 1), sharding.Leaf(1, 0, 2), sharding.Leaf(1, 0, 3, 5.0)]
+    again = sharding.grow(sharding.grow(tree, 4, 3.0), 5)
+    rows = spark.range(6000).select(sharding.shard_of(F.col("id"), tree).alias("a"), sharding.shard_of(F.col("id"), sharding.grow(tree, 4, 3.0)).alias("b"), sharding.shard_of(F.col("id"), again).alias("c")).collect()
+    assert all(r.b in (r.a, 4) and r.c in (r.b, 5) for r in rows)
+    assert sum(r.b == 4 for r in rows) / 6000 == pytest.approx(3 / 12, abs=0.03)
+
+
 def test_weights_count_and_confine_movement(spark):
     tree = [sharding.Leaf(0, 0, 0), sharding.Leaf(0, 1, 1, 3.0), sharding.Leaf(1, 0, 2, 4.0)]
     more = [*tree[:2], sharding.Leaf(1, 0, 2, 8.0)]
