@@ -229,7 +229,7 @@ def realigned(text: str, pieces: list[str]) -> list[tuple[int, int]]:
         if start < 0:
             raise ValueError("a chunk's text isn't in its source")
         found.append((start, start + len(wanted)))
-        at = start + 1
+        at = start + len(wanted)
     return found
 
 

@@ -193,3 +193,71 @@ def test_streamed_files_are_admitted_and_chunked(spark, tmp_path):
     ingest(file_stream(spark, str(folder)), state, str(tmp_path / "cp"), root=f"file:{folder}").awaitTermination()
     assert [(r.source_path, r.text) for r in state.chunks().collect()] == [("n.txt", "new file")]
     assert {r.source_path: r.status for r in state.attempts().collect()} == {"n.txt": "ready", "e.txt": "failed", "p.exe": "failed"}
+
+
+def test_two_writers_do_not_share_a_revision(spark, tmp_path):
+    from quillspan.operators.lifecycle import Conflict
+
+    one, two = (IndexState(spark, str(tmp_path / "state")) for _ in range(2))
+    one.apply(source(spark, ("a", "d1", "x", "1", 1, 0, False)))
+    two.revision = lambda: 0  # as a writer that read its state before the other committed
+    with pytest.raises(Conflict):
+        two.apply(source(spark, ("b", "d2", "y", "1", 1, 0, False)))
+    assert [r.source_path for r in one.sources().collect()] == ["a"]
+
+
+def test_cancelled_sources_are_not_committed(spark, tmp_path):
+    state = IndexState(spark, str(tmp_path / "state"))
+    service.skip_source(state, "b.txt")
+    done, _ = service.add_uploads(state, spark.createDataFrame([encoded("a.txt", b"one"), encoded("b.txt", b"two")], UPLOAD))
+    assert {r.source_path: r.error for r in done.collect()} == {"a.txt": None, "b.txt": "cancelled"}
+    assert [r.source_path for r in state.source_paths().collect()] == ["a.txt"] and state.document_count() == 1
+    assert state.get("a.txt").count() == 1 and state.latest_attempt("b.txt").first().status == "failed"
+    revision, chunks = state.snapshot()
+    assert revision == 1 and [c.text for c in chunks.collect()] == ["one"]
+    assert [(r.term, r.tf) for r in state.lexical_index().collect()] == [("one", 1)]
+    noted = service.skipped_ledger(None, spark.createDataFrame([("b", "cancelled"), ("b", "cancelled"), ("c", "empty file"), ("c", "empty file")], "source_path string, why string"))
+    assert sorted(r.source_path for r in noted.collect()) == ["b", "c", "c"]
+
+
+def test_rows_that_belong_to_nothing_are_left_out_on_reload(spark, tmp_path):
+    from quillspan.operators.lifecycle import CHUNKS, VECTORS
+
+    state = IndexState(spark, str(tmp_path / "state"))
+    chunk = lambda i, path: (i, "d", path, 0, "t", None, None, None, None, None, None, None, None)
+    chunks = spark.createDataFrame([chunk("d:0", "a"), chunk("e:0", "gone")], CHUNKS)
+    vectors = spark.createDataFrame([("a", "d:0", [1.0]), ("a", "nope", [1.0])], VECTORS)
+    state.apply(source(spark, ("a", "d", "x", "1", 1, 1, False)), chunks, vectors)
+    folder = state._pointer()[1]
+    chunks.write.mode("overwrite").parquet(f"{state.path}/{folder}/chunks")
+    assert [r.chunk_id for r in state.chunks().collect()] == ["d:0"] == [r.chunk_id for r in state.vectors().collect()]
+    state._create(f"{state.path}/_pointers/{9:012d}", "other 99")  # another layout
+    assert state.revision() == 1
+
+
+def test_answers_carry_plan_terms_and_source(spark):
+    from datetime import date
+
+    chunks = spark.createDataFrame([("a:0", "a.txt", "fetch retries of the client"), ("b:0", "b.txt", "nothing here")], "chunk_id string, source_path string, text string")
+    got = service.answer_search(chunks, spark.createDataFrame([(1, "'client' fetch_Retries.py")], "qid long, query string"), date(2026, 1, 1)).first()
+    assert (got.chunk_id, got.source_path, got.source, set(got.matched_terms)) == ("a:0", "a.txt", "bm25", {"fetch", "retries"} | ({"client"} & set(got.matched_terms)))
+    assert list(got.exact_terms) == ["client", "fetch_Retries.py"] and len(got.query_variants) == 2 and service.health() == {"status": "ok"}
+    for bad in ("  ", "x" * 501):
+        with pytest.raises(Exception, match="a query needs"):
+            service.answer_search(chunks, spark.createDataFrame([(1, bad)], "qid long, query string"), date(2026, 1, 1)).collect()
+    with pytest.raises(ValueError, match="limit"):
+        service.answer_search(chunks, spark.createDataFrame([(1, "x")], "qid long, query string"), date(2026, 1, 1), limit=51)
+
+
+def test_chunks_are_found_again_in_their_source():
+    assert chunking.realigned("One two. TWO three", ["one two. ", "two", "three"]) == [(0, 8), (9, 12), (13, 18)]
+    with pytest.raises(ValueError):
+        chunking.realigned("abc", ["x"])
+
+
+def test_workers_get_the_package(spark):
+    import zipfile as z
+
+    from quillspan.session import ship
+
+    assert "quillspan/functions/text.py" in z.ZipFile(ship(spark)).namelist()
