@@ -2,7 +2,7 @@
 
 Each page becomes a request, a response (or a revisit of an equal payload) and a metadata record.
 Spark's text writer puts the records down with the two line ends that close a WARC record as its
-separator, so archives go to any store by Spark's commit protocol. Reading streams each archive record
+separator, so archives go to any store by Spark's commit protocol; files are bounded by records and bytes. Reading streams each archive record
 by record. Requests and metadata then join their capture through the identifiers they name as
 concurrent to, and each capture is one nested row.
 
@@ -24,11 +24,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, blocks, by_frames, framed, fresh_path, saved
+from .common import arrow_rows, blocks, by_frames, framed, fresh_path, held, saved
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Records of an archive file; its bytes are bound by those of a partition.
-FILE_RECORDS = 30_000
+#: Records of an archive file, and its bytes, at most (but for one capture's).
+FILE_RECORDS, FILE_BYTES = 30_000, 500_000_000
+#: Parts into which what joins a much-copied page is dealt.
+SALTS = 16
 RECORD_COLUMNS = "record_id string, type string, target string, concurrent_to array<string>, refers_to string, digest string, payload_bytes long, fields map<string,string>, block binary"
 
 
@@ -57,8 +59,10 @@ def captures(df: DataFrame, page_id: str, url: str, html: str, least_bytes: int)
     rows = rows.withColumn("hash", F.sha1("payload")).withColumn("copy", F.lit(0))
     if not df.groupBy(page_id).count().where("count > 1").isEmpty():
         rows = rows.withColumn("copy", F.row_number().over(Window.partitionBy("page_id", "hash").orderBy("url")) - 1)
-    firsts = rows.where(F.octet_length("payload") >= least_bytes).groupBy("hash").agg(F.min("page_id").alias("first_id"), F.lit(True).alias("shared"))
-    return rows.join(firsts, "hash", "left").withColumn("shared", F.coalesce("shared", F.lit(False))).drop("hash")
+    equal = rows.where(F.octet_length("payload") >= least_bytes).groupBy("hash").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n"))
+    salt = F.pmod(F.xxhash64("page_id", "copy"), F.lit(SALTS)).cast("int")
+    firsts = equal.where("n > 1").select("hash", "first_id", F.lit(True).alias("shared"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    return rows.withColumn("salt", salt).join(firsts, ["hash", "salt"], "left").withColumn("shared", F.coalesce("shared", F.lit(False))).drop("hash", "salt")
 
 
 def write_pages(df: DataFrame, path: str, page_id: str = "page_id", url: str = "url", html: str = "html", least_bytes: int = 0, date: str = "1970-01-01T00:00:00Z") -> None:
@@ -82,8 +86,10 @@ def write_pages(df: DataFrame, path: str, page_id: str = "page_id", url: str = "
                 out.append(_record("metadata", _id("metadata", page, copy), fields, "application/warc-fields", date, target_uri=uri, concurrent_to=me))
             yield pd.DataFrame({"record": out})
 
+    largest = df.agg(F.max(F.octet_length(html))).first()[0] or 0
+    at_once = max(3, min(FILE_RECORDS, 3 * (FILE_BYTES // (largest + 4096))))
     made = by_frames(captures(df, page_id, url, html, least_bytes), records, "record binary")
-    made.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    made.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", at_once).text(path)
 
 
 def _headers(lines: Iterator[bytes]) -> list[tuple[str, str]]:
@@ -167,5 +173,11 @@ def pages_through_archives(df: DataFrame, least_bytes: int = 0) -> DataFrame:
         F.col("capture.type").alias("record_type"),
         F.col("capture.refers_to").alias("target_id"),
     )
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    rows = held(rows)
     first = rows.where("record_type = 'response'").select(F.col("record_id").alias("target_id"), F.col("page_id").alias("refers_to"))
-    return rows.join(first, "target_id", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    wanted = rows.where("record_type = 'revisit'").select("target_id").distinct().join(first, "target_id")
+    dealt = wanted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    revisits = rows.where("record_type = 'revisit'").withColumn("salt", F.pmod(F.xxhash64("record_id"), F.lit(SALTS)).cast("int")).join(dealt, ["target_id", "salt"], "left")
+    responses = rows.where("record_type = 'response'").withColumn("refers_to", F.lit(None).cast("long"))
+    return responses.select(*columns).union(revisits.select(*columns))
