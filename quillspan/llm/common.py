@@ -2,47 +2,64 @@
 
 from __future__ import annotations
 
-import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
-from contextlib import contextmanager
+from contextlib import AbstractContextManager, contextmanager
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 #: Characters of text that a Python step holds at once, besides one whole document.
 BLOCK_CHARS = 4_000_000
 #: Rows of an Arrow batch between the JVM and Python.
 BATCH_ROWS = 1_000
+_HELD: list[DataFrame] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Only where the cluster names none (tests, a laptop) is a local one made and set.
+    Only on a local master (tests, a laptop) that names none is a local one made and set; a cluster must name one.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isEmpty():
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quillspan-"))
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
     return current.get().rstrip("/")
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint of df: later reads don't repeat its work and survive lost executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+def saved(df: DataFrame, small: bool = False) -> DataFrame:
+    """A reliable checkpoint of df: later reads don't repeat its work and survive lost executors.
+
+    The shuffles behind it go with it. A small one (links, labels, what a fraction of the rows leaves) is
+    written in two files a core at most, whatever the number of shuffle partitions.
+    """
+    spark = df.sparkSession
+    shared_dir(spark)
+    with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        return (df.coalesce(2 * spark.sparkContext.defaultParallelism) if small else df.select("*")).checkpoint()
+
+
+def held(df: DataFrame) -> DataFrame:
+    """df on the executors' disks, for what is read more than once; a lost executor's part is computed again."""
+    _HELD.append(df.persist(StorageLevel.DISK_ONLY))
+    return _HELD[-1]
 
 
-def release(spark: SparkSession) -> None:
-    """Let the driver notice which shuffles nobody needs any more, so that their files go."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def let_go(*frames: DataFrame) -> None:
+    """Free what `held` keeps: these, or all of it once results are written."""
+    for df in frames or tuple(_HELD):
+        df.unpersist()
+    _HELD[:] = [df for df in _HELD if frames and not any(df is x for x in frames)]
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -56,15 +73,21 @@ def small_batches(spark: SparkSession) -> None:
 
 
 @contextmanager
-def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Batches of so many rows, for what runs inside (rows that hold a file or a tile are large)."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """A setting of the session for what runs inside; one that this Spark doesn't know is left."""
+    before = spark.conf.get(name, None)
     try:
-        spark.conf.set(name, str(rows))
+        if before is not None:
+            spark.conf.set(name, value)
         yield
     finally:
-        spark.conf.set(name, before)
+        if before is not None:
+            spark.conf.set(name, before)
+
+
+def arrow_rows(spark: SparkSession, rows: int) -> AbstractContextManager[None]:
+    """Batches of so many rows, for what runs inside (rows that hold a file or a tile are large)."""
+    return setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
 def free_name(columns: Iterable[str], name: str) -> str:

@@ -20,7 +20,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     after a logarithmic number of them. Edges stay in the cluster, in a reliable checkpoint by step;
     joins on a much-linked id are ordinary ones, whose large partitions Spark divides.
     """
-    links = saved(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
+    links = saved(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), small=True)
     state = _signature(links)
     while state[0]:
         both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -29,7 +29,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u")
         small = joined.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
-        links = saved(small)
+        links = saved(small, small=True)
         before, state = state, _signature(links)
         if state == before:
             break

@@ -3,7 +3,9 @@
 Equal vectors are taken together. The others are turned onto principal axes (fitted on a bounded
 sample: any axes give the same links, good ones give them sooner), dealt into cells by the signs of
 their leading components against the sample's medians, and packed into tiles. Cells whose boxes can't
-hold a pair near enough are never paired. Within a pair of tiles, the products of the leading
+hold a pair near enough are never paired. Neighbouring tiles make strips; a task takes two strips and compares
+the pairs of tiles in them that are left, so that a vector is shipped once for each strip that its own is
+paired with, not once for each tile. Within a pair of tiles, the products of the leading
 dimensions come first; what the rest can add is at most the product of the suffix norms, and pairs
 that can't reach the threshold any more are dropped, block of dimensions by block. Pairs still open are
 compared whole, in double precision on the vectors as given. A pair of tiles returns at most a row for
@@ -25,15 +27,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_rows, by_frames, saved
+from .common import by_frames, held, let_go, saved
 from .graph import components, local_components
 
 THRESHOLD = 0.9
 TILE = 1024
+#: Vectors, and their bytes, of a strip.
+STRIP, STRIP_BYTES = 16_384, 64_000_000
 #: Numbers (vectors times dimensions) in the sample that the axes are fitted on.
 SAMPLE_NUMBERS = 2_000_000
 #: Cells are 2 to this power at most; their pairs are listed on the driver.
 MOST_SPLITS = 9
+#: Strips whose meetings are listed on the driver at most; of more, each meets each.
+MOST_LISTED = 512
 LEAD = 8
 SLACK = 1e-4  # of sums in single precision, which only rule pairs out
 
@@ -112,62 +118,70 @@ def _of_one_length(df: DataFrame, d: int, threshold: float, tile: int) -> DataFr
             rest = np.linalg.norm(turned[:, lead:], axis=1)
             yield pd.DataFrame({"cell": cell, "id": frame["id"], "n": frame["n"], "lead": list(turned[:, :lead]), "rest": rest, "vector": [v.tobytes() for v in x]})
 
-    located = saved(by_frames(df, locate, "cell int, id long, n long, lead array<double>, rest double, vector binary"))
+    located = held(by_frames(df, locate, "cell int, id long, n long, lead array<double>, rest double, vector binary"))
     boxes = located.groupBy("cell").agg(
         F.count("*").alias("size"), F.max("rest").alias("rest"),
         *[f(F.get("lead", F.lit(k))).alias(f"{name}{k}") for k in range(lead) for name, f in (("low", F.min), ("high", F.max))],
     ).orderBy("cell").toPandas()  # a row for each cell, 2**MOST_SPLITS at most
     low, high = (boxes[[f"{name}{k}" for k in range(lead)]].to_numpy() for name in ("low", "high"))
     chunks = -(-boxes["size"].to_numpy() // tile)
-    cells = boxes["cell"].tolist()
-    pairs = [(cells[i], int(chunks[i]), cells[j], int(chunks[j])) for i, j in cell_pairs(low, high, boxes["rest"].to_numpy(), threshold)]
-
-    sizes = spark.createDataFrame(list(zip(cells, map(int, chunks), strict=True)), "cell int, chunks int")
-    dealt = located.join(F.broadcast(sizes), "cell").select(F.struct("cell", F.pmod(F.xxhash64("id"), "chunks").cast("int").alias("chunk")).alias("tile"), "id", "n", "vector")
-
-    def pack(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("id")
-        blob = frame["id"].to_numpy(np.int64).tobytes() + frame["n"].to_numpy(np.int64).tobytes() + b"".join(frame["vector"])
-        return pd.DataFrame({"tile": [int(frame["tile"].iloc[0])], "blob": [blob]})
-
-    number = (F.col("tile.cell").cast("long") * F.lit(1 << 40) + F.col("tile.chunk")).alias("tile")
-    tiles = saved(dealt.select(number, "id", "n", "vector").groupBy("tile").applyInPandas(pack, "tile long, blob binary"))
-    listed = spark.createDataFrame(pairs, "cell_a int, chunks_a int, cell_b int, chunks_b int")
-    tile_pairs = (
-        listed.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("chunks_a") - 1)))
-        .withColumn("j", F.explode(F.sequence(F.when(F.col("cell_a") == F.col("cell_b"), F.col("i")).otherwise(0), F.col("chunks_b") - 1)))
-        .select((F.col("cell_a").cast("long") * F.lit(1 << 40) + F.col("i")).alias("a"), (F.col("cell_b").cast("long") * F.lit(1 << 40) + F.col("j")).alias("b"))
-    )
-    opened = tile_pairs.join(tiles.select(F.col("tile").alias("a"), F.col("blob").alias("blob_a")), "a").join(tiles.select(F.col("tile").alias("b"), F.col("blob").alias("blob_b")), "b")
+    cells = boxes["cell"].to_numpy()
+    open_cells = np.zeros((1 << splits, 1 << splits), bool)
+    for i, j in cell_pairs(low, high, boxes["rest"].to_numpy(), threshold):
+        open_cells[cells[i], cells[j]] = open_cells[cells[j], cells[i]] = True
+    # tiles numbered through the cells, and strips of as many as a task may hold, but enough to keep the cores busy
     width = 16 + d * np.dtype(real).itemsize
-
-    def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        n = len(blob) // width
-        return np.frombuffer(blob, np.int64, n), np.frombuffer(blob, np.int64, n, 8 * n), np.frombuffer(blob, real, n * d, 16 * n).reshape(n, d).astype(np.float64)
-
-    def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for a, b, blob_a, blob_b in zip(frame["a"], frame["b"], frame["blob_a"], frame["blob_b"], strict=True):
-                ids_a, n_a, x = unpack(blob_a)
-                if a == b:
-                    i, j = linked(x, x, axes, threshold)
+    n_tiles = int(chunks.sum())
+    fewest = math.ceil(2 * math.sqrt(spark.sparkContext.defaultParallelism))
+    tiles_each = max(1, min(STRIP // tile, STRIP_BYTES // (tile * width), -(-n_tiles // fewest)))
+    first_tile = np.concatenate(([0], np.cumsum(chunks)))
+    cell_of_tile = np.repeat(cells, chunks)
+    n_strips = -(-n_tiles // tiles_each)
+    in_strip = [np.unique(cell_of_tile[k * tiles_each : (k + 1) * tiles_each]) for k in range(n_strips)] if n_strips <= MOST_LISTED else None
+    sizes = spark.createDataFrame([(int(c), int(n), int(at)) for c, n, at in zip(cells, chunks, first_tile[:-1], strict=True)], "cell int, chunks int, first int")
+    place = F.col("first") + F.pmod(F.xxhash64("id"), "chunks")
+    dealt = located.join(F.broadcast(sizes), "cell").select("cell", place.cast("int").alias("tile"), "id", "n", "vector")
+    partners = F.sequence(F.lit(0), F.lit(n_strips - 1))
+    if in_strip is not None:  # strips whose cells are all apart never meet
+        meet = [[k for k in range(n_strips) if open_cells[np.ix_(in_strip[s], in_strip[k])].any()] for s in range(n_strips)]
+        listed = spark.createDataFrame(list(enumerate(meet)), "strip int, partners array<int>")
+    shipped = dealt.withColumn("strip", F.floor(F.col("tile") / tiles_each).cast("int"))
+    shipped = shipped.join(F.broadcast(listed), "strip") if in_strip is not None else shipped.withColumn("partners", partners)
+    shipped = shipped.withColumn("other", F.explode("partners")).select(F.least("strip", "other").alias("a"), F.greatest("strip", "other").alias("b"), "cell", "tile", "id", "n", "vector")
+
+    def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["tile", "id"], ignore_index=True)
+        a, b = int(frame["a"].iloc[0]), int(frame["b"].iloc[0])
+        tiles, starts = np.unique(frame["tile"].to_numpy(), return_index=True)
+        ends = np.append(starts[1:], len(frame))
+        ids, copies, of = frame["id"].to_numpy(np.int64), frame["n"].to_numpy(np.int64), frame["cell"].to_numpy()
+        vectors = np.frombuffer(b"".join(frame["vector"]), real).reshape(len(frame), d)
+        links, left, right = np.zeros(len(frame), np.int64), [], []
+        for p, (s, e) in enumerate(zip(starts, ends, strict=True)):
+            x = vectors[s:e].astype(np.float64)
+            for q in range(p, len(tiles)):
+                if sorted((tiles[p] // tiles_each, tiles[q] // tiles_each)) != [a, b] or not open_cells[of[s], of[starts[q]]]:
+                    continue
+                y = x if p == q else vectors[starts[q] : ends[q]].astype(np.float64)
+                i, j = linked(x, y, axes, threshold)
+                if p == q:
                     i, j = i[i < j], j[i < j]
-                    ids, copies, offset = ids_a, n_a, 0
-                else:
-                    ids_b, n_b, y = unpack(blob_b)
-                    i, j = linked(x, y, axes, threshold)
-                    ids, copies, offset = np.concatenate([ids_a, ids_b]), np.concatenate([n_a, n_b]), len(ids_a)
                 if len(i):
-                    j = j + offset
-                    links = np.bincount(i, copies[j], len(ids)) + np.bincount(j, copies[i], len(ids))
-                    order = np.argsort(ids, kind="stable")  # the smallest id stands for a component
-                    place = np.argsort(order, kind="stable")
-                    label = local_components(len(ids), place[i], place[j])
-                    at = np.flatnonzero(links)
-                    yield pd.DataFrame({"id": ids[at], "n": links[at].astype(np.int64), "parent": ids[order[label[place[at]]]]})
-
-    with arrow_rows(spark, 16):  # a row is two tiles
-        return saved(by_frames(opened.select("a", "b", "blob_a", "blob_b"), compare, "id long, n long, parent long"))
+                    i, j = i + s, j + starts[q]
+                    links += np.bincount(i, copies[j], len(frame)).astype(np.int64) + np.bincount(j, copies[i], len(frame)).astype(np.int64)
+                    found = local_components(len(frame), np.concatenate([*left, i]), np.concatenate([*right, j]))
+                    at = np.flatnonzero(found != np.arange(len(frame)))
+                    left, right = [at], [found[at]]  # what is linked so far, in as few links as rows
+        at = np.flatnonzero(links)
+        label = local_components(len(frame), np.concatenate(left), np.concatenate(right)) if len(at) else np.zeros(0, np.int64)
+        least = np.full(len(frame), np.iinfo(np.int64).max)  # the smallest id stands for a component
+        if len(at):
+            np.minimum.at(least, label, ids)
+        return pd.DataFrame({"id": ids[at], "n": links[at], "parent": least[label[at]] if len(at) else ids[at]})
+
+    found = saved(shipped.groupBy("a", "b").applyInPandas(compare, "id long, n long, parent long"), small=True)
+    let_go(located)
+    return found
 
 
 def near_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = THRESHOLD, tile: int = TILE) -> DataFrame:
