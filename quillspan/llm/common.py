@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 BLOCK_CHARS = 4_000_000
 #: Rows of an Arrow batch between the JVM and Python.
 BATCH_ROWS = 1_000
+#: Keys that are broadcast at most (some 32 MB).
+BROADCAST_KEYS = 1_000_000
 _HELD: list[DataFrame] = []
 
 
@@ -67,9 +69,26 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/quillspan/{name}-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that was written, from whatever store it is in."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Free and delete what the operators have kept, once their results are written elsewhere."""
+    let_go()
+    remove(spark, f"{shared_dir(spark)}/quillspan")
+
+
 def small_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small, as one document can be very long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Keep Arrow batches small, as one document can be very long.
+
+    Lazy results are read later, so the setting stays with the session; a smaller one is kept.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
 
 
 @contextmanager

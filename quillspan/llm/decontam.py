@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, by_frames, framed, free_name, mix64
+from .common import BROADCAST_KEYS, blocks, by_frames, framed, free_name, mix64, saved
 from .shingles import powers
 from .tokens import forget
 
@@ -343,5 +343,6 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: s
 def without_leaks(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", **settings) -> DataFrame:
     """The rows that leak no item; a row with a null key stays unless null keys leak."""
     name = free_name(df.columns, "leaks")
-    leaking = find_leaks(df, benchmark, key, **settings).select(F.col(key).alias(name)).distinct()
-    return df.join(leaking, F.col(key).eqNullSafe(F.col(name)), "left_anti")
+    leaking = saved(find_leaks(df, benchmark, key, **settings).select(F.col(key).alias(name)).distinct(), small=True)
+    few = leaking.count() <= BROADCAST_KEYS  # beyond that size both sides are shuffled
+    return df.join(F.broadcast(leaking) if few else leaking, F.col(key).eqNullSafe(F.col(name)), "left_anti")

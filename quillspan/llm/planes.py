@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, blocks, by_frames, framed, fresh_path, saved
+from .common import arrow_rows, blocks, by_frames, framed, fresh_path, remove, saved
 from .tokens import TOKENIZER, encoder, tokenizer_path
 
 BLOCK_IDS = 1 << 16
@@ -186,4 +186,6 @@ def ids_through_files(df: DataFrame, key: str = "doc_id", text: str = "text", to
     """Write, then read back: key, start, n_tokens, ids_crc32."""
     path = fresh_path(df.sparkSession, "planes")
     write_ids(df, path, key, text, tokenizer, end_id, bits)
-    return read_ids(df.sparkSession, path).withColumnRenamed("key", key)
+    rows = read_ids(df.sparkSession, path).withColumnRenamed("key", key)  # read once, and kept
+    remove(df.sparkSession, path)
+    return rows

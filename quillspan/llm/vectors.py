@@ -44,9 +44,15 @@ LEAD = 8
 SLACK = 1e-4  # of sums in single precision, which only rule pairs out
 
 
+def unit_rows(x: np.ndarray) -> np.ndarray:
+    """Rows at length 1; halved or doubled first, which is exact, so that no square overflows or vanishes."""
+    y = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+    return y / np.linalg.norm(y, axis=1, keepdims=True)
+
+
 def principal_axes(sample: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Axes (columns, the strongest first) of unit vectors, and the medians along them."""
-    unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
+    unit = unit_rows(sample)
     _, axes = np.linalg.eigh(unit.T @ unit)
     axes = np.ascontiguousarray(axes[:, ::-1])
     return axes, np.median(unit @ axes, axis=0)
@@ -66,7 +72,7 @@ def cell_pairs(low: np.ndarray, high: np.ndarray, rest: np.ndarray, threshold: f
 
 def linked(a: np.ndarray, b: np.ndarray, axes: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Numbers (in a, in b) of the pairs with a cosine at the threshold; a and b in double precision, as given."""
-    ua, ub = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (a, b))
+    ua, ub = unit_rows(a), unit_rows(b)
     ra, rb = (ua @ axes).astype(np.float32), (ub @ axes).astype(np.float32)
     d, at, total, open_ = ra.shape[1], 0, None, None
     step = max(8, d // 4)
@@ -112,8 +118,7 @@ def _of_one_length(df: DataFrame, d: int, threshold: float, tile: int) -> DataFr
     def locate(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             x = np.stack(frame["embedding"].to_numpy()).astype(real)
-            turned = x.astype(np.float64)
-            turned = turned / np.linalg.norm(turned, axis=1, keepdims=True) @ axes
+            turned = unit_rows(x.astype(np.float64)) @ axes
             cell = ((turned[:, :splits] > middle[:splits]) << np.arange(splits)).sum(axis=1) if splits else np.zeros(len(x), np.int64)
             rest = np.linalg.norm(turned[:, lead:], axis=1)
             yield pd.DataFrame({"cell": cell, "id": frame["id"], "n": frame["n"], "lead": list(turned[:, :lead]), "rest": rest, "vector": [v.tobytes() for v in x]})

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, blocks, by_frames, framed, fresh_path, held, saved
+from .common import arrow_rows, blocks, by_frames, framed, fresh_path, held, remove, saved
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Records of an archive file, and its bytes, at most (but for one capture's).
@@ -165,7 +165,9 @@ def pages_through_archives(df: DataFrame, least_bytes: int = 0) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type and refers_to, read back from the archives."""
     path = fresh_path(df.sparkSession, "warc")
     write_pages(df, path, least_bytes=least_bytes)
-    rows = assemble(read_records(df.sparkSession, path, blocks_too=False)).select(
+    records = read_records(df.sparkSession, path, blocks_too=False)  # read once, and kept
+    remove(df.sparkSession, path)
+    rows = assemble(records).select(
         "record_id",
         F.expr("try_cast(metadata[0].fields['page-id'] as bigint)").alias("page_id"),
         F.col("capture.payload_bytes").alias("payload_bytes"),

@@ -71,6 +71,13 @@ def test_jaccard_join_equals_brute_force(spark, k, num, den, seed):
     assert got == {i: (len(s), want[i]) for i, s in enumerate(sets)}
 
 
+def test_links_come_by_both_routes(spark):
+    df = spark.createDataFrame(list(enumerate(corpus(2, 400))), "doc_id long, text string")
+    _, _, links = jaccard.set_links(df, words=5, num=80, den=100, tile=8)
+    found = {r.route: r["count"] for r in links.groupBy("route").count().collect()}
+    assert found["pivot"] > 0 and found["group"] > 0
+
+
 def test_jaccard_edges(spark):
     df = spark.createDataFrame([(None, "a b c d"), (4, "a b c d"), (4, "a b c d"), (9, "A b c D")], "doc_id long, text string")
     assert sorted(r.component_id for r in jaccard.jaccard_components(df).collect()) == [4] * 4
@@ -115,3 +122,44 @@ def test_vectors_equal_brute_force(spark, d, tile):
     assert [(got[1000 + i].n_links, got[1000 + i].component_id) for i in range(7)] == [(0, 1000 + i) for i in range(5)] + [(1, 1005), (1, 1005)]
     assert all(r.kept == (r.vec_id == r.component_id) for r in got.values())
     assert vectors.near_vectors(df.where("false")).count() == 0
+
+
+def test_very_large_and_small_components(spark):
+    rows = [(1, [1e300, 1e300]), (2, [1.0, 1.0]), (3, [1e-300, 1.1e-300]), (4, [-1e300, 1e300]), (5, [5e-324, 5e-324])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (0, 4), 5: (3, 1)}
+
+
+def test_very_long_texts_and_a_hot_group(spark):
+    draw = random.Random(8)
+    long = [f"v{draw.randrange(5000)}" for _ in range(20_000)]
+    base = [f"b{draw.randrange(500)}" for _ in range(60)]
+    texts = [" ".join(long), " ".join([*long[:-300], *reversed(long[-300:])]), " ".join([*long, *base]), " ".join(long[:9_000])]
+    for i in range(400):  # a third and more of the rows are one group, whose members are near to the base alone
+        words = list(base)
+        words[draw.randrange(60)] = f"e{i}"
+        texts.append(" ".join(words))
+    texts += [" ".join(base)] * 50 + [" ".join([*base[:30], *(f"c{draw.randrange(900)}" for _ in range(30))]) for _ in range(300)]
+    sets = [shingles(t, 3) for t in texts]
+    where = {}
+    for i, s in enumerate(sets):
+        for x in s:
+            where.setdefault(x, []).append(i)
+    common = {}
+    for rows in where.values():
+        for a in rows:
+            for b in rows:
+                if b < a:
+                    common[a, b] = common.get((a, b), 0) + 1
+    links = [(a, b) for (a, b), n in common.items() if 100 * n >= 90 * (len(sets[a]) + len(sets[b]) - n)]
+    want = groups(len(texts), links)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(df, tile=64).collect()}
+    assert got == {i: (len(s), want[i]) for i, s in enumerate(sets)}
+
+
+def test_sets_of_one_hash_are_told_apart(spark, monkeypatch):
+    texts = [" ".join(f"{c}{i}" for i in range(12)) for c in "pqrs"] + ["p0 p1 p2 p3 p4 p5 p6 p7 p8 p9 p10 p11"]
+    monkeypatch.setattr(jaccard, "set_id", lambda hashes: (5, int(hashes[0]) >> 1))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    assert sorted(r.component_id for r in jaccard.jaccard_components(df).collect()) == [0, 0, 1, 2, 3]
