@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..operators.chunking import ChunkingPolicy, chunk_documents
 from ..operators.lifecycle import CHUNKS, IndexState, plan_changes
 from ..sources.files import checksum, document_id, paged_blocks, route, skip_reason, text_documents
+from ..sources.registry import Parsers
 
 Embed = Callable[[list[str]], list[list[float]]]
 #: How files are cut where the caller doesn't say.
@@ -24,17 +25,35 @@ def refusal() -> Column:
     return F.coalesce(F.when(path.isNull(), "file path is empty"), skip_reason(path, F.length("content"), kind), F.when(route(path, kind) == "unsupported", "unsupported file type"))
 
 
-def normalize(files: DataFrame) -> DataFrame:
-    """Files (source_path, media_type, content) as blocks: source_path, block_no, kind, text, page, section, line_start, char_start; or a row with the error."""
-    routed = files.select(F.col("source_path").alias("path"), "media_type", "content", route(F.col("source_path"), F.col("media_type")).alias("route"))
-    nothing = {c: F.lit(None).cast(t).alias(c) for c, t in zip(PLACE, ("int", "string", "int", "int"), strict=True)}
-    text = text_documents(routed.where("route = 'text'"))
-    found = text.select("source_path", F.lit(0).alias("block_no"), "kind", "text", nothing["page"], nothing["section"], "line_start", "char_start", "error")
-    for kind in ("docx", "pdf"):
+def _nothing() -> dict[str, Column]:
+    return {c: F.lit(None).cast(t).alias(c) for c, t in zip(PLACE, ("int", "string", "int", "int"), strict=True)}
+
+
+def _text(files: DataFrame) -> DataFrame:
+    nothing = _nothing()
+    return text_documents(files).select("source_path", F.lit(0).alias("block_no"), "kind", "text", nothing["page"], nothing["section"], "line_start", "char_start", "error")
+
+
+def _paged(kind: str) -> Callable[[DataFrame], DataFrame]:
+    def parse(files: DataFrame) -> DataFrame:
+        nothing = _nothing()
         number = F.coalesce("page", F.regexp_extract("section", r"(\d+)$", 1).try_cast("int"))
-        paged = paged_blocks(routed.where(F.col("route") == kind), kind)
-        found = found.unionByName(paged.select("source_path", number.alias("block_no"), F.lit("paragraph").alias("kind"), "text", "page", "section", nothing["line_start"], nothing["char_start"], "error"))
-    return found
+        return paged_blocks(files, kind).select("source_path", number.alias("block_no"), F.lit("paragraph").alias("kind"), "text", "page", "section", nothing["line_start"], nothing["char_start"], "error")
+
+    return parse
+
+
+def default_parsers() -> Parsers:
+    """PDF, DOCX and text, as files are routed; more can be registered."""
+    parsers = Parsers()
+    for name, parse in (("pdf", _paged("pdf")), ("docx", _paged("docx")), ("text", _text)):
+        parsers.register(name, lambda path, kind, name=name: route(path, kind) == name, parse)
+    return parsers
+
+
+def normalize(files: DataFrame, parsers: Parsers | None = None) -> DataFrame:
+    """Files (source_path, media_type, content) as blocks: source_path, block_no, kind, text, page, section, line_start, char_start; or a row with the error."""
+    return (parsers or default_parsers()).parse(files.select(F.col("source_path").alias("path"), "media_type", "content"))
 
 
 def embed_chunks(chunks: DataFrame, embed: Embed) -> DataFrame:
@@ -55,7 +74,7 @@ def embed_chunks(chunks: DataFrame, embed: Embed) -> DataFrame:
     return chunks.select("source_path", "chunk_id", "ordinal", "text").groupBy("source_path").applyInPandas(run, "source_path string, chunk_id string, vector array<double>, error string")
 
 
-def add_files(state: IndexState, files: DataFrame, versions: str = "1", policy: ChunkingPolicy = POLICY, embed: Embed | None = None, embedding: str = "") -> DataFrame:
+def add_files(state: IndexState, files: DataFrame, versions: str = "1", policy: ChunkingPolicy = POLICY, embed: Embed | None = None, embedding: str = "", parsers: Parsers | None = None) -> DataFrame:
     """Files (source_path, media_type, content, error: why refused) into the state, one a path; the actions.
 
     Only what is new or changed is read; `versions`, the policy and the name of the embedding are the
@@ -68,7 +87,7 @@ def add_files(state: IndexState, files: DataFrame, versions: str = "1", policy:
     planned = plan_changes(coming, state.sources()).cache()  # a file is read once
     fresh = planned.where("action <> 'skipped' and error is null")
     about = fresh.select("source_path", "document_id", "media_type")
-    blocks = normalize(fresh).cache()
+    blocks = normalize(fresh, parsers).cache()
     good = blocks.where("error is null").join(about.drop("media_type"), "source_path").withColumn("language", F.lit(None).cast("string"))
     cut = chunk_documents(good.drop("error"), policy, embed)
     chunks = cut.join(about, "document_id").withColumnRenamed("chunk_text", "text").select(*[c.split()[0] for c in CHUNKS.split(", ")]).cache()

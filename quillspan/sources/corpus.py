@@ -29,11 +29,18 @@ def chunk_table(documents: DataFrame) -> DataFrame:
 
 
 def _json_lines(spark: SparkSession, path: str, schema: str, valid: Column) -> DataFrame:
-    """JSON lines, blank ones left out; the first bad line fails the read, by its file and content."""
+    """JSON lines, blank ones left out; a bad one fails the whole read, by its file and number.
+
+    All lines are checked before any is returned. The number is looked up in the one file that has the line.
+    """
     raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file")).where(F.col("value").rlike(r"\S"))
     parsed = raw.select("value", "file", F.from_json("value", schema).alias("row"))
-    checked = F.when(F.col("row").isNotNull() & valid, F.col("row")).otherwise(F.raise_error(F.concat_ws(": ", "file", F.lit("bad line"), "value")))
-    return parsed.select(checked.alias("row")).select("row.*")
+    bad = parsed.where(~F.coalesce(F.col("row").isNotNull() & valid, F.lit(False))).agg(F.min(F.struct("file", "value")).alias("first")).first()["first"]
+    if bad:
+        lines = spark.read.text(bad["file"], wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("n", "line"))
+        number = lines.where(F.col("line") == bad["value"]).agg(F.min("n")).first()[0]
+        raise ValueError(f"{bad['file']}:{'?' if number is None else number + 1}: bad line")
+    return parsed.select("row.*")
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:

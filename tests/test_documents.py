@@ -124,8 +124,8 @@ def test_json_lines(spark, tmp_path):
     good = tmp_path / "gold.jsonl"
     good.write_text('{"id":"q","query":"x","relevant_chunk_ids":["a"],"tags":[]}\n\n')
     assert corpus.read_gold(spark, str(good)).count() == 1
-    good.write_text('{"id":"q","query":"x","relevant_chunk_ids":[]}\n')
-    with pytest.raises(Exception, match="bad line"):
+    good.write_text('{"id":"q","query":"x","relevant_chunk_ids":["a"]}\n\n{"id":"q","query":"x","relevant_chunk_ids":[]}\n{"id":\n')
+    with pytest.raises(ValueError, match=r"gold\.jsonl:[34]: bad line"):
         corpus.read_gold(spark, str(good)).collect()
     with pytest.raises(Exception):
         corpus.read_chunks(spark, str(tmp_path / "none.jsonl")).collect()
@@ -261,3 +261,13 @@ def test_workers_get_the_package(spark):
     from quillspan.session import ship
 
     assert "quillspan/functions/text.py" in z.ZipFile(ship(spark)).namelist()
+
+
+def test_registered_parsers_are_asked_in_order(spark):
+    from quillspan.plans.ingestion import default_parsers, normalize
+
+    upper = lambda df: normalize(df.withColumnRenamed("path", "source_path")).withColumn("text", F.upper("text"))
+    parsers = default_parsers().register("shout", lambda path, kind: path.endswith(".loud.txt"), upper, first=True)
+    rows = spark.createDataFrame([("a.txt", "text/plain", bytearray(b"one")), ("b.loud.txt", "text/plain", bytearray(b"two")), ("c.bin", "application/x", bytearray(b"x"))], "source_path string, media_type string, content binary")
+    got = {r.source_path: (r.text, r.error) for r in normalize(rows, parsers).collect()}
+    assert got["a.txt"] == ("one", None) and got["b.loud.txt"] == ("TWO", None) and got["c.bin"][1]
