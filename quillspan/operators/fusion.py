@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +34,14 @@ def reciprocal_rank_fusion(lists: DataFrame, limit: int, constant: int = 60, wei
     return ranked_with_best(scored, limit)
 
 
+def fuse_candidates(limit: int, constant: int = 60, weights: Mapping[str, float] | None = None, **lists: DataFrame) -> DataFrame:
+    """Fused results of named lists (qid, chunk_id, rank, score): lexical, vector and any others."""
+    named = [df.select("qid", F.lit(name).alias("list"), "chunk_id", "rank", "score") for name, df in lists.items()]
+    if not named:
+        raise ValueError("there is no list to fuse")
+    return reciprocal_rank_fusion(reduce(DataFrame.union, named), limit, constant, weights)
+
+
 def ranked_with_best(scored: DataFrame, limit: int) -> DataFrame:
     from pyspark.sql import Window
 

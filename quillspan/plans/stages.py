@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.dense import check_vectors, dense, metadata_leg, sparse
+from ..operators.encoders import embedded, weighted
 from ..operators.filters import filter_chunks
 from ..operators.fusion import reciprocal_rank_fusion, rerank
 from ..operators.lexical import bm25
@@ -34,6 +35,17 @@ class Models:
     rerankers: Mapping[str, Callable] = field(default_factory=dict)
 
 
+def models_from(chunks: DataFrame, queries: DataFrame, embed: Callable | None = None, sparse_encoder: Callable | None = None, splade_encoder: Callable | None = None, rerankers: Mapping[str, Callable] | None = None) -> Models:
+    """The tables behind the legs from providers: each text is encoded once, whatever the number of its forms."""
+    tables: dict[str, DataFrame] = {}
+    if embed:
+        tables |= {"chunk_vectors": embedded(chunks, "chunk_id", "text", embed), "query_vectors": embedded(queries, "qid", "query", embed)}
+    for name, encoder in (("", sparse_encoder), ("splade_", splade_encoder)):
+        if encoder:
+            tables |= {f"{name}chunk_weights": weighted(chunks, "chunk_id", "text", encoder), f"{name}query_weights": weighted(queries, "qid", "query", encoder)}
+    return Models(**tables, rerankers=rerankers or {})
+
+
 def needed(stage: str, **given: object) -> None:
     """An error that names what a stage lacks."""
     missing = [name for name, value in given.items() if value is None]

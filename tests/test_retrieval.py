@@ -172,3 +172,27 @@ def test_latencies_by_group(spark):
     runs = spark.createDataFrame([("a", 5, 9.0), ("a", 6, 1.0), ("a", 7, 3.0), ("b", 0, 4.0)], "who string, n long, ms double")
     assert {r.who: (r.first_ms, r.warm_median_ms) for r in evaluation.latencies(runs, "who").collect()} == {"a": (9.0, 2.0), "b": (4.0, 0.0)}
     assert tuple(evaluation.latencies(runs.where("who = 'a'")).first()) == (9.0, 2.0)
+
+
+def test_legs_from_providers(spark, chunks):
+    asked_ = spark.createDataFrame([("q", "latency of the chart")], "qid string, query string")
+
+    def build():
+        return lambda texts: [[float("latency" in t), 1.0] for t in texts]
+
+    build.factory = True
+    words = lambda texts: [{w: 1.0 for w in t.lower().split()} for t in texts]
+    models = stages.models_from(chunks, asked_, build, words, words, {"rerank_bge": lambda q, t: [float("latency" in x) for x in t]})
+    assert models.chunk_vectors.count() == 3 and {r.term for r in models.splade_query_weights.collect()} == {"latency", "of", "the", "chart"}
+    for stage in ("bge_dense", "hybrid", "specialists"):
+        assert stages.search(chunks, asked_, stage, models=models).orderBy("rank").first().chunk_id == "doc-march-report:000"
+    with pytest.raises(Exception, match="one vector per text"):
+        stages.models_from(chunks, asked_, lambda texts: []).chunk_vectors.collect()
+
+
+def test_named_lists_are_fused(spark):
+    one, two = (spark.createDataFrame(r, "qid long, chunk_id string, rank int, score double") for r in ([(1, "a", 1, 2.0)], [(1, "a", 2, 0.5), (1, "b", 1, 0.9)]))
+    got = fusion.fuse_candidates(5, lexical=one, vector=two).orderBy("rank").collect()
+    assert [r.chunk_id for r in got] == ["a", "b"] and [s.list for s in got[0].signals] == ["lexical", "vector"]
+    with pytest.raises(ValueError):
+        fusion.fuse_candidates(5)
