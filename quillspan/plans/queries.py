@@ -680,3 +680,6 @@ def snapshot_prune(spark, sf_dir):
 def delete_actions(spark, sf_dir):
     state, incoming = life_of(spark, sf_dir)
     return lifecycle.plan_deletes(incoming, state).select("source_path", "action", long("n_chunks"))
+
+
+from . import index_queries  # noqa: E402, F401  registers its queries
