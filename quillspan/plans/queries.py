@@ -331,17 +331,19 @@ def metadata_merge(spark, sf_dir):
     return merged.select("document_id", long("group_no"), long("chunk_no"), long("page"), "section", long("line_start"), long("line_end"), long("char_start"), long("char_end"), "n_locations")
 
 
-PACKS = r"""se AS (SELECT document_id, text, regexp_extract_all(text, '(?s).+?(?:[.!?] |\n|$)') AS parts FROM chunks WHERE text<>''),
+def packs_sql(source: str, size: int, overlap: int) -> str:
+    """Common table expressions that end in ct: document_id, text, cuts; of a source with document_id and text."""
+    return rf"""se AS (SELECT document_id, text, regexp_extract_all(text, '(?s).+?(?:[.!?] |\n|$)') AS parts FROM {source} WHERE text<>''),
 sb AS (SELECT document_id, text, len(parts) AS m, list_transform(range(1, len(parts)+1), lambda i: list_sum(list_transform(parts[1:i], lambda p: length(p)))::BIGINT) AS ends, list_transform(parts, lambda p: length(p)) AS sizes FROM se),
 wk AS (SELECT document_id, 0::BIGINT AS k, 1::BIGINT AS ps, []::STRUCT(a BIGINT, b BIGINT)[] AS cuts FROM sb
- UNION ALL SELECT document_id, j, CASE WHEN big THEN j+1 WHEN ps=j OR ends[j]-(ends[ps]-sizes[ps])<=500 THEN ps ELSE coalesce(list_filter(range(ps, j), lambda i: ends[j-1]-(ends[i]-sizes[i])<=50 AND ends[j]-(ends[i]-sizes[i])<=500)[1], j) END,
-  CASE WHEN big THEN list_concat(CASE WHEN ps<j THEN list_append(cuts, {'a': ends[ps]-sizes[ps], 'b': ends[j-1]}) ELSE cuts END, list_transform(range(ends[j]-sizes[j], ends[j], 500), lambda a: {'a': a, 'b': least(a+500, ends[j])}))
-  WHEN ps=j OR ends[j]-(ends[ps]-sizes[ps])<=500 THEN cuts ELSE list_append(cuts, {'a': ends[ps]-sizes[ps], 'b': ends[j-1]}) END
-  FROM (SELECT wk.*, wk.k+1 AS j, sb.m, sb.ends, sb.sizes, sb.sizes[wk.k+1]>500 AS big FROM wk JOIN sb USING (document_id) WHERE wk.k<sb.m)),
-ct AS (SELECT wk.document_id, sb.text, CASE WHEN ps<=m THEN list_append(cuts, {'a': ends[ps]-sizes[ps], 'b': ends[m]}) ELSE cuts END AS cuts FROM wk JOIN sb USING (document_id) WHERE wk.k=sb.m)"""
+ UNION ALL SELECT document_id, j, CASE WHEN big THEN j+1 WHEN ps=j OR ends[j]-(ends[ps]-sizes[ps])<={size} THEN ps ELSE coalesce(list_filter(range(ps, j), lambda i: ends[j-1]-(ends[i]-sizes[i])<={overlap} AND ends[j]-(ends[i]-sizes[i])<={size})[1], j) END,
+  CASE WHEN big THEN list_concat(CASE WHEN ps<j THEN list_append(cuts, {{'a': ends[ps]-sizes[ps], 'b': ends[j-1]}}) ELSE cuts END, list_transform(range(ends[j]-sizes[j], ends[j], {size}), lambda a: {{'a': a, 'b': least(a+{size}, ends[j])}}))
+  WHEN ps=j OR ends[j]-(ends[ps]-sizes[ps])<={size} THEN cuts ELSE list_append(cuts, {{'a': ends[ps]-sizes[ps], 'b': ends[j-1]}}) END
+  FROM (SELECT wk.*, wk.k+1 AS j, sb.m, sb.ends, sb.sizes, sb.sizes[wk.k+1]>{size} AS big FROM wk JOIN sb USING (document_id) WHERE wk.k<sb.m)),
+ct AS (SELECT wk.document_id, sb.text, CASE WHEN ps<=m THEN list_append(cuts, {{'a': ends[ps]-sizes[ps], 'b': ends[m]}}) ELSE cuts END AS cuts FROM wk JOIN sb USING (document_id) WHERE wk.k=sb.m)"""
 
 
-@query(rf"""WITH RECURSIVE {CHUNKS}, {PACKS}, u AS (SELECT document_id, text, unnest(cuts) AS c, generate_subscripts(cuts, 1)-1 AS chunk_no FROM ct)
+@query(rf"""WITH RECURSIVE {CHUNKS}, {packs_sql("chunks", 500, 50)}, u AS (SELECT document_id, text, unnest(cuts) AS c, generate_subscripts(cuts, 1)-1 AS chunk_no FROM ct)
 SELECT document_id, chunk_no, c.a AS start, c.b AS "end", text[c.a+1:c.b] AS chunk_text FROM u WHERE regexp_matches(text[c.a+1:c.b], '\S')""")
 def sentence_chunks(spark, sf_dir):
     policy = chunking.ChunkingPolicy(target_size=500, overlap=50)
@@ -349,10 +351,20 @@ def sentence_chunks(spark, sf_dir):
     return chunking.chunk_groups(groups, policy).select("document_id", long("chunk_no"), long("start"), long("end"), "chunk_text")
 
 
-@query()
+POLICY_400 = chunking.ChunkingPolicy(target_size=400, overlap=40)
+
+
+@query(rf"""WITH RECURSIVE {BLOCKS}, gx AS (SELECT conv_id, group_no, min(kind) AS kind, string_agg(text, chr(10)||chr(10) ORDER BY turn) AS body FROM grouped GROUP BY conv_id, group_no),
+gp AS (SELECT conv_id||'/'||group_no AS document_id, body AS text FROM gx WHERE kind<>'code'), {packs_sql("gp", 400, 40)},
+al AS (SELECT conv_id, group_no, body, 'sentence' AS chunker, cuts FROM gx JOIN ct ON ct.document_id=gx.conv_id||'/'||gx.group_no WHERE kind<>'code'
+ UNION ALL SELECT conv_id, group_no, body, 'blank-lines', list_transform(range(0, length(body), 400), lambda a: {{'a': a, 'b': least(a+400, length(body))}}) FROM gx WHERE kind='code'),
+uc AS (SELECT conv_id, group_no, body, chunker, unnest(cuts) AS c, generate_subscripts(cuts, 1) AS n FROM al),
+kc AS (SELECT conv_id, group_no, chunker, n, c.a AS a, c.b AS b, body[c.a+1:c.b] AS chunk_text, row_number() OVER (PARTITION BY conv_id ORDER BY group_no, n)-1 AS ordinal FROM uc WHERE regexp_matches(body[c.a+1:c.b], '\S')),
+pg AS (SELECT kc.conv_id, kc.group_no, kc.n, CASE WHEN count(DISTINCT page)=1 THEN min(page) END AS page, CASE WHEN count(DISTINCT section)=1 THEN min(section) END AS section FROM kc JOIN spans USING (conv_id, group_no) WHERE greatest(a,s)<least(b,s+length(text)) GROUP BY kc.conv_id, kc.group_no, kc.n)
+SELECT conv_id::VARCHAR||':'||left(sha256(to_json({{'chunk_text': chunk_text, 'document_id': conv_id::VARCHAR, 'ordinal': ordinal, 'policy': '{POLICY_400.version}'}})::VARCHAR),16) AS chunk_id, conv_id::VARCHAR AS document_id, ordinal::BIGINT AS ordinal, chunk_text, page::BIGINT AS page, section, chunker FROM kc JOIN pg USING (conv_id, group_no, n)""")
 def chunk_documents(spark, sf_dir):
     blocks = blocks_of(spark, sf_dir).withColumns({"document_id": F.col("document_id").cast("string"), "source_path": F.lit("a.txt"), "language": F.lit(None).cast("string")})
-    return chunking.chunk_documents(blocks, chunking.ChunkingPolicy(target_size=400, overlap=40)).select("chunk_id", "document_id", long("ordinal"), "chunk_text", long("page"), "section", "chunker")
+    return chunking.chunk_documents(blocks, POLICY_400).select("chunk_id", "document_id", long("ordinal"), "chunk_text", long("page"), "section", "chunker")
 
 
 SUFFIXES = (*chunking.CODE_LANGUAGES, ".txt", ".md")
