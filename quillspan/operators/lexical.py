@@ -15,6 +15,15 @@ K1, B = 1.5, 0.75
 EVERY = ""
 
 
+#: Rows that are sent round whole (some 32 MB); more are shuffled to their partners.
+SENT_ROWS = 500_000
+
+
+def sent(rows: DataFrame) -> DataFrame:
+    """Rows of queries, to be sent to all tasks where they are few."""
+    return F.broadcast(rows) if rows.count() <= SENT_ROWS else rows
+
+
 def postings(chunks: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     """chunk_id, n_tokens, term, tf, and a row of the term EVERY for each chunk; of wanted terms (term) only, where given.
 
@@ -23,7 +32,7 @@ def postings(chunks: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     tokens = chunks.select("chunk_id", tokenize(F.col("text")).alias("tokens"))
     rows = tokens.select("chunk_id", F.size("tokens").alias("n_tokens"), F.explode(F.array_append("tokens", F.lit(EVERY))).alias("term"))
     if wanted is not None:
-        rows = rows.join(wanted.select("term").union(chunks.sparkSession.createDataFrame([(EVERY,)], "term string")), "term", "left_semi").select("chunk_id", "n_tokens", "term")
+        rows = rows.join(sent(wanted.select("term").union(chunks.sparkSession.createDataFrame([(EVERY,)], "term string"))), "term", "left_semi").select("chunk_id", "n_tokens", "term")
     return rows.repartition("chunk_id").groupBy("chunk_id", "n_tokens", "term").agg(F.count("*").alias("tf"))
 
 
@@ -55,7 +64,7 @@ def bm25(chunks: DataFrame, queries: DataFrame, limit: int | None = 10, k1: floa
     chunk lies, and only the best of each partition go on; of these the contributions are added again, in
     query order, for the score that is returned.
     """
-    terms = query_terms(queries)
+    terms = sent(query_terms(queries))
     tf = postings(chunks, terms.select("term").distinct())
     every = F.col("term") == EVERY
     stats = tf.agg(F.count(F.when(every, 1)).alias("n_chunks"), F.coalesce(F.avg(F.when(every, F.col("n_tokens"))), F.lit(0.0)).alias("avg_tokens"))
