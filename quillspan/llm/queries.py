@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, jaccard, language, lengths, packing, planes, sharding, vectors, warc
+from . import chat, decontam, jaccard, language, lengths, packing, periodic, planes, sharding, vectors, warc
 from .common import table
 
 
@@ -62,6 +62,12 @@ def op10_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"), 24)
 
 
+def op11_harmonic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    planted = docs.select("doc_id", periodic.with_planted_run(F.col("doc_id"), F.col("text")).alias("text"))
+    return periodic.run_digests(periodic.find_runs(planted, least=24, times=3))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_kneser_ney_language": op1_kneser_ney_language,
@@ -74,6 +80,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_warc_transactions": op8_warc_transactions,
         "op9_plane_files": op9_plane_files,
         "op10_hash_tree_shards": op10_hash_tree_shards,
+        "op11_harmonic_runs": op11_harmonic_runs,
     }
 
 
@@ -101,5 +108,21 @@ SELECT page_id, strlen(b) AS payload_bytes,
  CASE WHEN page_id=f THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id<>f THEN f END AS refers_to FROM x"""
 
 
+OP11 = """WITH tab AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce([i,0,0,0,0,0,0,0,0], lambda c, x: CASE WHEN c&1=1 THEN xor(c>>1, 3988292384) ELSE c>>1 END) AS v FROM (SELECT range AS i FROM range(256)))),
+k AS (SELECT doc_id, regexp_extract_all(coalesce(text,''), '[^\\x20\\x09-\\x0D]+') AS w, xor(list_reduce([4294967295::BIGINT] || list_transform(range(1, len(doc_id::VARCHAR)+1), lambda i: ascii(substr(doc_id::VARCHAR, i::INT, 1))::BIGINT), lambda c, b: xor(c>>8, t[xor(c, b)%256+1])), 4294967295) AS h FROM documents, tab),
+g AS (SELECT *, len(w) AS n, (h//10)%greatest(len(w),1) AS a FROM k),
+p AS (SELECT *, 1+(n-a)//(3+(h//10)%8) AS p FROM g),
+d AS (SELECT doc_id, n, CASE WHEN h%10=0 AND n>0 THEN list_transform(range(0,n), lambda i: w[CASE WHEN i<a THEN i ELSE a+(i-a)%p END+1]) ELSE w END AS w FROM p),
+u AS (SELECT doc_id, n, unnest(w) AS x, unnest(range(0,n)) AS i FROM d),
+e AS (SELECT l.doc_id, r.i-l.i AS q, l.i AS i FROM u l JOIN u r ON l.doc_id=r.doc_id AND l.x=r.x AND r.i>l.i AND 3*(r.i-l.i)<=l.n),
+s AS (SELECT doc_id, q, min(i) AS start, count(*)+q AS length FROM (SELECT *, i-row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM e) GROUP BY doc_id, q, island),
+r AS (SELECT doc_id, start, length, min(q) AS period FROM s WHERE length>=greatest(24,3*q) GROUP BY 1,2,3),
+c AS (SELECT doc_id, i, x FROM u WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.doc_id=u.doc_id AND u.i>=r.start+r.period AND u.i<r.start+r.length)),
+f AS (SELECT doc_id, count(*) AS n_runs, string_agg(start||','||length||','||period||chr(10), '' ORDER BY start, period) AS lines, list({'s':start,'l':length,'p':period} ORDER BY length::DOUBLE/period DESC, start, period)[1] AS b FROM r GROUP BY 1),
+t AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS text FROM c GROUP BY 1)
+SELECT d.doc_id, coalesce(n_runs,0) AS n_runs, b.s AS start, b.l AS length, b.p AS period, 1000*b.l//b.p AS exponent_milli, sha256(coalesce(lines,'')) AS runs_sha256, sha256(coalesce(t.text,'')) AS collapsed_sha256
+FROM d LEFT JOIN f USING (doc_id) LEFT JOIN t USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_pca_tiles": OP6, "op7_token_group_join": OP7, "op8_warc_transactions": OP8}
+    return {"op6_pca_tiles": OP6, "op7_token_group_join": OP7, "op8_warc_transactions": OP8, "op11_harmonic_runs": OP11}
