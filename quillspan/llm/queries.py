@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, jaccard, language, lengths, packing, periodic, planes, sharding, vectors, warc
+from . import audit, chat, decontam, jaccard, language, lengths, packing, periodic, planes, sharding, vectors, warc
 from .common import table
 
 
@@ -68,6 +68,11 @@ def op11_harmonic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.run_digests(periodic.find_runs(planted, least=24, times=3))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = audit.with_labels(audit.text_failures(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
+    return audit.audit_filters(rows, {x: F.col(x) for x in "ABCDE"}, {"good_lost": F.col("good"), "toxic_lost": F.col("toxic")})
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_kneser_ney_language": op1_kneser_ney_language,
@@ -81,6 +86,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_plane_files": op9_plane_files,
         "op10_hash_tree_shards": op10_hash_tree_shards,
         "op11_harmonic_runs": op11_harmonic_runs,
+        "op12_filter_audit": op12_filter_audit,
     }
 
 
@@ -124,5 +130,19 @@ SELECT d.doc_id, coalesce(n_runs,0) AS n_runs, b.s AS start, b.l AS length, b.p
 FROM d LEFT JOIN f USING (doc_id) LEFT JOIN t USING (doc_id)"""
 
 
+OP12 = """WITH w AS (SELECT doc_id, coalesce(lang,'') AS part, coalesce(text,'') AS t, regexp_extract_all(coalesce(text,''), '[^\\x20\\x09-\\x0D]+') AS ws, min(doc_id) OVER (PARTITION BY coalesce(text,'')) AS first FROM documents),
+l AS (SELECT doc_id, max((quality=1)::INT) AS good, max((toxic=1)::INT) AS toxic FROM labels GROUP BY 1),
+f AS (SELECT part, coalesce(good,0) AS good, coalesce(toxic,0) AS toxic, [len(ws)<200, 100*len(list_distinct(ws))<50*len(ws), 100*(length(t)-length(regexp_replace(t,'[A-Z]','','g')))>3*length(t), regexp_matches(t,'[#$%&*|]'), w.doc_id>first] AS x FROM w LEFT JOIN l USING (doc_id)),
+c AS (SELECT part, x, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY 1,2),
+i AS (SELECT range AS i FROM range(1,6)),
+o AS (SELECT [a.i,b.i,c.i,d.i,e.i] AS o FROM i a, i b, i c, i d, i e WHERE len(list_distinct([a.i,b.i,c.i,d.i,e.i]))=5),
+s AS (SELECT array_to_string(list_transform(o, lambda k: 'ABCDE'[k]), '') AS filter_order, i::INT AS step, o[i] AS f, o[:i-1] AS before FROM o, i),
+g AS (SELECT part, filter_order, step, f, sum(CASE WHEN NOT x[f] AND NOT p THEN n ELSE 0 END) AS kept, sum(CASE WHEN x[f] AND NOT p THEN n ELSE 0 END) AS removed,
+ sum(CASE WHEN x[f] AND p THEN n ELSE 0 END) AS redundant, sum(CASE WHEN x[f] AND len(list_filter(x, lambda v: v))=1 THEN n ELSE 0 END) AS unique_fails,
+ sum(CASE WHEN x[f] AND NOT p THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN x[f] AND NOT p THEN toxic ELSE 0 END) AS toxic_lost
+ FROM (SELECT *, len(list_filter(before, lambda k: x[k]))>0 AS p FROM c, s) GROUP BY 1,2,3,4)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, sum(removed) OVER (PARTITION BY part, f) AS shapley FROM g"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_pca_tiles": OP6, "op7_token_group_join": OP7, "op8_warc_transactions": OP8, "op11_harmonic_runs": OP11}
+    return {"op6_pca_tiles": OP6, "op7_token_group_join": OP7, "op8_warc_transactions": OP8, "op11_harmonic_runs": OP11, "op12_filter_audit": OP12}
