@@ -11,6 +11,7 @@ from contextlib import AbstractContextManager, contextmanager
 import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
 #: Characters of text that a Python step holds at once, besides one whole document.
@@ -42,13 +43,12 @@ def shared_dir(spark: SparkSession) -> str:
 def saved(df: DataFrame, small: bool = False) -> DataFrame:
     """A reliable checkpoint of df: later reads don't repeat its work and survive lost executors.
 
-    The shuffles behind it go with it. A small one (links, labels, what a fraction of the rows leaves) is
-    written in two files a core at most, whatever the number of shuffle partitions.
+    A small one (links, labels, what a fraction of the rows leaves) is written in two files a core at most,
+    whatever the number of shuffle partitions.
     """
     spark = df.sparkSession
     shared_dir(spark)
-    with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
-        return (df.coalesce(2 * spark.sparkContext.defaultParallelism) if small else df.select("*")).checkpoint()
+    return (df.coalesce(2 * spark.sparkContext.defaultParallelism) if small else df.select("*")).checkpoint()
 
 
 def held(df: DataFrame) -> DataFrame:
@@ -94,14 +94,16 @@ def small_batches(spark: SparkSession) -> None:
 @contextmanager
 def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
     """A setting of the session for what runs inside; one that this Spark doesn't know is left."""
-    before = spark.conf.get(name, None)
     try:
-        if before is not None:
-            spark.conf.set(name, value)
+        before = spark.conf.get(name)  # its default, where it isn't set
+    except PySparkException:
+        yield
+        return
+    try:
+        spark.conf.set(name, value)
         yield
     finally:
-        if before is not None:
-            spark.conf.set(name, before)
+        spark.conf.set(name, before)
 
 
 def arrow_rows(spark: SparkSession, rows: int) -> AbstractContextManager[None]:

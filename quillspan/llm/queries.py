@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audit, chat, decontam, jaccard, language, lengths, packing, periodic, planes, sharding, vectors, warc
+from . import audit, chat, decontam, jaccard, language, lengths, packing, periodic, planes, sharding, suffixes, vectors, warc
 from .common import table
 
 
@@ -73,6 +73,12 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit_filters(rows, {x: F.col(x) for x in "ABCDE"}, {"good_lost": F.col("good"), "toxic_lost": F.col("toxic")})
 
 
+def op13_suffix_family(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.without_repeats(table(spark, sf_dir, "documents"), least=100)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["length"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_kneser_ney_language": op1_kneser_ney_language,
@@ -87,6 +93,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_hash_tree_shards": op10_hash_tree_shards,
         "op11_harmonic_runs": op11_harmonic_runs,
         "op12_filter_audit": op12_filter_audit,
+        "op13_suffix_family": op13_suffix_family,
     }
 
 
@@ -144,5 +151,18 @@ g AS (SELECT part, filter_order, step, f, sum(CASE WHEN NOT x[f] AND NOT p THEN
 SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, sum(removed) OVER (PARTITION BY part, f) AS shapley FROM g"""
 
 
+OP13 = """WITH d AS (SELECT doc_id, hex(encode(coalesce(text,''))) AS x FROM documents),
+w AS (SELECT doc_id, unnest(range(0, len(x)//2-99)) AS i, x FROM d WHERE len(x)>=200),
+h AS (SELECT doc_id, i, md5(substr(x, (2*i+1)::INT, 200)) AS h FROM w),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY h ORDER BY doc_id, i) AS nth FROM h) WHERE nth>1),
+e AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM r),
+g AS (SELECT doc_id, i, sum(CASE WHEN before IS NULL OR i>before+100 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM e),
+s AS (SELECT doc_id, min(i) AS low, max(i)+100 AS high FROM g GROUP BY doc_id, span),
+k AS (SELECT doc_id, high AS low, coalesce(lead(low) OVER (PARTITION BY doc_id ORDER BY low), 1000000000) AS high FROM (SELECT doc_id, low, high FROM s UNION ALL SELECT doc_id, -1, 0 FROM d)),
+t AS (SELECT doc_id, string_agg(substr(x, (2*low+1)::INT, (2*(high-low))::INT), '' ORDER BY low) AS x FROM k JOIN d USING (doc_id) GROUP BY 1),
+c AS (SELECT doc_id, count(*) AS n_spans, sum(high-low) AS n_removed FROM s GROUP BY 1)
+SELECT d.doc_id, len(d.x)//2 AS n_bytes, coalesce(n_removed,0) AS n_removed, coalesce(n_spans,0) AS n_spans, sha256(unhex(t.x)) AS kept_sha256 FROM d JOIN t USING (doc_id) LEFT JOIN c USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_pca_tiles": OP6, "op7_token_group_join": OP7, "op8_warc_transactions": OP8, "op11_harmonic_runs": OP11, "op12_filter_audit": OP12}
+    return {"op6_pca_tiles": OP6, "op7_token_group_join": OP7, "op8_warc_transactions": OP8, "op11_harmonic_runs": OP11, "op12_filter_audit": OP12, "op13_suffix_family": OP13}
