@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import tokenize
-from .lexical import SPARE, exact_sum
+from .lexical import exact_sum, near_best
 from .ranking import ranked
 
 
@@ -57,7 +57,7 @@ def sparse(chunk_weights: DataFrame, query_weights: DataFrame, eligible: DataFra
     asked = query_weights.select("qid", "term", F.col("weight").alias("asked"))
     own = chunk_weights.select("chunk_id", "term", "weight").repartition("chunk_id")  # products add up where a chunk's terms lie
     hit = own.join(asked, "term").select("qid", "chunk_id", "term", (F.col("weight") * F.col("asked")).alias("x"))
-    near = ranked(hit.groupBy("chunk_id", "qid").agg(exact_sum(F.col("x")).alias("score")).select("qid", "chunk_id", "score"), limit + SPARE)
+    near = near_best(hit.groupBy("chunk_id", "qid").agg(exact_sum(F.col("x")).alias("score")).select("qid", "chunk_id", "score"), limit)
     few = own.join(near.select("qid", "chunk_id"), "chunk_id").join(asked, ["qid", "term"])
     parts = few.groupBy("qid", "chunk_id").agg(F.array_sort(F.collect_list(F.struct("term", (F.col("weight") * F.col("asked")).alias("x")))).alias("parts"))
     best = ranked(parts.select("qid", "chunk_id", F.aggregate("parts", F.lit(0.0), lambda s, x: s + x["x"]).alias("score")), limit)

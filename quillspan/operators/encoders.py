@@ -1,4 +1,4 @@
-"""Embedding and term-weight providers as tables: a function over texts, made once in each worker."""
+"""Embedding and term-weight providers as tables: functions over texts, or factories that make one, once in each worker process."""
 
 from __future__ import annotations
 
@@ -11,9 +11,59 @@ from pyspark.sql import functions as F
 BATCH = 64
 
 
-def _made(provider: Callable) -> Callable:
-    """The function of a provider; one that is marked as a factory makes it."""
-    return provider() if getattr(provider, "factory", False) else provider
+#: What factories have made in this process, by their version.
+_MADE: dict[str, Callable] = {}
+
+
+def provider(version: str) -> Callable[[Callable[[], Callable]], Callable[[], Callable]]:
+    """Mark a factory (a model's loader) with the version of what it makes."""
+
+    def mark(factory: Callable[[], Callable]) -> Callable[[], Callable]:
+        factory.factory, factory.version = True, version
+        return factory
+
+    return mark
+
+
+def made(given: Callable) -> Callable:
+    """The function of a provider. A factory with a version is called once in a process, whatever the number of tasks; one without, in each task."""
+    if not getattr(given, "factory", False):
+        return given
+    version = getattr(given, "version", None)
+    if version is None:
+        return given()
+    if version not in _MADE:
+        _MADE[version] = given()
+    return _MADE[version]
+
+
+def embedded_texts(texts: DataFrame, embed: Callable[[list[str]], list[list[float]]], batch: int = 64) -> DataFrame:
+    """key, vector, error of texts (key, text), in batches over all of them; of a batch that fails, each text is tried by itself."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = made(embed)
+
+        def one(text: list[str]) -> list[list[float]]:
+            vectors = [[float(x) for x in v] for v in model(text)]
+            if len(vectors) != len(text):
+                raise ValueError("embedding provider must return one vector per chunk")
+            return vectors
+
+        for frame in frames:
+            for part in _batches(frame, batch):
+                texts = part["text"].tolist()
+                try:
+                    rows = [(v, None) for v in one(texts)]
+                except Exception:
+                    rows = []
+                    for text in texts:
+                        try:
+                            rows.append((one([text])[0], None))
+                        except Exception as error:  # a text that fails is a row of its own
+                            rows.append((None, str(error) or type(error).__name__))
+                yield pd.DataFrame({"key": part["key"].to_numpy(), "vector": [v for v, _ in rows], "error": [e for _, e in rows]})
+
+    return texts.select("key", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, "key string, vector array<double>, error string")
 
 
 def _batches(frame: pd.DataFrame, batch: int) -> Iterator[pd.DataFrame]:
@@ -25,7 +75,7 @@ def embedded(rows: DataFrame, key: str, text: str, embed: Callable[[list[str]],
     """(key, vector) of rows (key, text); a provider that doesn't give one vector for each text is an error. Null texts count as empty."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = _made(embed)
+        model = made(embed)
         for frame in frames:
             for part in _batches(frame, batch):
                 vectors = [[float(x) for x in v] for v in model(part["text"].tolist())]
@@ -41,7 +91,7 @@ def weighted(rows: DataFrame, key: str, text: str, encode: Callable[[list[str]],
     """(key, term, weight) of rows (key, text) by a learned sparse encoder, which gives the weights of each text's terms."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = _made(encode)
+        model = made(encode)
         for frame in frames:
             for part in _batches(frame, batch):
                 found = list(model(part["text"].tolist()))

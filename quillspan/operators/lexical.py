@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokenize
@@ -50,6 +50,14 @@ def query_terms(queries: DataFrame) -> DataFrame:
 SPARE = 20
 
 
+def near_best(scored: DataFrame, limit: int | None) -> DataFrame:
+    """The best of each query (qid, chunk_id, score) and some more; where scores tie at the cut, all that tie."""
+    if limit is None:
+        return scored
+    place = F.rank().over(Window.partitionBy("qid").orderBy(F.desc(F.round("score", 10))))
+    return scored.withColumn("_place", place).where(F.col("_place") <= max(0, limit) + SPARE).drop("_place")
+
+
 def exact_sum(x: Column) -> Column:
     """A sum whose value doesn't depend on the order: of the parts on a grid, and of what is left, each without rounding."""
     grid = F.lit(float(1 << 20))
@@ -69,13 +77,17 @@ def bm25(chunks: DataFrame, queries: DataFrame, limit: int | None = 10, k1: floa
     every = F.col("term") == EVERY
     stats = tf.agg(F.count(F.when(every, 1)).alias("n_chunks"), F.coalesce(F.avg(F.when(every, F.col("n_tokens"))), F.lit(0.0)).alias("avg_tokens"))
     both = stats.select(F.struct("n_chunks", "avg_tokens")).scalar()  # one pass for the two
-    n, average = both["n_chunks"], both["avg_tokens"]
+    return score_postings(tf, terms, both["n_chunks"], both["avg_tokens"], limit, k1, b)
+
+
+def score_postings(tf: DataFrame, terms: DataFrame, n: Column, average: Column, limit: int | None = 10, k1: float = K1, b: float = B) -> DataFrame:
+    """bm25's rows from counts (chunk_id, n_tokens, term, tf), dealt by the chunk, of terms (qid, pos, term), the number of chunks and their average length."""
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * (F.col("tf") * F.lit(k1 + 1)) / (F.col("tf") + F.lit(k1) * (1 - F.lit(b) + F.lit(b) * (F.col("n_tokens") / average)))
     parts = tf.join(df, "term").select("chunk_id", "term", part.alias("part"))
     scored = parts.join(terms.select("qid", "term"), "term").groupBy("chunk_id", "qid").agg(exact_sum(F.col("part")).alias("score"))
-    best = ranked(scored.where("score > 0").select("qid", "chunk_id", "score"), None if limit is None else max(0, limit) + SPARE)
+    best = near_best(scored.where("score > 0").select("qid", "chunk_id", "score"), limit)
     hits = parts.join(best.select("qid", "chunk_id"), "chunk_id").join(terms, ["qid", "term"])
     found = hits.groupBy("qid", "chunk_id").agg(F.array_sort(F.collect_list(F.struct("pos", "term", "part"))).alias("parts"))
     return ranked(found.select("qid", "chunk_id", F.aggregate("parts", F.lit(0.0), lambda s, x: s + x["part"]).alias("score"), F.col("parts.term").alias("matched_terms")), limit)

@@ -4,20 +4,51 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import replace
 
-from py4j.protocol import Py4JJavaError
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .lexical import EVERY, postings
+from ..functions.text import tokenize
+from .inverted import alive_postings, bm25_stored, merge_all, with_segment
+from .storage import BUCKETS, Conflict, Snapshot, Versions, bucket_of, replaced
+
+__all__ = ["Conflict", "IndexState", "State"]
 
 STATE = "source_path string, document_id string, checksum string, versions string, n_chunks int, n_vectors int"
 ATTEMPTS = "source_path string, status string, error string, revision long"
 ACTIONS = "source_path string, document_id string, action string, error string, n_chunks int, n_vectors int"
-#: The layout of a version; others are read as empty.
-SCHEMA_VERSION = 1
 CHUNKS = "chunk_id string, document_id string, source_path string, ordinal int, text string, media_type string, page int, section string, line_start int, line_end int, char_start int, char_end int, chunker string"
-VECTORS = "source_path string, chunk_id string, vector array<double>"
+STORED_CHUNKS = f"{CHUNKS}, vector_key string, n_tokens int"
+#: By the hash of a text and the model that embedded it.
+VECTORS = "key string, model string, vector array<double>"
+
+
+def _change(lost: DataFrame, won: DataFrame | None) -> tuple[int, int]:
+    """By how much the numbers of chunks and tokens change."""
+    rows = lost.select(F.lit(-1).alias("n"), (-F.col("n_tokens")).alias("tokens"))
+    if won is not None:
+        rows = rows.union(won.select(F.lit(1), "n_tokens"))
+    return tuple(rows.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first())
+
+
+def names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
+
+
+def vector_key(text: Column, model: str) -> Column:
+    """What a text's vector is stored under: another text or model has another key."""
+    return F.sha2(F.concat_ws("\n", F.lit(model), text), 256)
+
+
+def _stored(chunks: DataFrame) -> DataFrame:
+    """Chunks as they are stored."""
+    key = F.col("vector_key") if "vector_key" in chunks.columns else F.lit(None)
+    own = [F.col(f.split()[0]).cast(f.split()[1]) for f in CHUNKS.split(", ")]
+    return chunks.select(*own, key.cast("string").alias("vector_key"), F.size(tokenize(F.col("text"))).alias("n_tokens"))
 
 
 def action() -> Column:
@@ -68,88 +99,103 @@ def snapshot(chunks: DataFrame) -> DataFrame:
     return chunks.orderBy("source_path", "ordinal")
 
 
-class Conflict(RuntimeError):
-    """Another writer has committed first."""
+class State(Snapshot):
+    """One version of the index: its sources, attempts, chunks, vectors and postings."""
+
+    def sources(self, buckets: Iterable[int] | None = None) -> DataFrame:
+        return self.read("sources", STATE, buckets)
+
+    def attempts(self, buckets: Iterable[int] | None = None) -> DataFrame:
+        """The latest attempt of each source."""
+        return self.read("attempts", ATTEMPTS, buckets)
+
+    def stored_chunks(self, buckets: Iterable[int] | None = None) -> DataFrame:
+        """Chunks as stored, with the number of their tokens and the key of their vector."""
+        return self.read("chunks", STORED_CHUNKS, buckets)
+
+    def chunks(self) -> DataFrame:
+        """The chunks of all sources, as search takes them."""
+        return self.stored_chunks().select(*names(CHUNKS))
+
+    def vectors(self, model: str | None = None) -> DataFrame:
+        """source_path, chunk_id, vector of the chunks that were embedded; of one model, where it is named."""
+        stored = self.read("vectors", VECTORS)
+        stored = stored.select("key", "vector") if model is None else stored.where(F.col("model") == model).select("key", "vector")
+        keyed = self.stored_chunks().where("vector_key is not null").select("source_path", "chunk_id", F.col("vector_key").alias("key"))
+        return keyed.join(stored, "key").select("source_path", "chunk_id", "vector")
+
+    def unseen(self, keys: DataFrame) -> DataFrame:
+        """Rows (key, …) whose key has no vector yet; only the keys' buckets are read."""
+        stored = self.read("vectors", VECTORS, self._buckets(keys, F.col("key")))
+        return keys.join(stored.select("key"), "key", "left_anti")
+
+    def _buckets(self, rows: DataFrame, key: Column) -> list[int]:
+        """The buckets that rows fall in: as many as there are buckets at most."""
+        return [r[0] for r in rows.select(bucket_of(key, self.manifest.buckets)).distinct().collect()]
+
+    def touched(self, rows: DataFrame) -> list[int]:
+        """The buckets of rows' sources."""
+        return self._buckets(rows, F.col("source_path"))
+
+    def bm25(self, queries: DataFrame, limit: int | None = 10) -> DataFrame:
+        """BM25 over all chunks, from the stored postings."""
+        return bm25_stored(self, queries, limit)
+
+    def lexical_index(self) -> DataFrame:
+        """chunk_id, n_tokens, term, tf of all chunks."""
+        return alive_postings(self).select("chunk_id", "n_tokens", "term", "tf")
 
 
 class IndexState:
-    """State as numbered versions of Parquet tables, the current one named by a pointer.
+    """The index on storage, version by version (see `storage`): sources, attempts, chunks, vectors and postings.
 
-    A version holds the sources, the latest attempts, and the chunks and vectors of the sources.
-    A version is written whole and the pointer set after it, so a reader sees either the old version or
-    the new one. A pointer is a file named by its revision alone, which only one writer can create: the
-    other gets a Conflict, and its version is never seen. Old versions stay until `vacuum`. Versions of
-    another layout, chunks of sources and vectors of chunks that aren't there are left out when read.
+    A change is planned on one version, read through one handle, and rewrites the buckets of the sources it touches.
+    Another writer's commit in between is a Conflict, after which the change can be planned again. Vectors are stored by the hash of the
+    text and the model: what has been embedded once isn't again. Versions of another layout are passed over; chunks of sources
+    that aren't committed aren't stored, and vectors are read through the chunks that have them.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
+    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
         self.spark, self.path = spark, path.rstrip("/")
+        self.versions = Versions(spark, path, buckets)
+
+    def pin(self) -> State:
+        """The current version; all that is read from it is of that version."""
+        return State(self.spark, self.path, self.versions.current())
+
+    def at(self, version: int) -> State:
+        """An earlier version, until it is vacuumed."""
+        return State(self.spark, self.path, self.versions.at(version))
 
     def revision(self) -> int:
-        pointer = self._pointer()
-        return pointer[0] if pointer else 0
-
-    def _fs(self):
-        jvm = self.spark.sparkContext._jvm
-        root = jvm.org.apache.hadoop.fs.Path(self.path)
-        return root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
-
-    def _pointer(self) -> tuple[int, str] | None:
-        fs, path = self._fs()
-        folder = path(f"{self.path}/_pointers")
-        if not fs.exists(folder):
-            return None
-        for name in sorted((s.getPath().getName() for s in fs.listStatus(folder)), reverse=True):
-            said = self._text(f"{self.path}/_pointers/{name}").split() if name.isdigit() else []
-            if len(said) == 2 and said[1] == str(SCHEMA_VERSION):  # a writer that died left an empty one
-                return int(name), said[0]
-        return None
-
-    def _text(self, name: str) -> str:
-        fs, path = self._fs()
-        stream = fs.open(path(name))
-        try:
-            return self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        finally:
-            stream.close()
-
-    def _create(self, name: str, text: str) -> None:
-        """A small file that must not be there yet."""
-        fs, path = self._fs()
-        stream = fs.create(path(name), False)
-        try:
-            stream.writeBytes(text)
-        finally:
-            stream.close()
-
-    def read(self, name: str, schema: str = STATE) -> DataFrame:
-        pointer = self._pointer()
-        fs, path = self._fs()
-        if pointer is None or not fs.exists(path(f"{self.path}/{pointer[1]}/{name}")):
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{pointer[1]}/{name}")
+        return self.pin().revision
 
     def sources(self) -> DataFrame:
-        return self.read("sources")
+        return self.pin().sources()
 
     def attempts(self) -> DataFrame:
         """The latest attempt of each source."""
-        return self.read("attempts", ATTEMPTS)
+        return self.pin().attempts()
 
     def chunks(self) -> DataFrame:
         """The chunks of all sources, as search takes them."""
-        return self.read("chunks", CHUNKS).join(self.sources().select("source_path"), "source_path", "left_semi")
+        return self.pin().chunks()
 
-    def vectors(self) -> DataFrame:
+    def vectors(self, model: str | None = None) -> DataFrame:
         """The vectors of chunks that were embedded."""
-        return self.read("vectors", VECTORS).join(self.chunks().select("chunk_id"), "chunk_id", "left_semi")
+        return self.pin().vectors(model)
 
     def get(self, source_path: str) -> DataFrame:
-        """A source's row, or none."""
-        return self.sources().where(F.col("source_path") == source_path)
+        """A source's row, or none: one bucket is read."""
+        return self._one(source_path, self.pin().sources)
 
     def latest_attempt(self, source_path: str) -> DataFrame:
-        return self.attempts().where(F.col("source_path") == source_path)
+        return self._one(source_path, self.pin().attempts)
+
+    def _one(self, source_path: str, table: Callable[[Iterable[int]], DataFrame]) -> DataFrame:
+        n = self.versions.current().buckets
+        bucket = int(hashlib.sha256(source_path.encode()).hexdigest()[:8], 16) % n
+        return table([bucket]).where(F.col("source_path") == source_path)
 
     def source_paths(self) -> DataFrame:
         return self.sources().select("source_path").distinct()
@@ -159,23 +205,21 @@ class IndexState:
 
     def snapshot(self) -> tuple[int, DataFrame]:
         """The revision, and its chunks in order."""
-        return self.revision(), snapshot(self.chunks())
+        pinned = self.pin()
+        return pinned.revision, snapshot(pinned.chunks())
 
     def lexical_index(self) -> DataFrame:
         """chunk_id, n_tokens, term, tf of all chunks."""
-        return postings(self.chunks()).where(F.col("term") != EVERY)
+        return self.pin().lexical_index()
 
     def cancel(self, source_path: str) -> None:
         """Have a source left out of every commit from now on, one that is under way included."""
-        fs, path = self._fs()
-        fs.create(path(f"{self.path}/_cancelled/{hashlib.sha256(source_path.encode()).hexdigest()}"), True).close()
+        self.versions.files.put(f"_cancelled/{hashlib.sha256(source_path.encode()).hexdigest()}", "")
 
     def cancelled(self) -> DataFrame:
         """The hashes of cancelled sources' paths."""
-        fs, path = self._fs()
-        folder = path(f"{self.path}/_cancelled")
-        names = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
-        return self.spark.createDataFrame([(n,) for n in names if not n.startswith(".")], "_path_hash string")
+        found = [(n,) for n in self.versions.files.names("_cancelled") if not n.startswith(".")]
+        return self.spark.createDataFrame(found, "_path_hash string")
 
     def _without_cancelled(self, rows: DataFrame) -> DataFrame:
         """Rows with an error for those that have been cancelled since."""
@@ -183,70 +227,95 @@ class IndexState:
         off = F.coalesce("_off", F.lit(False)) & (F.col("action") != "skipped")
         return marked.withColumn("error", F.coalesce("error", F.when(off, "cancelled"))).drop("_path_hash", "_off")
 
-    def _commit(self, sources: DataFrame, attempts: DataFrame, chunks: DataFrame, vectors: DataFrame, steps: int, actions: DataFrame) -> DataFrame:
-        """Write a version and point to it; the actions, as written beside it."""
-        folder, before = uuid.uuid4().hex, self.revision()
-        for name, rows in (("vectors", vectors), ("chunks", chunks), ("sources", sources), ("attempts", attempts), ("actions", actions)):
-            rows.write.parquet(f"{self.path}/{folder}/{name}")
-        fs, path = self._fs()
-        fs.mkdirs(path(f"{self.path}/_pointers"))
-        try:
-            if self.revision() != before:
-                raise Conflict(f"revision {self.revision()} came while {before} was worked on")
-            self._create(f"{self.path}/_pointers/{before + steps:012d}", f"{folder} {SCHEMA_VERSION}")
-        except Py4JJavaError as error:
-            raise Conflict(f"revision {before + steps} is another writer's") from error
-        return self.spark.read.parquet(f"{self.path}/{folder}/actions")
-
-    def _attempted(self, rows: DataFrame) -> DataFrame:
-        old = self.attempts().join(rows.select("source_path"), "source_path", "left_anti")
-        return old.unionByName(rows)
-
-    def _replaced(self, old: DataFrame, gone: DataFrame, new: DataFrame | None = None) -> DataFrame:
-        """Rows of a version's table without those of some sources, and with their new ones."""
-        kept = old.join(gone.select("source_path"), "source_path", "left_anti").select(*old.columns)
-        return kept if new is None else kept.unionByName(new.join(gone.select("source_path"), "source_path", "left_semi").select(*[F.col(f.name).cast(f.dataType) for f in old.schema.fields]))
-
-    def apply(self, incoming: DataFrame, chunks: DataFrame | None = None, vectors: DataFrame | None = None) -> DataFrame:
+    def _commit(self, pinned: State, gone: DataFrame, sources: DataFrame | None, rows: DataFrame, chunks: DataFrame | None, vectors: DataFrame | None, steps: int, actions: DataFrame) -> DataFrame:
+        """A version in which sources (gone: source_path) are replaced by others or by none; the actions, as written.
+
+        rows are the attempts. Only the buckets of gone and of rows are read and written.
+        """
+        versions, m = self.versions, pinned.manifest
+        tables = {name: dict(own) for name, own in m.tables.items()}
+        by_source = bucket_of(F.col("source_path"), m.buckets)
+        without = lambda old, which: old.join(which.select("source_path"), "source_path", "left_anti").select(*old.columns)
+        of = gone.select("source_path", F.lit(True).alias("gone")).unionByName(rows.select("source_path", F.lit(False).alias("gone")))
+        hit = of.groupBy(by_source.alias("bucket")).agg(F.max("gone").alias("gone")).collect()  # as many as there are buckets at most
+        asked, touched = [r["bucket"] for r in hit], [r["bucket"] for r in hit if r["gone"]]
+        told = f"{self.path}/data/actions/{uuid.uuid4().hex}"
+        old, now = pinned.stored_chunks(touched), pinned.sources(touched)
+        new = None if chunks is None else _stored(chunks).join(gone.select("source_path"), "source_path", "left_semi").select(*old.columns)
+        work: dict[str, Callable[[], object]] = {
+            "attempts": lambda: versions.written("attempts", without(pinned.attempts(asked), rows).unionByName(rows), by_source),
+            "actions": lambda: actions.write.parquet(told),
+        }
+        if touched:
+            kept = without(old, gone)
+            work |= {
+                "sources": lambda: versions.written("sources", without(now, gone) if sources is None else without(now, gone).unionByName(sources), by_source),
+                "chunks": lambda: versions.written("chunks", kept if new is None else kept.unionByName(new), by_source, "source_path", "ordinal"),
+                "totals": lambda: _change(old.join(gone.select("source_path"), "source_path", "left_semi"), new),
+                "postings": lambda: with_segment(versions, pinned, m, new, gone.join(now.select("source_path"), "source_path", "left_semi")),
+            }
+            if vectors is not None:
+                work["vectors"] = lambda: versions.written("vectors", pinned.unseen(vectors.select(*names(VECTORS)).dropDuplicates(["key"])), bucket_of(F.col("key"), m.buckets))
+        with ThreadPoolExecutor(len(work)) as pool:  # jobs side by side: none waits for another's result
+            done = {name: running.result() for name, running in [(name, pool.submit(inheritable_thread_target(job))) for name, job in work.items()]}
+        replaced(tables, "attempts", asked, *done["attempts"])
+        after = m
+        if touched:
+            for name in ("sources", "chunks"):
+                replaced(tables, name, touched, *done[name])
+            after = replace(done["postings"], n_chunks=m.n_chunks + done["totals"][0], n_tokens=m.n_tokens + done["totals"][1])
+        if "vectors" in done:
+            folder, buckets = done["vectors"]
+            own = tables.setdefault("vectors", {})
+            tables["vectors"] = own | {b: [*own.get(b, []), folder] for b in buckets}
+        versions.publish(m, replace(after, tables=tables, revision=m.revision + steps))
+        return self.spark.read.parquet(told)
+
+    def apply(self, incoming: DataFrame, chunks: DataFrame | None = None, vectors: DataFrame | None = None, on: State | None = None) -> DataFrame:
         """Add, update, rebuild or skip sources (source_path, document_id, checksum, versions, n_chunks, n_vectors, cancelled, perhaps error).
 
-        Chunks and vectors are stored for sources that are committed. Failed ones keep their earlier
-        version. Who has cancelled is asked before the work and again when it is done. The actions are
-        returned.
+        Chunks (with vector_key where embedded) and vectors (key, model, vector) are stored for sources that are committed.
+        Failed ones keep their earlier version. Who has cancelled is asked before the work and again when it
+        is done. The change is planned on the version `on`, or the current one. The actions are returned.
         """
-        done = self._without_cancelled(checked(plan_changes(incoming, self.sources()))).cache()
+        pinned = on or self.pin()
+        done = self._without_cancelled(checked(plan_changes(incoming, pinned.sources(pinned.touched(incoming))))).cache()
         done.count()
-        late = self._without_cancelled(done)
-        columns = [c.split()[0] for c in STATE.split(", ")]
+        late = self._without_cancelled(done).cache()
         ready = late.where("action != 'skipped' and error is null")
         steps = ready.count()
         actions = late.select("source_path", "document_id", "action", "error", "n_chunks", "n_vectors")
         if steps or not late.where("action != 'skipped'").isEmpty():
-            kept = self.sources().join(ready.select("source_path"), "source_path", "left_anti")
             status = F.when(F.col("error").isNull(), "ready").otherwise("failed")
-            rows = late.where("action != 'skipped'").select("source_path", status.alias("status"), "error", F.lit(self.revision() + steps).cast("long").alias("revision"))
-            actions = self._commit(kept.unionByName(ready.select(*columns)), self._attempted(rows), self._replaced(self.chunks(), ready, chunks), self._replaced(self.vectors(), ready, vectors), max(1, steps), actions)
+            rows = late.where("action != 'skipped'").select("source_path", status.alias("status"), "error", F.lit(pinned.revision + steps).cast("long").alias("revision"))
+            actions = self._commit(pinned, ready.select("source_path"), ready.select(*names(STATE)), rows, chunks, vectors, steps, actions)
+            late.unpersist()
             done.unpersist()
         return actions
 
-    def delete(self, wanted: DataFrame) -> DataFrame:
+    def delete(self, wanted: DataFrame, on: State | None = None) -> DataFrame:
         """Remove sources; ones that aren't there are noted too."""
-        plan = plan_deletes(wanted.distinct(), self.sources()).cache()
+        pinned, wanted = on or self.pin(), wanted.select("source_path").distinct()
+        plan = plan_deletes(wanted, pinned.sources(pinned.touched(wanted))).cache()
         steps = plan.where("action = 'deleted'").count()
-        rows = plan.select("source_path", F.lit("deleted").alias("status"), F.lit(None).cast("string").alias("error"), F.lit(self.revision() + steps).cast("long").alias("revision"))
-        actions = self._commit(self._replaced(self.sources(), plan), self._attempted(rows), self._replaced(self.chunks(), plan), self._replaced(self.vectors(), plan), max(1, steps), plan)
+        rows = plan.select("source_path", F.lit("deleted").alias("status"), F.lit(None).cast("string").alias("error"), F.lit(pinned.revision + steps).cast("long").alias("revision"))
+        actions = self._commit(pinned, plan.where("action = 'deleted'").select("source_path"), None, rows, None, None, steps, plan)
         plan.unpersist()
         return actions
 
-    def prune(self, present: DataFrame) -> DataFrame:
+    def prune(self, present: DataFrame, on: State | None = None) -> DataFrame:
         """Delete sources that aren't present any more."""
-        return self.delete(prune(self.sources(), present))
-
-    def vacuum(self) -> None:
-        """Remove versions that the pointer has left behind."""
-        fs, path = self._fs()
-        current = self._pointer()
-        for status in fs.listStatus(path(self.path)):
-            name = status.getPath().getName()
-            if current and name not in ("_pointers", "_cancelled", current[1]):
-                fs.delete(status.getPath(), True)
+        pinned = on or self.pin()
+        return self.delete(prune(pinned.sources(), present), pinned)
+
+    def compact(self) -> None:
+        """A version of the same rows with one segment of postings and only the vectors that chunks have."""
+        pinned = self.pin()
+        after = merge_all(self.versions, pinned)
+        wanted = pinned.stored_chunks().select(F.col("vector_key").alias("key")).distinct()
+        folder, buckets = self.versions.written("vectors", pinned.read("vectors", VECTORS).join(wanted, "key", "left_semi"), bucket_of(F.col("key"), after.buckets))
+        self.versions.publish(pinned.manifest, replace(after, tables=after.tables | {"vectors": {b: [folder] for b in buckets}}))
+
+    def vacuum(self, keep: int = 1, age: float = 3600) -> None:
+        """Delete all but the last versions, and what only they need; folders younger than `age` seconds stay."""
+        self.versions.vacuum(keep, age)

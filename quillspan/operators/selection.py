@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import jaccard, tokenize
+from .encoders import made
 
 NEAR = 0.85
 #: Calls of a remote scorer that one worker has open.
@@ -105,12 +106,12 @@ def select_context(candidates: DataFrame, budget: int, threshold: float = NEAR)
 def scored_by(pairs: DataFrame, score: object, batch: int = 64) -> DataFrame:
     """qid, chunk_id, new_score of pairs (qid, query, chunk_id, text) by a model.
 
-    score(queries, texts) returns a number for each pair; it is made once in each worker, where it is a
-    factory (has no pairs to score yet).
+    score(queries, texts) returns a number for each pair; a factory makes it, once in a worker process where it
+    names its version (`encoders.provider`).
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = score() if getattr(score, "factory", False) else score
+        model = made(score)
         for frame in frames:
             for at in range(0, len(frame), batch):
                 part = frame.iloc[at : at + batch]
@@ -133,8 +134,11 @@ def cross_encoder(logits: Callable[[list[tuple[str, str]]], object]) -> Callable
     return score
 
 
-def client_scorer(make_client: Callable[[], Callable[[str, str], float]], most: int = MOST_CALLS) -> Callable:
-    """A remote scorer of single pairs as a scorer of batches: one client for each worker, calls side by side, in order."""
+def client_scorer(make_client: Callable[[], Callable[[str, str], float]], most: int = MOST_CALLS, version: str | None = None) -> Callable:
+    """A remote scorer of single pairs as a scorer of batches: calls side by side, in order.
+
+    One client for each worker process where a version is named, for each task else.
+    """
 
     def build() -> Callable[[list[str], list[str]], list[float]]:
         client = make_client()
@@ -145,5 +149,5 @@ def client_scorer(make_client: Callable[[], Callable[[str, str], float]], most:
 
         return score
 
-    build.factory = True
+    build.factory, build.version = True, version
     return build

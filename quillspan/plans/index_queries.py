@@ -15,10 +15,10 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import evaluation, filters, lifecycle, query_plan
+from ..operators import encoders, evaluation, filters, lifecycle, query_plan
 from ..sources import files
 from . import compare, service, stages
-from .queries import CHUNKS, EVAL, FILTERS, FORMS, SUFFIX, TODAY, bm25_sql, chunks_of, item_queries, life_of, load, long, query, LIFE
+from .queries import CHUNKS, EVAL, FILTERS, FORMS, SUFFIX, TODAY, bm25_sql, chunks_of, item_queries, life_of, load, long, query, tok, LIFE
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -114,6 +114,61 @@ def lifecycle_attempts(spark, sf_dir):
     return state.attempts().select("source_path", "status")
 
 
+def indexed(spark: SparkSession, sf_dir: str) -> lifecycle.IndexState:
+    """Documents through three commits: all of them, then some with other texts, then without some."""
+    state = lifecycle.IndexState(spark, scratch(spark, "index"))
+    n, chunks = F.col("doc_id"), chunks_of(spark, sf_dir)
+    docs = load(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("doc-"), n.cast("string")).alias("document_id")).join(chunks, "document_id")
+    later = docs.where(n % 7 == 0).withColumn("text", F.concat_ws(" ", F.col("text"), F.lit("amended"), F.col("language")))
+    for rows in (docs, later):
+        cut = rows.select(*[F.col(c) if c in rows.columns else F.lit(None).alias(c) for c in lifecycle.names(lifecycle.CHUNKS)])
+        come = rows.select("source_path", "document_id", F.sha2("text", 256).alias("checksum"), F.lit("1").alias("versions"), F.lit(1).alias("n_chunks"), F.lit(0).alias("n_vectors"), F.lit(False).alias("cancelled"))
+        state.apply(come, cut)
+    state.delete(docs.where(n % 11 == 0))
+    return state
+
+
+AMENDED = f"""{CHUNKS}, numbered AS (SELECT *, CAST(regexp_extract(document_id,'[0-9]+') AS BIGINT) AS id FROM chunks),
+amended AS (SELECT * REPLACE (CASE WHEN id%7=0 THEN text||' amended '||language ELSE text END AS text) FROM numbered), left_over AS (SELECT * FROM amended WHERE id%11<>0)"""
+
+
+@query(f"WITH {AMENDED}, {bm25_sql('r', 'left_over')} SELECT qid, chunk_id, round(score,9) AS score, rank, matched AS matched_terms FROM r WHERE rank<=10")
+def bm25_indexed(spark, sf_dir):
+    """BM25 from the stored postings, after additions, updates and deletions."""
+    found = indexed(spark, sf_dir).pin().bm25(item_queries(spark, sf_dir), 10)
+    return found.select("qid", "chunk_id", F.round("score", 9).alias("score"), long("rank"), F.array_join("matched_terms", " ").alias("matched_terms"))
+
+
+@query(f"""WITH {AMENDED}, v AS (SELECT 1 AS version, chunk_id, text FROM chunks UNION ALL SELECT 2, chunk_id, text FROM amended UNION ALL SELECT 3, chunk_id, text FROM left_over)
+SELECT version, chunk_id, sha256(text) AS text_sha256, len({tok('text')}) AS n_tokens FROM v""")
+def index_history(spark, sf_dir):
+    """The chunks of every version, read after the last was committed."""
+    state = indexed(spark, sf_dir)
+    each = [state.at(v).stored_chunks().select(F.lit(v).cast("long").alias("version"), "chunk_id", F.sha2("text", 256).alias("text_sha256"), long("n_tokens")) for v in (1, 2, 3)]
+    return each[0].union(each[1]).union(each[2])
+
+
+@query("""WITH a AS (SELECT doc_id, text FROM documents), b AS (SELECT doc_id, CASE WHEN doc_id%6=0 THEN text||' again' ELSE text END AS text FROM documents),
+u AS (SELECT 1 AS step, text, doc_id FROM a UNION ALL SELECT 2, text, doc_id FROM b), f AS (SELECT text, min(step) AS step, count(DISTINCT doc_id) AS n FROM u GROUP BY text)
+SELECT f.step, doc_id, length(u.text) AS characters FROM u JOIN f USING (text) WHERE u.step=2""")
+def vectors_by_content(spark, sf_dir):
+    """Two commits of embedded documents: each one's vector now, and the step at which its text was embedded."""
+    state, docs = lifecycle.IndexState(spark, scratch(spark, "vectors")), load(spark, sf_dir, "documents").select("doc_id", "text")
+    again = docs.withColumn("text", F.when(F.col("doc_id") % 6 == 0, F.concat("text", F.lit(" again"))).otherwise(F.col("text")))
+    path, step = F.concat(F.lit("doc/"), F.col("doc_id").cast("string")), 0
+    for step, rows in enumerate((docs, again), 1):
+        model = "characters"
+        keyed = rows.withColumn("vector_key", lifecycle.vector_key(F.col("text"), model))
+        pinned = state.pin()
+        fresh = pinned.unseen(keyed.select(F.col("vector_key").alias("key"), "text").dropDuplicates(["key"]))
+        made = encoders.embedded_texts(fresh, lambda texts, step=step: [[float(step), float(len(t))] for t in texts]).select("key", F.lit(model).alias("model"), "vector")
+        cut = keyed.select(F.concat(path, F.lit(":0")).alias("chunk_id"), path.alias("document_id"), path.alias("source_path"), F.lit(0).alias("ordinal"), "text", "vector_key", *[F.lit(None).alias(c) for c in lifecycle.names(lifecycle.CHUNKS)[5:]])
+        come = rows.select(path.alias("source_path"), path.alias("document_id"), F.sha2("text", 256).alias("checksum"), F.lit("1").alias("versions"), F.lit(1).alias("n_chunks"), F.lit(1).alias("n_vectors"), F.lit(False).alias("cancelled"))
+        state.apply(come, cut, made, on=pinned)
+    found = state.vectors("characters")
+    return found.select(F.col("vector")[0].cast("long").alias("step"), F.regexp_extract("source_path", r"(\d+)", 1).cast("long").alias("doc_id"), F.col("vector")[1].cast("long").alias("characters"))
+
+
 @query(f"""{EVAL} SELECT 'bm25' AS stage, 'raw' AS query_mode, round(coalesce(avg(recall),0),9) AS recall, round(coalesce(avg(reciprocal_rank),0),9) AS mrr, coalesce(bool_and(recall=1 AND reciprocal_rank=1), false) AS no_headroom FROM ev""")
 def stage_compare(spark, sf_dir):
     facts = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("fact"))

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.chunking import ChunkingPolicy, chunk_documents
-from ..operators.lifecycle import CHUNKS, IndexState, plan_changes
+from ..operators.encoders import embedded_texts
+from ..operators.lifecycle import CHUNKS, IndexState, names, plan_changes, vector_key
 from ..sources.files import checksum, document_id, paged_blocks, route, skip_reason, text_documents
 from ..sources.registry import Parsers
 
@@ -56,55 +56,41 @@ def normalize(files: DataFrame, parsers: Parsers | None = None) -> DataFrame:
     return (parsers or default_parsers()).parse(files.select(F.col("source_path").alias("path"), "media_type", "content"))
 
 
-def embed_chunks(chunks: DataFrame, embed: Embed) -> DataFrame:
-    """source_path, chunk_id, vector of each chunk (source_path, chunk_id, ordinal, text), a document at a time; or a row with the error."""
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("ordinal")
-        path = frame["source_path"].iloc[0]
-        try:
-            vectors = [[float(x) for x in v] for v in embed(frame["text"].tolist())]
-            if len(vectors) != len(frame):
-                raise ValueError("embedding provider must return one vector per chunk")
-            rows = [(path, i, v, None) for i, v in zip(frame["chunk_id"], vectors, strict=True)]
-        except Exception as error:  # a document that fails is a row of its own
-            rows = [(path, None, None, str(error) or type(error).__name__)]
-        return pd.DataFrame(rows, columns=["source_path", "chunk_id", "vector", "error"])
-
-    return chunks.select("source_path", "chunk_id", "ordinal", "text").groupBy("source_path").applyInPandas(run, "source_path string, chunk_id string, vector array<double>, error string")
-
-
 def add_files(state: IndexState, files: DataFrame, versions: str = "1", policy: ChunkingPolicy = POLICY, embed: Embed | None = None, embedding: str = "", parsers: Parsers | None = None) -> DataFrame:
     """Files (source_path, media_type, content, error: why refused) into the state, one a path; the actions.
 
-    Only what is new or changed is read; `versions`, the policy and the name of the embedding are the
-    version that a source is rebuilt for. A file that is refused, can't be read, has no searchable chunk
+    Only what is new or changed is read, and of its chunks only texts are embedded that the state has no vector for. `versions`,
+    the policy and the name of the embedding are the version that a source is rebuilt for. A file that is refused, can't be read, has no searchable chunk
     or can't be embedded is a failed attempt and keeps its earlier version.
     """
-    version = "/".join([versions, policy.version, *([embedding or "embedded"] if embed else [])])
+    model = (embedding or getattr(embed, "version", None) or "embedded") if embed else ""
+    version = "/".join([versions, policy.version, *([model] if embed else [])])
     path, digest = F.col("source_path"), checksum(F.col("content"))
+    pinned = state.pin()
     coming = files.select("source_path", "media_type", "content", "error", digest.alias("checksum"), document_id(path, digest).alias("document_id"), F.lit(version).alias("versions"))
-    planned = plan_changes(coming, state.sources()).cache()  # a file is read once
+    now = pinned.sources(pinned.touched(files))
+    planned = plan_changes(coming, now).cache()  # a file is read once
     fresh = planned.where("action <> 'skipped' and error is null")
     about = fresh.select("source_path", "document_id", "media_type")
     blocks = normalize(fresh, parsers).cache()
     good = blocks.where("error is null").join(about.drop("media_type"), "source_path").withColumn("language", F.lit(None).cast("string"))
     cut = chunk_documents(good.drop("error"), policy, embed)
-    chunks = cut.join(about, "document_id").withColumnRenamed("chunk_text", "text").select(*[c.split()[0] for c in CHUNKS.split(", ")]).cache()
+    chunks = cut.join(about, "document_id").withColumnRenamed("chunk_text", "text").select(*names(CHUNKS))
+    chunks = chunks.withColumn("vector_key", vector_key(F.col("text"), model) if embed else F.lit(None).cast("string")).cache()
     errors = blocks.where("error is not null").select("source_path", "error")
     counts = chunks.groupBy("source_path").agg(F.count("*").cast("int").alias("n_chunks"))
+    counts = counts.withColumn("n_vectors", F.col("n_chunks") if embed else F.lit(0))
     vectors = None
-    if embed:
-        vectors = embed_chunks(chunks, embed).cache()
-        errors = errors.union(vectors.where("error is not null").select("source_path", "error"))
-        counts = counts.join(vectors.where("error is null").groupBy("source_path").agg(F.count("*").cast("int").alias("n_vectors")), "source_path", "left")
-    else:
-        counts = counts.withColumn("n_vectors", F.lit(0))
-    had = state.sources().select("source_path", F.col("n_chunks").alias("had_chunks"), F.col("n_vectors").alias("had_vectors"))
+    if embed:  # texts that have no vector yet
+        texts = pinned.unseen(chunks.select(F.col("vector_key").alias("key"), "text").dropDuplicates(["key"]))
+        vectors = embedded_texts(texts, embed).withColumn("model", F.lit(model)).cache()
+        failed = vectors.where("error is not null").select(F.col("key").alias("vector_key"), "error")
+        errors = errors.union(chunks.join(failed, "vector_key").groupBy("source_path").agg(F.min("error").alias("error")).select("source_path", "error"))
+    had = now.select("source_path", F.col("n_chunks").alias("had_chunks"), F.col("n_vectors").alias("had_vectors"))
     known = planned.drop("content", "media_type").join(errors.select("source_path", F.col("error").alias("why")), "source_path", "left").join(counts, "source_path", "left").join(had, "source_path", "left")
     count = lambda c: F.coalesce(F.when(F.col("action") == "skipped", F.col(f"had_{c}")), F.col(f"n_{c}"), F.lit(0)).alias(f"n_{c}")
     incoming = known.select("source_path", "document_id", "checksum", "versions", count("chunks"), count("vectors"), F.lit(False).alias("cancelled"), F.coalesce("error", "why").alias("error"))
-    done = state.apply(incoming, chunks, None if vectors is None else vectors.where("error is null"))
+    done = state.apply(incoming, chunks, None if vectors is None else vectors.where("error is null"), on=pinned)
     for held in (planned, blocks, chunks, *([vectors] if embed else [])):
         held.unpersist()
     return done
