@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import line_count
 
+#: Characters of a stretch by which chunks and blocks of a group meet.
+POSITIONS = 4096
 SENTENCE = re.compile(r"(?s).+?(?:[.!?] |\n|$)")
 #: Languages by suffix, and by how a file starts.
 CODE_LANGUAGES = {".py": "python", ".js": "javascript", ".jsx": "javascript", ".ts": "typescript", ".tsx": "tsx", ".java": "java", ".kt": "kotlin", ".kts": "kotlin", ".c": "c", ".h": "c", ".cpp": "cpp", ".hpp": "cpp", ".cs": "csharp", ".go": "go", ".rs": "rust", ".rb": "ruby", ".php": "php", ".swift": "swift", ".sql": "sql", ".sh": "bash", ".ps1": "powershell", ".css": "css", ".scss": "scss", ".xml": "xml"}
@@ -79,9 +81,16 @@ def group_texts(grouped: DataFrame) -> DataFrame:
 def project_spans(chunks: DataFrame, spans: DataFrame) -> DataFrame:
     """Where each chunk (document_id, group_no, chunk_no, start, end) lies in its blocks.
 
-    Characters and lines are those of the source, where the block has them.
+    Characters and lines are those of the source, where the block has them. Chunks and blocks meet by the stretches of
+    POSITIONS characters that they have a part in, each pair in the first they share; so a group of many chunks and blocks costs as
+    many rows as it has stretches and pairs.
     """
-    joined = chunks.join(spans, ["document_id", "group_no"]).where((F.greatest("start", "span_start") < F.least("end", "span_end")))
+    group = ["document_id", "group_no"]
+    stretch = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / POSITIONS), F.floor((F.col(b) - 1) / POSITIONS))).alias("_stretch")
+    cut = chunks.where("start < end").select(*group, "chunk_no", "start", "end", stretch("start", "end"))
+    place = spans.where("span_start < span_end").select(*group, "block_no", F.col("span_start").alias("_from"), F.col("span_end").alias("_to"), stretch("span_start", "span_end"))
+    both = cut.join(place, [*group, "_stretch"]).where((F.greatest("start", "_from") < F.least("end", "_to")) & (F.col("_stretch") == F.floor(F.greatest("start", "_from") / POSITIONS)))
+    joined = both.select(*group, "chunk_no", "start", "end", "block_no").join(spans, [*group, "block_no"])
     a, b = F.greatest("start", "span_start") - F.col("span_start"), F.least("end", "span_end") - F.col("span_start")
     picked = F.substring(F.col("text"), a + 1, b - a)
     lines = F.col("line_start") + line_count(F.substring(F.col("text"), F.lit(1), a))

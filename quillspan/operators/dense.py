@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions.text import tokenize
 from .lexical import exact_sum, near_best
@@ -16,25 +23,75 @@ def dot(a: Column, b: Column) -> Column:
     return F.coalesce(same, F.raise_error(F.lit("query and chunk vectors differ in length")).cast("double"))
 
 
-#: Queries that are held against all rows at once; more go block by block.
-BLOCK_QUERIES = 20_000
+#: Bytes of query vectors that are held against all rows at once; more go block by block. Products that a task holds at once.
+BLOCK_BYTES, PRODUCTS = 64_000_000, 4_000_000
 
 
 def dense(chunks: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame:
     """qid, chunk_id, score, rank: every chunk (chunk_id, vector) against each query (qid, vector).
 
-    A stated set of queries is held against all rows, by a nested loop in which a block of the queries is
-    sent round; the best of each partition come first, so only those are shuffled.
+    A stated set of queries is held against all rows, block by block of bounded size. A task multiplies the
+    block with blocks of its rows and keeps each query's best, so only those are shuffled. What may be among
+    the best is added up in order in double precision, so scores and ties don't depend on blocks. Vectors of another length, or
+    none, are an error; a score that isn't a number isn't ranked.
     """
-    asked = queries.select("qid", F.col("vector").alias("query_vector"))
-    blocks = max(1, -(-asked.count() // BLOCK_QUERIES))
-    found = None
-    for block in range(blocks):
-        here = asked.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == block) if blocks > 1 else asked
-        pairs = chunks.select("chunk_id", "vector").join(F.broadcast(here), F.lit(True), "inner")
-        best = ranked(pairs.select("qid", "chunk_id", dot(F.col("query_vector"), F.col("vector")).alias("score")), limit)
-        found = best if found is None else found.union(best)
-    return found
+    asked = queries.select("qid", F.col("vector").cast("array<double>").alias("vector"))
+    size = asked.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("numbers")).first()
+    blocks = max(1, -(-size["n"] * max(1, size["numbers"] or 1) * 8 // BLOCK_BYTES))
+    parts = [_against(chunks, asked.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == k) if blocks > 1 else asked, max(0, limit)) for k in range(blocks)]
+    return ranked(reduce(DataFrame.union, parts), limit)
+
+
+def _against(chunks: DataFrame, block: DataFrame, limit: int) -> DataFrame:
+    """The best of each partition for each query of a block."""
+    spark, rows = chunks.sparkSession, block.collect()  # bounded by BLOCK_BYTES
+    lengths = {len(r["vector"] or ()) for r in rows}
+    if len(lengths) > 1:
+        raise ValueError("query vectors differ in length")
+    sent = spark.sparkContext.broadcast(np.array([r["vector"] for r in rows], np.float64).reshape(len(rows), -1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q = sent.value
+        norms = np.sqrt((q * q).sum(axis=1))
+        floor = np.full(len(q), -np.inf)  # a query's worst score of those kept, once there are enough
+        held = pd.DataFrame({"q": np.zeros(0, np.int64), "score": np.zeros(0), "chunk_id": np.zeros(0, object)})
+
+        def best(rows: pd.DataFrame) -> pd.DataFrame:
+            kept = rows.sort_values(["q", "score", "chunk_id"], ascending=[True, False, True]).groupby("q", sort=False).head(limit)
+            full = kept.groupby("q")["score"].agg(["size", "min"])
+            full = full[full["size"] >= limit]
+            floor[full.index.to_numpy()] = full["min"].to_numpy()
+            return kept
+
+        for batch in batches:
+            vectors = batch.column(1)
+            if len(q) and limit and (vectors.null_count or (np.diff(vectors.offsets.to_numpy()) != q.shape[1]).any()):
+                raise ValueError("query and chunk vectors differ in length")
+            if not len(q) or not limit:
+                continue
+            ids, every = batch.column(0).to_pandas().to_numpy(), vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(batch), q.shape[1])
+            step = max(1, min(PRODUCTS // len(q), PRODUCTS // q.shape[1]))
+            for low in range(0, len(batch), step):
+                v = every[low : low + step]
+                near = q @ v.T
+                cut = floor.copy()
+                if len(v) > limit:
+                    cut = np.maximum(cut, np.partition(near, -limit, axis=1)[:, -limit])
+                cut -= 1e-10 * norms * np.sqrt((v * v).sum(axis=1).max(initial=0.0))  # more than products in another order differ by
+                i, j = np.nonzero(near >= cut[:, None])
+                for at in range(0, len(i), max(1, PRODUCTS // q.shape[1])):
+                    a, b = i[at : at + PRODUCTS // q.shape[1]], j[at : at + PRODUCTS // q.shape[1]]
+                    score = np.cumsum(q[a] * v[b], axis=1)[:, -1] if q.shape[1] else np.zeros(len(a))
+                    held = pd.concat([held, pd.DataFrame({"q": a, "score": score, "chunk_id": ids[low + b]})], ignore_index=True)
+                if len(held) > 4 * limit * len(q):
+                    held = best(held)
+        held = best(held)
+        if len(held):
+            yield pa.RecordBatch.from_arrays([pa.array(held["q"].to_numpy(), pa.int64()), pa.array(held["chunk_id"].to_numpy(), pa.string()), pa.array(held["score"].to_numpy())], names=["q", "chunk_id", "score"])
+
+    found = chunks.select(F.col("chunk_id").cast("string").alias("chunk_id"), F.col("vector").cast("array<double>").alias("vector")).mapInArrow(run, "q long, chunk_id string, score double")
+    numbers = spark.createDataFrame([(k, r["qid"]) for k, r in enumerate(rows)], StructType([StructField("q", LongType()), StructField("qid", block.schema["qid"].dataType)]))
+    return found.join(F.broadcast(numbers), "q").select("qid", "chunk_id", "score")
 
 
 def missing_vectors(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
