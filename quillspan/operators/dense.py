@@ -48,7 +48,7 @@ def _against(chunks: DataFrame, block: DataFrame, limit: int) -> DataFrame:
     lengths = {len(r["vector"] or ()) for r in rows}
     if len(lengths) > 1:
         raise ValueError("query vectors differ in length")
-    sent = spark.sparkContext.broadcast(np.array([r["vector"] for r in rows], np.float64).reshape(len(rows), -1))
+    sent = spark.sparkContext.broadcast(np.array([r["vector"] for r in rows], np.float64).reshape(len(rows), max(lengths, default=0)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q = sent.value
@@ -74,11 +74,13 @@ def _against(chunks: DataFrame, block: DataFrame, limit: int) -> DataFrame:
             for low in range(0, len(batch), step):
                 v = every[low : low + step]
                 near = q @ v.T
+                near[np.isnan(near)] = -np.inf
+                long = np.sqrt((v * v).sum(axis=1))
                 cut = floor.copy()
                 if len(v) > limit:
                     cut = np.maximum(cut, np.partition(near, -limit, axis=1)[:, -limit])
-                cut -= 1e-10 * norms * np.sqrt((v * v).sum(axis=1).max(initial=0.0))  # more than products in another order differ by
-                i, j = np.nonzero(near >= cut[:, None])
+                cut -= 1e-10 * norms * long[np.isfinite(long)].max(initial=0.0)  # more than products in another order differ by
+                i, j = np.nonzero((near >= cut[:, None]) & (near > -np.inf))
                 for at in range(0, len(i), max(1, PRODUCTS // q.shape[1])):
                     a, b = i[at : at + PRODUCTS // q.shape[1]], j[at : at + PRODUCTS // q.shape[1]]
                     score = np.cumsum(q[a] * v[b], axis=1)[:, -1] if q.shape[1] else np.zeros(len(a))

@@ -91,3 +91,28 @@ def score_postings(tf: DataFrame, terms: DataFrame, n: Column, average: Column,
     hits = parts.join(best.select("qid", "chunk_id"), "chunk_id").join(terms, ["qid", "term"])
     found = hits.groupBy("qid", "chunk_id").agg(F.array_sort(F.collect_list(F.struct("pos", "term", "part"))).alias("parts"))
     return ranked(found.select("qid", "chunk_id", F.aggregate("parts", F.lit(0.0), lambda s, x: s + x["part"]).alias("score"), F.col("parts.term").alias("matched_terms")), limit)
+
+
+def bm25_by_filters(chunks: DataFrame, queries: DataFrame, limit: int | None = 10, k1: float = K1, b: float = B) -> DataFrame:
+    """bm25's rows for queries (qid, query, key), each over the chunks whose `keys` hold its key, with the statistics of these.
+
+    One pass over the chunks serves all keys: their numbers, lengths and terms are counted by key where the chunk
+    lies, and only for terms that queries of that key ask for.
+    """
+    terms = sent(queries.select("qid", "key", F.posexplode(F.array_distinct(tokenize(F.col("query")))).alias("pos", "term")))
+    asked = terms.select("key", "term").distinct()
+    tokens = chunks.select("chunk_id", "keys", tokenize(F.col("text")).alias("tokens")).where(F.size("keys") > 0)
+    rows = tokens.select("chunk_id", "keys", F.size("tokens").alias("n_tokens"), F.explode(F.array_append("tokens", F.lit(EVERY))).alias("term"))
+    wanted = asked.select("term").distinct().union(chunks.sparkSession.createDataFrame([(EVERY,)], "term string"))
+    tf = rows.join(sent(wanted), "term", "left_semi").repartition("chunk_id").groupBy("chunk_id", "keys", "n_tokens", "term").agg(F.count("*").alias("tf"))
+    by_key = tf.select("chunk_id", "n_tokens", "term", "tf", F.explode("keys").alias("key"))
+    stats = by_key.where(F.col("term") == EVERY).groupBy("key").agg(F.count("*").alias("n"), F.avg("n_tokens").alias("average"))
+    hit = by_key.join(sent(asked), ["key", "term"])
+    about = hit.groupBy("key", "term").agg(F.count("*").alias("df")).join(stats, "key")
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = idf * (F.col("tf") * F.lit(k1 + 1)) / (F.col("tf") + F.lit(k1) * (1 - F.lit(b) + F.lit(b) * (F.col("n_tokens") / F.col("average"))))
+    parts = hit.join(about, ["key", "term"]).select("chunk_id", "key", "term", part.alias("part"))
+    scored = parts.join(terms.select("qid", "key", "term"), ["key", "term"]).groupBy("chunk_id", "qid").agg(exact_sum(F.col("part")).alias("score"))
+    best = near_best(scored.where("score > 0").select("qid", "chunk_id", "score"), limit)
+    found = parts.join(best.select("qid", "chunk_id"), "chunk_id").join(terms, ["qid", "key", "term"]).groupBy("qid", "chunk_id").agg(F.array_sort(F.collect_list(F.struct("pos", "term", "part"))).alias("parts"))
+    return ranked(found.select("qid", "chunk_id", F.aggregate("parts", F.lit(0.0), lambda s, x: s + x["part"]).alias("score"), F.col("parts.term").alias("matched_terms")), limit)

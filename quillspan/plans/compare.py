@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.evaluation import evaluate_retrieval, macro
-from ..operators.filters import active
+from ..operators.filters import active, filter_key, with_filter_keys
 from ..operators.fusion import fuse_variants
+from ..operators.lexical import bm25_by_filters
 from ..operators.query_plan import plan_queries
 from .stages import Models, search
 
@@ -21,12 +22,16 @@ from .stages import Models, search
 def planned_search(chunks: DataFrame, queries: DataFrame, stage: str, k: int, today: date, models: Models | None = None) -> DataFrame:
     """qid, chunk_id, score, rank with each query's explicit filters and all its forms.
 
-    Corpus statistics depend on the filters, so queries go together by their filters; of those there are
-    as many as the labelled queries name, which people write.
+    Corpus statistics depend on the filters. For BM25 they are counted for all sets of filters in one pass over
+    the chunks, and all forms are searched at once. Other stages are searched once for each set of filters; of those there are as
+    many as the labelled queries name, which people write.
     """
-    planned = plan_queries(queries, today).withColumn("filters", active(F.col("filters"))).cache()
-    names = ("field", "operator", "value", "source")
-    planned = planned.withColumn("key", F.to_json(F.transform("filters", lambda f: F.struct(*[f[n].alias(n) for n in names]))))
+    planned = plan_queries(queries, today).withColumn("filters", active(F.col("filters"))).withColumn("key", filter_key(F.col("filters"))).select("qid", "key", "filters", "search_queries").cache()  # a row for each query, read several times
+    if stage == "bm25":
+        sets = planned.groupBy("key").agg(F.first("filters").alias("filters"))
+        forms = planned.select("qid", "key", F.posexplode("search_queries").alias("n", "query"))
+        found = bm25_by_filters(with_filter_keys(chunks, sets), forms.select(F.struct("qid", "n").alias("qid"), "key", "query"), k).cache()  # k rows for each form, read several times
+        return fuse_variants(found.select("qid.qid", F.concat(F.lit("query_"), F.col("qid.n").cast("string")).alias("list"), "chunk_id", "rank", "score"), k)
     parts = []
     for row in planned.groupBy("key").agg(F.first("filters").alias("filters"), F.max(F.size("search_queries")).alias("forms")).collect():
         own = planned.where(F.col("key") == row["key"]).select("qid", F.posexplode("search_queries").alias("n", "query"))

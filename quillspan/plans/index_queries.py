@@ -169,12 +169,49 @@ def vectors_by_content(spark, sf_dir):
     return found.select(F.col("vector")[0].cast("long").alias("step"), F.regexp_extract("source_path", r"(\d+)", 1).cast("long").alias("doc_id"), F.col("vector")[1].cast("long").alias("characters"))
 
 
-@query(f"""{EVAL} SELECT 'bm25' AS stage, 'raw' AS query_mode, round(coalesce(avg(recall),0),9) AS recall, round(coalesce(avg(reciprocal_rank),0),9) AS mrr, coalesce(bool_and(recall=1 AND reciprocal_rank=1), false) AS no_headroom FROM ev""")
+#: What comes before each item's text by its number, the suffix that it asks for, and the month.
+ASKS = ("", "PDF files: ", "python files of March 2026: ", "in May 2026: ", "ext:md ")
+ASKED = f"""asked AS (SELECT item_id, item_id%5 AS kind, list_extract([{", ".join(f"'{a}'" for a in ASKS)}], item_id%5+1)||trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text FROM benchmark WHERE regexp_matches(text, '\\S')),
+met AS (SELECT c.chunk_id, k.kind FROM chunks c JOIN (SELECT unnest(range(0,5)) AS kind) k ON (k.kind=0) OR (k.kind=1 AND source_path LIKE '%.pdf') OR (k.kind=2 AND source_path LIKE '%.py' AND created_at>='2026-03-01' AND created_at<'2026-04-01') OR (k.kind=3 AND created_at>='2026-05-01' AND created_at<'2026-06-01') OR (k.kind=4 AND source_path LIKE '%.md')),
+pf AS (SELECT item_id, kind, text AS o, trim(regexp_replace(regexp_replace(regexp_replace(text, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '[_./\\\\-]+', ' ', 'g'), '\\s+', ' ', 'g')) AS x FROM asked),
+pv AS (SELECT item_id*10 AS qid, kind, o AS query FROM pf UNION ALL SELECT item_id*10+1, kind, x FROM pf WHERE x<>'' AND x<>o)"""
+
+
+def kind_sql(kind: int) -> str:
+    """BM25 of one kind's forms over the chunks that meet its filters."""
+    return f"e{kind} AS (SELECT c.* FROM chunks c JOIN met ON met.chunk_id=c.chunk_id AND met.kind={kind}), {bm25_sql(f'p{kind}', f'e{kind}', f'SELECT qid, query FROM pv WHERE kind={kind}')}"
+
+
+PLANNED = f"""{ASKED}, {", ".join(kind_sql(k) for k in range(5))},
+pl AS (SELECT qid//10 AS item, qid%10 AS form, chunk_id, rank, score FROM ({" UNION ALL ".join(f"SELECT qid, chunk_id, rank, score FROM p{k} WHERE rank<=3" for k in range(5))})),
+pn AS (SELECT item, count(DISTINCT form) AS forms FROM pl GROUP BY 1),
+ps AS (SELECT item, chunk_id, list_sum(list(1.0::DOUBLE/(60.0::DOUBLE+rank) ORDER BY form)) AS score, min(rank) AS best FROM pl JOIN pn USING (item) WHERE forms>1 GROUP BY item, chunk_id),
+planned AS (SELECT item AS qid, chunk_id, score, rank FROM pl JOIN pn USING (item) WHERE forms=1 UNION ALL SELECT * FROM (SELECT item, chunk_id, score, row_number() OVER (PARTITION BY item ORDER BY score DESC, best, chunk_id) AS rank FROM ps) WHERE rank<=3)"""
+
+
+def asked_of(spark: SparkSession, sf_dir: str):
+    """The items as queries that name kinds of files and months."""
+    ask = F.element_at(F.array(*map(F.lit, ASKS)), (F.col("qid") % len(ASKS) + 1).cast("int"))
+    return item_queries(spark, sf_dir).where(F.col("query").rlike(r"\S")).select("qid", F.concat(ask, T.collapse(F.col("query"))).alias("query"))
+
+
+@query(f"WITH {CHUNKS}, {PLANNED} SELECT qid, chunk_id, round(score,9) AS score, rank FROM planned")
+def planned_search(spark, sf_dir):
+    """Queries with filters of their own, each over what it leaves and with the statistics of that, in one pass."""
+    found = compare.planned_search(chunks_of(spark, sf_dir), asked_of(spark, sf_dir), "bm25", 3, TODAY)
+    return found.select("qid", "chunk_id", F.round("score", 9).alias("score"), long("rank"))
+
+
+@query(f"""{EVAL}, {PLANNED}, {bm25_sql('rw', queries='SELECT item_id AS qid, text AS query FROM asked')},
+both_modes AS (SELECT 'raw' AS query_mode, qid AS case_id, chunk_id, rank FROM rw WHERE rank<=3 UNION ALL SELECT 'processed', qid, chunk_id, rank FROM planned),
+modes AS (SELECT unnest(['raw','processed']) AS query_mode),
+each_case AS (SELECT m.query_mode, g.case_id, count(b.rank)/count(*) AS recall, coalesce(1.0::DOUBLE/min(b.rank), 0) AS rr FROM g CROSS JOIN modes m LEFT JOIN both_modes b ON b.query_mode=m.query_mode AND b.case_id=g.case_id AND b.chunk_id=g.chunk_id GROUP BY 1,2)
+SELECT 'bm25' AS stage, query_mode, round(avg(recall),9) AS recall, round(avg(rr),9) AS mrr, bool_and(recall=1 AND rr=1) AS no_headroom FROM each_case GROUP BY query_mode""")
 def stage_compare(spark, sf_dir):
     facts = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("fact"))
     found = T.texts_with_facts(chunks_of(spark, sf_dir), facts, "chunk_id", "qid").groupBy("qid").agg(F.collect_list("chunk_id").alias("relevant_chunk_ids"))
-    gold = item_queries(spark, sf_dir).join(found, "qid")
-    out = compare.compare(chunks_of(spark, sf_dir), gold, modes=("raw",), today=TODAY)
+    gold = asked_of(spark, sf_dir).join(found, "qid")
+    out = compare.compare(chunks_of(spark, sf_dir), gold, today=TODAY)
     return out.select("stage", "query_mode", F.round("recall", 9).alias("recall"), F.round("mrr", 9).alias("mrr"), "no_headroom")
 
 

@@ -68,6 +68,9 @@ def checked_queries(queries: DataFrame) -> DataFrame:
 
 def ranked_answers(chunks: DataFrame, queries: DataFrame, planned: DataFrame, stage: str, limit: int, models: Models | None, filters: Iterable[Mapping[str, str]] | None) -> DataFrame:
     forms = planned.select("qid", F.posexplode("search_queries").alias("n", "query"))
+    if stage == "bm25":  # all forms in one search
+        found = search(chunks, forms.select(F.struct("qid", "n").alias("qid"), "query"), stage, limit, filters).cache()  # `limit` rows for each form, read several times
+        return fuse_variants(found.select("qid.qid", F.concat(F.lit("query_"), F.col("qid.n").cast("string")).alias("list"), "chunk_id", "rank", "score"), limit)
     listed = None
     for n in range(forms.agg(F.coalesce(F.max("n"), F.lit(-1)).alias("n")).first()["n"] + 1):  # forms of a query are few
         part = search(chunks, forms.where(F.col("n") == n).select("qid", "query"), stage, limit, filters, models)
