@@ -159,10 +159,24 @@ def by_frames(df: DataFrame, function: Callable[[Iterator[pd.DataFrame]], Iterat
         for frame in function(frames(batches)):
             if len(frame):
                 yield pa.RecordBatch.from_pandas(frame, schema=target, preserve_index=False)
+        give_back()
 
     return df.mapInArrow(run, schema)
 
 
+def give_back() -> None:
+    """Return freed memory of this worker to the system: workers live on and stand beside a JVM that needs it."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
+
+
 def framed(rows: list[tuple], columns: list[str]) -> pd.DataFrame:
     """Rows as a frame of plain objects: integers beside a None stay what they are."""
     return pd.DataFrame({c: pd.Series([r[k] for r in rows], dtype=object) for k, c in enumerate(columns)})

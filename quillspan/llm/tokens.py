@@ -20,6 +20,8 @@ from collections.abc import Sequence
 
 import numpy as np
 
+from .common import give_back
+
 #: Chunks that one Python worker keeps.
 CACHE_CHUNKS = 400_000
 #: New chunks that are encoded as one text.
@@ -173,5 +175,7 @@ def encoder(path: str) -> ChunkEncoder:
 
 
 def forget() -> None:
-    """Drop this worker's caches, before work that doesn't encode."""
-    _ENCODERS.clear()
+    """Drop this worker's caches, before work that doesn't encode, and give their memory back."""
+    if _ENCODERS:
+        _ENCODERS.clear()
+        give_back()
