@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import line_count
+from .encoders import embedded_texts
 
 #: Characters of a stretch by which chunks and blocks of a group meet.
 POSITIONS = 4096
@@ -155,25 +156,46 @@ def _hard_windows(text: str, start: int, end: int, size: int, unit: str) -> list
     return [(start + words[k][0], start + words[min(len(words), k + size) - 1][1]) for k in range(0, len(words), size)]
 
 
-def semantic_spans(text: str, policy: ChunkingPolicy, embed: Callable[[list[str]], list[list[float]]]) -> list[tuple[int, int]]:
-    """Packs of sentences that a drop in similarity to the ones before ends, with the overlap before each."""
+def sentence_table(groups: DataFrame) -> DataFrame:
+    """document_id, group_no, sent_no, start, end, sentence: a row for each sentence of groups (document_id, group_no, text)."""
+    rows = groups.select("document_id", "group_no", F.posexplode(F.regexp_extract_all("text", F.lit(r"(?s).+?(?:[.!?] |\n|\z)"), F.lit(0))).alias("sent_no", "sentence"))
+    before = Window.partitionBy("document_id", "group_no").orderBy("sent_no").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(F.length("sentence")).over(before), F.lit(0)).cast("int")
+    return rows.withColumn("start", start).withColumn("end", F.col("start") + F.length("sentence"))
+
+
+def semantic_boundaries(groups: DataFrame, embed: Callable[[list[str]], list[list[float]]], threshold: float = 0.8, window: int = 3) -> DataFrame:
+    """sentence_table's rows with `similarity` to the sum of the vectors of the sentences before, and `topic`, from 1.
+
+    A sentence that is less similar than the threshold opens a topic; so does one whose vector, or that sum, is
+    zero. Sentences are embedded in batches over all documents, each text once; windows and topics are
+    window functions over a group.
+    """
+    rows = sentence_table(groups).withColumn("key", F.sha2("sentence", 256))
+    vectors = embedded_texts(rows.select("key", F.col("sentence").alias("text")).dropDuplicates(["key"]), embed)
+    good = F.when(F.col("error").isNull(), F.col("vector")).otherwise(F.raise_error(F.col("error")).cast("array<double>"))
+    order = Window.partitionBy("document_id", "group_no").orderBy("sent_no")
+    with_recent = rows.join(vectors.select("key", good.alias("vector")), "key").withColumn("recent", F.collect_list("vector").over(order.rowsBetween(-window, -1)))
+    add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+    dot = lambda a, b: total(F.zip_with(a, b, lambda x, y: x * y))
+    summed = with_recent.withColumn("sum", F.aggregate(F.slice("recent", F.lit(2), F.greatest(F.size("recent") - 1, F.lit(0))), F.get("recent", 0), add))
+    norm = dot(F.col("sum"), F.col("sum")) * dot(F.col("vector"), F.col("vector"))
+    likeness = summed.withColumn("similarity", F.when(norm > 0, dot(F.col("sum"), F.col("vector")) / F.sqrt(norm)))
+    topic = F.sum(F.when(F.col("similarity") >= threshold, 0).otherwise(1)).over(order)
+    return likeness.withColumn("topic", topic).select("document_id", "group_no", "sent_no", "start", "end", "sentence", "similarity", "topic")
+
+
+def semantic_spans(text: str, sentences: list[tuple[int, int, int]], policy: ChunkingPolicy) -> list[tuple[int, int]]:
+    """Packs of sentences (start, end, topic) of one topic up to a size, with the overlap before each."""
     base = policy.target_size - policy.overlap
-    sentences = [m.span() for m in SENTENCE.finditer(text)]
-    if not sentences:
-        return []
-    vectors = embed([text[a:b] for a, b in sentences])
-    packs: list[list[int]] = [[0]]
-    for k in range(1, len(sentences)):
-        recent = packs[-1][-policy.semantic_similarity_window :]
-        mean = [sum(vectors[i][d] for i in recent) / len(recent) for d in range(len(vectors[k]))]
-        norm = (sum(x * x for x in mean) * sum(x * x for x in vectors[k])) ** 0.5
-        near = norm > 0 and sum(x * y for x, y in zip(mean, vectors[k], strict=True)) / norm >= policy.semantic_threshold
-        room = len(text[sentences[packs[-1][0]][0] : sentences[k][1]].split()) <= base
-        if near and room:
-            packs[-1].append(k)
+    packs: list[list[int]] = []  # start, end, topic
+    for start, end, topic in sentences:
+        if packs and packs[-1][2] == topic and len(text[packs[-1][0] : end].split()) <= base:
+            packs[-1][1] = end
         else:
-            packs.append([k])
-    spans = [w for p in packs for w in _hard_windows(text, sentences[p[0]][0], sentences[p[-1]][1], base, "tokens")]
+            packs.append([start, end, topic])
+    spans = [w for start, end, _ in packs for w in _hard_windows(text, start, end, base, "tokens")]
     out = []
     for k, (start, end) in enumerate(spans):
         if k and policy.overlap:
@@ -246,25 +268,34 @@ def chunk_groups(groups: DataFrame, policy: ChunkingPolicy, embed: Callable[[lis
     """Groups (document_id, group_no, kind, language, source_path, text) cut by the policy.
 
     document_id, group_no, chunk_no, start, end, chunk_text, chunker. A group is cut in one place, as a
-    pack depends on the one before; documents are apart.
+    pack depends on the one before; documents are apart. For semantic chunks the topics of prose are found first,
+    for all groups together.
     """
+    columns = ["document_id", "group_no", "kind", "language", "source_path", "text", "sentences"]
+    if policy.strategy == "semantic":
+        if embed is None:
+            raise ValueError("semantic chunking needs an embedding function")
+        prose = groups.where("kind <> 'code'").select("document_id", "group_no", "text")
+        found = semantic_boundaries(prose, embed, policy.semantic_threshold, policy.semantic_similarity_window)
+        listed = found.groupBy("document_id", "group_no").agg(F.array_sort(F.collect_list(F.struct("start", "end", "topic"))).alias("sentences"))
+        groups = groups.join(listed, ["document_id", "group_no"], "left")
+    else:
+        groups = groups.withColumn("sentences", F.lit(None).cast("array<struct<start:int,end:int,topic:bigint>>"))
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
-            for doc, group, kind, language, path, text in frame[["document_id", "group_no", "kind", "language", "source_path", "text"]].itertuples(index=False, name=None):
+            for doc, group, kind, language, path, text, sentences in frame[columns].itertuples(index=False, name=None):
                 if kind == "code" and policy.preserve_code_blocks:
                     how, spans = code_spans(text, code_language(path or "", language, text), policy.target_size, policy.size_unit)
                 elif kind != "code" and policy.strategy == "semantic":
-                    if embed is None:
-                        raise ValueError("semantic chunking needs an embedding function")
-                    how, spans = "semantic", semantic_spans(text, policy, embed)
+                    how, spans = "semantic", semantic_spans(text, [(x["start"], x["end"], x["topic"]) for x in sentences], policy)
                 else:
                     how, spans = "sentence", sentence_spans(text, policy.target_size, policy.overlap, policy.size_unit)
                 rows += [(doc, group, n, a, b, text[a:b], how) for n, (a, b) in enumerate(spans) if text[a:b].strip()]
             yield pd.DataFrame(rows, columns=["document_id", "group_no", "chunk_no", "start", "end", "chunk_text", "chunker"])
 
-    return groups.select("document_id", "group_no", "kind", "language", "source_path", "text").mapInPandas(cut, "document_id string, group_no long, chunk_no int, start int, end int, chunk_text string, chunker string")
+    return groups.select(*columns).mapInPandas(cut, "document_id string, group_no long, chunk_no int, start int, end int, chunk_text string, chunker string")
 
 
 def chunk_documents(blocks: DataFrame, policy: ChunkingPolicy, embed: Callable[[list[str]], list[list[float]]] | None = None) -> DataFrame:

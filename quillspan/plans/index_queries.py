@@ -78,10 +78,11 @@ l AS (SELECT qid//10 AS item, qid%10 AS form, chunk_id, rank, score FROM hb WHER
 one AS (SELECT item, chunk_id, score, rank FROM l JOIN n USING (item) WHERE forms=1),
 f AS (SELECT item, chunk_id, list_sum(list(1.0::DOUBLE/(60.0::DOUBLE+rank) ORDER BY form)) AS score, min(rank) AS best FROM l JOIN n USING (item) WHERE forms>1 GROUP BY item, chunk_id),
 two AS (SELECT item, chunk_id, score, row_number() OVER (PARTITION BY item ORDER BY score DESC, best, chunk_id) AS rank FROM f)
-SELECT a.item AS qid, a.chunk_id, round(a.score,9) AS score, a.rank, c.source_path, 'bm25' AS source, (SELECT count(*) FROM qv WHERE qid//10=a.item) AS n_variants FROM (SELECT * FROM one UNION ALL SELECT * FROM two WHERE rank<=10) a JOIN chunks c USING (chunk_id)""")
+SELECT a.item AS qid, a.chunk_id, round(a.score,9) AS score, a.rank, c.source_path, 'bm25' AS source, (SELECT count(*) FROM qv WHERE qid//10=a.item) AS n_variants,
+array_to_string(list_sort(list_intersect(list_distinct({tok("(SELECT string_agg(query, ' ') FROM qv WHERE qid//10=a.item)")}), list_distinct({tok('c.text')}))), ' ') AS matched_terms FROM (SELECT * FROM one UNION ALL SELECT * FROM two WHERE rank<=10) a JOIN chunks c USING (chunk_id)""")
 def service_search(spark, sf_dir):
     found = service.answer_search(chunks_of(spark, sf_dir), item_queries(spark, sf_dir), TODAY)
-    return found.select("qid", "chunk_id", F.round("score", 9).alias("score"), long("rank"), "source_path", "source", F.size("query_variants").cast("long").alias("n_variants"))
+    return found.select("qid", "chunk_id", F.round("score", 9).alias("score"), long("rank"), "source_path", "source", F.size("query_variants").cast("long").alias("n_variants"), F.array_join(F.array_sort("matched_terms"), " ").alias("matched_terms"))
 
 
 @query(f"""WITH {LIFE}, a AS (SELECT st.source_path, st.document_id, st.checksum, st.versions FROM st),

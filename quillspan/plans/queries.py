@@ -367,6 +367,28 @@ def chunk_documents(spark, sf_dir):
     return chunking.chunk_documents(blocks, POLICY_400).select("chunk_id", "document_id", long("ordinal"), "chunk_text", long("page"), "section", "chunker")
 
 
+def vowels(texts: list[str]) -> list[list[float]]:
+    """Stand-in for an embedding: how often each vowel stands in a text."""
+    return [[float(t.count(c)) for c in "aeiou"] for t in texts]
+
+
+COUNTS = ", ".join(f"length(s)-length(replace(s,'{c}','')) AS v{c}" for c in "aeiou")
+SUMS = ", ".join(f"sum(v{c}) OVER w AS s{c}" for c in "aeiou")
+LIKENESS = "({}) / sqrt((({})*({}))::DOUBLE)".format(*["+".join(f"{a}{c}*{b}{c}" for c in "aeiou") for a, b in ("sv", "ss", "vv")])
+
+
+@query(rf"""WITH p AS (SELECT doc_id, regexp_extract_all(text, '(?s).+?(?:[.!?] |\n|\z)') AS l FROM documents), u AS (SELECT doc_id, generate_subscripts(l,1)-1 AS sent_no, unnest(l) AS s FROM p),
+c AS (SELECT *, coalesce(sum(length(s)) OVER (PARTITION BY doc_id ORDER BY sent_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start, {COUNTS} FROM u),
+w AS (SELECT *, {SUMS} FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY sent_no ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING)),
+n AS (SELECT *, CASE WHEN sa IS NOT NULL AND sa+se+si+so+su>0 AND va+ve+vi+vo+vu>0 THEN {LIKENESS} END AS similarity FROM w)
+SELECT doc_id, sent_no, start, round(similarity,9) AS similarity, sum(CASE WHEN similarity>=0.8 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY sent_no)::BIGINT AS topic FROM n""")
+def semantic_boundaries(spark, sf_dir):
+    """Where sentences turn to another topic, by a stand-in embedding, over whole documents."""
+    docs = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.lit(0).alias("group_no"), "text")
+    found = chunking.semantic_boundaries(docs, vowels, 0.8, 3)
+    return found.select(F.col("document_id").alias("doc_id"), long("sent_no"), long("start"), F.round("similarity", 9).alias("similarity"), long("topic"))
+
+
 SUFFIXES = (*chunking.CODE_LANGUAGES, ".txt", ".md")
 LANGUAGES = " ".join(f"WHEN {n} THEN '{chunking.CODE_LANGUAGES[s]}'" for n, s in enumerate(SUFFIXES) if s in chunking.CODE_LANGUAGES)
 
@@ -644,7 +666,10 @@ w AS (SELECT *, list_distinct(list_filter({tok('text')}, lambda x: x NOT IN ({ST
  contains({NORM.format("coalesce(body,'')")}, {NORM.format('text')}) AS in_evidence FROM e)
 SELECT item_id AS case_id, want=got AS retrieval_found_evidence, CASE WHEN NOT abstained THEN in_evidence END AS answer_used_evidence,
  CASE WHEN NOT abstained THEN body IS NOT NULL AND len(t)>0 AND len(list_intersect(t,u)) >= (CASE WHEN len(t)<=2 THEN 1 ELSE (len(t)+1)//2 END) END AS answer_supported,
- CASE WHEN NOT abstained THEN coalesce(page <= 5, false) END AS citations_correct FROM w""")
+ CASE WHEN NOT abstained THEN coalesce(page <= 5, false) END AS citations_correct,
+ array_to_string(list_filter([CASE WHEN want<>got THEN 'not retrieved: '||want END, CASE WHEN abstained THEN 'no answer was given: use, support and citations have no score' WHEN NOT in_evidence THEN 'a required fact is missing from the answer or from the evidence' END,
+ CASE WHEN NOT abstained AND body IS NULL THEN 'cited without being selected: '||got END, CASE WHEN NOT abstained AND page>5 THEN 'cited at another place than its own: '||got END,
+ CASE WHEN NOT abstained AND body IS NOT NULL AND NOT (len(t)>0 AND len(list_intersect(t,u)) >= (CASE WHEN len(t)<=2 THEN 1 ELSE (len(t)+1)//2 END)) THEN 'cited for a claim that it doesn''t bear out: '||got END], lambda x: x IS NOT NULL), '; ') AS notes FROM w""")
 def rag_case_eval(spark, sf_dir):
     n = F.col("item_id")
     name = lambda k: F.concat(F.lit("doc-"), k.cast("string"), F.lit(":000"))
@@ -654,7 +679,7 @@ def rag_case_eval(spark, sf_dir):
     evidence = items.join(have, F.col("got") == F.col("chunk_id")).select("case_id", "chunk_id", F.col("body").alias("text"), "source_path", "page", F.lit(None).cast("string").alias("section"))
     cited = items.join(have, F.col("got") == F.col("chunk_id"), "left").select("case_id", F.lit(0).alias("pos"), F.col("text").alias("claim"), F.col("got").alias("chunk_id"), "source_path", F.when(F.col("page") <= 5, F.col("page")).otherwise(99).alias("page"), F.lit(None).cast("string").alias("section"))
     out = evaluation.evaluate_answers(gold, items.select("case_id", "text", "abstained"), items.select("case_id", F.col("got").alias("chunk_id")), evidence, cited)
-    return out.drop("notes")
+    return out.withColumn("notes", F.array_join("notes", "; "))
 
 
 # lifecycle

@@ -38,10 +38,20 @@ def test_code_follows_syntax():
     assert chunking.code_language("x", None, "#!/usr/bin/env python\n") == "python"
 
 
-def test_semantic_spans_break_where_the_topic_does():
+def test_semantic_spans_break_where_the_topic_does(spark):
     policy = chunking.ChunkingPolicy(target_size=8, overlap=2, size_unit="tokens", strategy="semantic")
-    spans = chunking.semantic_spans("a a. a b. z z. z y.", policy, lambda s: [[1.0, 0.0] if "a" in x else [0.0, 1.0] for x in s])
+    text = "a a. a b. z z. z y."
+    groups = spark.createDataFrame([("d", 1, text), ("e", 1, "a."), ("f", 1, "q. q.")], "document_id string, group_no long, text string")
+    embed = lambda texts: [[float("a" in t), float("z" in t)] for t in texts]
+    rows = chunking.semantic_boundaries(groups, embed).orderBy("document_id", "sent_no").collect()
+    assert [(r.document_id, r.start, r.end, r.topic) for r in rows] == [("d", 0, 5, 1), ("d", 5, 10, 1), ("d", 10, 15, 2), ("d", 15, 19, 3), ("e", 0, 2, 1), ("f", 0, 3, 1), ("f", 3, 5, 2)]
+    spans = chunking.semantic_spans(text, [(r.start, r.end, min(r.topic, 2)) for r in rows if r.document_id == "d"], policy)
     assert len(spans) == 2 and spans[1][0] < spans[0][1]
+    blocks = [("d", 0, "paragraph", text, "a", None, None, None, None, None), ("d", 1, "code", "x = 1", "a.py", None, None, None, None, None)]
+    got = chunking.chunk_documents(spark.createDataFrame(blocks, BLOCK), policy, embed).orderBy("ordinal").collect()
+    assert {r.chunker for r in got} == {"semantic", "syntax"} and got[0].chunk_text.startswith("a a. a b.")
+    with pytest.raises(Exception, match="one vector per chunk"):
+        chunking.semantic_boundaries(groups, lambda texts: []).collect()
 
 
 BLOCK = "document_id string, block_no int, kind string, text string, source_path string, language string, page int, section string, line_start int, char_start int"
