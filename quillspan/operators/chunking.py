@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import line_count
-from .encoders import embedded_texts
+from .encoders import embedded_texts, made, provider
 
 #: Characters of a stretch by which chunks and blocks of a group meet.
 POSITIONS = 4096
@@ -264,6 +264,52 @@ def realigned(text: str, pieces: list[str]) -> list[tuple[int, int]]:
     return found
 
 
+def word_offsets(texts: list[str]) -> list[list[tuple[int, int]]]:
+    """A tokenizer of words between white space: where each token stands."""
+    return [[m.span() for m in re.finditer(r"\S+", t)] for t in texts]
+
+
+def tokenizer_offsets(path: str) -> Callable[[], Callable[[list[str]], list[list[tuple[int, int]]]]]:
+    """A provider of token offsets from a tokenizer's file, loaded once in a worker process."""
+
+    @provider(f"tokenizer:{path}")
+    def load() -> Callable[[list[str]], list[list[tuple[int, int]]]]:
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(path)
+        return lambda texts: [e.offsets for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    return load
+
+
+def token_windows(groups: DataFrame, offsets: Callable, size: int, overlap: int = 0, batch: int = 64) -> DataFrame:
+    """Groups (document_id, group_no, text) in windows of at most `size` tokens, the last `overlap` of the one before among them.
+
+    document_id, group_no, chunk_no, start, end, n_tokens, chunk_text. `offsets` is a tokenizer: for each text it gives
+    its tokens' (start, end), or the pieces themselves, which are then looked for in the text. Windows begin and end where tokens do, so their
+    places are exact. White space between tokens belongs to the window around it; texts without a token have no window.
+    """
+    if size <= 0 or not 0 <= overlap < size:
+        raise ValueError("windows have a token at least, and overlap by fewer than they have")
+
+    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tokenize = made(offsets)
+        for frame in frames:
+            for at in range(0, len(frame), batch):
+                part, rows = frame.iloc[at : at + batch], []
+                texts = part["text"].tolist()
+                for doc, group, text, tokens in zip(part["document_id"], part["group_no"], texts, tokenize(texts), strict=True):
+                    places = realigned(text, list(tokens)) if len(tokens) and isinstance(tokens[0], str) else tokens
+                    for n, low in enumerate(range(0, max(1, len(places) - overlap) if len(places) else 0, size - overlap)):
+                        own = places[low : low + size]
+                        start, end = own[0][0], own[-1][1]
+                        rows.append((doc, group, n, start, end, len(own), text[start:end]))
+                yield pd.DataFrame(rows, columns=["document_id", "group_no", "chunk_no", "start", "end", "n_tokens", "chunk_text"])
+
+    kind = groups.schema["document_id"].dataType.simpleString()
+    return groups.select("document_id", "group_no", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(cut, f"document_id {kind}, group_no long, chunk_no int, start int, end int, n_tokens int, chunk_text string")
+
+
 def chunk_groups(groups: DataFrame, policy: ChunkingPolicy, embed: Callable[[list[str]], list[list[float]]] | None = None) -> DataFrame:
     """Groups (document_id, group_no, kind, language, source_path, text) cut by the policy.
 

@@ -367,6 +367,17 @@ def chunk_documents(spark, sf_dir):
     return chunking.chunk_documents(blocks, POLICY_400).select("chunk_id", "document_id", long("ordinal"), "chunk_text", long("page"), "section", "chunker")
 
 
+@query(r"""WITH p AS (SELECT doc_id, text, regexp_extract_all(text, '\s*\S+') AS l FROM documents), u AS (SELECT doc_id, text, len(l) AS n, generate_subscripts(l,1)-1 AS k, unnest(l) AS s FROM p),
+o AS (SELECT *, sum(length(s)) OVER (PARTITION BY doc_id ORDER BY k)::BIGINT AS e, length(regexp_extract(s, '\S+')) AS w FROM u),
+a AS (SELECT doc_id, text, n, k//80 AS chunk_no, e-w AS start FROM o WHERE k%80=0 AND (k=0 OR k<n-20))
+SELECT a.doc_id, a.chunk_no, a.start, b.e AS "end", least(100, a.n-a.chunk_no*80) AS n_tokens, sha256(a.text[a.start+1:b.e]) AS text_sha256 FROM a JOIN o b ON b.doc_id=a.doc_id AND b.k=least(a.n, a.chunk_no*80+100)-1""")
+def token_windows(spark, sf_dir):
+    """Windows of 100 tokens, 20 of them the last ones before, over whole documents; words are the tokens."""
+    docs = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.lit(0).cast("long").alias("group_no"), "text")
+    found = chunking.token_windows(docs, chunking.word_offsets, 100, 20)
+    return found.select(F.col("document_id").alias("doc_id"), long("chunk_no"), long("start"), long("end"), long("n_tokens"), F.sha2("chunk_text", 256).alias("text_sha256"))
+
+
 def vowels(texts: list[str]) -> list[list[float]]:
     """Stand-in for an embedding: how often each vowel stands in a text."""
     return [[float(t.count(c)) for c in "aeiou"] for t in texts]

@@ -54,6 +54,24 @@ def test_semantic_spans_break_where_the_topic_does(spark):
         chunking.semantic_boundaries(groups, lambda texts: []).collect()
 
 
+def test_token_windows_keep_their_budget_and_place(spark):
+    public = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = public.path("byte_bpe_50k.json")
+    text = "Budgets hold for naïve tokens too: 서울 is two words' worth. " * 9 + "x" * 300
+    groups = spark.createDataFrame([("d", 1, text), ("e", 1, ""), ("f", 1, None), ("g", 1, "one two three")], "document_id string, group_no long, text string")
+    rows = chunking.token_windows(groups, chunking.tokenizer_offsets(path), 16, 4).orderBy("document_id", "chunk_no").collect()
+    own, tokens = [r for r in rows if r.document_id == "d"], Tokenizer.from_file(path).encode(text, add_special_tokens=False).offsets
+    assert all(r.chunk_text == text[r.start : r.end] and r.n_tokens <= 16 for r in own) and {r.document_id for r in rows} == {"d", "g"}
+    assert [(r.start, r.end) for r in own] == [(tokens[k][0], tokens[min(k + 16, len(tokens)) - 1][1]) for k in range(0, len(tokens) - 4, 12)]
+    assert own[-1].end == len(text) and sum(r.n_tokens for r in own) == len(tokens) + 4 * (len(own) - 1)
+    pieces = lambda texts: [t.upper().split() for t in texts]  # noqa: E731  gives no offsets
+    assert [(r.start, r.end) for r in chunking.token_windows(groups.where("document_id = 'g'"), pieces, 2, 1).orderBy("chunk_no").collect()] == [(0, 7), (4, 13)]
+    with pytest.raises(ValueError):
+        chunking.token_windows(groups, pieces, 2, 2)
+
+
 BLOCK = "document_id string, block_no int, kind string, text string, source_path string, language string, page int, section string, line_start int, char_start int"
 
 
