@@ -205,8 +205,42 @@ def semantic_spans(text: str, sentences: list[tuple[int, int, int]], policy: Chu
     return out
 
 
+#: Languages whose declarations stand in braces.
+BRACES = ("javascript", "typescript", "tsx", "java", "kotlin", "c", "cpp", "csharp", "go", "rust", "php", "swift", "css", "scss")
+
+
+def _signs(language: str) -> re.Pattern[str]:
+    """Comments and strings of a language, which are passed over, and the signs that open and close."""
+    line = {"css": r"(?!)", "php": r"//[^\n]*|\#[^\n]*"}.get(language, r"//[^\n]*")
+    quote = r"'(?:\\[^']*|[^'\\\n])'" if language in ("rust", "c", "cpp", "java", "kotlin", "csharp", "go", "swift") else r"'(?:\\.|[^'\\\n])*'"  # one character, or a string
+    return re.compile(rf'{line}|/\*.*?\*/|"(?:\\.|[^"\\])*"|`(?:\\.|[^`\\])*`|{quote}|[{{}}()\[\];\n]', re.S)
+
+
+def declaration_starts(text: str, language: str) -> list[int] | None:
+    """Where the top-level declarations of code in braces begin, each with the comments before it; None where brackets don't match.
+
+    A declaration ends with the line that closes its outermost brace, or that has a semicolon outside of any bracket.
+    """
+    open_, starts, ended = [], [0], False
+    closes = {"}": "{", ")": "(", "]": "["}
+    for m in _signs(language).finditer(text):
+        sign = m[0]
+        if sign in ("{", "(", "["):
+            open_.append(sign)
+        elif sign in closes:
+            if not open_ or open_.pop() != closes[sign]:
+                return None
+            ended |= sign == "}" and not open_
+        elif sign == ";":
+            ended |= not open_
+        elif sign == "\n" and ended and not open_:
+            starts.append(m.end())
+            ended = False
+    return None if open_ else starts
+
+
 def code_spans(text: str, language: str | None, size: int, unit: str = "characters") -> tuple[str, list[tuple[int, int]]]:
-    """How code was cut, and the spans: top-level statements packed to a size, else windows."""
+    """How code was cut, and the spans: top-level statements or declarations packed to a size, parts at blank lines, else windows."""
     measure = len if unit == "characters" else (lambda s: len(s.split()))
     starts = [0]
     how = "blank-lines"
@@ -221,6 +255,8 @@ def code_spans(text: str, language: str | None, size: int, unit: str = "characte
             how = "syntax"
         except (SyntaxError, ValueError, RecursionError, MemoryError):
             return "windows-after-failure", _hard_windows(text, 0, len(text), size, unit)
+    elif language in BRACES and (found_starts := declaration_starts(text, language)) is not None:
+        how, starts = "scopes", found_starts
     else:
         starts = [m.end() for m in re.finditer(r"\n[ \t]*\n+", text)]
     bounds = sorted({0, *starts, len(text)})

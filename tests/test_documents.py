@@ -54,6 +54,25 @@ def test_semantic_spans_break_where_the_topic_does(spark):
         chunking.semantic_boundaries(groups, lambda texts: []).collect()
 
 
+CODE = {
+    "javascript": ["import x from 'y';\n", "// adds { two\nfunction add(a, b) {\n  const s = `}${a}`;\n\n  return a + b; /* } */\n}\n", "export const twice = (x) => {\n  return \"{\" + x;\n};\n"],
+    "java": ["package a.b;\n", "/** A box. */\nclass Box {\n  char open = '{';\n\n  int size() { return 1; }\n}\n", "interface Shape {\n  double area();\n}\n"],
+    "rust": ["use std::fmt;\n", "fn first<'a>(x: &'a str) -> &'a str {\n    let c = '}';\n    x\n}\n", "struct P {\n    x: i32,\n}\n", "impl P {\n    fn go(&self) {}\n}"],
+}
+
+
+@pytest.mark.parametrize("language", sorted(CODE))
+def test_declarations_of_brace_languages(language):
+    code = "".join(CODE[language])
+    how, spans = chunking.code_spans(code, language, 1)
+    starts = chunking.declaration_starts(code, language)
+    assert how == "scopes" and [code[a:b] for a, b in zip(starts, [*starts[1:], len(code)], strict=True) if a < b] == CODE[language]
+    assert "".join(code[a:b] for a, b in spans) == code
+    how, spans = chunking.code_spans(code, language, 90)
+    assert "".join(code[a:b] for a, b in spans) == code and all(b - a <= 90 or code[a:b] in CODE[language] for a, b in spans if b - a != 90)
+    assert chunking.code_spans(code + "}", language, 90)[0] == "blank-lines"
+
+
 def test_token_windows_keep_their_budget_and_place(spark):
     public = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
