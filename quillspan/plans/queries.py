@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import chunking, citations, dense, evaluation, filters, fusion, lexical, lifecycle, query_plan, ranking, selection
+from ..operators import chunking, citations, dense, encoders, evaluation, filters, fusion, lexical, lifecycle, query_plan, ranking, selection
 from ..sources import files
 from ..sources.corpus import chunk_table
 from . import stages
@@ -625,6 +625,36 @@ def hybrid_pipeline(spark, sf_dir):
     return stages.search(chunks, asked, "hybrid", 10, models=models).select("qid", "chunk_id", F.round("score", 12).alias("score"), long("rank"))
 
 
+VOWELS = "+".join("(length({0}.text)-length(replace({0}.text,'%s','')))*(length({1}.text)-length(replace({1}.text,'%s','')))" % (c, c) for c in "aeiou")
+FOUR_LEGS = HYBRID.replace("\nhl AS (", f"""
+hv AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM (SELECT v.qid, c.chunk_id, {VOWELS.format('c', 'b')} AS score FROM qv v JOIN benchmark b ON b.item_id=v.qid//10, chunks c)),
+hl AS (SELECT qid//10 AS qid, 'query_'||(qid%10)||':vector' AS list, chunk_id, rank FROM hv WHERE rank<=50 UNION ALL """)
+
+
+def four_legs(spark: SparkSession, sf_dir: str, stage: str, limit: int) -> DataFrame:
+    """A stage with words, metadata, learned weights and vectors, and a reranker; stand-ins for the models."""
+    chunks, asked = chunks_of(spark, sf_dir), item_queries(spark, sf_dir)
+    models = stages.Models(
+        chunk_weights=weights_of(chunks, "chunk_id"), query_weights=weights_of(asked.withColumnRenamed("query", "text"), "qid"),
+        chunk_vectors=encoders.embedded(chunks, "chunk_id", "text", vowels), query_vectors=encoders.embedded(asked, "qid", "query", vowels),
+        rerankers={"rerank_bge": lambda queries, texts: [(len(t) * 7919 + len(q)) % 1000 / 1000 for q, t in zip(queries, texts, strict=True)]},
+    )
+    return stages.search(chunks, asked, stage, limit, models=models)
+
+
+@query(f"WITH {CHUNKS}, {FOUR_LEGS} SELECT qid, chunk_id, round(score,12) AS score, rank FROM hf WHERE rank<=10")
+def hybrid_vectors(spark, sf_dir):
+    return four_legs(spark, sf_dir, "hybrid", 10).select("qid", "chunk_id", F.round("score", 12).alias("score"), long("rank"))
+
+
+@query(f"""WITH RECURSIVE {CHUNKS}, {FOUR_LEGS},
+ca AS MATERIALIZED (SELECT qid, chunk_id, score, t, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM (SELECT h.qid, h.chunk_id, (length(c.text)*7919+length(b.text))%1000/1000.0::DOUBLE AS score, list_distinct({tok('c.text')}) AS t FROM hf h JOIN chunks c USING (chunk_id) JOIN benchmark b ON b.item_id=h.qid WHERE h.rank<=50)), {MMR}
+SELECT st.qid, ca.chunk_id, round(ca.score,9) AS score, st.n::BIGINT AS rank FROM st JOIN ca ON ca.qid=st.qid AND ca.rank=st.pick WHERE st.n>0""")
+def rerank_diversified(spark, sf_dir):
+    """Fused candidates of four legs, reranked by a model and then diversified."""
+    return four_legs(spark, sf_dir, "rerank_bge", 5).select("qid", "chunk_id", F.round("score", 9).alias("score"), long("rank"))
+
+
 # answers and evaluation
 
 
