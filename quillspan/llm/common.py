@@ -164,6 +164,12 @@ def by_frames(df: DataFrame, function: Callable[[Iterator[pd.DataFrame]], Iterat
     return df.mapInArrow(run, schema)
 
 
+def collect_garbage(spark: SparkSession) -> None:
+    """Have each executor collect its garbage, after which it gives unused heap back to the system: before work that needs it for Python."""
+    slots = spark.sparkContext.defaultParallelism
+    spark.range(0, slots, 1, slots).selectExpr("java_method('java.lang.System', 'gc') AS done").write.format("noop").mode("overwrite").save()
+
+
 def give_back() -> None:
     """Return freed memory of this worker to the system: workers live on and stand beside a JVM that needs it."""
     import ctypes
