@@ -279,9 +279,8 @@ class IndexState:
         is done. The change is planned on the version `on`, or the current one. The actions are returned.
         """
         pinned = on or self.pin()
-        done = self._without_cancelled(checked(plan_changes(incoming, pinned.sources(pinned.touched(incoming))))).cache()
-        done.count()
-        late = self._without_cancelled(done).cache()
+        done = self.versions.staged(self._without_cancelled(checked(plan_changes(incoming, pinned.sources(pinned.touched(incoming))))))
+        late = self._without_cancelled(done)
         ready = late.where("action != 'skipped' and error is null")
         steps = ready.count()
         actions = late.select("source_path", "document_id", "action", "error", "n_chunks", "n_vectors")
@@ -289,18 +288,19 @@ class IndexState:
             status = F.when(F.col("error").isNull(), "ready").otherwise("failed")
             rows = late.where("action != 'skipped'").select("source_path", status.alias("status"), "error", F.lit(pinned.revision + steps).cast("long").alias("revision"))
             actions = self._commit(pinned, ready.select("source_path"), ready.select(*names(STATE)), rows, chunks, vectors, steps, actions)
-            late.unpersist()
-            done.unpersist()
+            self.versions.unstage()
+        else:
+            self.versions.leave_staged()  # the actions are read from there
         return actions
 
     def delete(self, wanted: DataFrame, on: State | None = None) -> DataFrame:
         """Remove sources; ones that aren't there are noted too."""
         pinned, wanted = on or self.pin(), wanted.select("source_path").distinct()
-        plan = plan_deletes(wanted, pinned.sources(pinned.touched(wanted))).cache()
+        plan = self.versions.staged(plan_deletes(wanted, pinned.sources(pinned.touched(wanted))))
         steps = plan.where("action = 'deleted'").count()
         rows = plan.select("source_path", F.lit("deleted").alias("status"), F.lit(None).cast("string").alias("error"), F.lit(pinned.revision + steps).cast("long").alias("revision"))
         actions = self._commit(pinned, plan.where("action = 'deleted'").select("source_path"), None, rows, None, None, steps, plan)
-        plan.unpersist()
+        self.versions.unstage()
         return actions
 
     def prune(self, present: DataFrame, on: State | None = None) -> DataFrame:

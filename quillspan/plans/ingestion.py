@@ -72,25 +72,24 @@ def add_files(state: IndexState, files: DataFrame, versions: str = "1", policy:
     planned = plan_changes(coming, now).cache()  # a file is read once
     fresh = planned.where("action <> 'skipped' and error is null")
     about = fresh.select("source_path", "document_id", "media_type")
-    blocks = normalize(fresh, parsers).cache()
+    blocks = state.versions.staged(normalize(fresh, parsers))
     good = blocks.where("error is null").join(about.drop("media_type"), "source_path").withColumn("language", F.lit(None).cast("string"))
     cut = chunk_documents(good.drop("error"), policy, embed)
     chunks = cut.join(about, "document_id").withColumnRenamed("chunk_text", "text").select(*names(CHUNKS))
-    chunks = chunks.withColumn("vector_key", vector_key(F.col("text"), model) if embed else F.lit(None).cast("string")).cache()
+    chunks = state.versions.staged(chunks.withColumn("vector_key", vector_key(F.col("text"), model) if embed else F.lit(None).cast("string")))
     errors = blocks.where("error is not null").select("source_path", "error")
     counts = chunks.groupBy("source_path").agg(F.count("*").cast("int").alias("n_chunks"))
     counts = counts.withColumn("n_vectors", F.col("n_chunks") if embed else F.lit(0))
     vectors = None
     if embed:  # texts that have no vector yet
         texts = pinned.unseen(chunks.select(F.col("vector_key").alias("key"), "text").dropDuplicates(["key"]))
-        vectors = embedded_texts(texts, embed).withColumn("model", F.lit(model)).cache()
+        vectors = state.versions.staged(embedded_texts(texts, embed).withColumn("model", F.lit(model)))
         failed = vectors.where("error is not null").select(F.col("key").alias("vector_key"), "error")
         errors = errors.union(chunks.join(failed, "vector_key").groupBy("source_path").agg(F.min("error").alias("error")).select("source_path", "error"))
     had = now.select("source_path", F.col("n_chunks").alias("had_chunks"), F.col("n_vectors").alias("had_vectors"))
     known = planned.drop("content", "media_type").join(errors.select("source_path", F.col("error").alias("why")), "source_path", "left").join(counts, "source_path", "left").join(had, "source_path", "left")
     count = lambda c: F.coalesce(F.when(F.col("action") == "skipped", F.col(f"had_{c}")), F.col(f"n_{c}"), F.lit(0)).alias(f"n_{c}")
     incoming = known.select("source_path", "document_id", "checksum", "versions", count("chunks"), count("vectors"), F.lit(False).alias("cancelled"), F.coalesce("error", "why").alias("error"))
-    done = state.apply(incoming, chunks, None if vectors is None else vectors.where("error is null"), on=pinned)
-    for held in (planned, blocks, chunks, *([vectors] if embed else [])):
-        held.unpersist()
+    done = state.apply(state.versions.staged(incoming), chunks, None if vectors is None else vectors.where("error is null"), on=pinned)
+    planned.unpersist()
     return done
