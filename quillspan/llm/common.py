@@ -20,6 +20,8 @@ BLOCK_CHARS = 4_000_000
 BATCH_ROWS = 1_000
 #: Keys that are broadcast at most (some 32 MB).
 BROADCAST_KEYS = 1_000_000
+#: Spark's setting that deletes a query's shuffle files when it ends; whoever reads the plan again has them made again.
+FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _HELD: list[DataFrame] = []
 
 
@@ -44,11 +46,13 @@ def saved(df: DataFrame, small: bool = False) -> DataFrame:
     """A reliable checkpoint of df: later reads don't repeat its work and survive lost executors.
 
     A small one (links, labels, what a fraction of the rows leaves) is written in two files a core at most,
-    whatever the number of shuffle partitions.
+    whatever the number of shuffle partitions. The shuffle files behind it are deleted at once: left to the collection of
+    the driver's garbage, those of a whole stage may lie on the disks together.
     """
     spark = df.sparkSession
     shared_dir(spark)
-    return (df.coalesce(2 * spark.sparkContext.defaultParallelism) if small else df.select("*")).checkpoint()
+    with setting(spark, FREED, "true"):  # the plan is made inside, as it notes the setting
+        return (df.coalesce(2 * spark.sparkContext.defaultParallelism) if small else df.select("*")).checkpoint()
 
 
 def held(df: DataFrame) -> DataFrame:
