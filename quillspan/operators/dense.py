@@ -8,13 +8,15 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions.text import tokenize
-from .lexical import exact_sum, near_best
+from .lexical import SENT_ROWS
 from .ranking import ranked
+from .sums import Asked, Entries, best_sums
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -113,13 +115,12 @@ def sparse(chunk_weights: DataFrame, query_weights: DataFrame, eligible: DataFra
 
     chunk_weights: chunk_id, term, weight; query_weights: qid, term, weight.
     """
-    asked = query_weights.select("qid", "term", F.col("weight").alias("asked"))
-    own = chunk_weights.select("chunk_id", "term", "weight").repartition("chunk_id")  # products add up where a chunk's terms lie
-    hit = own.join(asked, "term").select("qid", "chunk_id", "term", (F.col("weight") * F.col("asked")).alias("x"))
-    near = near_best(hit.groupBy("chunk_id", "qid").agg(exact_sum(F.col("x")).alias("score")).select("qid", "chunk_id", "score"), limit)
-    few = own.join(near.select("qid", "chunk_id"), "chunk_id").join(asked, ["qid", "term"])
-    parts = few.groupBy("qid", "chunk_id").agg(F.array_sort(F.collect_list(F.struct("term", (F.col("weight") * F.col("asked")).alias("x")))).alias("parts"))
-    best = ranked(parts.select("qid", "chunk_id", F.aggregate("parts", F.lit(0.0), lambda s, x: s + x["x"]).alias("score")), limit)
+    limit = max(0, limit)
+    asked = query_weights.where("qid is not null and term is not null").select("qid", "term", F.col("weight").cast("double").alias("weight"))
+    blocks = max(1, -(-asked.count() // SENT_ROWS))
+    ids = eligible.select("chunk_id").distinct()
+    found = reduce(DataFrame.union, [_sparse(chunk_weights, asked.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == k) if blocks > 1 else asked, ids, limit) for k in range(blocks)])
+    best = held_rows(ranked(found.select("qid", "chunk_id", "score"), limit))  # `limit` rows for each query, read several times
     # chunks with nothing in common come last, by id: only queries with fewer hits than the limit need them
     short = queries.select("qid").distinct().join(best.groupBy("qid").agg(F.count("*").alias("n")), "qid", "left").where(F.coalesce("n", F.lit(0)) < limit).select("qid")
     first = eligible.select("chunk_id").orderBy("chunk_id").limit(2 * limit)
@@ -127,6 +128,29 @@ def sparse(chunk_weights: DataFrame, query_weights: DataFrame, eligible: DataFra
     return ranked(best.drop("rank").union(rest.select("qid", "chunk_id", "score")), limit)
 
 
+def _sparse(chunk_weights: DataFrame, asked: DataFrame, ids: DataFrame, limit: int) -> DataFrame:
+    """The best of each partition for each query of a block: a chunk's weights of the terms asked for come together first, in one row."""
+    rows = sorted(asked.collect(), key=lambda r: r["term"])  # about SENT_ROWS at most; a query's parts are added by term
+    slots = {t: n for n, t in enumerate(sorted({r["term"] for r in rows}))}
+    wanted = chunk_weights.sparkSession.createDataFrame(list(slots.items()), "term string, slot long")
+    own = chunk_weights.join(F.broadcast(wanted), "term").groupBy("chunk_id").agg(F.collect_list(F.struct("slot", F.col("weight").cast("double").alias("weight"))).alias("weights"))
+
+    def entries(batch: pa.RecordBatch) -> Entries:
+        lists = batch.column("weights")
+        flat = lists.flatten()
+        row = np.repeat(np.arange(len(batch)), np.diff(lists.offsets.to_numpy()))
+        cells, place = np.unique(row * len(slots) + flat.field(0).to_numpy(), return_inverse=True)
+        return cells // len(slots), cells % len(slots), np.bincount(place, flat.field(1).to_numpy(), len(cells))
+
+    made = Asked.of([(r["qid"], r["term"], r["weight"]) for r in rows], slots, list(slots))
+    return best_sums(own.join(ids, "chunk_id", "left_semi").select("chunk_id", "weights"), made, asked.schema["qid"], entries, limit)
+
+
+def held_rows(rows: DataFrame) -> DataFrame:
+    """A bounded number of rows that is read several times."""
+    return rows.persist(StorageLevel.DISK_ONLY)
+
+
 def late_interaction(queries: DataFrame) -> DataFrame:
     """The leg that is switched off: no row."""
     return queries.where(F.lit(False)).select("qid", F.lit("").alias("chunk_id"), F.lit(0.0).alias("score"), F.lit(0).alias("rank"))

@@ -503,8 +503,9 @@ def rank_candidates(spark, sf_dir):
 
 def ranked_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks, asked = chunks_of(spark, sf_dir), item_queries(spark, sf_dir)
-    one = lexical.bm25(chunks, asked, 20).select("qid", F.lit("a").alias("list"), "chunk_id", "rank", "score")
-    two = lexical.bm25(chunks, asked, 20, k1=0.9, b=0.3).select("qid", F.lit("b").alias("list"), "chunk_id", "rank", "score")
+    counts = lexical.counted(chunks, asked)  # the same for both
+    one = lexical.bm25(chunks, asked, 20, counts=counts).select("qid", F.lit("a").alias("list"), "chunk_id", "rank", "score")
+    two = lexical.bm25(chunks, asked, 20, k1=0.9, b=0.3, counts=counts).select("qid", F.lit("b").alias("list"), "chunk_id", "rank", "score")
     return one.union(two)
 
 

@@ -68,16 +68,16 @@ def legs(chunks: DataFrame, queries: DataFrame, models: Models, splade: bool, li
     fields = [f for f in METADATA if f in chunks.columns]  # attribute values count too
     found = found.union(name(metadata_leg(chunks, asked, fields, limit), "metadata"))
     keys = forms.select("qid", F.col("key"))
+    every = lambda found: keys.join(found, "qid").select(F.col("key").alias("qid"), "chunk_id", "rank", "score")  # noqa: E731  the query's own result, for each of its forms
     if models.chunk_vectors is not None:
         needed("hybrid", query_vectors=models.query_vectors)
         here = models.chunk_vectors.join(chunks.select("chunk_id"), "chunk_id", "left_semi")
-        wanted = keys.join(models.query_vectors, "qid").select(F.col("key").alias("qid"), "vector")
-        found = found.union(name(dense(here, wanted, limit), "vector"))
+        wanted = models.query_vectors.join(keys.select("qid"), "qid", "left_semi")
+        found = found.union(name(every(dense(here, wanted, limit)), "vector"))
     for leg, own, theirs, on in (("sparse", models.chunk_weights, models.query_weights, True), ("splade", models.splade_chunk_weights, models.splade_query_weights, splade)):
         if on and own is not None:
-            weights = keys.join(theirs, "qid").select(F.col("key").alias("qid"), "term", "weight")
-            here = own.join(chunks.select("chunk_id"), "chunk_id", "left_semi")
-            found = found.union(name(sparse(here, weights, chunks, keys.select(F.col("key").alias("qid")), limit), leg))
+            weights = theirs.join(keys.select("qid"), "qid", "left_semi")
+            found = found.union(name(every(sparse(own, weights, chunks, keys.select("qid"), limit)), leg))
     return found
 
 
