@@ -133,7 +133,8 @@ def _sparse(chunk_weights: DataFrame, asked: DataFrame, ids: DataFrame, limit: i
     rows = sorted(asked.collect(), key=lambda r: r["term"])  # about SENT_ROWS at most; a query's parts are added by term
     slots = {t: n for n, t in enumerate(sorted({r["term"] for r in rows}))}
     wanted = chunk_weights.sparkSession.createDataFrame(list(slots.items()), "term string, slot long")
-    own = chunk_weights.join(F.broadcast(wanted), "term").groupBy("chunk_id").agg(F.collect_list(F.struct("slot", F.col("weight").cast("double").alias("weight"))).alias("weights"))
+    few = chunk_weights.join(F.broadcast(wanted.select("term")), "term", "left_semi")  # goes below an aggregate by terms that makes the weights
+    own = few.join(F.broadcast(wanted), "term").groupBy("chunk_id").agg(F.collect_list(F.struct("slot", F.col("weight").cast("double").alias("weight"))).alias("weights"))
 
     def entries(batch: pa.RecordBatch) -> Entries:
         lists = batch.column("weights")
