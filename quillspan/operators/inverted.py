@@ -10,14 +10,18 @@ so the segments stay few and a posting is written again a logarithmic number of
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 from dataclasses import replace
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import tokenize
 from .lexical import B, K1, query_terms, score_postings, sent
+from .sums import ROWS
 from .storage import Manifest, Snapshot, Versions, bucket_of
 
 POSTINGS = "term string, chunk_id string, source_path string, n_tokens int, tf int"
@@ -27,10 +31,21 @@ MERGED = 4
 
 
 def chunk_postings(chunks: DataFrame) -> DataFrame:
-    """The postings of chunks (chunk_id, source_path, text)."""
-    tokens = chunks.select("chunk_id", "source_path", tokenize(F.col("text")).alias("tokens"))
-    terms = tokens.select("chunk_id", "source_path", F.size("tokens").alias("n_tokens"), F.explode("tokens").alias("term"))
-    return terms.groupBy("chunk_id", "source_path", "n_tokens", "term").agg(F.count("*").cast("int").alias("tf")).select("term", "chunk_id", "source_path", "n_tokens", "tf")
+    """The postings of chunks (chunk_id, source_path, text), counted where the texts lie."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, len(batch), ROWS):
+                some = batch.slice(low, ROWS)
+                tokens = some.column(2)
+                sizes = np.diff(tokens.offsets.to_numpy()).astype(np.int64)
+                words = tokens.flatten().dictionary_encode()
+                cells, tf = np.unique(np.repeat(np.arange(len(some)), sizes) * max(1, len(words.dictionary)) + words.indices.to_numpy(), return_counts=True)
+                row, term = np.divmod(cells, max(1, len(words.dictionary)))
+                columns = [words.dictionary.take(pa.array(term)), some.column(0).take(pa.array(row)), some.column(1).take(pa.array(row)), pa.array(sizes[row], pa.int32()), pa.array(tf, pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, names=["term", "chunk_id", "source_path", "n_tokens", "tf"])
+
+    return chunks.select("chunk_id", "source_path", tokenize(F.col("text")).alias("tokens")).mapInArrow(run, POSTINGS)
 
 
 def _segments(snapshot: Snapshot, segments: list[dict], buckets: set[str] | None = None) -> DataFrame:

@@ -59,3 +59,12 @@ def test_weights_are_cut_to_the_terms_asked_for_before_they_are_shuffled(spark):
     rows = dense._sparse(weights, asked, ids, 2)
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
     assert "slot" in plan and "hashpartitioning(qid" not in shuffled(rows)
+
+
+def test_postings_are_counted_where_texts_lie(spark):
+    from quillspan.operators.inverted import chunk_postings
+
+    chunks = spark.createDataFrame([("a", "p", "x y x"), ("b", "q", None), ("c", "r", "y")], "chunk_id string, source_path string, text string")
+    found = chunk_postings(chunks)
+    assert "Exchange" not in shuffled(found)
+    assert {tuple(r) for r in found.collect()} == {("x", "a", "p", 3, 2), ("y", "a", "p", 3, 1), ("y", "c", "r", 1, 1)}
