@@ -16,22 +16,25 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import tokenize
 from .lexical import B, K1, query_terms, score_postings, sent
 from .sums import ROWS
-from .storage import Manifest, Snapshot, Versions, bucket_of
+from .storage import Manifest, Snapshot, Versions, bucket_number, bucket_of
 
 POSTINGS = "term string, chunk_id string, source_path string, n_tokens int, tf int"
+#: Of a chunk, in one bucket of terms; these, which hold no blank, with blanks between them.
+LISTS = "bucket int, chunk_id string, source_path string, n_tokens int, terms string, tf array<int>"
 DEAD = "source_path string, before int"
 #: Segments of a tier that become one of the next.
 MERGED = 4
 
 
-def chunk_postings(chunks: DataFrame) -> DataFrame:
-    """The postings of chunks (chunk_id, source_path, text), counted where the texts lie."""
+def posting_lists(chunks: DataFrame, buckets: int) -> DataFrame:
+    """The postings of chunks (chunk_id, source_path, text), counted where the texts lie: a row for each chunk and bucket of terms."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -42,10 +45,28 @@ def chunk_postings(chunks: DataFrame) -> DataFrame:
                 words = tokens.flatten().dictionary_encode()
                 cells, tf = np.unique(np.repeat(np.arange(len(some)), sizes) * max(1, len(words.dictionary)) + words.indices.to_numpy(), return_counts=True)
                 row, term = np.divmod(cells, max(1, len(words.dictionary)))
-                columns = [words.dictionary.take(pa.array(term)), some.column(0).take(pa.array(row)), some.column(1).take(pa.array(row)), pa.array(sizes[row], pa.int32()), pa.array(tf, pa.int32())]
-                yield pa.RecordBatch.from_arrays(columns, names=["term", "chunk_id", "source_path", "n_tokens", "tf"])
+                bucket = np.array([bucket_number(w, buckets) for w in words.dictionary.to_pylist()], np.int64)[term]
+                turn = np.argsort(row * buckets + bucket, kind="stable")
+                row, bucket, term, tf = row[turn], bucket[turn], term[turn], tf[turn]
+                begins = np.flatnonzero(np.diff(row * buckets + bucket, prepend=-1))
+                at = pa.array(np.append(begins, len(row)), pa.int32())
+                own = pa.array(row[begins])
+                lists = [pc.binary_join(pa.ListArray.from_arrays(at, words.dictionary.take(pa.array(term))), " "), pa.ListArray.from_arrays(at, pa.array(tf, pa.int32()))]
+                columns = [pa.array(bucket[begins], pa.int32()), some.column(0).take(own), some.column(1).take(own), pa.array(sizes[row[begins]], pa.int32()), *lists]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    names = [c.split()[0] for c in LISTS.split(", ")]
+    return chunks.select("chunk_id", "source_path", tokenize(F.col("text")).alias("tokens")).mapInArrow(run, LISTS)
+
 
-    return chunks.select("chunk_id", "source_path", tokenize(F.col("text")).alias("tokens")).mapInArrow(run, POSTINGS)
+def in_rows(lists: DataFrame) -> DataFrame:
+    """Lists of postings, a row for each, with its bucket."""
+    return lists.select("bucket", "chunk_id", "source_path", "n_tokens", F.inline(F.arrays_zip(F.split("terms", " ").alias("term"), "tf"))).select("bucket", "term", "chunk_id", "source_path", "n_tokens", "tf")
+
+
+def chunk_postings(chunks: DataFrame) -> DataFrame:
+    """The postings of chunks (chunk_id, source_path, text)."""
+    return in_rows(posting_lists(chunks, 1)).drop("bucket")
 
 
 def _segments(snapshot: Snapshot, segments: list[dict], buckets: set[str] | None = None) -> DataFrame:
@@ -87,8 +108,8 @@ def bm25_stored(snapshot: Snapshot, queries: DataFrame, limit: int | None = 10,
     return score_postings(wanted_postings(snapshot, terms).repartition("chunk_id"), terms, F.lit(m.n_chunks), F.lit(average), limit, k1, b)
 
 
-def with_segment(versions: Versions, before: Snapshot, after: Manifest, chunks: DataFrame | None, gone: DataFrame) -> Manifest:
-    """The manifest with a segment for new chunks and the postings of sources that were replaced or deleted (source_path) dead.
+def with_segment(versions: Versions, before: Snapshot, after: Manifest, chunks: DataFrame | None, gone: DataFrame, n_tokens: int) -> Manifest:
+    """The manifest with a segment for new chunks (of so many tokens) and the postings of sources that were replaced or deleted (source_path) dead.
 
     `after` has the number of the commit as its version.
     """
@@ -97,9 +118,8 @@ def with_segment(versions: Versions, before: Snapshot, after: Manifest, chunks:
     if segments and not gone.isEmpty():
         dead.append(uuid.uuid4().hex)
         gone.select("source_path", F.lit(number).alias("before")).write.parquet(f"{versions.path}/data/dead/{dead[-1]}")
-    by_term = bucket_of(F.col("term"), after.buckets)
     if chunks is not None:
-        folder, buckets = versions.written("postings", chunk_postings(chunks), by_term, "term")
+        folder, buckets = versions.written_dealt("postings", posting_lists(chunks, after.buckets), in_rows, n_tokens, F.xxhash64("chunk_id"), after.buckets, "term")
         if buckets:
             segments.append({"folder": folder, "number": number, "tier": 0, "buckets": buckets})
     after = replace(after, segments=segments, dead=dead)
@@ -112,7 +132,8 @@ def _merged(versions: Versions, before: Snapshot, after: Manifest, some: list[di
     """The newest segments as one. Once all are in it, nothing dead is left to note."""
     snapshot = Snapshot(before.spark, versions.path, after)
     rows = _alive(snapshot, _segments(snapshot, some)).drop("number")
-    folder, buckets = versions.written("postings", rows, bucket_of(F.col("term"), after.buckets), "term")
+    n = _segments(snapshot, some).count()
+    folder, buckets = versions.written_dealt("postings", rows.withColumn("bucket", bucket_of(F.col("term"), after.buckets)), lambda dealt: dealt, n, F.xxhash64("chunk_id"), after.buckets, "term")
     rest = [s for s in after.segments if s not in some]
     made = [{"folder": folder, "number": max(s["number"] for s in some), "tier": some[0]["tier"] + 1, "buckets": buckets}] if buckets else []
     return replace(after, segments=rest + made, dead=after.dead if rest else [])

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokenize
 from .inverted import alive_postings, bm25_stored, merge_all, with_segment
-from .storage import BUCKETS, Conflict, Snapshot, Versions, bucket_of, replaced
+from .storage import BUCKETS, Conflict, Manifest, Snapshot, Versions, bucket_of, replaced
 
 __all__ = ["Conflict", "IndexState", "State"]
 
@@ -27,12 +27,31 @@ STORED_CHUNKS = f"{CHUNKS}, vector_key string, n_tokens int"
 VECTORS = "key string, model string, vector array<double>"
 
 
-def _change(lost: DataFrame, won: DataFrame | None) -> tuple[int, int]:
-    """By how much the numbers of chunks and tokens change."""
-    rows = lost.select(F.lit(-1).alias("n"), (-F.col("n_tokens")).alias("tokens"))
-    if won is not None:
-        rows = rows.union(won.select(F.lit(1), "n_tokens"))
-    return tuple(rows.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first())
+#: Keys that are sent to all tasks at most (some 64 MB).
+SENT_KEYS = 1_000_000
+
+
+def _met(rows: DataFrame, which: DataFrame, n: int, how: str, key: str = "source_path") -> DataFrame:
+    """Rows whose key is among the n of `which` (how: left_semi) or isn't (left_anti).
+
+    Rows may hold texts, so they stay where they are as long as these keys, or the other keys that rows have, are few.
+    """
+    which = which.select(key)
+    if n <= SENT_KEYS:
+        return rows.join(F.broadcast(which), key, how)
+    others = rows.select(key).distinct().join(which, key, "left_anti")
+    n_others = others.count()
+    if n_others > SENT_KEYS:
+        return rows.join(which, key, how)
+    if n_others == 0 and how == "left_semi":
+        return rows
+    others = others.select(F.col(key).alias("_other"))
+    return rows.join(F.broadcast(others), F.col(key).eqNullSafe(F.col("_other")), "left_anti" if how == "left_semi" else "left_semi")
+
+
+def _counts(chunks: DataFrame) -> tuple[int, int]:
+    """How many chunks and tokens there are."""
+    return tuple(chunks.agg(F.count("*"), F.coalesce(F.sum("n_tokens"), F.lit(0))).first())
 
 
 def names(schema: str) -> list[str]:
@@ -126,8 +145,12 @@ class State(Snapshot):
 
     def unseen(self, keys: DataFrame) -> DataFrame:
         """Rows (key, …) whose key has no vector yet; only the keys' buckets are read."""
-        stored = self.read("vectors", VECTORS, self._buckets(keys, F.col("key")))
-        return keys.join(stored.select("key"), "key", "left_anti")
+        if not self.manifest.tables.get("vectors"):
+            return keys
+        own = keys.select("key").distinct()
+        stored = self.read("vectors", VECTORS, self._buckets(own, F.col("key")))
+        seen = own.join(stored.select("key"), "key", "left_semi")
+        return _met(keys, seen, seen.count(), "left_anti", "key")
 
     def _buckets(self, rows: DataFrame, key: Column) -> list[int]:
         """The buckets that rows fall in: as many as there are buckets at most."""
@@ -241,18 +264,28 @@ class IndexState:
         asked, touched = [r["bucket"] for r in hit], [r["bucket"] for r in hit if r["gone"]]
         told = f"{self.path}/data/actions/{uuid.uuid4().hex}"
         old, now = pinned.stored_chunks(touched), pinned.sources(touched)
-        new = None if chunks is None else _stored(chunks).join(gone.select("source_path"), "source_path", "left_semi").select(*old.columns)
+        new = None if chunks is None else _met(_stored(chunks), gone, steps, "left_semi").select(*old.columns)
         work: dict[str, Callable[[], object]] = {
             "attempts": lambda: versions.written("attempts", without(pinned.attempts(asked), rows).unionByName(rows), by_source),
             "actions": lambda: actions.write.parquet(told),
         }
         if touched:
-            kept = without(old, gone)
+            kept = _met(old, gone, steps, "left_anti").select(*old.columns)
+
+            def texts() -> tuple[tuple[str, list[str]], tuple[int, int], Manifest]:
+                """Chunks are written, then read from there: what is counted and indexed is what is stored."""
+                folder, filled = versions.written("chunks", kept if new is None else kept.unionByName(new), by_source, "source_path", "ordinal")
+                won = None
+                if new is not None:
+                    stored = self.spark.read.schema(STORED_CHUNKS).parquet(f"{self.path}/data/chunks/{folder}").select(*old.columns)
+                    won = _met(stored, gone, steps, "left_semi").select(*old.columns)
+                less, more = _counts(_met(old.select("source_path", "n_tokens"), gone, steps, "left_semi")), (0, 0) if won is None else _counts(won)
+                after = with_segment(versions, pinned, m, won, gone.join(now.select("source_path"), "source_path", "left_semi"), more[1])
+                return (folder, filled), (more[0] - less[0], more[1] - less[1]), after
+
             work |= {
                 "sources": lambda: versions.written("sources", without(now, gone) if sources is None else without(now, gone).unionByName(sources), by_source),
-                "chunks": lambda: versions.written("chunks", kept if new is None else kept.unionByName(new), by_source, "source_path", "ordinal"),
-                "totals": lambda: _change(old.join(gone.select("source_path"), "source_path", "left_semi"), new),
-                "postings": lambda: with_segment(versions, pinned, m, new, gone.join(now.select("source_path"), "source_path", "left_semi")),
+                "texts": texts,
             }
             if vectors is not None:
                 work["vectors"] = lambda: versions.written("vectors", pinned.unseen(vectors.select(*names(VECTORS)).dropDuplicates(["key"])), bucket_of(F.col("key"), m.buckets))
@@ -261,9 +294,10 @@ class IndexState:
         replaced(tables, "attempts", asked, *done["attempts"])
         after = m
         if touched:
-            for name in ("sources", "chunks"):
-                replaced(tables, name, touched, *done[name])
-            after = replace(done["postings"], n_chunks=m.n_chunks + done["totals"][0], n_tokens=m.n_tokens + done["totals"][1])
+            stored, change, after = done["texts"]
+            replaced(tables, "sources", touched, *done["sources"])
+            replaced(tables, "chunks", touched, *stored)
+            after = replace(after, n_chunks=m.n_chunks + change[0], n_tokens=m.n_tokens + change[1])
         if "vectors" in done:
             folder, buckets = done["vectors"]
             own = tables.setdefault("vectors", {})

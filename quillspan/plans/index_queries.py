@@ -161,8 +161,9 @@ def vectors_by_content(spark, sf_dir):
         model = "characters"
         keyed = rows.withColumn("vector_key", lifecycle.vector_key(F.col("text"), model))
         pinned = state.pin()
-        fresh = pinned.unseen(keyed.select(F.col("vector_key").alias("key"), "text").dropDuplicates(["key"]))
+        fresh = pinned.unseen(keyed.select(F.col("vector_key").alias("key"), "text")).dropDuplicates(["key"])
         made = encoders.embedded_texts(fresh, lambda texts, step=step: [[float(step), float(len(t))] for t in texts]).select("key", F.lit(model).alias("model"), "vector")
+        made = state.versions.staged(made)  # a text is embedded once
         cut = keyed.select(F.concat(path, F.lit(":0")).alias("chunk_id"), path.alias("document_id"), path.alias("source_path"), F.lit(0).alias("ordinal"), "text", "vector_key", *[F.lit(None).alias(c) for c in lifecycle.names(lifecycle.CHUNKS)[5:]])
         come = rows.select(path.alias("source_path"), path.alias("document_id"), F.sha2("text", 256).alias("checksum"), F.lit("1").alias("versions"), F.lit(1).alias("n_chunks"), F.lit(1).alias("n_vectors"), F.lit(False).alias("cancelled"))
         state.apply(come, cut, made, on=pinned)
