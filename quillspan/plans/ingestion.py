@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators.chunking import ChunkingPolicy, chunk_documents
 from ..operators.encoders import embedded_texts
-from ..operators.lifecycle import CHUNKS, IndexState, names, plan_changes, vector_key
+from ..operators.lifecycle import CHUNKS, SENT_KEYS, IndexState, names, plan_changes, vector_key
 from ..sources.files import checksum, document_id, paged_blocks, route, skip_reason, text_documents
 from ..sources.registry import Parsers
 
@@ -69,7 +69,8 @@ def add_files(state: IndexState, files: DataFrame, versions: str = "1", policy:
     pinned = state.pin()
     coming = files.select("source_path", "media_type", "content", "error", digest.alias("checksum"), document_id(path, digest).alias("document_id"), F.lit(version).alias("versions"))
     now = pinned.sources(pinned.touched(files))
-    planned = plan_changes(coming, now).cache()  # a file is read once
+    few = now.count() <= SENT_KEYS  # contents stay where they are, then
+    planned = state.versions.staged(plan_changes(coming, F.broadcast(now) if few else now))  # a file is read once
     fresh = planned.where("action <> 'skipped' and error is null")
     about = fresh.select("source_path", "document_id", "media_type")
     blocks = state.versions.staged(normalize(fresh, parsers))
@@ -82,7 +83,7 @@ def add_files(state: IndexState, files: DataFrame, versions: str = "1", policy:
     counts = counts.withColumn("n_vectors", F.col("n_chunks") if embed else F.lit(0))
     vectors = None
     if embed:  # texts that have no vector yet
-        texts = pinned.unseen(chunks.select(F.col("vector_key").alias("key"), "text").dropDuplicates(["key"]))
+        texts = pinned.unseen(chunks.select(F.col("vector_key").alias("key"), "text")).dropDuplicates(["key"])
         vectors = state.versions.staged(embedded_texts(texts, embed).withColumn("model", F.lit(model)))
         failed = vectors.where("error is not null").select(F.col("key").alias("vector_key"), "error")
         errors = errors.union(chunks.join(failed, "vector_key").groupBy("source_path").agg(F.min("error").alias("error")).select("source_path", "error"))
@@ -90,6 +91,4 @@ def add_files(state: IndexState, files: DataFrame, versions: str = "1", policy:
     known = planned.drop("content", "media_type").join(errors.select("source_path", F.col("error").alias("why")), "source_path", "left").join(counts, "source_path", "left").join(had, "source_path", "left")
     count = lambda c: F.coalesce(F.when(F.col("action") == "skipped", F.col(f"had_{c}")), F.col(f"n_{c}"), F.lit(0)).alias(f"n_{c}")
     incoming = known.select("source_path", "document_id", "checksum", "versions", count("chunks"), count("vectors"), F.lit(False).alias("cancelled"), F.coalesce("error", "why").alias("error"))
-    done = state.apply(state.versions.staged(incoming), chunks, None if vectors is None else vectors.where("error is null"), on=pinned)
-    planned.unpersist()
-    return done
+    return state.apply(state.versions.staged(incoming), chunks, None if vectors is None else vectors.where("error is null"), on=pinned)

@@ -83,3 +83,27 @@ def test_a_task_sorts_a_bounded_number_of_postings(spark, tmp_path, monkeypatch,
     state.compact()
     stored = spark.read.parquet(f"{state.path}/data/postings/{state.pin().manifest.segments[0]['folder']}")
     assert stored.count() == 8_000 and stored.groupBy(F.input_file_name()).count().agg(F.max("count")).first()[0] <= 1_000
+
+
+def test_contents_are_neither_cached_nor_shuffled_before_they_are_read(spark, tmp_path, monkeypatch):
+    from quillspan.plans import ingestion
+
+    plans, staged = [], storage.Versions.staged
+
+    def seen(self, rows):
+        plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        return staged(self, rows)
+
+    monkeypatch.setattr(storage.Versions, "staged", seen)
+    state = IndexState(spark, str(tmp_path / "state"), buckets=2)
+    files = spark.createDataFrame([(f"p/{k}.txt", "text/plain", bytearray(f"Some words of {k}.".encode()), None) for k in range(3)] + [("p/x.txt", "text/plain", bytearray(b" "), None)], "source_path string, media_type string, content binary, error string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        first = {r.source_path: r.action for r in ingestion.add_files(state, files).collect()}
+        again = {r.source_path: r.action for r in ingestion.add_files(state, files).collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert set(first.values()) == {"added"} and again == first | {f"p/{k}.txt": "skipped" for k in range(3)}
+    assert not any("InMemoryTableScan" in p for p in plans)
+    assert any("content" in p and "hashpartitioning(source_path" not in p for p in plans)
+    assert texts(state.pin()) == {f"p/{k}.txt": f"Some words of {k}." for k in range(3)}
